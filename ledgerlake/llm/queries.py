@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_duplicates, mixing, near_duplicates, sharding
+from . import chat, embedding_duplicates, mixing, near_duplicates, sharding, substrings
 from .common import read_table
 
 
 def queries():
     return {
+        "op1_gear_chunks": lambda spark, d: substrings.repeated_spans(read_table(spark, d, "documents")),
         "op3_chat_rotation": lambda spark, d: chat.rotate(read_table(spark, d, "conversations")),
         "op5_jump_sharding": lambda spark, d: sharding.shard_table(read_table(spark, d, "documents")),
         "op6_product_quantisation": lambda spark, d: embedding_duplicates.embedding_duplicate_classes(read_table(spark, d, "embeddings")),
