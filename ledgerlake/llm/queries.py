@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_duplicates, mixing, near_duplicates, sharding, substrings, toxicity
+from . import chat, embedding_duplicates, mixing, near_duplicates, quality, sharding, substrings, toxicity
 from .common import read_table
 
 
@@ -10,6 +10,7 @@ def queries():
     return {
         "op1_gear_chunks": lambda spark, d: substrings.repeated_spans(read_table(spark, d, "documents")),
         "op2_nb_toxicity": lambda spark, d: toxicity.toxicity_scores(read_table(spark, d, "documents"), read_table(spark, d, "labels")),
+        "op4_line_crf": lambda spark, d: quality.quality_scores(read_table(spark, d, "documents"), read_table(spark, d, "labels")),
         "op3_chat_rotation": lambda spark, d: chat.rotate(read_table(spark, d, "conversations")),
         "op5_jump_sharding": lambda spark, d: sharding.shard_table(read_table(spark, d, "documents")),
         "op6_product_quantisation": lambda spark, d: embedding_duplicates.embedding_duplicate_classes(read_table(spark, d, "embeddings")),
