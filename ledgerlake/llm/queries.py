@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_duplicates, mixing, near_duplicates, quality, sharding, substrings, toxicity
+from . import chat, embedding_duplicates, mixing, near_duplicates, pages, quality, sharding, substrings, toxicity
 from .common import read_table
 
 
@@ -14,6 +14,7 @@ def queries():
         "op3_chat_rotation": lambda spark, d: chat.rotate(read_table(spark, d, "conversations")),
         "op5_jump_sharding": lambda spark, d: sharding.shard_table(read_table(spark, d, "documents")),
         "op6_product_quantisation": lambda spark, d: embedding_duplicates.embedding_duplicate_classes(read_table(spark, d, "embeddings")),
+        "op7_html_blocks": lambda spark, d: pages.extract(read_table(spark, d, "pages")),
         "op8_pareto_mixing": lambda spark, d: mixing.mix_table(read_table(spark, d, "documents")),
         "op9_minhash_odd_sketch": lambda spark, d: near_duplicates.near_duplicate_classes(read_table(spark, d, "documents")),
     }
