@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_duplicates, mixing, near_duplicates, pages, quality, sharding, substrings, toxicity
+from . import chat, decontamination, embedding_duplicates, mixing, near_duplicates, pages, quality, sharding, substrings, toxicity
 from .common import read_table
 
 
@@ -16,6 +16,7 @@ def queries():
         "op6_product_quantisation": lambda spark, d: embedding_duplicates.embedding_duplicate_classes(read_table(spark, d, "embeddings")),
         "op7_html_blocks": lambda spark, d: pages.extract(read_table(spark, d, "pages")),
         "op8_pareto_mixing": lambda spark, d: mixing.mix_table(read_table(spark, d, "documents")),
+        "op10_latent_leaks": lambda spark, d: decontamination.leaks(read_table(spark, d, "documents"), read_table(spark, d, "benchmark")),
         "op9_minhash_odd_sketch": lambda spark, d: near_duplicates.near_duplicate_classes(read_table(spark, d, "documents")),
     }
 
