@@ -4,8 +4,9 @@ Equal shingle sets are one class. Classes that agree on a band of MinHash values
 MinHash samples (an odd sketch, Mitzenmacher, Pagh and Pham) gives the similarity of high pairs closely by the population
 count of an exclusive or, and what it lets through is confirmed on the full sets.
 
-A bucket of any size is not compared pair by pair: first all against its lowest member; what then still lies in different
-components meets in a second pass, so that only pairs whose link could join two components are compared.
+A bucket's members are first compared with a few of them, and the links join most of a group. In a second pass, members
+that still lie outside the bucket's largest component meet those of other components; size, sketch and full sets are all
+tested inside that join, which lets out nothing but links. No pair is left uncompared, none is written out in vain.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import written
+from .common import small_side, written
 from .components import components
 
 BANDS, ROWS = 32, 6
@@ -29,6 +30,10 @@ BITS = 512
 #: A sketch may be so far below the threshold and still be confirmed on the sets: over four standard errors.
 MARGIN = 0.13
 WORDS, PERCENT = 3, 85
+#: Members of a bucket that all others are compared with first.
+CENTRES = 4
+#: Up to so many ids (of a bucket of two or more) are broadcast to fetch their texts; more are joined by shuffle.
+BROADCAST_IDS = 500_000
 
 _TYPE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
 
@@ -89,21 +94,9 @@ def _full_sets(k: int):
         for batch in batches:
             ids = batch.column(0)
             for row, sets in _sets(batch.column(1), k):
-                yield pa.RecordBatch.from_arrays([ids.slice(row, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "members"])
-
-    return work
-
-
-def _confirm(percent: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                members = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+                place = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([ids.slice(row, len(sets)), pa.ListArray.from_arrays(place, pa.array(members))], names=["id", "members"])
 
     return work
 
@@ -119,13 +112,10 @@ def _sizes_fit(one: Column, other: Column, percent: int) -> Column:
     return F.least(one, other) * 100 >= F.greatest(one, other) * percent
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(k), "id long, members binary"))
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
-    with_both = with_a.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-    return with_both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
+def _linked(one: Column, other: Column, percent: int) -> Column:
+    """Whether two full sets are similar enough."""
+    both = F.size(F.array_intersect(one, other))
+    return both * 100 >= (F.size(one) + F.size(other) - both) * percent
 
 
 def near_duplicate_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -146,23 +136,31 @@ def near_duplicate_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCE
     fits = _sizes_fit(F.col("n_a"), F.col("n_b"), percent) & close_sketches(F.col("odd_a"), F.col("odd_b"), percent)
 
     places = classes.select("id", F.explode("bands").alias("band"))
-    shared = places.groupBy("band").agg(F.min("id").alias("low"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    centres = [F.min(F.struct(F.xxhash64(F.lit(j), "id"), "id"))["id"] for j in range(CENTRES)]
+    shared = places.groupBy("band").agg(F.count("*").alias("size"), F.array_distinct(F.array(*centres)).alias("centres")).filter("size > 1").drop("size")
     shared = written(places.join(shared, "band"))
-    stars = shared.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    first = written(stars.join(sketch("b"), "b").join(sketch("a"), "a").filter(fits).select("a", "b"))
-    links = written(_confirmed(first, docs, k, percent))
+    ids = written(shared.select(F.col("id").alias("doc_id")).distinct())
+    sets = written(docs.join(small_side(ids, BROADCAST_IDS), "doc_id", "left_semi").mapInArrow(_full_sets(k), "id long, members array<long>"))
+    full = lambda name: sets.select(F.col("id").alias(name), F.col("members").alias(f"set_{name}"))
+
+    stars = shared.select("id", F.explode("centres").alias("centre")).filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    close = written(stars.join(sketch("b"), "b").join(sketch("a"), "a").filter(fits).select("a", "b"))
+    links = written(close.join(full("a"), "a").join(full("b"), "b").filter(_linked(F.col("set_a"), F.col("set_b"), percent)).select("a", "b"))
     found = components(links)
 
-    named = shared.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("at"))
-    mixed = named.groupBy("band").agg(F.min("at").alias("least"), F.max("at").alias("most")).filter("least < most")
-    open_rows = written(named.join(mixed.select("band", "least"), "band").join(sketch("id"), "id"))
-    one, other = open_rows.filter(F.col("at") != F.col("least")).alias("p"), open_rows.alias("q")
+    weights = found.groupBy("component").agg(F.count("*").alias("weight"))
+    nodes = found.join(weights, "component").select("id", "component", "weight")
+    named = shared.join(nodes, "id", "left").select("band", "id", F.struct(F.coalesce("weight", F.lit(1)), F.coalesce("component", "id").alias("at")).alias("at"))
+    mixed = named.groupBy("band").agg(F.min("at").alias("least"), F.max("at").alias("most")).filter("least <> most").select("band", F.col("most.at").alias("most"))
+    open_rows = named.select("band", "id", F.col("at.at").alias("at")).join(mixed, "band")
+    open_rows = written(open_rows.join(sketch("id"), "id").join(full("id"), "id"))
+    p, q = open_rows.filter("at <> most").alias("p"), open_rows.alias("q")
     apart = (
-        (F.col("p.band") == F.col("q.band")) & (F.col("p.at") != F.col("q.at")) & ((F.col("q.at") == F.col("q.least")) | (F.col("p.id") < F.col("q.id")))
+        (F.col("p.band") == F.col("q.band")) & (F.col("p.at") != F.col("q.at")) & ((F.col("q.at") == F.col("q.most")) | (F.col("p.id") < F.col("q.id")))
         & _sizes_fit(F.col("p.n_id"), F.col("q.n_id"), percent) & close_sketches(F.col("p.odd_id"), F.col("q.odd_id"), percent)
+        & _linked(F.col("p.set_id"), F.col("q.set_id"), percent)
     )
-    second = written(one.join(other, apart).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    more = written(_confirmed(second, docs, k, percent))
+    more = written(p.join(q, apart).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct())
     if not more.isEmpty():
         found = components(links.union(more))
 
