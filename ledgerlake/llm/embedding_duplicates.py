@@ -182,12 +182,15 @@ def embedding_duplicate_classes(vectors: DataFrame, threshold: float = THRESHOLD
 
     Vectors of equal, non-null label link when their cosine is at least threshold. Vectors that are null, empty, zero or
     hold null or non-finite parts link with nothing. Equal vectors of a label are compared once and counted as often as
-    they occur. vec_id is the key; other columns are ignored; vectors of several lengths are an error. An empty table
-    gives an empty result.
+    they occur. vec_id is the key; other columns are ignored; of vectors of several lengths,
+    only those of the most frequent one (then the longest) link. An empty table gives an empty result.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding"))
     kind = dict(vectors.dtypes)["label"]
-    usable = written(vectors.filter("label is not null").mapInArrow(_digests, f"vec_id long, label {kind}, digest binary, raw binary"))
+    usable = written(vectors.filter("label is not null and vec_id is not null").mapInArrow(_digests, f"vec_id long, label {kind}, digest binary, raw binary"))
+    widths = usable.groupBy(F.octet_length("raw").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).limit(2).collect()
+    if len(widths) > 1:
+        usable = written(usable.filter(F.octet_length("raw") == widths[0]["width"]))
     classes = written(usable.groupBy("label", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("raw").alias("raw")))
     count = classes.count()
     if not count:
@@ -214,4 +217,4 @@ def embedding_duplicate_classes(vectors: DataFrame, threshold: float = THRESHOLD
     facts = facts.select("label", "digest", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     of_usable = usable.select("vec_id", "label", "digest").join(facts, ["label", "digest"]).select("vec_id", "n_links", "component_id")
     other = vectors.select("vec_id").join(usable.select("vec_id"), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return of_usable.unionByName(other).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return of_usable.unionByName(other).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

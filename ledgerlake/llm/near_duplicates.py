@@ -124,7 +124,7 @@ def near_duplicate_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCE
     Words are runs of anything but ASCII white space, A-Z lower-cased; a document's set is its distinct k-word shingles,
     or its whole sequence where it has fewer words. Documents with 100 * intersection >= percent * union are linked;
     component_id is the smallest doc_id reachable. Null and empty texts are linked with nothing. doc_id is the key: rows
-    that share one count as one document. Other columns are ignored; an empty table gives an empty result.
+    that share one count as one document; a row without one is kept if its set is nobody else's. Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = written(docs.mapInArrow(_features(k), "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>"))
@@ -167,11 +167,11 @@ def near_duplicate_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCE
     named = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     return features.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-        (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"),
+        F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.col("component_id").isNull()).alias("kept"),
     )
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the documents that a smaller doc_id of their class stands for."""
-    kept = near_duplicate_classes(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    dropped = written(near_duplicate_classes(docs).filter("not kept and doc_id is not null").select("doc_id").distinct())
+    return docs.join(small_side(dropped, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)

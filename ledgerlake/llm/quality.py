@@ -207,4 +207,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, model: QualityModel | Non
     model = model or train(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = rows.mapInArrow(_scores(model), "doc_id long, score double")
-    return scored.select("doc_id", (fold(F.col("doc_id"), PARTS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), PARTS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
