@@ -2,7 +2,8 @@
 
 A source's target of words gives each of its documents an expected number of copies. Its whole part is certain; for the
 rest, documents are ranked by their random odds divided by their inclusion odds, and the lowest ranks are taken until the
-source's words are used up (a sample of fixed size in words). Inclusion odds differ between documents: longer ones get a
+source's words are used up (a sample of fixed size in words); one more document, the one whose size comes nearest, closes
+what is left. Inclusion odds differ between documents: longer ones get a
 somewhat larger share, set so that the expected words still equal the target and no document exceeds max_copies.
 """
 
@@ -100,14 +101,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies: int
     place = F.struct("rank", "doc_id", "size")
     taken_so_far = F.sum("size").over(Window.partitionBy("src").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     last = (
-        inside.withColumn("_middle", taken_so_far - F.col("size") / 2).filter(F.col("_middle") <= F.col("_left"))
-        .groupBy("src").agg(F.max(place).alias("last"))
+        inside.withColumn("_so_far", taken_so_far).filter(F.col("_so_far") <= F.col("_left"))
+        .groupBy("src").agg(F.max(place).alias("last"), F.max("_so_far").alias("_so_far"))
     )
-    plan = small_side(written(targets.join(split.drop("_left"), "src", "left").join(last, "src", "left")), BROADCAST_SOURCES)
+    cut = targets.join(split, "src", "left").join(last, "src", "left")
+    cut = written(cut.withColumn("gap", F.col("_left") - F.coalesce("_so_far", F.lit(0))).drop("_left", "_so_far"))
+    taken = F.col("split_at").isNull() | (F.col("interval") < F.col("split_at")) | ((F.col("interval") == F.col("split_at")) & F.coalesce(place <= F.col("last"), F.lit(False)))
+    rest = _with_odds(sizes, small_side(cut, BROADCAST_SOURCES), max_copies).filter(F.col("rank").isNotNull() & ~taken)
+    misfit = F.abs(F.col("size") - F.col("gap"))
+    fill = rest.filter(misfit < F.col("gap")).groupBy("src").agg(F.min_by(place, F.struct(misfit, place)).alias("fill"))
+    plan = small_side(written(cut.drop("gap").join(fill, "src", "left")), BROADCAST_SOURCES)
 
     chosen = _with_odds(sized, plan, max_copies)
-    further = F.col("rank").isNotNull() & (F.col("split_at").isNull() | (F.col("interval") < F.col("split_at")) | ((F.col("interval") == F.col("split_at")) & F.coalesce(place <= F.col("last"), F.lit(False))))
-    return chosen.withColumn("copies", (F.col("certain") + further.cast("long")).cast("long")).drop("src", "tilt", "mean_tilt", "certain", "rank", "interval", "split_at", "last")
+    further = F.col("rank").isNotNull() & (taken | F.coalesce(place == F.col("fill"), F.lit(False)))
+    return chosen.withColumn("copies", (F.col("certain") + further.cast("long")).cast("long")).drop("src", "tilt", "mean_tilt", "certain", "rank", "interval", "split_at", "last", "fill")
 
 
 def mix_table(docs: DataFrame) -> DataFrame:
