@@ -92,13 +92,13 @@ def normalize_label(x: Column) -> Column:
 def parse_match(x: Column) -> Column:
     """A reviewer's free text as 1, 0 or null."""
     text = F.lower(F.trim(x))
-    return F.when(text.isin("1", "1.0", "true", "yes", "y", "ok", "match"), 1).when(text.isin("0", "0.0", "false", "no", "n", "ng", "mismatch"), 0)
+    return F.when(text.isin("1", "y", "yes", "true", "t", "pass", "correct", "ok"), 1).when(text.isin("0", "n", "no", "false", "f", "fail", "wrong", "ng"), 0)
 
 
 def parse_flag(x: Column) -> Column:
-    """A review flag as 0 or 1: words, else any non-zero number; the rest is 0."""
+    """A review flag as 0 or 1: words, else any number whose whole part is not zero; the rest is 0."""
     text = F.lower(F.trim(x))
-    return F.when(text.isin("true", "yes", "y"), 1).when(F.coalesce(to_double(text), F.lit(0.0)) != 0, 1).otherwise(0)
+    return F.when(text.isin("y", "yes", "true", "t", "on"), 1).when(F.abs(F.coalesce(to_double(text), F.lit(0.0))) >= 1, 1).otherwise(0)
 
 
 def close(a: Column, b: Column) -> Column:

@@ -47,7 +47,7 @@ SELECT o.o_orderkey AS section_id, o.o_custkey AS doc_id,
   CASE WHEN o.o_orderkey % 10 = 0 THEN NULL WHEN o.o_orderkey % 3 = 0 THEN o.o_totalprice
        ELSE CAST(coalesce(t.s, 0) AS DOUBLE) END AS parent_value
 FROM {orders} o LEFT JOIN (
-  SELECT section_id, sum(CAST(value AS DECIMAL(18,2))) AS s FROM {fx_section_items} GROUP BY section_id) t ON t.section_id = o.o_orderkey""",
+  SELECT section_id, sum(CAST(round(value * 100) AS BIGINT)) / CAST(100 AS DOUBLE) AS s FROM {fx_section_items} GROUP BY section_id) t ON t.section_id = o.o_orderkey""",
     "fx_checklist": """
 SELECT CASE d.lang WHEN 'en' THEN 'us' WHEN 'de' THEN 'cn' ELSE 'jp' END AS market, CAST(d.doc_id AS STRING) AS symbol,
   CASE d.doc_id % 3 WHEN 0 THEN 'IS' WHEN 1 THEN 'BS' ELSE 'CF' END AS statement, d.source AS field_name,
