@@ -18,7 +18,7 @@ def parse_decision(response: Column) -> Column:
     body = F.regexp_replace(F.regexp_replace(F.trim(response), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
     parsed = F.from_json(body, DECISION_TYPE)
     codes = F.coalesce(parsed["evidence_item_codes"], F.transform(parsed["evidence"], lambda e: e["item_code"]), F.array().cast("array<string>"))
-    tidy = F.array_distinct(F.filter(F.transform(codes, F.trim), lambda c: c.isNotNull() & (c != "")))
+    tidy = F.array_distinct(F.filter(F.transform(codes, lambda c: F.trim(c)), lambda c: c.isNotNull() & (c != "")))
     return F.struct(
         F.upper(F.trim(parsed["decision"])).alias("decision"), parsed["proposed_value"].alias("proposed_value"),
         F.coalesce(F.upper(F.trim(parsed["proposed_status"])), F.lit("UNCHANGED")).alias("proposed_status"), tidy.alias("codes"), parsed["reason"].alias("reason"),
