@@ -148,3 +148,12 @@ def coerce_number(x: Column) -> Column:
 
 def token_cost(prompt: Column, completion: Column, price_in: float, price_out: float) -> Column:
     return prompt / 1e6 * price_in + completion / 1e6 * price_out
+
+
+def latest_header_date(x: Column) -> Column:
+    """The latest full date of a header text, else the last day of its latest year (20xx)."""
+    whole = F.regexp_extract_all(x, F.lit(r"20\d{2}\s*[年./-]\s*\d{1,2}\s*[月./-]\s*\d{1,2}"), F.lit(0))
+    part = lambda t, i: F.regexp_extract(t, r"(20\d{2})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})", i)
+    days = F.transform(whole, lambda t: F.try_to_date(F.concat_ws("-", part(t, 1), F.lpad(part(t, 2), 2, "0"), F.lpad(part(t, 3), 2, "0")), "yyyy-MM-dd"))
+    years = F.transform(F.regexp_extract_all(x, F.lit(r"(20\d{2})(?=\s*年|\b)"), F.lit(1)), lambda t: t.cast("int"))
+    return F.coalesce(F.array_max(days), F.make_date(F.array_max(years), F.lit(12), F.lit(31)))

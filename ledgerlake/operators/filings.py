@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fiscal_year_from_title, normalize_sec_code
+from ..functions.scalars import fiscal_year_from_title, normalize_sec_code, parse_iso_date
 
 
 def annual_filings_us(filings: DataFrame, form: str = "10-K") -> DataFrame:
@@ -86,3 +86,39 @@ def batch_status(runs: DataFrame) -> DataFrame:
 def run_summary(runs: DataFrame) -> DataFrame:
     """Runs and successes by market, and over all (market null)."""
     return runs.rollup("market").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "success").alias("success"), F.grouping_id().alias("level"))
+
+
+def zip_manifest(companies: DataFrame, files: DataFrame) -> DataFrame:
+    """Each company's archive (path .../<symbol>.zip), or missing."""
+    found = files.withColumn("symbol", F.regexp_extract("path", r"([^/]+)\.zip$", 1)).filter("symbol <> ''").groupBy("symbol").agg(F.min("path").alias("path"))
+    return companies.join(found, "symbol", "left").withColumn("status", F.when(F.col("path").isNull(), "missing").otherwise("ok"))
+
+
+def jp_filing_metadata(filings: DataFrame, texts: dict[str, DataFrame], report_dates: DataFrame) -> DataFrame:
+    """Metadata of local filings (filing_id, file_name, given_symbol, given_period_end, description): what the caller gave, else
+    the text facts of texts (sec_code, filer_name, period_end, filing_date: filing_id, text), else what the contexts say."""
+    out = filings
+    for name, rows in texts.items():
+        out = out.join(rows.select("filing_id", F.col("text").alias(f"_{name}")), "filing_id", "left")
+    out = out.join(report_dates.select("filing_id", F.col("report_date").alias("_inferred")), "filing_id", "left")
+    stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
+    return out.select(
+        "filing_id", F.coalesce(normalize_sec_code(F.col("given_symbol")), normalize_sec_code(F.col("_sec_code"))).alias("sec_code"), F.col("_filer_name").alias("filer_name"),
+        F.coalesce(parse_iso_date(F.col("given_period_end")), parse_iso_date(F.col("_period_end")), F.col("_inferred").cast("string")).alias("period_end"), parse_iso_date(F.col("_filing_date")).alias("filing_date"),
+        F.coalesce(F.nullif(F.regexp_extract("file_name", r"(S\d{8,})", 1), F.lit("")), F.concat(F.lit("LOCAL_"), stem)).alias("doc_id"), F.contains("description", F.lit("訂正")).alias("is_amendment"),
+    )
+
+
+def first_per_group(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
+    """The first n rows of each group; 0 keeps all."""
+    if not n:
+        return rows
+    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col("_rank") <= n).drop("_rank")
+
+
+def markets_union(*rows: DataFrame) -> DataFrame:
+    """Rows of several markets under one schema; columns that a market lacks are null."""
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out

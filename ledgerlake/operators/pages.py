@@ -140,3 +140,15 @@ def locator_usable(locations: DataFrame, totals: DataFrame) -> DataFrame:
     rows = locations.filter("start_page is not null").join(totals, "doc_id")
     ok = (F.count("*") >= 2) & (F.count_distinct("start_page", "end_page") > 1) & F.bool_and((F.col("start_page") >= 1) & (F.col("end_page") <= F.col("total_pages")))
     return rows.groupBy("doc_id").agg(ok.alias("usable"))
+
+
+def title_fallback(pages: DataFrame, found: DataFrame, titles: dict[str, str], lines: dict[str, list[str]], **table) -> DataFrame:
+    """Statements not found yet: the first table-like page with the title in a title line; it ends before another statement
+    within nine pages, else five pages on, within the document."""
+    hits = F.array(*(F.struct(F.lit(k).alias("stmt"), F.col("text").rlike(p).alias("any"), (F.col("text").rlike(p) & is_table_like(F.col("text"), **table) & has_title_line(F.col("text"), lines[k])).alias("start")) for k, p in titles.items()))
+    rows = pages.withColumn("last", F.max("page_no").over(Window.partitionBy("doc_id"))).select("doc_id", "page_no", "last", F.explode(hits).alias("h")).select("doc_id", "page_no", "last", "h.*")
+    starts = rows.filter("start").groupBy("doc_id", "stmt", "last").agg(F.min("page_no").alias("start_page")).join(found, ["doc_id", "stmt"], "left_anti")
+    others = rows.filter("any").select("doc_id", F.col("stmt").alias("other"), F.col("page_no").alias("page2"))
+    near = (starts["doc_id"] == others["doc_id"]) & (starts["stmt"] != others["other"]) & others["page2"].between(F.col("start_page") + 1, F.col("start_page") + 9)
+    stop = starts.join(others, near, "left").groupBy(starts["doc_id"], "stmt", "start_page", "last").agg(F.min("page2").alias("stop"))
+    return stop.select("doc_id", "stmt", "start_page", F.coalesce(F.col("stop") - 1, F.least(F.col("start_page") + 5, F.col("last"))).alias("end_page"))

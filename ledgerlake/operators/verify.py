@@ -132,3 +132,39 @@ def cross_statement(values: DataFrame, one: str = "IS", other: str = "CF", field
     swapped = rows.select("filing_id", F.when(F.col("stmt") == one, other).otherwise(one).alias("stmt"), F.col("value").alias("other_value"))
     joined = rows.join(swapped, ["filing_id", "stmt"], "left")
     return joined.select("filing_id", "stmt", "value", "other_value", (F.col("value").isNotNull() & F.col("other_value").isNotNull() & ~close(F.col("value"), F.col("other_value"))).alias("mismatch"))
+
+
+def cross_candidates(cases: DataFrame, top: DataFrame, values: DataFrame, most: int = 6) -> DataFrame:
+    """Cases of the fact pool: where low_confidence gave a reason, the field's first facts; always the field's own value; for
+    net income also the other statement's. Empty candidates are left out, equal codes counted once, in that order."""
+    own = values.select("filing_id", "stmt", "field", F.lit(100).alias("pos"), F.concat_ws(".", "stmt", "field").alias("item_code"), "value")
+    other = F.when(F.col("stmt") == "IS", "CF").when(F.col("stmt") == "CF", "IS")
+    swapped = values.filter("field = 'net_income' and stmt in ('IS', 'CF')").select("filing_id", other.alias("stmt"), "field", F.lit(101).alias("pos"), F.concat_ws(".", "stmt", "field").alias("item_code"), "value")
+    pool = top.join(cases.filter("reason is not null").select("filing_id", "stmt", "field"), ["filing_id", "stmt", "field"], "left_semi").filter(F.col("candidate_rank") <= most)
+    pool = pool.select("filing_id", "stmt", "field", F.col("candidate_rank").alias("pos"), F.col("candidate_id").alias("item_code"), "value")
+    rows = pool.unionByName(own).unionByName(swapped).filter("value is not null").groupBy("filing_id", "stmt", "field", "item_code").agg(F.min(F.struct("pos", "value")).alias("c"))
+    found = rows.groupBy("filing_id", "stmt", "field").agg(F.array_sort(F.collect_list(F.struct("c.pos", "item_code", "c.value"))).alias("candidates"))
+    return cases.join(found, ["filing_id", "stmt", "field"], "left")
+
+
+def doc_guardrails(rows: DataFrame) -> DataFrame:
+    """Extraction from page quotes (decision, proposed_status, proposed_value, n_evidence, na_quoted): values need no support."""
+    rows = rows.withColumn("supported", F.lit(True)).withColumn("supports_na", F.col("na_quoted"))
+    out = extract_guardrails(rows).drop("supported", "supports_na")
+    return out.withColumn("final_source", F.when(F.col("final_decision") == "EXTRACT", "llm_doc_only").otherwise("llm_doc_only_review"))
+
+
+def fill_missing_fields(wanted: DataFrame, results: DataFrame, keys: list[str], reason: str) -> DataFrame:
+    """Every wanted field with its guarded result; without one: NEED_REVIEW for the reason, no value, to be reviewed."""
+    joined = wanted.join(results.withColumn("_found", F.lit(True)), keys, "left")
+    gone = F.col("_found").isNull()
+    return joined.withColumns({
+        "final_decision": F.when(gone, "NEED_REVIEW").otherwise(F.col("final_decision")), "guard_fail": F.when(gone, reason).otherwise(F.col("guard_fail")), "review_required": F.coalesce("review_required", F.lit(True)),
+    }).drop("_found")
+
+
+def evidence(codes: Column, candidates: Column, reason: Column) -> Column:
+    """Cited candidates as (item_code, quote, why)."""
+    hits = F.filter(candidates, lambda c: F.array_contains(codes, c["item_code"]))
+    why = F.coalesce(F.nullif(reason, F.lit("")), F.lit("Supported by candidate evidence."))
+    return F.transform(hits, lambda c: F.struct(c["item_code"].alias("item_code"), F.concat(F.lit("value: "), F.coalesce(c["value"].cast("string"), F.lit("None"))).alias("quote"), why.alias("why")))
