@@ -90,13 +90,13 @@ def fit(present: list[np.ndarray], y: np.ndarray) -> ToxicityModel:
     weights = np.zeros(size, np.float32)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(weights, 20.0 * (2 * float(y.mean()) - 1) if len(y) else -20.0)
-    index, owner = np.concatenate(present).astype(np.int64), np.repeat(np.arange(len(y)), [len(p) for p in present])
-    toxic = np.bincount(index[y[owner] == 1], minlength=size)
-    other = np.bincount(index[y[owner] == 0], minlength=size)
-    ratio = np.log((toxic + 1) / (y.sum() + 2)) - np.log((other + 1) / ((1 - y).sum() + 2))
-    used = (toxic + other >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO)
-    keep = used[index]
-    index, owner = index[keep], owner[keep]
+    seen = np.zeros((2, size), np.int32)
+    for p, label in zip(present, y, strict=True):
+        seen[int(label), p] += 1
+    ratio = np.log((seen[1] + 1) / (y.sum() + 2)) - np.log((seen[0] + 1) / ((1 - y).sum() + 2))
+    used = (seen.sum(0) >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO)
+    kept = [p[used[p]] for p in present]
+    index, owner = np.concatenate(kept), np.repeat(np.arange(len(y)), [len(p) for p in kept])
     ids, index = np.unique(index, return_inverse=True)
     scale = ratio[ids] / 4
     w, bias, seen_w, seen_b = np.zeros(len(ids)), 0.0, np.full(len(ids), 1e-8), 1e-8
@@ -129,7 +129,8 @@ def _scores(model: ToxicityModel):
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
     sample = training_sample(docs, labels, "toxic", PARTS, HELD_OUT, per_class)
     rows = sample.select("text", "y").mapInArrow(_present, "y int, grams binary").toArrow()
-    return fit([np.frombuffer(g, np.uint32) for g in rows["grams"].to_pylist()], np.array(rows["y"].to_pylist(), float))
+    grams = [np.frombuffer(g.as_buffer(), np.uint32) for g in rows["grams"]]  # views, no copies
+    return fit(grams, np.array(rows["y"].to_pylist(), float))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
