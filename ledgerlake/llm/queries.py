@@ -21,5 +21,9 @@ def queries():
     }
 
 
+#: The names that the driver meets.
+ORACLE_NAMES = tuple(queries())
+
+
 def oracle_sql():
     return {"op3_chat_rotation": chat.ROTATE_SQL}
