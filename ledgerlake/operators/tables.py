@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clean_item_name, parse_number_cn
+from ..functions.scalars import BLANK, clean_item_name, latest_header_date, parse_number_cn
 
 HEADER_ROWS = 3
 #: Status order, core codes' repairable states.
@@ -40,6 +40,32 @@ def best_columns(scores: DataFrame) -> DataFrame:
     return best.select("table_id", F.col("b.col_no").alias("col_no"), (-F.col("b.n")).alias("score"))
 
 
+#: Header words of the current and the prior period, of notes, and of consolidated amounts.
+CURRENT = "(报告期末|本期末|期末余额|期末数|期末|年末|报告期|本期|本年|当期)"
+PRIOR = "(期初余额|期初数|期初|上年年末|上期期末|上期末|上年|上期|上年度|去年|同期|前期)"
+LEAST_DENSITY = 0.2
+
+
+def period_columns(cells: DataFrame) -> DataFrame:
+    """The amount column of each table: of the columns with enough numbers (all if none has), the one of the latest header
+    date; without dates the one whose header speaks most for the current period; else the best content. Leftmost on ties."""
+    amounts = cells.filter("col_no > 0")
+    dense = numeric_density(amounts).filter(F.col("density") >= LEAST_DENSITY).select("table_id", "col_no", F.lit(True).alias("dense"))
+    heads = header_blobs(cells).filter("col_no > 0").withColumn("day", F.unix_date(latest_header_date(F.col("blob")))).withColumn("bare", F.regexp_replace("blob", BLANK, ""))
+    period = F.when(F.col("bare").rlike(CURRENT), 100).otherwise(0) - F.when(F.col("bare").rlike(PRIOR), 100).otherwise(0)
+    hints = (
+        F.when(F.col("bare").rlike("(本年|本期|期末|12月31日|当期)"), 120).otherwise(0) - F.when(F.col("bare").rlike("(附注|注释|注)"), 120).otherwise(0) - F.when(F.col("bare").rlike("(上年|上期|期初|去年)"), 80).otherwise(0)
+        + F.when(F.contains("bare", F.lit("合并")) & F.col("bare").rlike("(本年|本期|期末|金额|余额)"), 60).otherwise(0)
+    )
+    rows = content_scores(amounts).join(heads, ["table_id", "col_no"], "left").join(dense, ["table_id", "col_no"], "left")
+    by = Window.partitionBy("table_id")
+    rows = rows.withColumn("_any", F.max("dense").over(by)).filter(F.col("dense") | F.col("_any").isNull()).withColumn("period", F.coalesce(period, F.lit(0)))
+    rank = F.when(F.max("day").over(by).isNotNull(), F.coalesce("day", F.lit(-1)).cast("double")).when(F.max("period").over(by) > 0, F.col("period").cast("double")).otherwise(F.col("score") + F.coalesce(hints, F.lit(0)))
+    rule = F.when(F.max("day").over(by).isNotNull(), "date").when(F.max("period").over(by) > 0, "period").otherwise("content")
+    best = rows.withColumn("rank", rank).withColumn("rule", rule).groupBy("table_id", "rule").agg(F.min(F.struct((-F.col("rank")).alias("n"), "col_no")).alias("b"))
+    return best.select("table_id", F.col("b.col_no").alias("col_no"), "rule")
+
+
 def header_blobs(cells: DataFrame, anchor: str = "(项目|科目)", header_rows: int = HEADER_ROWS, probe: int = 12) -> DataFrame:
     """Header text of each column: the rows up to the anchor row of column 0 (at most header_rows), else the first ones."""
     at = cells.filter((F.col("col_no") == 0) & (F.col("row_no") <= probe) & F.regexp_replace("text", r"\s+", "").rlike(anchor)).groupBy("table_id").agg(F.min("row_no").alias("at"))

@@ -72,6 +72,15 @@ _NUM = """CASE WHEN regexp_matches(text, '[0-9]{4,}') THEN CASE WHEN starts_with
   WHEN regexp_matches(text, '[0-9]+[.][0-9]+') THEN CASE WHEN starts_with(text, '(') THEN -1 ELSE 1 END * CAST(regexp_extract(text, '[0-9]+[.][0-9]+') AS DOUBLE) WHEN regexp_full_match(text, '[0-9]+') THEN CAST(text AS DOUBLE) END"""
 
 
+def _headed(s, d):
+    """Tables with a header row: dated ones (k 0, 1), ones with period words (2), bare ones (3)."""
+    k = F.substring("table_id", 7, 9).cast("int") % 4
+    dated = F.when(F.col("col_no") == 1, "2019年").when((F.col("col_no") == 2) & (k == 0), "2021年12月31日").when(k == 0, "2020年").when(F.col("col_no") == 2, "2020年度").otherwise("2022年")
+    words = F.when(F.col("col_no") == 3, "本期金额").otherwise("上期金额")
+    head = F.when(F.col("col_no") == 0, "项目").when(k < 2, dated).when(k == 2, words).otherwise("x")
+    return _cells(s, d).withColumn("text", F.when(F.col("row_no") == 1, head).otherwise(F.col("text")))
+
+
 def _items(s, d):
     p = F.col("p_partkey")
     status = F.element_at(F.array(*map(F.lit, ("OK", "MISSING", "PARSE_ERROR", "NOT_APPLICABLE"))), (p % 4 + 1).cast("int"))
@@ -166,6 +175,13 @@ QUERIES = {
         c AS (SELECT table_id, col_no, round(CASE WHEN n = 0 THEN -200 ELSE n * 6 + big * 10 - small * 2 + m - CASE WHEN big = 0 AND small / greatest(n, 1) >= 0.7 THEN 140 ELSE 0 END END, 3) AS score FROM g)
         SELECT table_id, col_no, score FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY score DESC, col_no) AS rn FROM c) WHERE rn = 1""",
     ),
+    "w17_period_columns": (
+        lambda s, d: tb.period_columns(_headed(s, d)),
+        f"""WITH b AS (SELECT DISTINCT table_id, CAST(substr(table_id, 7) AS INT) % 4 AS k FROM {{fx_cells}}), n AS (SELECT table_id, col_no, abs({_NUM}) AS v FROM {{fx_cells}} WHERE col_no > 0 AND row_no > 1),
+        g AS (SELECT table_id, col_no, count(v) * 6 + count(*) FILTER (v >= 10000) * 10 - count(*) FILTER (v <= 999) * 2 + sum(least(12, log10(v + 1))) - CASE WHEN count(*) FILTER (v >= 10000) = 0 AND count(*) FILTER (v <= 999) / count(v) >= 0.7 THEN 140 ELSE 0 END AS sc FROM n GROUP BY 1, 2),
+        t AS (SELECT table_id, col_no FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY sc DESC, col_no) AS rn FROM g) WHERE rn = 1)
+        SELECT b.table_id, CASE k WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 3 ELSE t.col_no END AS col_no, CASE WHEN k < 2 THEN 'date' WHEN k = 2 THEN 'period' ELSE 'content' END AS rule FROM b JOIN t ON t.table_id = b.table_id""",
+    ),
     "w18_header_blob": (
         lambda s, d: tb.header_blobs(_cells(s, d), "(gear|ring)"),
         """WITH a AS (SELECT table_id, min(row_no) AS at_row FROM {fx_cells} WHERE col_no = 0 AND row_no <= 12 AND regexp_matches(text, '(gear|ring)') GROUP BY 1)
