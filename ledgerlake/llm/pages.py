@@ -33,6 +33,10 @@ FURNITURE_WORDS = frozenset(
     "breadcrumb breadcrumbs footer footers masthead header site-header cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription "
     "signup login share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion widget pager pagination".split()
 )
+#: Class words that speak of the text itself, those that say so in spite of them, and negations.
+TEXT_WORDS = frozenset("article entry post content story main body text".split())
+STRONG_WORDS = frozenset("ad ads advert comment comments nav navigation menu share sharing social related sidebar footer newsletter cookie breadcrumb breadcrumbs".split())
+NEGATIONS = frozenset("no not has with without is".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 CLOSED_BY = {"li": {"ul", "ol", "menu"}, "p": BLOCK_TAGS, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody"}, "dd": {"dl"}, "dt": {"dl"}, "option": {"select"}}
 
@@ -73,11 +77,18 @@ def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDING.search(value)):
             return True
-        if (name == "role" and value in FURNITURE_ROLES) or (name in ("class", "id") and not FURNITURE_WORDS.isdisjoint(re.split(r"[\s_-]+", value))):
+        if (name == "role" and value in FURNITURE_ROLES) or (name in ("class", "id") and any(map(_names_furniture, value.split()))):
             return True
     return False
 
 
+def _names_furniture(name: str) -> bool:
+    parts = [p for p in re.split("[_-]+", name) if p]
+    if not parts or parts[0] in NEGATIONS or FURNITURE_WORDS.isdisjoint(parts):
+        return False
+    return TEXT_WORDS.isdisjoint(parts) or not STRONG_WORDS.isdisjoint(parts)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, those without text left out. Unclosed and misnested tags are closed as browsers do."""
     out: list[Block] = []
@@ -175,7 +186,7 @@ def main_text(page: str | None) -> str:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [main_text(page) for page in batch.column(2).to_pylist()]
+        out = [main_text(page.as_py()) for page in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 

@@ -183,3 +183,10 @@ def test_pages():
     <div class="cookie-notice">We use cookies on this site</div><div id=content><h2>Short head</h2><p>{long}<p>Short &eacute;nd</p></div>
     <div class="comments"><p>{long}</p></div><form><p>Sign up</p></form><aside>{long}</aside><footer>&copy; us</footer></body>"""
     assert pages.main_text(page) == f"Short head\n{long.strip()}\nShort énd"
+
+
+def test_pages_class_names():
+    body = "The words of the text are in the page and they are of use to the reader of it, as it was to be. " * 2
+    page = f'<body class="has-sidebar"><div class="content no-sidebar"><div class="entry-header"><h1>Head</h1></div><p>{body}</p><ul><li>one<li>two</ul><div class="post-comments"><p>{body}</p></div></div><div role=navigation>Menu</div></body>'
+    assert pages.main_text(page) == f"Head\n{body.strip()}\none\ntwo"
+    assert pages.main_text("<article><header><h1>T</h1></header><p>a &lt; b<br>c&nbsp;&#100;</p><!-- <p>x</p> --><pre> k\n  l </pre><div class='share-bar'>Share</div></article>") == "T\na < b c d\nk l"
