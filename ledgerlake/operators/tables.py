@@ -181,7 +181,7 @@ def extract_items(cells: DataFrame, value_columns: DataFrame, matches: DataFrame
     """One item per table row whose label (column 0) has an account: the value of the table's chosen column, else of the first
     other column from the left with a number; its status, and whether a later column had to serve."""
     labels = cells.filter("col_no = 0").select("table_id", "row_no", F.trim("text").alias("raw_item")).join(matches.filter("item_code is not null").select("raw_item", "item_code"), "raw_item")
-    chosen = cells.filter("col_no > 0").join(F.broadcast(value_columns.select("table_id", F.col("col_no").alias("best"))), "table_id")
+    chosen = cells.filter("col_no > 0").join(value_columns.select("table_id", F.col("col_no").alias("best")), "table_id")
     rows = chosen.withColumn("v", parse_number_cn(F.col("text"))).withColumn("order", F.when(F.col("col_no") == F.col("best"), -1).otherwise(F.col("col_no")))
     given = F.when(F.col("v").isNotNull(), F.struct("order", "v"))
     values = rows.groupBy("table_id", "row_no").agg(F.min(given).alias("g"), F.max(F.when(F.col("order") == -1, F.trim("text"))).alias("raw_text"))

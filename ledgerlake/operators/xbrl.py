@@ -163,3 +163,10 @@ def cash_flow_batch(requests: DataFrame, filings: DataFrame, values: DataFrame)
     found = requests.join(filings.select("company_key", "report_date", "form_type", "filing_id").distinct(), ["company_key", "report_date", "form_type"], "left")
     error = F.when(F.col("filing_id").isNull(), "filing_not_found").when(F.col("_has").isNull(), "no_values")
     return found.join(values.withColumn("_has", F.lit(True)), "filing_id", "left").withColumn("error", error).drop("_has")
+
+
+def us_statements(facts: DataFrame, contexts: DataFrame, filings: DataFrame, specs: DataFrame) -> DataFrame:
+    """Long canonical values: income statement and balance sheet by the best fact, cash flow by the first tag with a value."""
+    by_fact = choose_facts(scored_facts(facts, contexts, filings, specs.filter("stmt <> 'CF'"))).select(*FIELD, "value")
+    by_tag = first_tag_values(facts, contexts, filings, specs.filter("stmt = 'CF'")).select(*FIELD, "value")
+    return by_fact.unionByName(by_tag)

@@ -7,23 +7,67 @@ from pyspark.sql import DataFrame, SparkSession
 #: US fields as (statement, field, ordered tags, period type, unit keywords).
 US_FIELDS = [
     ("IS", "total_revenue", ["Revenues", "SalesRevenueNet", "RevenueFromContractWithCustomerExcludingAssessedTax"], "duration", ["usd"]),
+    ("IS", "cost_of_revenue", ["CostOfRevenue", "CostOfGoodsAndServicesSold", "CostOfProductsSold"], "duration", ["usd"]),
+    ("IS", "gross_profit", ["GrossProfit"], "duration", ["usd"]),
+    ("IS", "operating_expenses", ["OperatingExpenses", "CostsAndExpenses", "OperatingCostsAndExpenses"], "duration", ["usd"]),
     ("IS", "operating_income", ["OperatingIncomeLoss"], "duration", ["usd"]),
+    ("IS", "non_operating_income_expense_net", ["NonoperatingIncomeExpense", "OtherNonoperatingIncomeExpense"], "duration", ["usd"]),
+    ("IS", "other_income", ["OtherIncomeExpenseNet", "OtherNonoperatingIncomeExpense"], "duration", ["usd"]),
+    ("IS", "provision_for_income_taxes", ["IncomeTaxExpenseBenefit", "ProvisionForIncomeTaxes"], "duration", ["usd"]),
     ("IS", "net_income", ["NetIncomeLoss", "ProfitLoss", "NetIncomeLossAvailableToCommonStockholdersBasic"], "duration", ["usd"]),
     ("IS", "net_income_per_share_basic", ["EarningsPerShareBasic"], "duration", ["usd/shares", "pure"]),
+    ("IS", "net_income_per_share_diluted", ["EarningsPerShareDiluted"], "duration", ["usd/shares", "pure"]),
+    ("IS", "shares_outstanding_basic", ["WeightedAverageNumberOfSharesOutstandingBasic"], "duration", ["shares"]),
+    ("IS", "shares_outstanding_diluted", ["WeightedAverageNumberOfDilutedSharesOutstanding"], "duration", ["shares"]),
     ("BS", "total_assets", ["Assets"], "instant", ["usd"]),
     ("BS", "cash_and_cash_equivalents", ["CashAndCashEquivalentsAtCarryingValue", "CashCashEquivalentsRestrictedCashAndRestrictedCashEquivalents"], "instant", ["usd"]),
-    ("BS", "accounts_receivable", ["AccountsReceivableNetCurrent", "ReceivablesNetCurrent"], "instant", ["usd"]),
+    ("BS", "short_term_investments", ["ShortTermInvestments"], "instant", ["usd"]),
     ("BS", "inventories", ["InventoryNet"], "instant", ["usd"]),
+    ("BS", "accounts_receivable", ["AccountsReceivableNetCurrent", "ReceivablesNetCurrent"], "instant", ["usd"]),
+    ("BS", "other_current_assets", ["OtherAssetsCurrent"], "instant", ["usd"]),
+    ("BS", "total_current_assets", ["AssetsCurrent"], "instant", ["usd"]),
+    ("BS", "property_plant_and_equipment_net", ["PropertyPlantAndEquipmentNet"], "instant", ["usd"]),
+    ("BS", "goodwill", ["Goodwill"], "instant", ["usd"]),
+    ("BS", "intangible_assets", ["IntangibleAssetsNetExcludingGoodwill", "IntangibleAssetsNetIncludingGoodwill"], "instant", ["usd"]),
+    ("BS", "other_noncurrent_assets", ["OtherAssetsNoncurrent"], "instant", ["usd"]),
+    ("BS", "accounts_payable", ["AccountsPayableCurrent"], "instant", ["usd"]),
+    ("BS", "other_current_liabilities", ["OtherLiabilitiesCurrent"], "instant", ["usd"]),
+    ("BS", "total_current_liabilities", ["LiabilitiesCurrent"], "instant", ["usd"]),
+    ("BS", "other_noncurrent_liabilities", ["OtherLiabilitiesNoncurrent"], "instant", ["usd"]),
     ("BS", "total_liabilities", ["Liabilities"], "instant", ["usd"]),
     ("BS", "total_shareholders_equity", ["StockholdersEquity", "StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest"], "instant", ["usd"]),
+    ("BS", "common_stock", ["CommonStockValue", "CommonStocksIncludingAdditionalPaidInCapital"], "instant", ["usd"]),
+    ("BS", "additional_paid_in_capital", ["AdditionalPaidInCapital"], "instant", ["usd"]),
+    ("BS", "retained_earnings", ["RetainedEarningsAccumulatedDeficit"], "instant", ["usd"]),
+    ("BS", "noncontrolling_interests", ["NoncontrollingInterestInEquity"], "instant", ["usd"]),
     ("BS", "total_liabilities_and_shareholders_equity", ["LiabilitiesAndStockholdersEquity"], "instant", ["usd"]),
     ("CF", "net_income", ["NetIncomeLoss", "ProfitLoss", "IncomeLossFromContinuingOperations"], "duration", ["usd"]),
     ("CF", "net_cash_operating", ["NetCashProvidedByUsedInOperatingActivities", "NetCashProvidedByUsedInOperatingActivitiesContinuingOperations"], "duration", ["usd"]),
     ("CF", "net_cash_investing", ["NetCashProvidedByUsedInInvestingActivities", "NetCashProvidedByUsedInInvestingActivitiesContinuingOperations"], "duration", ["usd"]),
     ("CF", "net_cash_financing", ["NetCashProvidedByUsedInFinancingActivities", "NetCashProvidedByUsedInFinancingActivitiesContinuingOperations"], "duration", ["usd"]),
+    ("CF", "cash_end_of_period", ["CashCashEquivalentsRestrictedCashAndRestrictedCashEquivalents", "CashAndCashEquivalentsAtCarryingValue"], "instant", ["usd"]),
+]
+#: Japanese income and cash-flow fields as chains of single tags (statement, field, tags, period type, units).
+JP_CHAINS = [
+    ("IS", "total_revenue", ["NetSales", "OperatingRevenue1", "Revenue"], "duration", ["jpy"]),
+    ("IS", "cost_of_revenue", ["CostOfSales", "CostOfGoodsSold"], "duration", ["jpy"]),
+    ("IS", "gross_profit", ["GrossProfit"], "duration", ["jpy"]),
+    ("IS", "operating_income", ["OperatingIncome"], "duration", ["jpy"]),
+    ("IS", "other_income", ["OtherIncome", "OrdinaryIncome"], "duration", ["jpy"]),
+    ("IS", "income_before_income_taxes", ["IncomeBeforeIncomeTaxes"], "duration", ["jpy"]),
+    ("IS", "provision_for_income_taxes", ["IncomeTaxes", "IncomeTaxesCurrent"], "duration", ["jpy"]),
+    ("IS", "net_income", ["ProfitLoss", "ProfitLossAttributableToOwnersOfParent"], "duration", ["jpy"]),
+    ("CF", "cash_beginning_of_period", ["CashAndCashEquivalentsAtBeginningOfPeriod"], "duration", ["jpy"]),
+    ("CF", "cash_end_of_period", ["CashAndCashEquivalentsAtEndOfPeriod"], "duration", ["jpy"]),
 ]
 FIELDS_TYPE = "stmt string, field string, tags array<string>, period_type string, unit_keywords array<string>"
 
 
 def fields(spark: SparkSession, rows=None) -> DataFrame:
     return spark.createDataFrame(rows or US_FIELDS, FIELDS_TYPE)
+
+
+def chain_specs(spark: SparkSession, rows=None) -> tuple[DataFrame, DataFrame]:
+    """Chains as single-tag field specs and their order (field, chain_pos, source), for chain_values."""
+    flat = [(stmt, f"{field}#{i}", [tag], period, units, field, i) for stmt, field, tags, period, units in rows or JP_CHAINS for i, tag in enumerate(tags)]
+    return fields(spark, [r[:5] for r in flat]), spark.createDataFrame([(r[5], r[6], r[1]) for r in flat], "field string, chain_pos int, source string")

@@ -191,6 +191,12 @@ QUERIES = {
         SELECT filing_id, stmt, field, arg_min(value, tag_pos) AS value FROM b WHERE value IS NOT NULL GROUP BY ALL""",
     ),
     "c1_us_statement_rows": (c1_us_statement_rows, f"WITH {_ctes()}, b AS {_CHOSEN} SELECT filing_id, " + ", ".join(f"max(value) FILTER (stmt = '{s}' AND field = '{f}') AS {s}_{f}" for s, f, *_ in ROWS) + " FROM b GROUP BY filing_id"),
+    "c1_us_statements_by_rule": (
+        lambda s, d: xb.us_statements(*_inputs(s, d)),
+        f"""WITH {_ctes()}, b AS {_CHOSEN}, e AS (SELECT j.*, s.stmt, s.field, s.tag_pos, {_VALUE} AS value FROM j JOIN spec s ON j.tag = s.tag AND s.stmt = 'CF' JOIN r ON r.filing_id = j.filing_id WHERE coalesce(end_date, instant) = report_date),
+        t AS {_best('e', 'filing_id, stmt, field, tag_pos', "is_consolidated DESC, contains(upper(unit_ref), 'USD') DESC, fact_seq")}
+        SELECT filing_id, stmt, field, value FROM b WHERE stmt <> 'CF' UNION ALL SELECT filing_id, stmt, field, arg_min(value, tag_pos) FROM t WHERE value IS NOT NULL GROUP BY 1, 2, 3""",
+    ),
     "c2_us_debt_split": (
         c2_debt,
         f"""WITH {_ctes().replace(_SPEC, "spec(stmt, field, period_type, unit, tag_pos, tag) AS (VALUES ('BS', 'debt_current', 'duration', 'usd', 0, 'NetIncomeLoss'), ('BS', 'debt_noncurrent', 'instant', 'usd', 0, 'Assets'), ('BS', 'debt_general', 'instant', 'usd', 0, 'Liabilities'))")}, b AS {_CHOSEN},

@@ -17,7 +17,7 @@ def read_companies(spark: SparkSession, path: str) -> DataFrame:
 def chart_of_accounts(grid: DataFrame) -> DataFrame:
     """Accounts below the header row (Field Code, Field Name, within ten rows) of each sheet (sheet, row_no, code, name), in order."""
     head = grid.filter((F.col("row_no") <= 10) & (F.trim("code") == "Field Code") & (F.trim("name") == "Field Name")).groupBy("sheet").agg(F.min("row_no").alias("head"))
-    rows = grid.join(F.broadcast(head), "sheet").filter((F.col("row_no") > F.col("head")) & (F.trim("code") != ""))
+    rows = grid.join(head, "sheet").filter((F.col("row_no") > F.col("head")) & (F.trim("code") != ""))
     return rows.select("sheet", F.row_number().over(Window.partitionBy("sheet").orderBy("row_no")).alias("ordinal"), F.trim("code").alias("item_code"), F.trim("name").alias("item_name_std"))
 
 

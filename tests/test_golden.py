@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import scalars as sc
-from ledgerlake.operators import anomaly, pages, tables, verify
+from ledgerlake.operators import anomaly, pages, tables, verify, xbrl
+from ledgerlake.plans import specs
 
 
 def value(spark, column):
@@ -73,3 +74,13 @@ def test_toc_line(spark):
 def test_decision_json(spark):
     got = value(spark, verify.parse_decision(F.lit('```json\n{"decision": "keep", "evidence_item_codes": [" A ", "A", ""]}\n```')))
     assert (got["decision"], got["codes"], got["proposed_status"]) == ("KEEP", ["A"], "UNCHANGED")
+
+
+def test_japanese_chains(spark):
+    """The first tag of a chain with a readable value counts, whatever the scores."""
+    facts = spark.createDataFrame([(1, 0, "NetSales", "c", "JPY", "-"), (1, 1, "OperatingRevenue1", "c", "JPY", "1,000"), (1, 2, "Revenue", "c", "JPY", "7")], "filing_id long, fact_seq long, tag string, context_ref string, unit_ref string, value_raw string")
+    contexts = spark.sql("SELECT 1L AS filing_id, 'c' AS context_id, DATE '2023-04-01' AS start_date, DATE '2024-03-31' AS end_date, CAST(NULL AS DATE) AS instant, true AS is_consolidated")
+    filings = spark.sql("SELECT 1L AS filing_id, DATE '2024-03-31' AS report_date")
+    single, chains = specs.chain_specs(spark)
+    rows = xbrl.chain_values(xbrl.scored_facts(facts, contexts, filings, single, xbrl.ANNUAL_JP), chains).collect()
+    assert [(r["field"], r["value"]) for r in rows] == [("total_revenue", 1000.0)]
