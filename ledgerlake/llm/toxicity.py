@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .labelled import fold, training_sample
 
-PER_CLASS = 2500
+PER_CLASS = 2000
 PARTS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-ORDERS = (4, 5)
-BUCKET_BITS = 20
-#: n-grams of fewer training texts, or of a log-count ratio nearer to zero, carry no weight.
-LEAST_TEXTS, LEAST_RATIO = 6, 1.0
-ROUNDS, RATE, DECAY = 150, 0.3, 1e-3
+ORDERS = (5, 6, 7)
+BUCKET_BITS = 22
+#: n-grams of fewer training texts, or of a log-count ratio of fewer standard errors, carry no weight.
+LEAST_TEXTS, LEAST_ERRORS = 3, 3.0
+ROUNDS, RATE, DECAY = 150, 0.1, 0.1
 #: Texts are worked on in slices of so many bytes.
 SLICE = 1 << 20
 
@@ -62,21 +62,16 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    row = 0
-    while row < len(texts):
-        end, size = row, 0
-        while end < len(texts) and (end == row or size + len(texts[end] or "") <= SLICE):
-            size += len(texts[end] or "")
-            end += 1
-        yield row, [t or "" for t in texts[row:end]]
-        row = end
+def _pieces(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in order, by slices; null texts are empty."""
+    for row, _, at in tx.slices(texts, SLICE):
+        yield [t or "" for t in texts.slice(row, len(at) - 1).to_pylist()]
 
 
 def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
-        for _, part in _pieces(batch.column(0).to_pylist()):
+        for part in _pieces(batch.column(0)):
             bucket, owner = _grams(part)
             key = np.unique(owner << BUCKET_BITS | bucket)
             cut = np.searchsorted(key, np.arange(1, len(part)) << BUCKET_BITS)
@@ -94,16 +89,16 @@ def fit(present: list[np.ndarray], y: np.ndarray) -> ToxicityModel:
     for p, label in zip(present, y, strict=True):
         seen[int(label), p] += 1
     ratio = np.log((seen[1] + 1) / (y.sum() + 2)) - np.log((seen[0] + 1) / ((1 - y).sum() + 2))
-    used = (seen.sum(0) >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO)
+    used = (seen.sum(0) >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_ERRORS * np.sqrt(1 / (seen[0] + 1) + 1 / (seen[1] + 1)))
     kept = [p[used[p]] for p in present]
     index, owner = np.concatenate(kept), np.repeat(np.arange(len(y)), [len(p) for p in kept])
     ids, index = np.unique(index, return_inverse=True)
     scale = ratio[ids] / 4
-    w, bias, seen_w, seen_b = np.zeros(len(ids)), 0.0, np.full(len(ids), 1e-8), 1e-8
+    w, bias, seen_w, seen_b = np.zeros(len(ids)), float(np.log(y.sum() / (1 - y).sum())), np.full(len(ids), 1e-8), 1e-8
     x = scale[index]
     for _ in range(ROUNDS):
         margin = np.bincount(owner, x * w[index], len(y)) + bias
-        error = (1 / (1 + np.exp(-margin)) - y) / len(y)
+        error = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y) / len(y)
         g, gb = np.bincount(index, x * error[owner], len(ids)) + DECAY * w / len(y), error.sum()
         seen_w, seen_b = seen_w + g * g, seen_b + gb * gb
         w, bias = w - RATE * g / np.sqrt(seen_w), bias - RATE * gb / np.sqrt(seen_b)
@@ -115,7 +110,7 @@ def _scores(model: ToxicityModel):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for _, part in _pieces(batch.column(1).to_pylist()):
+            for part in _pieces(batch.column(1)):
                 bucket, owner = _grams(part)
                 hit = model.weights[bucket] != 0
                 key = np.unique(owner[hit] << BUCKET_BITS | bucket[hit])
