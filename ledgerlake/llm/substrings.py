@@ -26,7 +26,9 @@ GEAR_BITS = 32
 MIN_BYTES = 64
 
 _GEAR = (tx.random64(256, 53) >> np.uint64(32)).astype(np.uint32)
-_TYPE = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("start", pa.int64()), ("bytes", pa.int32())])
+#: A chunk's row: its place packs first byte, length and whether the same chunk stands earlier in its text.
+_TYPE = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("place", pa.int64())])
+_AGAIN, _LENGTH = 2, 2 * (2 * MOST_BYTES)
 
 
 def gear_hash(raw: np.ndarray) -> np.ndarray:
@@ -62,12 +64,14 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(first):
                 continue
             length = np.diff(np.append(first, len(raw)))
-            place = np.arange(len(raw), dtype=np.int64) - np.repeat(first, length)
-            values = tx.random64(MOST_BYTES if length.max() <= MOST_BYTES else int(length.max()), 59)[place] * (raw.astype(np.uint64) + np.uint64(1))
+            inner = np.arange(len(raw), dtype=np.int64) - np.repeat(first, length)
+            values = tx.random64(MOST_BYTES, 59)[inner] * (raw.astype(np.uint64) + np.uint64(1))
             digest = tx.mix64(np.add.reduceat(values, first) + length.astype(np.uint64))
+            owner = np.repeat(np.arange(len(number)), number)
+            again = np.ones(len(first), np.int64)
+            again[np.unique(tx.mix64(digest + owner.astype(np.uint64)), return_index=True)[1]] = 0
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(ids[row : row + len(number)], number)), pa.array(digest.view(np.int64)),
-                pa.array(first - np.repeat(at[:-1], number)), pa.array(length.astype(np.int32)),
+                pa.array(ids[row : row + len(number)][owner]), pa.array(digest.view(np.int64)), pa.array((first - at[:-1][owner]) * _LENGTH + length * _AGAIN + again),
             ], schema=_TYPE)
 
 
@@ -75,14 +79,16 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """One row per repeated span: doc_id, start, n_bytes (UTF-8 bytes of the text), n_chunks, first_doc_id.
 
     The first occurrence of a chunk, by doc_id and place, is no repeat; first_doc_id is the smallest doc_id that holds a
-    first occurrence of a chunk of the span. Null and empty texts have no spans; copies of a text are spans over all of
+    chunk of the span. Null and empty texts have no spans; copies of a text are spans over all of
     it; rows without a doc_id are left out, repeated rows count as one. Other columns are ignored.
     """
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = rows.mapInArrow(_chunked, "doc_id long, digest long, start long, bytes int")
-    first = pieces.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).filter("first <> last")
-    first = first.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
-    repeats = pieces.join(first, "digest").filter("doc_id <> first_doc_id or start <> first_start").select("doc_id", "start", "bytes", "first_doc_id").distinct()
+    pieces = rows.mapInArrow(_chunked, "doc_id long, digest long, place long")
+    first = written(pieces.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    again = F.col("place") % _AGAIN == 1
+    repeats = pieces.join(first, "digest").filter(again | (F.col("doc_id") != F.col("first_doc_id"))).select(
+        "doc_id", F.floor(F.col("place") / _LENGTH).alias("start"), F.floor(F.col("place") % _LENGTH / _AGAIN).alias("bytes"), "first_doc_id"
+    ).distinct()
     by_doc = Window.partitionBy("doc_id").orderBy("start")
     ends = F.lag(F.col("start") + F.col("bytes")).over(by_doc)
     marked = repeats.withColumn("_new", F.when(ends == F.col("start"), 0).otherwise(1)).withColumn("_span", F.sum("_new").over(by_doc))
