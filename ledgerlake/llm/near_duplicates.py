@@ -136,14 +136,15 @@ def near_duplicate_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCE
     fits = _sizes_fit(F.col("n_a"), F.col("n_b"), percent) & close_sketches(F.col("odd_a"), F.col("odd_b"), percent)
 
     places = classes.select("id", F.explode("bands").alias("band"))
+    crowded = places.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band")
+    shared = written(places.join(crowded, "band"))
     centres = [F.min(F.struct(F.xxhash64(F.lit(j), "id"), "id"))["id"] for j in range(CENTRES)]
-    shared = places.groupBy("band").agg(F.count("*").alias("size"), F.array_distinct(F.array(*centres)).alias("centres")).filter("size > 1").drop("size")
-    shared = written(places.join(shared, "band"))
+    centres = written(shared.groupBy("band").agg(F.array_distinct(F.array(*centres)).alias("centres")))
     ids = written(shared.select(F.col("id").alias("doc_id")).distinct())
     sets = written(docs.join(small_side(ids, BROADCAST_IDS), "doc_id", "left_semi").mapInArrow(_full_sets(k), "id long, members array<long>"))
     full = lambda name: sets.select(F.col("id").alias(name), F.col("members").alias(f"set_{name}"))
 
-    stars = shared.select("id", F.explode("centres").alias("centre")).filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    stars = shared.join(centres, "band").select("id", F.explode("centres").alias("centre")).filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     close = written(stars.join(sketch("b"), "b").join(sketch("a"), "a").filter(fits).select("a", "b"))
     links = written(close.join(full("a"), "a").join(full("b"), "b").filter(_linked(F.col("set_a"), F.col("set_b"), percent)).select("a", "b"))
     found = components(links)
