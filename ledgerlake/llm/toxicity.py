@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .labelled import fold, training_sample
 
-PER_CLASS = 2000
+PER_CLASS = 1500
 PARTS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-ORDERS = (5, 6, 7)
-BUCKET_BITS = 22
+ORDERS = (4, 5, 6)
+BUCKET_BITS = 20
 #: n-grams of fewer training texts, or of a log-count ratio of fewer standard errors, carry no weight.
 LEAST_TEXTS, LEAST_ERRORS = 3, 3.0
 ROUNDS, RATE, DECAY = 150, 0.1, 0.1
@@ -85,15 +85,20 @@ def fit(present: list[np.ndarray], y: np.ndarray) -> ToxicityModel:
     weights = np.zeros(size, np.float32)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(weights, 20.0 * (2 * float(y.mean()) - 1) if len(y) else -20.0)
-    seen = np.zeros((2, size), np.int32)
+    seen = np.zeros((2, size), np.int32 if len(y) > 30_000 else np.int16)
     for p, label in zip(present, y, strict=True):
         seen[int(label), p] += 1
-    ratio = np.log((seen[1] + 1) / (y.sum() + 2)) - np.log((seen[0] + 1) / ((1 - y).sum() + 2))
-    used = (seen.sum(0) >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_ERRORS * np.sqrt(1 / (seen[0] + 1) + 1 / (seen[1] + 1)))
+    often = np.flatnonzero(seen[0] + seen[1] >= LEAST_TEXTS)
+    other, toxic = seen[0, often] + 1.0, seen[1, often] + 1.0
+    ratio = np.log(toxic / (y.sum() + 2)) - np.log(other / ((1 - y).sum() + 2))
+    strong = np.abs(ratio) >= LEAST_ERRORS * np.sqrt(1 / other + 1 / toxic)
+    often, ratio = often[strong], ratio[strong]
+    used = np.zeros(size, bool)
+    used[often] = True
     kept = [p[used[p]] for p in present]
     index, owner = np.concatenate(kept), np.repeat(np.arange(len(y)), [len(p) for p in kept])
     ids, index = np.unique(index, return_inverse=True)
-    scale = ratio[ids] / 4
+    scale = ratio[np.searchsorted(often, ids)] / 4
     w, bias, seen_w, seen_b = np.zeros(len(ids)), float(np.log(y.sum() / (1 - y).sum())), np.full(len(ids), 1e-8), 1e-8
     x = scale[index]
     for _ in range(ROUNDS):
@@ -125,7 +130,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Tox
     sample = training_sample(docs, labels, "toxic", PARTS, HELD_OUT, per_class)
     rows = sample.select("text", "y").mapInArrow(_present, "y int, grams binary").toArrow()
     grams = [np.frombuffer(g.as_buffer(), np.uint32) for g in rows["grams"]]  # views, no copies
-    return fit(grams, np.array(rows["y"].to_pylist(), float))
+    model = fit(grams, np.array(rows["y"].to_pylist(), float))
+    del grams, rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
