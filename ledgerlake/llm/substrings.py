@@ -1,8 +1,9 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
 A text is cut behind a white-space byte where the gear hash of the bytes before it falls under a bound, so cuts depend on
-nearby content only and find themselves again after an insertion. Equal chunks (by digest) beyond the first occurrence in
-the corpus are repeats; touching repeats of a document form one span, and spans of at least MIN_BYTES are reported.
+nearby content only and find themselves again after an insertion. Chunks are compared in runs: from every chunk on, and up
+to every chunk, as few consecutive ones as hold MIN_BYTES, so that a run repeats only as a whole passage. Equal runs (by
+digest) beyond the first occurrence in the corpus are repeats; overlapping or touching repeats of a document form one span.
 """
 
 from __future__ import annotations
@@ -26,9 +27,14 @@ GEAR_BITS = 32
 MIN_BYTES = 64
 
 _GEAR = (tx.random64(256, 53) >> np.uint64(32)).astype(np.uint32)
-#: A chunk's row: its place packs first byte, length and whether the same chunk stands earlier in its text.
-_TYPE = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("place", pa.int64())])
-_AGAIN, _LENGTH = 2, 2 * (2 * MOST_BYTES)
+#: A run's row: its place packs first byte, length and whether the same run stands earlier in its text, its chunks pack the
+#: number of the first one in the text and their count.
+_TYPE = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("place", pa.int64()), ("chunks", pa.int64())])
+_AGAIN, _LENGTH, _COUNT = 2, 1 << 25, 1 << 24
+#: Runs hold less than this many bytes, so that their length fits into its place.
+_MOST_RUN = _LENGTH // _AGAIN
+_STEP = int(tx.random64(1, 61)[0])
+_STEP_BACK = pow(_STEP, -1, 1 << 64)
 
 
 def gear_hash(raw: np.ndarray) -> np.ndarray:
@@ -56,44 +62,83 @@ def chunks(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.searchsorted(first, at))
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
-        for row, raw, at in tx.slices(batch.column(1)):
-            first, number = chunks(raw, at)
-            if not len(first):
-                continue
-            length = np.diff(np.append(first, len(raw)))
-            inner = np.arange(len(raw), dtype=np.int64) - np.repeat(first, length)
-            values = tx.random64(MOST_BYTES, 59)[inner] * (raw.astype(np.uint64) + np.uint64(1))
-            digest = tx.mix64(np.add.reduceat(values, first) + length.astype(np.uint64))
-            owner = np.repeat(np.arange(len(number)), number)
-            again = np.ones(len(first), np.int64)
-            again[np.unique(tx.mix64(digest + owner.astype(np.uint64)), return_index=True)[1]] = 0
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids[row : row + len(number)][owner]), pa.array(digest.view(np.int64)), pa.array((first - at[:-1][owner]) * _LENGTH + length * _AGAIN + again),
-            ], schema=_TYPE)
+def runs(first: np.ndarray, end: np.ndarray, owner: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first chunk, last chunk) of the shortest runs of a text's chunks with min_bytes from each chunk on and up to each chunk."""
+    n = len(first)
+    last = np.searchsorted(end, first + min_bytes)
+    ahead = np.flatnonzero(last < n)
+    ahead = ahead[owner[last[ahead]] == owner[ahead]]
+    begin = np.searchsorted(first, end - min_bytes, "right") - 1
+    back = np.flatnonzero(begin >= 0)
+    back = back[owner[begin[back]] == owner[back]]
+    back = back[last[begin[back]] != back]
+    return np.concatenate([ahead, begin[back]]), np.concatenate([last[ahead], back])
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _chunked(min_bytes: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
+            for row, raw, at in tx.slices(batch.column(1)):
+                first, number = chunks(raw, at)
+                if not len(first):
+                    continue
+                length = np.diff(np.append(first, len(raw)))
+                inner = np.arange(len(raw), dtype=np.int64) - np.repeat(first, length)
+                values = tx.random64(MOST_BYTES, 59)[inner] * (raw.astype(np.uint64) + np.uint64(1))
+                digest = tx.mix64(np.add.reduceat(values, first) + length.astype(np.uint64))
+                owner = np.repeat(np.arange(len(number)), number)
+                a, b = runs(first, first + length, owner, min_bytes)
+                if not len(a):
+                    continue
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digest * _powers(_STEP, len(digest)), dtype=np.uint64)])
+                size = first[b] + length[b] - first[a]
+                digest = tx.mix64((sums[b + 1] - sums[a]) * _powers(_STEP_BACK, len(digest))[a] + size.astype(np.uint64))
+                of = owner[a]
+                # the earliest of a text's equal runs is no repeat; runs come in two ascending series
+                order = np.argsort(a, kind="stable")
+                again = np.ones(len(a), np.int64)
+                again[order[np.unique(tx.mix64(digest + of.astype(np.uint64))[order], return_index=True)[1]]] = 0
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids[row : row + len(number)][of]), pa.array(digest.view(np.int64)), pa.array((first[a] - at[:-1][of]) * _LENGTH + size * _AGAIN + again),
+                    pa.array((a - (np.cumsum(number) - number)[of]) * _COUNT + b + 1 - a),
+                ], schema=_TYPE)
+
+    return work
 
 
 def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """One row per repeated span: doc_id, start, n_bytes (UTF-8 bytes of the text), n_chunks, first_doc_id.
 
-    The first occurrence of a chunk, by doc_id and place, is no repeat; first_doc_id is the smallest doc_id that holds a
-    chunk of the span. Null and empty texts have no spans; copies of a text are spans over all of
-    it; rows without a doc_id are left out, repeated rows count as one. Other columns are ignored.
+    A span is made of runs of chunks that hold at least min_bytes and each stand as a whole elsewhere. The first occurrence
+    of a run, by doc_id and place, is no repeat; first_doc_id is the smallest doc_id that holds a run of the span. Null and
+    empty texts have no spans; copies of a text of min_bytes are spans over all of it; rows without a doc_id are left out,
+    repeated rows count as one. Other columns are ignored.
     """
+    if not 0 < min_bytes < _MOST_RUN - 2 * MOST_BYTES:
+        raise ValueError(f"min_bytes must be positive and below {_MOST_RUN - 2 * MOST_BYTES}")
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = rows.mapInArrow(_chunked, "doc_id long, digest long, place long")
+    pieces = rows.mapInArrow(_chunked(min_bytes), "doc_id long, digest long, place long, chunks long")
     first = written(pieces.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     again = F.col("place") % _AGAIN == 1
+    start, chunk = F.floor(F.col("place") / _LENGTH), F.floor(F.col("chunks") / _COUNT)
     repeats = pieces.join(first, "digest").filter(again | (F.col("doc_id") != F.col("first_doc_id"))).select(
-        "doc_id", F.floor(F.col("place") / _LENGTH).alias("start"), F.floor(F.col("place") % _LENGTH / _AGAIN).alias("bytes"), "first_doc_id"
+        "doc_id", start.alias("start"), (start + F.floor(F.col("place") % _LENGTH / _AGAIN)).alias("end"),
+        chunk.alias("chunk"), (chunk + F.col("chunks") % _COUNT).alias("chunk_end"), "first_doc_id",
     ).distinct()
-    by_doc = Window.partitionBy("doc_id").orderBy("start")
-    ends = F.lag(F.col("start") + F.col("bytes")).over(by_doc)
-    marked = repeats.withColumn("_new", F.when(ends == F.col("start"), 0).otherwise(1)).withColumn("_span", F.sum("_new").over(by_doc))
-    spans = marked.groupBy("doc_id", "_span").agg(F.min("start").alias("start"), F.sum("bytes").alias("n_bytes"), F.count("*").alias("n_chunks"), F.min("first_doc_id").alias("first_doc_id"))
-    return spans.filter(F.col("n_bytes") >= min_bytes).drop("_span")
+    by_doc = Window.partitionBy("doc_id").orderBy("start", "end")
+    before = by_doc.rowsBetween(Window.unboundedPreceding, -1)
+    marked = repeats.withColumn("_new", F.when(F.max("end").over(before) >= F.col("start"), 0).otherwise(1))
+    marked = marked.withColumn("_chunks", F.greatest(F.lit(0), F.col("chunk_end") - F.greatest("chunk", F.coalesce(F.max("chunk_end").over(before), F.lit(0)))))
+    marked = marked.withColumn("_span", F.sum("_new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = marked.groupBy("doc_id", "_span").agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("n_bytes"), F.sum("_chunks").alias("n_chunks"), F.min("first_doc_id").alias("first_doc_id"))
+    return spans.drop("_span")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

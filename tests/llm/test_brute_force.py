@@ -154,6 +154,29 @@ def test_repeats(spark):
     assert clean[3] == text[3] and len(clean[13].split()) < 190
 
 
+def test_chance_repeats_are_no_spans(spark):
+    """Frequent words and short phrases repeat everywhere; only a passage that stands as a whole elsewhere is a span, all of it."""
+    rng = np.random.default_rng(2)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(1000)])
+    weight = 1 / np.arange(1, 1001)
+    draw = lambda n: " ".join(rng.choice(vocabulary, n, p=weight / weight.sum()))
+    passage = draw(40)
+    text = {i: " ".join([draw(150), *([passage] if i in (7, 300) else []), draw(150)]) for i in range(400)}
+    mosaic = np.frombuffer(draw(300).encode(), np.uint8)
+    first = substrings.chunks(mosaic, np.array([0, len(mosaic)]))[0].tolist()
+    for i, (f, e) in enumerate(zip(first, first[1:], strict=False)):  # every short chunk of the last document stands in one of its own before
+        if f >= 32 and e - f < 30:
+            text[1000 + i] = " ".join([draw(20), mosaic[f - 32 : e].tobytes().decode() + draw(20)])
+    text[9999] = mosaic.tobytes().decode()
+    spans = substrings.repeated_spans(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["first_doc_id"]) for r in spans] == [(300, 7)]
+    span = text[300][spans[0]["start"] :][: spans[0]["n_bytes"]]
+    assert span in text[7] and len(span) > len(passage) - 100
+    raw = np.frombuffer(text[300].encode(), np.uint8)
+    inside = [spans[0]["start"] <= f < spans[0]["start"] + len(span) for f in substrings.chunks(raw, np.array([0, len(raw)]))[0]]
+    assert sum(inside) == spans[0]["n_chunks"]
+
+
 def test_chunks_survive_an_insertion():
     text = np.frombuffer(" ".join(f"word{i * 7919 % 1009}" for i in range(400)).encode(), np.uint8)
     moved = np.concatenate([np.frombuffer(b"new words in front ", np.uint8), text])
