@@ -1,7 +1,8 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
-A text is cut behind a white-space byte where the gear hash of the bytes before it falls under a bound, so cuts depend on
-nearby content only and find themselves again after an insertion. Chunks are compared in runs: from every chunk on, and up
+A text is cut behind a white-space byte where the gear hash of the bytes before it falls under a bound, and in a stretch
+without white space before a character where it falls under a lower one, so cuts depend on nearby content only and find
+themselves again after an insertion. Chunks are compared in runs: from every chunk on, and up
 to every chunk, as few consecutive ones as hold MIN_BYTES, so that a run repeats only as a whole passage. Equal runs (by
 digest) beyond the first occurrence in the corpus are repeats; overlapping or touching repeats of a document form one span.
 """
@@ -18,11 +19,13 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .common import written
 
-#: One word end in so many is a cut; texts without white space are cut at MOST_BYTES.
-CUT_ONE_IN = 4
+#: One word end in so many is a cut; behind a whole hash window without white space, one character in so many.
+CUT_ONE_IN, CUT_CHARACTER_ONE_IN = 4, 12
+#: The last bound, where the hash never cuts (constant bytes).
 MOST_BYTES = 1024
 #: The gear hash looks back over so many bytes (its bit width).
 GEAR_BITS = 32
+_CHARACTER_BYTES = 4
 #: Shorter spans are no repeated passages.
 MIN_BYTES = 64
 
@@ -47,18 +50,42 @@ def gear_hash(raw: np.ndarray) -> np.ndarray:
     return h
 
 
+def _own_hash(h: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The hashes without what the first bytes of a text (from each place of own on) take from the text before."""
+    at = own[own > 0][:, None] + np.arange(GEAR_BITS - 1)
+    lent = h[at[:, :1] - 1] << np.arange(1, GEAR_BITS, dtype=np.uint32)
+    inside = at < np.append(own[own > 0][1:], len(h))[:, None]
+    h[at[inside]] -= lent[inside]
+    return h
+
+
+def _inner(raw: np.ndarray) -> np.ndarray:
+    """Whether a byte continues a UTF-8 character."""
+    return (raw & 0xC0) == 0x80
+
+
 def chunks(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first byte of every chunk, number of chunks of each text)."""
     begin = np.zeros(len(raw), bool)
     if len(raw):
-        cut = tx._SPACE[raw] & (gear_hash(raw) < np.uint32((1 << 32) // CUT_ONE_IN))
+        own = at[:-1][np.diff(at) > 0]
+        h, space, inner = _own_hash(gear_hash(raw), own), tx._SPACE[raw], _inner(raw)
+        cut = space & (h < np.uint32((1 << 32) // CUT_ONE_IN))
         begin[1:] = cut[:-1]
-        begin[at[:-1][np.diff(at) > 0]] = True
+        bars = space.copy()
+        bars[own] = True
+        spaces = np.concatenate([np.zeros(1, np.int64), np.cumsum(bars)])
+        stretch = np.flatnonzero(spaces[GEAR_BITS:] == spaces[:-GEAR_BITS]) + GEAR_BITS
+        stretch = stretch[stretch < len(raw)]
+        begin[stretch] |= ~inner[stretch] & ~space[stretch] & (h[stretch - 1] < np.uint32((1 << 32) // CUT_CHARACTER_ONE_IN))
+        begin[own] = True
     first = np.flatnonzero(begin)
     length = np.diff(np.append(first, len(raw)))
     if len(length) and length.max() > MOST_BYTES:
         pieces = -(-length // MOST_BYTES)
         first = np.repeat(first, pieces) + MOST_BYTES * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        for _ in range(_CHARACTER_BYTES - 1):
+            first = first - inner[first]
     return first, np.diff(np.searchsorted(first, at))
 
 
@@ -91,7 +118,7 @@ def _chunked(min_bytes: int):
                     continue
                 length = np.diff(np.append(first, len(raw)))
                 inner = np.arange(len(raw), dtype=np.int64) - np.repeat(first, length)
-                values = tx.random64(MOST_BYTES, 59)[inner] * (raw.astype(np.uint64) + np.uint64(1))
+                values = tx.random64(MOST_BYTES + _CHARACTER_BYTES, 59)[inner] * (raw.astype(np.uint64) + np.uint64(1))
                 digest = tx.mix64(np.add.reduceat(values, first) + length.astype(np.uint64))
                 owner = np.repeat(np.arange(len(number)), number)
                 a, b = runs(first, first + length, owner, min_bytes)
@@ -149,7 +176,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in sorted(spans or [], key=lambda s: s["start"]):
                 kept.append(raw[at : s["start"]])
                 at = s["start"] + s["n_bytes"]
-            out.append(b"".join([*kept, raw[at:]]).decode(errors="ignore"))
+            out.append(b"".join([*kept, raw[at:]]).decode())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
 

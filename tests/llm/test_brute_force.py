@@ -177,6 +177,23 @@ def test_chance_repeats_are_no_spans(spark):
     assert sum(inside) == spans[0]["n_chunks"]
 
 
+def test_repeats_without_white_space(spark):
+    """Passages without white space are found at any offset, and what is left of the texts is whole characters."""
+    rng = np.random.default_rng(4)
+    han = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9FA5, n)))
+    code = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789+/"), n))
+    text, passage = {}, {0: han(400), 1: code(1200)}
+    for i in range(40):
+        draw = (han, code)[i % 2]
+        text[i] = draw(500 + 7 * i) + (passage[i % 2] if i in (4, 5, 24, 25) else "") + draw(700)
+    text[50], text[51] = "\u00e9" * 3001, "x" + "\u00e9" * 3001
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    spans = {(r["doc_id"], r["first_doc_id"]): text[r["doc_id"]].encode()[r["start"] :][: r["n_bytes"]].decode() for r in substrings.repeated_spans(docs).collect() if r["doc_id"] < 50}
+    assert set(spans) == {(24, 4), (25, 5)} and all(s in passage[k[0] % 2] and len(s.encode()) > 900 for k, s in spans.items())
+    kept = {r["doc_id"]: r["text"] for r in substrings.without_repeats(docs).collect()}
+    assert all(kept[d] == text[d].replace(s, "") for (d, _), s in spans.items()) and set(kept[51]) <= set("x\u00e9")
+
+
 def test_chunks_survive_an_insertion():
     text = np.frombuffer(" ".join(f"word{i * 7919 % 1009}" for i in range(400)).encode(), np.uint8)
     moved = np.concatenate([np.frombuffer(b"new words in front ", np.uint8), text])
