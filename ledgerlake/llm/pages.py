@@ -3,7 +3,7 @@
 A page is cut into blocks at block-level tags. First pass, each block on its own: blocks inside page furniture and blocks
 dense in links are bad; long blocks with enough stop words are good, those with few are bad; short ones are undecided.
 Second pass: an undecided block takes the label of its nearest decided neighbours, good if either side is. Inside a page's
-article, only furniture and links speak against a block; a page without one is judged by the rules alone.
+article, only furniture and links speak against a block; blocks outside it, if there is one, are judged by the rules alone.
 """
 
 from __future__ import annotations
@@ -178,8 +178,6 @@ def second_pass(labels: list[int], furniture: list[bool]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    if any(b.in_article and not b.furniture for b in found):
-        found = [b for b in found if b.in_article]
     keep = second_pass([first_pass(b) for b in found], [b.furniture for b in found])
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 

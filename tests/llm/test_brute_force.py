@@ -230,3 +230,11 @@ def test_pages_class_names():
     page = f'<body class="has-sidebar"><div class="content no-sidebar"><div class="entry-header"><h1>Head</h1></div><p>{body}</p><ul><li>one<li>two</ul><div class="post-comments"><p>{body}</p></div></div><div role=navigation>Menu</div></body>'
     assert pages.main_text(page) == f"Head\n{body.strip()}\none\ntwo"
     assert pages.main_text("<article><header><h1>T</h1></header><p>a &lt; b<br>c&nbsp;&#100;</p><!-- <p>x</p> --><pre> k\n  l </pre><div class='share-bar'>Share</div></article>") == "T\na < b c d\nk l"
+
+
+def test_pages_text_outside_an_article():
+    """An article elsewhere on the page deletes neither a main text in plain blocks nor a headline above it."""
+    body = "The words of the text are in the page and they are of use to the reader of it, as it was to be. " * 2
+    page = f"<body><h1>Head</h1><div><p>{body}</p><p>{body}</p></div><article><h3>Teaser</h3></article><div class=sidebar>{body}</div><footer>us</footer></body>"
+    assert pages.main_text(page) == f"Head\n{body.strip()}\n{body.strip()}\nTeaser"
+    assert pages.main_text(f"<body><nav>Menu</nav><h1>Head</h1><article><p>{body}</p></article></body>") == f"Head\n{body.strip()}"
