@@ -91,10 +91,15 @@ _I = "i AS (SELECT p_brand AS doc_id, CASE WHEN p_size % 2 = 0 THEN 'BS' ELSE 'I
 _BESTI = "b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, stmt, item_code ORDER BY CASE status WHEN 'OK' THEN 4 WHEN 'NOT_APPLICABLE' THEN 3 WHEN 'PARSE_ERROR' THEN 2 WHEN 'MISSING' THEN 1 ELSE 0 END DESC, seq) AS rn FROM i) WHERE rn = 1)"
 
 
-def j4(s, d):
+def j4_tiers(s, d):
     chart = view(s, d, "fx_coa").filter("ordinal % 5 < 4")
     labels = view(s, d, "fx_labels").select(F.when(F.length("raw_item") % 3 == 0, F.replace("raw_item", F.lit("e"), F.lit("i"))).otherwise(F.col("raw_item")).alias("raw_item"))
-    return tb.match_items(labels, chart).select("raw_item", F.when(F.col("score") >= 0.95, F.col("item_code")).alias("item_code"), (F.col("score") >= 0.95).alias("decided"))
+    return tb.match_items(labels, chart)
+
+
+def j4(s, d):
+    """The two exact tiers, as in the SQL; j4_tiers has all three."""
+    return j4_tiers(s, d).select("raw_item", F.when(F.col("score") >= 0.95, F.col("item_code")).alias("item_code"), (F.col("score") >= 0.95).alias("decided"))
 
 
 _J4 = """WITH c AS (SELECT replace(item_name_std, ' ', '') AS name, arg_max(item_code, ordinal) AS item_code, min(ordinal) AS o FROM {fx_coa} WHERE ordinal % 5 < 4 GROUP BY 1),
@@ -105,8 +110,11 @@ SELECT raw_item, coalesce(e.item_code, p.item_code) AS item_code, coalesce(e.ite
 
 
 def f26(s, d):
-    chart = view(s, d, "fx_coa").select("item_code", F.col("item_name_std").alias("name"))
-    return view(s, d, "fx_labels").join(F.broadcast(chart), F.left("raw_item", F.lit(1)) == F.left("name", F.lit(1))).select("raw_item", "item_code", F.round(tb.indel_ratio(F.col("raw_item"), F.col("name")), 4).alias("ratio"))
+    """The best name of every label by ratio, over the whole chart."""
+    chart = view(s, d, "fx_coa").select("item_code", F.col("item_name_std").alias("name"), "ordinal")
+    pairs = view(s, d, "fx_labels").select("raw_item").distinct().join(F.broadcast(chart), F.lit(True)).withColumn("ratio", tb.indel_ratio(F.col("raw_item"), F.col("name")))
+    best = pairs.groupBy("raw_item").agg(F.min(F.struct((-F.col("ratio")).alias("n"), "ordinal", "item_code")).alias("b"))
+    return best.select("raw_item", "b.item_code", F.round(-F.col("b.n"), 4).alias("ratio"))
 
 
 _U2 = f"""WITH {_I}, c AS (SELECT doc_id, stmt, count(*) FILTER (method = 'stream') AS ns, count(*) FILTER (method = 'lattice') AS nl, count(DISTINCT item_code) AS nu FROM i GROUP BY 1, 2),
@@ -200,6 +208,7 @@ QUERIES = {
         "SELECT table_id, row_no, col_no, text FROM {fx_cells} WHERE row_no % 5 <> 0 AND col_no <> 1",
     ),
     "j4_item_match": (j4, _J4),
+    "j4_item_match_tiers": (j4_tiers, None),
     "f26_fuzz_ratio": (f26, None),
     "w6_keep_best_status": (lambda s, d: tb.keep_best_status(_items(s, d)).select("doc_id", "stmt", "item_code", "status", "seq"), f"WITH {_I}, {_BESTI} SELECT doc_id, stmt, item_code, status, seq FROM b"),
     "j6_schema_completion": (
