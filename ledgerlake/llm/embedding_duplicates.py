@@ -1,6 +1,7 @@
 """Near-duplicate embeddings by product quantisation: inverted lists, residual codes, table-lookup distances, exact rerank.
 
-Coarse centroids and residual codebooks are fitted on a bounded sample; every vector is indexed. A query reads the lists
+Coarse centroids and residual codebooks are fitted on a bounded sample, for each length of vectors by itself; every vector
+is indexed. A query reads the lists
 whose centroids lie nearest. Each code keeps its own quantisation error, so the table-lookup distance rules out only
 vectors that the triangle inequality rules out; the rest are reranked by exact cosine in double precision.
 """
@@ -21,8 +22,9 @@ from .common import written
 from .components import components
 
 THRESHOLD = 0.93
-#: Bounds of the fit: vectors in the sample, lists, and list members aimed at (over all labels).
-SAMPLE, MOST_LISTS, LIST_ROWS = 16_384, 4096, 1024
+#: Bounds of the fit: vectors in the sample, lists, and list members aimed at (over all labels); a length's share of the
+#: sample is that of its rows, but this many at least.
+SAMPLE, MOST_LISTS, LIST_ROWS, LEAST_SAMPLE = 16_384, 4096, 1024, 256
 PROBES, SUBSPACES, CODES, ROUNDS = 12, 8, 256, 8
 #: Members and queries of a list meet in blocks of at most about this many rows.
 BLOCK = 1024
@@ -67,7 +69,7 @@ def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, n_lists: int) -> Codebook:
-    """sample: unit vectors, at most SAMPLE."""
+    """sample: unit vectors of one length, about SAMPLE at most."""
     coarse = _kmeans(sample, n_lists, 1)
     book = Codebook(coarse, np.zeros((0, 0, 0)), PROBES)
     residual = sample - coarse[book.nearest(sample, 1)[:, 0]]
@@ -78,7 +80,7 @@ def fit(sample: np.ndarray, n_lists: int) -> Codebook:
 
 
 def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(whether usable, matrix of the usable rows) of a list column; usable: right length, finite, not all zero."""
+    """(whether usable, matrix of the usable rows) of a list column; usable: not empty, finite, not all zero."""
     rows = [None if r is None or None in r else np.asarray(r, float) for r in column.to_pylist()]
     ok = np.array([r is not None and len(r) > 0 and bool(np.isfinite(r).all()) and bool(np.any(r != 0)) for r in rows], bool)
     return ok, [r for r, k in zip(rows, ok, strict=True) if k]
@@ -104,21 +106,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _index(book: Codebook):
+def _of_one_width(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for batch in batches:
+        widths = np.asarray(batch.column(4))
+        for width in np.unique(widths).tolist():
+            yield width, batch.filter(pa.array(widths == width))
+
+
+def _index(books: dict[int, Codebook]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = _unit(_matrix(batch.column(3)))
+        for width, batch in _of_one_width(batches):
+            book, x = books[width], _unit(_matrix(batch.column(3)))
             probes = book.nearest(x, book.probes)
             codes, error = book.encode(x - book.coarse[probes[:, 0]])
             yield pa.RecordBatch.from_arrays([
-                *batch.columns[:4],
+                *batch.columns[:5],
                 pa.array(probes[:, 0], pa.int32()),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * probes.shape[1], pa.int32()), pa.array(probes.ravel(), pa.int32())),
                 pa.array([c.tobytes() for c in codes], pa.binary()),
                 pa.array(error, pa.float64()),
-            ], names=["id", "label", "n", "raw", "list", "probes", "codes", "error"])
+            ], names=["id", "label", "n", "raw", "width", "list", "probes", "codes", "error"])
 
     return work
 
@@ -142,11 +149,12 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _search(book: Codebook, threshold: float):
+def _search(books: dict[int, Codebook], threshold: float):
     reach = math.sqrt(2 - 2 * threshold)
 
     def work(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
+        book = books[table["width"][0].as_py()]
         asks = np.asarray(table["is_query"].to_pylist(), bool)
         members, queries = table.filter(pa.array(~asks)), table.filter(pa.array(asks))
         out_a, out_b, out_n = [], [], []
@@ -180,36 +188,39 @@ def _search(book: Codebook, threshold: float):
 def embedding_duplicate_classes(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    Vectors of equal, non-null label link when their cosine is at least threshold. Vectors that are null, empty, zero or
+    Vectors of equal, non-null label and equal length link when their cosine is at least threshold. Vectors that are null, empty, zero or
     hold null or non-finite parts link with nothing. Equal vectors of a label are compared once and counted as often as
-    they occur. vec_id is the key; other columns are ignored; of vectors of several lengths,
-    only those of the most frequent one (then the longest) link. An empty table gives an empty result.
+    they occur. vec_id is the key; other columns are ignored. An empty table gives an empty result.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding"))
     kind = dict(vectors.dtypes)["label"]
     usable = written(vectors.filter("label is not null and vec_id is not null").mapInArrow(_digests, f"vec_id long, label {kind}, digest binary, raw binary"))
-    widths = usable.groupBy(F.octet_length("raw").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).limit(2).collect()
-    if len(widths) > 1:
-        usable = written(usable.filter(F.octet_length("raw") == widths[0]["width"]))
-    classes = written(usable.groupBy("label", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("raw").alias("raw")))
-    count = classes.count()
-    if not count:
+    classes = usable.groupBy("label", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("raw").alias("raw"))
+    classes = written(classes.withColumn("width", F.octet_length("raw")))
+    counts = {r["width"]: r["count"] for r in classes.groupBy("width").count().collect()}
+    if not counts:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    n_lists = min(MOST_LISTS, 2 ** max(4, round(math.log2(count / LIST_ROWS + 1))))
-    share = min(1.0, SAMPLE / count)
-    sample = classes.select("id", "raw").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy("id").limit(SAMPLE)
-    book = fit(_unit(np.stack([np.frombuffer(r["raw"], float) for r in sample.collect()])), n_lists)
-
-    index = written(classes.select("id", "label", "n", "raw").mapInArrow(_index(book), f"id long, label {kind}, n long, raw binary, list int, probes array<int>, codes binary, error double"))
-    queries = index.select("id", "label", "raw", F.explode("probes").alias("list"))
-    sizes = index.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    sizes = written(sizes.join(queries.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).alias("ask_blocks")), ["label", "list"]))
+    total, books = sum(counts.values()), {}
+    shares = [(w, int(min(1.0, max(LEAST_SAMPLE, SAMPLE * c / total) / c) * (1 << 30))) for w, c in counts.items()]
+    of_width = F.broadcast(vectors.sparkSession.createDataFrame(shares, "width int, share long"))
+    sample = classes.join(of_width, "width").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= F.col("share")).select("width", "raw", "id").orderBy("id")
+    rows = {w: [] for w in counts}
+    for r in sample.collect():
+        rows[r["width"]].append(np.frombuffer(r["raw"], float))
+    for w, c in counts.items():
+        n_lists = min(MOST_LISTS, 2 ** max(4, round(math.log2(c / LIST_ROWS + 1))))
+        books[w] = fit(_unit(np.stack(rows.pop(w))), n_lists)
+
+    index = written(classes.select("id", "label", "n", "raw", "width").mapInArrow(_index(books), f"id long, label {kind}, n long, raw binary, width int, list int, probes array<int>, codes binary, error double"))
+    queries = index.select("id", "label", "width", "raw", F.explode("probes").alias("list"))
+    sizes = index.groupBy("label", "width", "list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    sizes = written(sizes.join(queries.groupBy("label", "width", "list").agg(F.ceil(F.count("*") / BLOCK).alias("ask_blocks")), ["label", "width", "list"]))
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
     no_codes, no_error = F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error")
-    stored = index.join(sizes, ["label", "list"]).select("id", "label", "list", "n", "raw", "codes", "error", F.lit(False).alias("is_query"), block("blocks").alias("at"), spread("ask_blocks").alias("ask"))
-    asked = queries.join(sizes, ["label", "list"]).select("id", "label", "list", F.lit(1).cast("long").alias("n"), "raw", no_codes, no_error, F.lit(True).alias("is_query"), spread("blocks").alias("at"), block("ask_blocks").alias("ask"))
-    found = written(stored.unionByName(asked).groupBy("label", "list", "at", "ask").applyInArrow(_search(book, threshold), "a long, b long, n long"))
+    stored = index.join(sizes, ["label", "width", "list"]).select("id", "label", "width", "list", "n", "raw", "codes", "error", F.lit(False).alias("is_query"), block("blocks").alias("at"), spread("ask_blocks").alias("ask"))
+    asked = queries.join(sizes, ["label", "width", "list"]).select("id", "label", "width", "list", F.lit(1).cast("long").alias("n"), "raw", no_codes, no_error, F.lit(True).alias("is_query"), spread("blocks").alias("at"), block("ask_blocks").alias("ask"))
+    found = written(stored.unionByName(asked).groupBy("label", "width", "list", "at", "ask").applyInArrow(_search(books, threshold), "a long, b long, n long"))
 
     links = found.filter("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("linked"))
     joined = components(found.filter("b is not null").select("a", "b"))

@@ -125,6 +125,19 @@ def test_embeddings(spark, sf_dir):
     assert sum(got.values()) >= 0.99 * linked.sum() and all(got[i] <= linked[i].sum() for i in got)
 
 
+def test_embeddings_of_several_lengths(spark):
+    """Vectors link within their own length, whatever the rows of the others; a shorter vector is no near one."""
+    rng = np.random.default_rng(5)
+    vectors = [v for width, n in ((16, 30), (8, 20), (24, 3)) for v in np.repeat(rng.normal(size=(n, width)), 3, 0) + rng.normal(size=(3 * n, width)) * 0.03]
+    vectors += [np.append(vectors[0], [0.0] * 8), np.append(vectors[90], [0.0] * 16)]
+    table = spark.createDataFrame([(i, v.tolist(), i // 3 % 2) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    cosine = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b) if len(a) == len(b) else 0
+    want = {i: sum(cosine(a, b) >= 0.93 for j, b in enumerate(vectors) if j != i and j // 3 % 2 == i // 3 % 2) for i, a in enumerate(vectors)}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_duplicates.embedding_duplicate_classes(table).collect()}
+    assert {i: n for i, (n, _) in got.items()} == want and sum(want.values()) >= 6 * 53
+    assert all(got[i][1] == i // 3 * 3 for i in range(159))
+
+
 def test_leaks(spark, sf_dir):
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
