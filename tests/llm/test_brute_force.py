@@ -1,6 +1,7 @@
 """Operators that SQL can't express, against brute force on whole small tables."""
 
 import collections
+import math
 import re
 import struct
 import zlib
@@ -77,6 +78,54 @@ def test_mixing_targets(spark, sf_dir):
     assert all(abs(taken[s] - target[s]) <= largest[s] for s in order)
 
 
+def test_pareto_selection(spark, sf_dir):
+    """The documents taken, recomputed: certain copies, then the lowest ranks until the words run out, then one that fits."""
+    docs = read_table(spark, sf_dir, "documents")
+    text = {r["doc_id"]: (r["source"], r["text"]) for r in docs.collect()}
+    rows = {r["doc_id"]: r for r in mixing.mix_table(docs).collect()}
+    of = collections.defaultdict(list)
+    for d, r in rows.items():
+        of[text[d][0]].append((d, r["size"], math.floor(r["size"] * 1000 / (r["size"] + 500)) / 1000))
+    for source, members in of.items():
+        target, words_all = rows[members[0][0]]["target"], sum(n for _, n, _ in members)
+        mean, rate = sum(n * t for _, n, t in members) / words_all, target / words_all
+        spread = max(0, min(0.5, (2 / rate - 1) / (1 - mean)))
+        copies, left, ranked = {}, target, []
+        for d, n, t in members:
+            expected = min(2, rate * (1 + spread * (t - mean))) if n else 0
+            copies[d] = math.floor(expected)
+            left -= copies[d] * n
+            p, u = expected - copies[d], ((_hash(d, text[d][1]) >> 11) + 0.5) / 2**53
+            if p > 0:
+                ranked.append((u / (1 - u) * (1 - p) / p, d, n))
+        ranked.sort()
+        for k, (_, d, n) in enumerate(ranked):
+            if n > left:
+                _, best = min((abs(m - left), (q, e)) for q, e, m in ranked[k:])
+                if abs(next(m for _, e, m in ranked if e == best[1]) - left) < left:
+                    copies[best[1]] += 1
+                break
+            left -= n
+            copies[d] += 1
+        assert {d: rows[d]["taken"] for d in copies} == {d: c * rows[d]["size"] for d, c in copies.items()}, source
+
+
+def _hash(doc_id, text):
+    h = xxhash.xxh64(b"mix", 42).intdigest()
+    for part in (struct.pack("<q", doc_id), struct.pack("<i", 0), None if text is None else text.encode()):
+        h = h if part is None else xxhash.xxh64(part, h).intdigest()
+    return h
+
+
+def test_mixing_cuts_again(spark, sf_dir, monkeypatch):
+    """Intervals cut several times give the rows of intervals cut once."""
+    docs = read_table(spark, sf_dir, "documents")
+    once = sorted((r["doc_id"], r["taken"]) for r in mixing.mix_table(docs).collect())
+    monkeypatch.setattr(mixing, "SORTED_ROWS", 2)
+    monkeypatch.setattr(mixing, "INTERVALS", 3)
+    assert sorted((r["doc_id"], r["taken"]) for r in mixing.mix_table(docs).collect()) == once
+
+
 def test_near_duplicates(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     sets = {}
