@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import utf8_size, written
+from .common import small_side, utf8_size, written
 
-#: Row numbers are counted in this many parts of a shard; a part is what one task sorts.
-PARTS = 4096
+#: Shards and tasks up to this many pairs (narrow rows) are broadcast; more are joined by shuffle.
+BROADCAST_RUNS = 1_000_000
+FACTS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def jump_shards(key: Column, n_shards: int) -> Column:
@@ -35,54 +36,38 @@ def jump_shards(key: Column, n_shards: int) -> Column:
     return F.aggregate(steps, start, step, lambda acc: F.struct(acc.shard.cast("int").alias("shard"), acc.grown.cast("int").alias("grown")))
 
 
-def with_shards(df: DataFrame, key: str, n_shards: int) -> DataFrame:
-    """df with columns shard and grown_shard; no shuffle."""
-    jumps = jump_shards(F.col(key), n_shards)
-    return df.withColumn("_jump", jumps).withColumns({"shard": F.col("_jump.shard"), "grown_shard": F.col("_jump.grown")}).drop("_jump")
+def _placed(docs: DataFrame, kept: Column, n_shards: int) -> DataFrame:
+    """One row per document: row (kept) and FACTS.
 
-
-def with_slots(df: DataFrame, identity: list[str], repeats: str | None = None) -> DataFrame:
-    """df (with shard) with slot: each shard's rows numbered from 0 without gaps.
-
-    A shard is cut into PARTS by a hash of the identity columns; rows are numbered within a part and moved up by the
-    rows of the parts before it, so that no task sorts a whole shard. The order depends on values only. With repeats,
-    each row stands for that many rows, and slot is the first one's.
+    Rows stay in their tasks: each task sorts its own by shard, so that a shard's rows stand together, and writes them; a
+    shard's rows before a task (one narrow row each) move the numbers up. Nothing depends on how often a key occurs.
     """
-    n = F.col(repeats) if repeats else F.lit(1).cast("long")
-    rows = df.withColumn("_part", F.pmod(F.xxhash64(*identity), F.lit(PARTS)).cast("int"))
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("shard", "_part").agg(F.sum(n).alias("_n")).select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("shard", "_part").orderBy(*identity).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = rows.withColumn("_within", F.coalesce(F.sum(n).over(within), F.lit(0)))
-    return numbered.join(offsets, ["shard", "_part"]).withColumn("slot", (F.col("_offset") + F.col("_within")).cast("long")).drop("_part", "_offset", "_within")
+    facts = docs.select(
+        kept.alias("row"), (utf8_size(F.col("text")) + 1).alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        jump_shards(F.col("doc_id"), n_shards).alias("jump"),
+    )
+    rows = facts.select("row", "size", "text_crc32", "jump.shard", F.col("jump.grown").alias("grown_shard")).sortWithinPartitions("shard")
+    rows = written(rows.withColumn("task", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()))
+    runs = rows.groupBy("shard", "task").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    runs = written(runs.select("shard", "task", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("up")))
+    placed = rows.join(small_side(runs, BROADCAST_RUNS), ["shard", "task"])
+    return placed.select("row", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("place") + F.col("up")).alias("slot"), "grown_shard")
 
 
 def shard_table(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    size: UTF-8 bytes of the text (null: none) plus 1. Null and empty texts have checksum 0. A null doc_id is a key like
-    any other. Repeated rows are counted before they are dealt out and stay repeated in the result. Other columns of
-    docs are ignored; an empty table gives an empty result.
+    size: UTF-8 bytes of the whole text (null: none) plus 1. Null and empty texts have checksum 0. A null doc_id is a key
+    like any other. Rows that share a doc_id, whole repeats too, go to one shard and have a slot each; which of them comes
+    first is open. Other columns of docs are ignored; an empty table gives an empty result.
     """
-    facts = docs.select(
-        "doc_id",
-        (utf8_size(F.col("text")) + 1).alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-    )
-    rows = with_shards(facts.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("_rows")), "doc_id", n_shards)
-    slots = with_slots(written(rows), ["doc_id", "size", "text_crc32"], "_rows")
-    return slots.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("_rows") - 1)).alias("slot"),
-        "grown_shard",
-    )
+    return _placed(docs, F.struct("doc_id"), n_shards).select("row.doc_id", *FACTS)
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
-    """Every row of docs, its columns kept, with size, text_crc32, law, shard, slot and grown_shard (columns of those names are replaced)."""
-    rows = docs.withColumns({
-        "size": utf8_size(F.col("text")) + 1,
-        "text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")),
-        "law": F.lit("key"),
-    })
-    return with_slots(with_shards(rows, "doc_id", n_shards), ["doc_id", "size", "text_crc32"])
+    """Every row of docs with its columns, then those of shard_table; one whose name docs has already is called shard_<name>."""
+    taken = {c.lower() for c in docs.columns}
+    named = [F.col(c).alias(f"shard_{c}" if c in taken else c) for c in FACTS]
+    return _placed(docs, F.struct("*"), n_shards).select("row.*", *named)
