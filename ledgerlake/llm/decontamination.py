@@ -4,6 +4,13 @@ Passages and benchmark items are TF-IDF vectors over the items' vocabulary (docu
 distributed randomised SVD of the passages gives the latent space; passages near an item by cosine are candidates, and a
 candidate counts as a leak if a longest common subsequence covers enough of the item's terms and of its answer, the
 item's last part. Passages are windows of twice an item's length, half overlapping, so that any item lies wholly in one.
+
+The SVD has two stages over the passages A (by terms) and a random W: the range A W is made orthonormal by the Cholesky
+factor R of its Gram matrix, and with Q = A W / R the small matrix Q'A gives singular values and the terms' directions by
+its own Gram matrix. Both Gram matrices have RANK + OVERSAMPLE rows and are summed over the tasks; the rows of A'A W, one
+for each term, are summed by term in a shuffle.
+
+The common subsequence runs over the items' terms, without the most frequent ones: those stand in any order in any text.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import small_side, written
+from .common import WORD, small_side, written
 
 #: Terms of more than this share of documents are left out, but for an item's LEAST_TERMS rarest.
 MOST_SHARE, LEAST_TERMS = 0.02, 8
@@ -27,17 +34,20 @@ SVD_WORDS, SHORTEST = 64, 16
 COSINE, LCS_SHARE = 0.3, 0.6
 #: The last so much of an item is its answer, of which so much must be in the common subsequence.
 ANSWER_PART, ANSWER_SHARE = 0.25, 0.5
-#: The items' side is broadcast: at most so many terms are allowed.
-MOST_TERMS = 1_000_000
+#: The items' side is broadcast: more distinct text or terms than these are an error (give the benchmark in parts then).
+MOST_BYTES, MOST_TERMS = 64 << 20, 250_000
+#: Passages meet so many items at a time, and a table of the common subsequence has at most so many cells.
+ITEM_BLOCK, MOST_CELLS = 4096, 1 << 20
+#: Sums of so many terms are held in a task before they are passed on.
+HELD_TERMS = 50_000
 #: Up to so many ids of leaking documents are broadcast to take them out; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
 
 @dataclass
 class Items:
-    """The benchmark over kept terms: ids, term sequences, length class of each item, and the sorted hashes of the terms."""
+    """The benchmark's distinct texts and the sorted hashes of the terms that are kept."""
 
-    ids: list[int]
     words: list[np.ndarray]  # hashes of all words, in order
     terms: np.ndarray
     idf: np.ndarray
@@ -118,33 +128,135 @@ def _units(row: np.ndarray, place: np.ndarray, words: int) -> tuple[np.ndarray,
     return first, joined
 
 
-def _sketch(idf: np.ndarray, width: int):
-    """Each task's share of A'(A W): A the passages by terms, W a random matrix; one power iteration of the range finder."""
+def _projected(batch: pa.RecordBatch, idf: np.ndarray, width: int, random: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(term, passage and weight of every term of the batch, the passages' rows of A W)."""
+    row, term, place = _flat(batch)
+    first, _ = _units(row, place, SVD_WORDS)
+    passage = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(term))))
+    weight = idf[term].astype(np.float32)
+    weight = weight / np.sqrt(np.bincount(passage, weight**2))[passage].astype(np.float32)
+    return term, passage, weight, np.add.reduceat(random[term] * weight[:, None], first)
+
+
+def _random(n: int, width: int) -> np.ndarray:
+    return np.random.default_rng(5).standard_normal((n, width)).astype(np.float32)
+
+
+def _rows(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    cut = pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.ListArray.from_arrays(cut, pa.array(values.ravel()))], names=["i", "parts"])
+
+
+def _range_gram(idf: np.ndarray, width: int):
+    """Each task's share of (A W)'(A W)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        random = np.random.default_rng(5).standard_normal((len(idf), width)).astype(np.float32)
-        total = np.zeros((len(idf), width), np.float64)
+        random, total = _random(len(idf), width), np.zeros((width, width))
         for whole in batches:
             for batch in _small(whole):
-                row, term, place = _flat(batch)
-                first, _ = _units(row, place, SVD_WORDS)
-                passage = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(term))))
-                weight = idf[term].astype(np.float32)
-                norm = np.sqrt(np.bincount(passage, weight**2))
-                weight = weight / norm[passage].astype(np.float32)
-                y = np.add.reduceat(random[term] * weight[:, None], first)
+                y = _projected(batch, idf, width, random)[3].astype(float)
+                total += y.T @ y
+        yield _rows(np.arange(width), total)
+
+    return work
+
+
+def _merged(terms: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key = np.concatenate(terms)
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+    return key[order][start], np.add.reduceat(np.concatenate(sums)[order], start)
+
+
+def _range_by_term(idf: np.ndarray, width: int):
+    """Shares of the rows of A'(A W); a task holds about twice HELD_TERMS of them at most."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        random, terms, sums = _random(len(idf), width), [], []
+        for whole in batches:
+            for batch in _small(whole):
+                term, passage, weight, y = _projected(batch, idf, width, random)
                 order = np.argsort(term, kind="stable")
                 start = np.flatnonzero(np.append(True, np.diff(term[order]) != 0))
-                total[term[order][start]] += np.add.reduceat(y[passage[order]] * weight[order, None], start)
-        used = np.flatnonzero(total.any(1))
-        cut = pa.array(np.arange(len(used) + 1) * width, pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.ListArray.from_arrays(cut, pa.array(total[used].ravel()))], names=["term", "parts"])
+                total = np.zeros((len(start), width))
+                for k, (a, b) in enumerate(zip(start, np.append(start[1:], len(order)), strict=True)):
+                    total[k] = weight[order[a:b]] @ y[passage[order[a:b]]]
+                terms.append(term[order][start])
+                sums.append(total)
+                if sum(map(len, terms)) > HELD_TERMS:
+                    one = _merged(terms, sums)
+                    terms, sums = ([], []) if len(one[0]) > HELD_TERMS // 2 else ([one[0]], [one[1]])
+                    if not terms:
+                        yield _rows(*one)
+        if terms:
+            yield _rows(*_merged(terms, sums))
 
     return work
 
 
-def _common(x: np.ndarray, y: np.ndarray) -> list[int]:
-    """Places in x of a longest common subsequence with y."""
+def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        if len(batch):
+            x = batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
+            total = x.T @ x if total is None else total + x.T @ x
+    if total is not None:
+        yield _rows(np.arange(len(total)), total)
+
+
+def _summed(rows: DataFrame, width: int) -> DataFrame:
+    return rows.groupBy("i").agg(F.array(*(F.sum(F.col("parts")[j]) for j in range(width))).alias("parts"))
+
+
+def _matrix(rows: DataFrame, n: int, width: int, kind=np.float64) -> np.ndarray:
+    out = np.zeros((n, width), kind)
+    for batch in rows.toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
+    return out
+
+
+_SHARES = "i int, parts array<double>"
+
+
+def latent_basis(term_rows: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+    """(right singular vectors of the passages by terms, one row a term; singular values), by randomised SVD."""
+    width = min(rank + OVERSAMPLE, len(idf))
+    gram = _matrix(_summed(term_rows.mapInArrow(_range_gram(idf, width), _SHARES), width), width, width)
+    value, vector = np.linalg.eigh(gram)
+    sound = value > 1e-9 * value.max(initial=1e-300)  # a range of lower rank than width has a singular Gram matrix
+    whiten = vector[:, sound] / np.sqrt(value[sound])  # A W whiten is orthonormal
+    by_term = written(_summed(term_rows.mapInArrow(_range_by_term(idf, width), _SHARES), width))
+    inner = whiten.T @ _matrix(_summed(by_term.mapInArrow(_gram, _SHARES), width), width, width) @ whiten
+    value, vector = np.linalg.eigh((inner + inner.T) / 2)
+    order = np.argsort(-value)[:rank]
+    order = order[value[order] > 1e-9 * value.max(initial=1e-300)]
+    singular = np.sqrt(value[order])
+    turn = whiten @ vector[:, order] / singular
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield _rows(batch.column(0).to_numpy(), (batch.column(1).flatten().to_numpy().reshape(len(batch), -1) @ turn).astype(np.float32))
+
+    return _matrix(by_term.mapInArrow(turned, "i int, parts array<float>"), len(idf), len(order), np.float32), singular
+
+
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of x with every beginning of y."""
+    out = np.zeros(len(y) + 1, np.int64)
+    for v in x:
+        out[1:] = np.maximum.accumulate(np.maximum(out[1:], np.where(y == v, out[:-1] + 1, 0)))
+    return out
+
+
+def common(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Places in x of a longest common subsequence with y; long ones are halved (Hirschberg), so memory stays bounded."""
+    if len(x) * len(y) > MOST_CELLS and len(x) > 1:
+        half = len(x) // 2
+        at = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+        return common(x[:half], y[:at]) + [half + i for i in common(x[half:], y[at:])]
+    if len(x) == 1:
+        return [0] if (y == x[0]).any() else []
     best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
     same = x[:, None] == y[None, :]
     for i in range(len(x) - 1, -1, -1):
@@ -164,12 +276,12 @@ def _common(x: np.ndarray, y: np.ndarray) -> list[int]:
 
 def check(item: np.ndarray, passage: np.ndarray) -> tuple[float, float]:
     """(share of the item's terms in the longest common subsequence, share of its answer's terms there)."""
-    found = _common(item, passage)
+    found = common(item, passage)
     answer = len(item) - max(1, round(len(item) * ANSWER_PART))
     return len(found) / len(item), sum(p >= answer for p in found) / (len(item) - answer)
 
 
-def _search(ids: list[int], sequences: list[np.ndarray], lengths: list[int], basis: np.ndarray):
+def _search(sequences: list[np.ndarray], lengths: list[int], basis: np.ndarray):
     """basis: the terms' idf-weighted places in the latent space."""
     classes: dict[int, list[int]] = {}
     for k, (s, n) in enumerate(zip(sequences, lengths, strict=True)):
@@ -196,44 +308,51 @@ def _search(ids: list[int], sequences: list[np.ndarray], lengths: list[int], bas
                     enough = np.flatnonzero(until - first >= need[items].min())
                     passages = passages[enough]
                     passages /= np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-12)
-                    near = passages @ unit[items].T
-                    for p, i in zip(*np.nonzero((near >= COSINE) & ((until - first)[enough][:, None] >= need[items][None, :])), strict=True):
-                        k, u = items[i], enough[p]
-                        passage = term[first[u] : until[u]]
-                        if np.isin(sequences[k], passage).sum() < need[k]:  # no common subsequence can be long enough
-                            continue
-                        share, answer = check(sequences[k], passage)
-                        if share >= LCS_SHARE and answer >= ANSWER_SHARE:
-                            out.append((doc[row[first[u]]], ids[k], float(near[p, i]), share, answer))
+                    for some in (items[i : i + ITEM_BLOCK] for i in range(0, len(items), ITEM_BLOCK)):
+                        near = passages @ unit[some].T
+                        for p, i in zip(*np.nonzero((near >= COSINE) & ((until - first)[enough][:, None] >= need[some][None, :])), strict=True):
+                            k, u = some[i], enough[p]
+                            passage = term[first[u] : until[u]]
+                            if np.isin(sequences[k], passage).sum() < need[k]:  # no common subsequence can be long enough
+                                continue
+                            share, answer = check(sequences[k], passage)
+                            if share >= LCS_SHARE and answer >= ANSWER_SHARE:
+                                out.append((doc[row[first[u]]], k, float(near[p, i]), share, answer))
                 columns = list(zip(*out, strict=True)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item", "cosine", "lcs_share", "answer_share"])
 
     return work
 
 
-_RESULT = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
+_FOUND = "doc_id long, item long, cosine double, lcs_share double, answer_share double"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, cosine, lcs_share, answer_share (of the best
-    passage).
+    passage; ties by the higher answer_share, then cosine).
 
-    Words are runs of anything but ASCII white space, A-Z lower-cased. Items without words match nothing, nor do null and
-    empty texts; repeated rows and texts give one row per doc_id. Rows without a doc_id are left out. Other columns are
-    ignored; an empty side gives an empty result. The items (not the documents) are broadcast: over MOST_TERMS terms is an
-    error.
+    Words are runs of anything but ASCII white space, A-Z lower-cased; texts are read whole, whatever their length. Items
+    without words match nothing, nor do null and empty texts; items of equal text are searched once and reported each, null
+    ids too; repeated rows and texts give one row per doc_id and item. Documents without a doc_id are left out. Other columns
+    are ignored; an empty side gives an empty result. The items (not the documents) are broadcast: more than MOST_BYTES of
+    distinct text or MOST_TERMS terms are an error before any is read to the driver.
     """
     spark = docs.sparkSession
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id is not null").orderBy("item_id").limit(MOST_TERMS).collect()
-    words, lengths, ids = [], [], []
-    for _, raw, at in tx.slices(pa.array([r["text"] for r in rows], pa.string())):
+    items = written(benchmark.filter(F.col("text").rlike(WORD)).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct())
+    texts = written(items.select("text").distinct())
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"the benchmark has {size} bytes of distinct text; at most {MOST_BYTES} can be broadcast")
+    rows = sorted(r["text"] for r in texts.collect())
+    words = []
+    for _, raw, at in tx.slices(pa.array(rows, pa.string())):
         hashes, _, word_at = tx.words(raw, at)
         words += [hashes[a:b] for a, b in zip(word_at[:-1], word_at[1:], strict=True)]
-    ids, lengths = [r["item_id"] for r in rows], [len(w) for w in words]
+    lengths = [len(w) for w in words]
     vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
     if not len(vocabulary):
-        return spark.createDataFrame([], _RESULT)
+        return spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
     if len(vocabulary) > MOST_TERMS:
         raise ValueError(f"the benchmark has {len(vocabulary)} terms; at most {MOST_TERMS} can be broadcast")
 
@@ -246,19 +365,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for w in words:
         own = np.searchsorted(vocabulary, np.unique(w))
         kept[own[np.argsort(frequency[own], kind="stable")[:LEAST_TERMS]]] = True
-    items = Items(ids, words, vocabulary[kept], np.log((n_docs + 1) / (frequency[kept] + 1)) + 0.1)
-
-    term_rows = written(docs.mapInArrow(_term_rows(items.terms), "doc_id long, terms array<int>, places array<int>"))
-    width = min(RANK + OVERSAMPLE, len(items.terms))
-    parts = term_rows.mapInArrow(_sketch(items.idf, width), "term int, parts array<double>")
-    parts = parts.groupBy("term").agg(*(F.sum(F.col("parts")[j]).alias(f"p{j}") for j in range(width))).toArrow()
-    sketch = np.zeros((len(items.terms), width))
-    if len(parts):
-        sketch[parts["term"].to_numpy()] = np.column_stack([parts[f"p{j}"].to_numpy() for j in range(width)])
-    basis = np.linalg.svd(sketch, full_matrices=False)[0][:, :RANK] * items.idf[:, None]
-    found = term_rows.mapInArrow(_search(ids, items.sequences(), lengths, basis.astype(np.float32)), _RESULT)
+    known = Items(words, vocabulary[kept], np.log((n_docs + 1) / (frequency[kept] + 1)) + 0.1)
+
+    term_rows = written(docs.mapInArrow(_term_rows(known.terms), "doc_id long, terms array<int>, places array<int>"))
+    basis, _ = latent_basis(term_rows, known.idf)
+    found = term_rows.mapInArrow(_search(known.sequences(), lengths, (basis * known.idf[:, None]).astype(np.float32)), _FOUND)
     best = F.max(F.struct("lcs_share", "answer_share", "cosine")).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.cosine", "best.lcs_share", "best.answer_share")
+    found = found.groupBy("doc_id", "item").agg(best)
+    numbers = spark.createDataFrame(list(enumerate(rows)), "item long, text string")
+    named = F.broadcast(items.join(numbers, "text").select("item", "item_id"))  # two numbers an item, texts of MOST_BYTES at most
+    return found.join(named, "item").select("doc_id", "item_id", "best.cosine", "best.lcs_share", "best.answer_share")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
 import xxhash
 
 from ledgerlake.llm import decontamination, embedding_duplicates, mixing, near_duplicates, pages, quality, sharding, substrings, toxicity
@@ -201,6 +202,76 @@ def test_paraphrase():
     assert decontamination.check(item, item[:14])[1] == 0
 
 
+def _longest(x, y):
+    best = np.zeros((len(x) + 1, len(y) + 1), int)
+    for i in range(len(x)):
+        for j in range(len(y)):
+            best[i + 1, j + 1] = best[i, j] + 1 if x[i] == y[j] else max(best[i, j + 1], best[i + 1, j])
+    return best[-1, -1]
+
+
+def test_common_subsequence(monkeypatch):
+    """Positions of a true common subsequence, of the greatest length, whole or halved."""
+    rng = np.random.default_rng(6)
+    for cells in (1 << 20, 16):
+        monkeypatch.setattr(decontamination, "MOST_CELLS", cells)
+        for _ in range(40):
+            x, y = rng.integers(0, 5, rng.integers(1, 20)), rng.integers(0, 5, rng.integers(0, 30))
+            at = decontamination.common(x, y)
+            rest = iter(y.tolist())
+            assert len(at) == _longest(x, y) and at == sorted(set(at)) and all(v in rest for v in x[at].tolist())
+
+
+def test_randomised_svd(spark):
+    """The distributed two-stage SVD against numpy's on the dense passage matrix."""
+    rng = np.random.default_rng(8)
+    n, topics = 60, rng.random((5, 60)) ** 8
+    idf, rows = rng.random(n) + 0.5, []
+    for d in range(300):
+        p = topics[d % 5] / topics[d % 5].sum()
+        rows.append((d, rng.choice(n, 40, p=p).tolist(), list(range(40))))
+    a = np.zeros((300, n))
+    for d, terms, _ in rows:
+        np.add.at(a[d], terms, idf[terms])
+        a[d] /= np.sqrt(sum(idf[t] ** 2 for t in terms))
+    table = spark.createDataFrame(rows, "doc_id long, terms array<int>, places array<int>").repartition(3)
+    basis, singular = decontamination.latent_basis(table, idf, 8)
+    _, want, right = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(singular[:5], want[:5], rtol=0.03) and (singular[:5] <= want[:5] * (1 + 1e-6)).all() and np.allclose(basis.T @ basis, np.eye(8), atol=1e-3)
+    assert np.linalg.svd(right[:5] @ basis)[1].min() > 0.95
+
+
+def test_leak_paraphrases(spark, sf_dir):
+    """Items with words put in, left out or replaced are found by the latent search; shuffled ones and other passages aren't."""
+    rng = np.random.default_rng(9)
+    items = [(r["item_id"], r["text"]) for r in read_table(spark, sf_dir, "benchmark").collect()]
+    pool = [r["text"] for r in read_table(spark, sf_dir, "documents").collect() if len(words(r["text"])) > 50][:80]
+    rows, want = [], set()
+    for n, (k, text) in enumerate(items):
+        w = text.split()
+        keep = [x for i, x in enumerate(w) if i % 9 != 4]
+        put = [y for i, x in enumerate(keep) for y in ((x, "really") if i % 11 == 5 else (x,))]
+        around = pool[n % len(pool)].split()[:120]
+        rows.append((2 * n, " ".join(around[:60] + put + around[60:])))
+        rows.append((2 * n + 1, " ".join(around[:60] + rng.permutation(w).tolist() + around[60:])))
+        want.add((2 * n, k))
+    docs = spark.createDataFrame(rows + [(10_000 + i, t) for i, t in enumerate(pool)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([*items, (None, items[0][1]), (777, items[0][1])], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, benchmark).collect()}
+    assert {p for p in got if p[0] < 10_000 and p[1] not in (None, 777)} == want and {k for d, k in got if d == 0} == {items[0][0], None, 777}
+
+
+def test_leaks_refuse_a_benchmark_that_is_too_large(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    items = spark.range(2000).selectExpr("id AS item_id", "concat('word', id, ' other', id) AS text")
+    monkeypatch.setattr(decontamination, "MOST_TERMS", 3999)
+    with pytest.raises(ValueError, match="4000 terms"):
+        decontamination.leaks(docs, items)
+    monkeypatch.setattr(decontamination, "MOST_BYTES", 1000)
+    with pytest.raises(ValueError, match="bytes of distinct text"):
+        decontamination.leaks(docs, items)
+
+
 def test_repeats(spark):
     rng = np.random.default_rng(1)
     vocabulary = ["".join(rng.choice(list("abcdefghij"), rng.integers(1, 9))) for _ in range(5000)]
