@@ -4,9 +4,11 @@ Equal shingle sets are one class. Classes that agree on a band of MinHash values
 MinHash samples (an odd sketch, Mitzenmacher, Pagh and Pham) gives the similarity of high pairs closely by the population
 count of an exclusive or, and what it lets through is confirmed on the full sets.
 
-A bucket's members are first compared with a few of them, and the links join most of a group. In a second pass, members
-that still lie outside the bucket's largest component meet those of other components; size, sketch and full sets are all
-tested inside that join, which lets out nothing but links. No pair is left uncompared, none is written out in vain.
+A bucket's members are first compared with a few of them, and the links join most of a group. Members of buckets that hold
+more than one component then still have to be compared, however crowded the bucket: for them an exact filter takes the
+buckets' place. Two sets of the wanted similarity share a shingle among the rarest few of each (the first
+(1 - similarity) * size + 1 in one order of all shingles), so only members that share one of those are compared: a crowd of
+texts that share a template, but no rare words, meets no more. Links within a component aren't looked for again.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ WORDS, PERCENT = 3, 85
 CENTRES = 4
 #: Up to so many ids (of a bucket of two or more) are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Shingles are counted in so many cells, whose counts order them from rare to frequent (a table of this size a task).
+COUNT_BITS = 20
+#: A rare shingle's members outside its largest component meet all of them in so many parts for each PART_ROWS of them.
+PART_ROWS = 2000
 
 _TYPE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
 
@@ -101,6 +107,39 @@ def _full_sets(k: int):
     return work
 
 
+def _cells(members: np.ndarray) -> np.ndarray:
+    return (tx.mix64(members.view(np.uint64)) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << COUNT_BITS, np.int64)
+    for batch in batches:
+        total += np.bincount(_cells(batch.column(0).flatten().to_numpy()), minlength=len(total))
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "n"])
+
+
+def _rarest(counts: np.ndarray, percent: int):
+    """The shingles of each set of which a similar set must share one: its rarest, by cell count, then value; with the set's
+    size and how many of its shingles come from that one onward."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members, size = batch.column(1).flatten().to_numpy(), batch.column(1).value_lengths().to_numpy()
+            owner = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((members, counts[_cells(members)], owner))
+            take = size - (size * percent + 99) // 100 + 1
+            place = np.arange(len(members)) - np.repeat(np.cumsum(size) - size, size)
+            chosen = place < np.repeat(take, size)
+            of = owner[order[chosen]]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array(of)), batch.column(2).take(pa.array(of)), pa.array(members[order[chosen]]),
+                pa.array(size[of].astype(np.int64)), pa.array((size[of] - place[chosen]).astype(np.int64)),
+            ], names=["id", "at", "shingle", "n", "onward"])
+
+    return work
+
+
 def close_sketches(one: Column, other: Column, percent: int) -> Column:
     """Whether the sketches' similarity is at least the threshold less MARGIN."""
     most = math.floor(BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - percent / 100 + MARGIN) / BITS)))
@@ -124,7 +163,9 @@ def near_duplicate_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCE
     Words are runs of anything but ASCII white space, A-Z lower-cased; a document's set is its distinct k-word shingles,
     or its whole sequence where it has fewer words. Documents with 100 * intersection >= percent * union are linked;
     component_id is the smallest doc_id reachable. Null and empty texts are linked with nothing. doc_id is the key: rows
-    that share one count as one document; a row without one is kept if its set is nobody else's. Other columns are ignored; an empty table gives an empty result.
+    that share one count as one document. A row without a doc_id links with nothing but equal sets: it gets the component of
+    a row with its set, if there is one, or null, and is kept only in the latter case. Texts of any length are read whole.
+    Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = written(docs.mapInArrow(_features(k), "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>"))
@@ -149,21 +190,30 @@ def near_duplicate_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCE
     links = written(close.join(full("a"), "a").join(full("b"), "b").filter(_linked(F.col("set_a"), F.col("set_b"), percent)).select("a", "b"))
     found = components(links)
 
-    weights = found.groupBy("component").agg(F.count("*").alias("weight"))
-    nodes = found.join(weights, "component").select("id", "component", "weight")
-    named = shared.join(nodes, "id", "left").select("band", "id", F.struct(F.coalesce("weight", F.lit(1)), F.coalesce("component", "id").alias("at")).alias("at"))
-    mixed = named.groupBy("band").agg(F.min("at").alias("least"), F.max("at").alias("most")).filter("least <> most").select("band", F.col("most.at").alias("most"))
-    open_rows = named.select("band", "id", F.col("at.at").alias("at")).join(mixed, "band")
-    open_rows = written(open_rows.join(sketch("id"), "id").join(full("id"), "id"))
-    p, q = open_rows.filter("at <> most").alias("p"), open_rows.alias("q")
-    apart = (
-        (F.col("p.band") == F.col("q.band")) & (F.col("p.at") != F.col("q.at")) & ((F.col("q.at") == F.col("q.most")) | (F.col("p.id") < F.col("q.id")))
-        & _sizes_fit(F.col("p.n_id"), F.col("q.n_id"), percent) & close_sketches(F.col("p.odd_id"), F.col("q.odd_id"), percent)
-        & _linked(F.col("p.set_id"), F.col("q.set_id"), percent)
-    )
-    more = written(p.join(q, apart).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct())
-    if not more.isEmpty():
-        found = components(links.union(more))
+    at = shared.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("at"))
+    mixed = at.groupBy("band").agg(F.min("at").alias("least"), F.max("at").alias("most")).filter("least <> most").select("band")
+    open_ids = written(at.join(mixed, "band").groupBy("id").agg(F.first("at").alias("at")))
+    if not open_ids.isEmpty():
+        open_sets = sets.join(small_side(open_ids, BROADCAST_IDS), "id")
+        counts = open_sets.select("members").mapInArrow(_shingle_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        table = np.zeros(1 << COUNT_BITS, np.int64)
+        table[counts["cell"].to_numpy()] = counts["n"].to_numpy()
+        rare = written(open_sets.select("id", "members", "at").mapInArrow(_rarest(table, percent), "id long, at long, shingle long, n long, onward long"))
+        by_at = rare.groupBy("shingle", "at").agg(F.count("*").alias("rows"))
+        by_shingle = by_at.groupBy("shingle").agg(F.max(F.struct("rows", "at"))["at"].alias("most"), F.sum("rows").alias("rows"), F.count("*").alias("ats"))
+        met = written(rare.join(by_shingle.filter("ats > 1").drop("ats"), "shingle").withColumn("parts", F.ceil(F.col("rows") / PART_ROWS).cast("int")))
+        side = lambda df, name: df.select("shingle", "part", *(F.col(c).alias(f"{c}_{name}") for c in ("id", "at", "most", "n", "onward")))
+        p = side(met.filter("at <> most").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "p")
+        q = side(met.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "q")
+        # where the first shared shingle stands, no more than what comes from it onward can be shared
+        enough = F.least("onward_p", "onward_q") * (100 + percent) >= (F.col("n_p") + F.col("n_q")) * percent
+        apart = (F.col("at_p") != F.col("at_q")) & ((F.col("at_q") == F.col("most_q")) | (F.col("id_p") < F.col("id_q")))
+        pairs = p.join(q, ["shingle", "part"]).filter(apart & enough & _sizes_fit(F.col("n_p"), F.col("n_q"), percent))
+        pairs = pairs.select(F.least("id_p", "id_q").alias("a"), F.greatest("id_p", "id_q").alias("b")).distinct()
+        close = written(pairs.join(sketch("b"), "b").join(sketch("a"), "a").filter(fits).select("a", "b"))
+        more = written(close.join(full("a"), "a").join(full("b"), "b").filter(_linked(F.col("set_a"), F.col("set_b"), percent)).select("a", "b"))
+        if not more.isEmpty():
+            found = components(links.union(more))
 
     named = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     return features.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(

@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -161,6 +162,45 @@ def test_hot_group_of_near_copies(spark):
     assert {got[i] for i in range(120)} == {0} and all(got[1000 + i] == 1000 + i for i in range(120))
 
 
+def test_rarest_shingles():
+    """Every pair of similar sets shares one of its rarest shingles, and the bound on what comes from it onward holds."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 60, 80)
+    sets = [np.unique(np.where(rng.random(80) < share, rng.integers(0, 1 << 60, 80), base)) for share in np.linspace(0, 0.3, 60)]
+    sets += [np.unique(base[:n]) for n in (1, 2, 7, 70, 79)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array([s.tolist() for s in sets], pa.list_(pa.int64())), pa.array(range(len(sets)))], names=["id", "members", "at"])
+    counts = np.zeros(1 << near_duplicates.COUNT_BITS, np.int64)
+    [total] = near_duplicates._shingle_counts(iter([batch.select(["members"])]))
+    counts[total["cell"].to_numpy()] = total["n"].to_numpy()
+    [rare] = near_duplicates._rarest(counts, 85)(iter([batch]))
+    first = collections.defaultdict(dict)
+    for r in rare.to_pylist():
+        first[r["id"]][r["shingle"]] = r["onward"]
+    linked = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= 85 * (len(x) + len(y) - both):
+                linked += 1
+                assert any(min(first[i][k], first[j][k]) * 185 >= (len(x) + len(y)) * 85 for k in first[i].keys() & first[j].keys())
+    assert linked > 50
+
+
+def test_a_crowd_that_shares_a_template(spark):
+    """Texts that share two thirds of their words crowd the same bands; only the few that are near copies link."""
+    rng = np.random.default_rng(12)
+    base = [f"t{i}" for i in range(150)]
+    own = lambda i: [f"o{i}_{j}" for j in range(20)]
+    text = {i: " ".join(base + own(i)) for i in range(400)}
+    for i in range(0, 400, 40):
+        near = own(i)
+        near[3] = "changed"
+        text[1000 + i] = " ".join(base + near)
+    docs = spark.createDataFrame([(i, text[i]) for i in rng.permutation(list(text)).tolist()], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicate_classes(docs).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i in text}
+
+
 def test_embeddings(spark, sf_dir):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 16))
