@@ -1,9 +1,9 @@
 """Near-duplicate embeddings by product quantisation: inverted lists, residual codes, table-lookup distances, exact rerank.
 
 Coarse centroids and residual codebooks are fitted on a bounded sample, for each length of vectors by itself; every vector
-is indexed. A query reads the lists
-whose centroids lie nearest. Each code keeps its own quantisation error, so the table-lookup distance rules out only
-vectors that the triangle inequality rules out; the rest are reranked by exact cosine in double precision.
+is indexed. A query reads the lists whose centroids lie nearest. Each code keeps its own quantisation error, so the
+table-lookup distance rules out only vectors that the triangle inequality rules out; the rest are reranked by exact cosine
+in double precision. A pair that either end finds counts for both.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ THRESHOLD = 0.93
 #: sample is that of its rows, but this many at least.
 SAMPLE, MOST_LISTS, LIST_ROWS, LEAST_SAMPLE = 16_384, 4096, 1024, 256
 PROBES, SUBSPACES, CODES, ROUNDS = 12, 8, 256, 8
-#: Members and queries of a list meet in blocks of at most about this many rows.
+#: Members and queries of a list meet in blocks of at most about this many rows; distances to centroids are taken for so many at a time.
 BLOCK = 1024
 
 
@@ -37,6 +37,8 @@ class Codebook:
     probes: int
 
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
+        if len(x) > BLOCK:
+            return np.concatenate([self.nearest(x[i : i + BLOCK], n) for i in range(0, len(x), BLOCK)])
         d = (self.coarse**2).sum(1) - 2 * x @ self.coarse.T
         n = min(n, len(self.coarse))
         part = np.argpartition(d, n - 1, axis=1)[:, :n]
@@ -61,7 +63,8 @@ def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     k = min(k, len(x))
     centres = x[np.random.default_rng(seed).choice(len(x), k, replace=False)].copy()
     for _ in range(ROUNDS):
-        near = ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
+        length = (centres**2).sum(1)
+        near = np.concatenate([(length - 2 * x[i : i + BLOCK] @ centres.T).argmin(1) for i in range(0, len(x), BLOCK)])
         order = np.argsort(near, kind="stable")
         used, start = np.unique(near[order], return_index=True)
         centres[used] = np.add.reduceat(x[order], start) / np.diff(np.append(start, len(x)))[:, None]
@@ -79,22 +82,25 @@ def fit(sample: np.ndarray, n_lists: int) -> Codebook:
     return Codebook(coarse, np.stack(books), PROBES)
 
 
-def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(whether usable, matrix of the usable rows) of a list column; usable: not empty, finite, not all zero."""
-    rows = [None if r is None or None in r else np.asarray(r, float) for r in column.to_pylist()]
-    ok = np.array([r is not None and len(r) > 0 and bool(np.isfinite(r).all()) and bool(np.any(r != 0)) for r in rows], bool)
-    return ok, [r for r, k in zip(rows, ok, strict=True) if k]
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether usable, all parts, offsets of the rows in them) of a list column; usable: not empty, no null, finite, not all zero."""
+    size = column.value_lengths().fill_null(0).to_numpy()
+    at = np.concatenate([[0], np.cumsum(size)])
+    parts = column.flatten().cast(pa.float64())
+    bad = parts.is_null().to_numpy(zero_copy_only=False)
+    parts = parts.fill_null(0.0).to_numpy() + 0.0
+    bad |= ~np.isfinite(parts)
+    sums = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[at])
+    return (size > 0) & (sums(bad) == 0) & (sums(parts != 0) > 0), parts, at
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok, rows = _vectors(batch.column(2))
-        keep = pa.array(ok)
-        raw = [(r + 0.0).tobytes() for r in rows]
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0).filter(keep), batch.column(1).filter(keep),
-            pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary()), pa.array(raw, pa.binary()),
-        ], names=["vec_id", "label", "digest", "raw"])
+        ok, parts, at = _vectors(batch.column(2))
+        ok &= batch.column(0).is_valid().to_numpy(zero_copy_only=False) & batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        raw = [parts[a:b].tobytes() if k else None for a, b, k in zip(at[:-1], at[1:], ok, strict=True)]
+        digest = [None if x is None else hashlib.blake2b(x, digest_size=16).digest() for x in raw]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "label", "digest", "raw"])
 
 
 def _matrix(raw: pa.Array) -> np.ndarray:
@@ -173,9 +179,14 @@ def _search(books: dict[int, Codebook], threshold: float):
             for at in range(0, len(r), 65536):
                 i, j = r[at : at + 65536], c[at : at + 65536]
                 linked[i, j] = np.einsum("ij,ij->i", q[i], x[j]) >= threshold
-            total = linked @ np.asarray(members["n"], float)
-            hit = total > 0
-            out_a, out_b, out_n = q_id[hit].tolist(), [None] * int(hit.sum()), total[hit].astype(int).tolist()
+            # a member counts the query too, unless the member's own probes lead it to the query's list
+            probes = members["probes"].combine_chunks().flatten().to_numpy().reshape(len(x), -1)
+            unseen = linked & ~(probes[None, :, :] == np.asarray(queries["own"])[:, None, None]).any(2)
+            for ids, total in ((q_id, linked @ np.asarray(members["n"], float)), (m_id, np.asarray(queries["n"], float) @ unseen)):
+                hit = total > 0
+                out_a += ids[hit].tolist()
+                out_b += [None] * int(hit.sum())
+                out_n += total[hit].astype(int).tolist()
             pairs = _forest(linked)
             out_a += [int(q_id[i]) for i, _ in pairs]
             out_b += [int(m_id[j]) for _, j in pairs]
@@ -188,13 +199,16 @@ def _search(books: dict[int, Codebook], threshold: float):
 def embedding_duplicate_classes(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    Vectors of equal, non-null label and equal length link when their cosine is at least threshold. Vectors that are null, empty, zero or
-    hold null or non-finite parts link with nothing. Equal vectors of a label are compared once and counted as often as
-    they occur. vec_id is the key; other columns are ignored. An empty table gives an empty result.
+    Vectors of equal, non-null label and equal length link when their cosine is at least threshold. Vectors that are null,
+    empty, zero or hold null or non-finite parts link with nothing, nor do those without label or id. Equal vectors of a
+    label are compared once and counted as often as they occur, repeated rows too. vec_id is the key: rows that share one
+    are linked through it only if their vectors are. Vectors of any length are compared whole; other columns are ignored.
+    An empty table gives an empty result.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding"))
     kind = dict(vectors.dtypes)["label"]
-    usable = written(vectors.filter("label is not null and vec_id is not null").mapInArrow(_digests, f"vec_id long, label {kind}, digest binary, raw binary"))
+    read = written(vectors.mapInArrow(_digests, f"vec_id long, label {kind}, digest binary, raw binary"))
+    usable = read.filter("digest is not null")
     classes = usable.groupBy("label", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("raw").alias("raw"))
     classes = written(classes.withColumn("width", F.octet_length("raw")))
     counts = {r["width"]: r["count"] for r in classes.groupBy("width").count().collect()}
@@ -212,14 +226,14 @@ def embedding_duplicate_classes(vectors: DataFrame, threshold: float = THRESHOLD
         books[w] = fit(_unit(np.stack(rows.pop(w))), n_lists)
 
     index = written(classes.select("id", "label", "n", "raw", "width").mapInArrow(_index(books), f"id long, label {kind}, n long, raw binary, width int, list int, probes array<int>, codes binary, error double"))
-    queries = index.select("id", "label", "width", "raw", F.explode("probes").alias("list"))
+    queries = index.select("id", "label", "width", "raw", F.explode("probes").alias("list"), "n", F.col("list").alias("own"))
     sizes = index.groupBy("label", "width", "list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     sizes = written(sizes.join(queries.groupBy("label", "width", "list").agg(F.ceil(F.count("*") / BLOCK).alias("ask_blocks")), ["label", "width", "list"]))
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
     no_codes, no_error = F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error")
-    stored = index.join(sizes, ["label", "width", "list"]).select("id", "label", "width", "list", "n", "raw", "codes", "error", F.lit(False).alias("is_query"), block("blocks").alias("at"), spread("ask_blocks").alias("ask"))
-    asked = queries.join(sizes, ["label", "width", "list"]).select("id", "label", "width", "list", F.lit(1).cast("long").alias("n"), "raw", no_codes, no_error, F.lit(True).alias("is_query"), spread("blocks").alias("at"), block("ask_blocks").alias("ask"))
+    stored = index.join(sizes, ["label", "width", "list"]).select("id", "label", "width", "list", "n", "raw", "probes", F.lit(None).cast("int").alias("own"), "codes", "error", F.lit(False).alias("is_query"), block("blocks").alias("at"), spread("ask_blocks").alias("ask"))
+    asked = queries.join(sizes, ["label", "width", "list"]).select("id", "label", "width", "list", "n", "raw", F.lit(None).cast("array<int>").alias("probes"), "own", no_codes, no_error, F.lit(True).alias("is_query"), spread("blocks").alias("at"), block("ask_blocks").alias("ask"))
     found = written(stored.unionByName(asked).groupBy("label", "width", "list", "at", "ask").applyInArrow(_search(books, threshold), "a long, b long, n long"))
 
     links = found.filter("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("linked"))
@@ -227,5 +241,5 @@ def embedding_duplicate_classes(vectors: DataFrame, threshold: float = THRESHOLD
     facts = classes.select("label", "digest", "id", "n").join(links, "id", "left").join(joined, "id", "left")
     facts = facts.select("label", "digest", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     of_usable = usable.select("vec_id", "label", "digest").join(facts, ["label", "digest"]).select("vec_id", "n_links", "component_id")
-    other = vectors.select("vec_id").join(usable.select("vec_id"), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    other = read.filter("digest is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return of_usable.unionByName(other).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -215,6 +215,31 @@ def test_embeddings(spark, sf_dir):
     assert sum(got.values()) >= 0.99 * linked.sum() and all(got[i] <= linked[i].sum() for i in got)
 
 
+@pytest.mark.parametrize("list_rows", [2000, 40, 5])
+def test_embedding_recall(spark, monkeypatch, list_rows):
+    """Links, components and kept against brute force, many cosines just above and below the threshold, for 16 to 512 lists."""
+    monkeypatch.setattr(embedding_duplicates, "LIST_ROWS", list_rows)
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(250, 24))
+    near = np.repeat(base, 9, 0) + rng.normal(size=(2250, 24)) * np.tile(np.linspace(0.05, 0.35, 9), 250)[:, None]
+    x = np.concatenate([base, near, near[:30]])
+    label = (np.concatenate([np.arange(250), np.repeat(np.arange(250), 9), np.repeat(np.arange(250), 9)[:30]]) % 2).tolist()
+    table = spark.createDataFrame([(i, v.tolist(), k) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.93) & (np.array(label)[:, None] == np.array(label))
+    np.fill_diagonal(linked, False)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_duplicates.embedding_duplicate_classes(table).collect()}
+    found = sum(n for n, _, _ in got.values())
+    assert len(got) == len(x) and found % 2 == 0 and linked.sum() * 0.99 <= found <= linked.sum() and all(got[i][0] <= linked[i].sum() for i in got)
+    low = np.arange(len(x))
+    while True:
+        least = np.minimum(low, np.where(linked, low, len(x)).min(1))
+        if (least == low).all():
+            break
+        low = least
+    assert sum(got[i][1] != low[i] for i in got) <= 0.01 * len(x) and all(k == (i == c) for i, (_, c, k) in got.items())
+
+
 def test_embeddings_of_several_lengths(spark):
     """Vectors link within their own length, whatever the rows of the others; a shorter vector is no near one."""
     rng = np.random.default_rng(5)

@@ -3,6 +3,7 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from ledgerlake.llm import chat, decontamination, embedding_duplicates, mixing, near_duplicates, pages, quality, sharding, substrings, toxicity
@@ -99,6 +100,10 @@ def test_embeddings(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_duplicates.embedding_duplicate_classes(table).collect()}
     assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), None: (0, None, True)} | {i: (0, i, True) for i in (4, 5, 6, 7, 8, 9, 11, 12)}
     assert embedding_duplicates.embedding_duplicate_classes(table.limit(0)).count() == 0
+    again = table.union(table.sparkSession.createDataFrame([(1, None, 1), (1, [1.0, 0.0], 1)], table.schema)).withColumn("n", F.lit("x")).withColumn("raw", F.lit(1))
+    assert sorted((r["n_links"], r["kept"]) for r in embedding_duplicates.embedding_duplicate_classes(again).filter("vec_id = 1").collect()) == [(0, True), (3, True), (3, True)]
+    long = spark.createDataFrame([(i, [float(i % 2)] * 50_000 + [1.0], 0) for i in range(4)], "vec_id long, embedding array<double>, label int")
+    assert [r["n_links"] for r in embedding_duplicates.embedding_duplicate_classes(long).orderBy("vec_id").collect()] == [1] * 4
 
 
 def test_pages(spark):
