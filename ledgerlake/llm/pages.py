@@ -1,15 +1,23 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. First pass, each block on its own: blocks inside page furniture and blocks
-dense in links are bad; long blocks with enough stop words are good, those with few are bad; short ones are undecided.
-Second pass: an undecided block takes the label of its nearest decided neighbours, good if either side is. Inside a page's
-article, only furniture and links speak against a block; blocks outside it, if there is one, are judged by the rules alone.
+A page is cut into blocks at block-level tags. First pass, each block on its own: blocks inside page furniture are bad; of
+the others, long ones with enough stop words are good, long ones with few and blocks dense in links are bad, and the rest,
+short ones above all, stays undecided. Second pass: an undecided block takes the label of its nearest decided neighbours,
+good if either side is.
+
+Inside a page's article the same figures decide, with two differences: it takes both few stop words and many links to make
+a long block bad, and a block all of links is undecided; undecided blocks ask only the article's own blocks, and are good
+where none of those is decided (a language of other stop words).
+
+Furniture is what tags, roles and whole class names say it is; reader comments are also known by their heading: where a
+section's first text is a heading such as "3 comments", the section is furniture.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,18 +33,21 @@ BLOCK_TAGS = frozenset(
 RAW_TAGS = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp")
 HIDDEN_TAGS = frozenset("head script style noscript template textarea title select button datalist object svg math canvas iframe noembed noframes xmp audio video map".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Page furniture by tag, by ARIA role, and by words of class and id.
+#: Page furniture by tag and by ARIA role.
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar alertdialog".split())
+#: Words that make a class name or id furniture on any tag, and those that do so on a container only; all
+#: other words of the name must be of the same kinds or say no more than where or what kind of box it is.
 FURNITURE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner sidebar sidebars side nav navbar navigation menu menus "
-    "breadcrumb breadcrumbs footer footers masthead header site-header cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription "
-    "signup login share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion widget pager pagination".split()
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sidebar sidebars navbar navigation breadcrumb breadcrumbs masthead cookie cookies consent "
+    "newsletter subscribe subscription signup login commentlist comments disqus pagination sharing share".split()
 )
-#: Class words that speak of the text itself, those that say so in spite of them, and negations.
-TEXT_WORDS = frozenset("article entry post content story main body text".split())
-STRONG_WORDS = frozenset("ad ads advert comment comments nav navigation menu share sharing social related sidebar footer newsletter cookie breadcrumb breadcrumbs".split())
-NEGATIONS = frozenset("no not has with without is".split())
+CONTAINER_WORDS = frozenset("nav menu menus banner promo promotion footer header social related recommended recommendations comment reply replies respond popup modal overlay widget widgets pager notice notices alert".split())
+BOX_WORDS = frozenset("site page post posts entry article top bottom left right main primary secondary bar box list item items block area section container wrapper wrap inner outer panel content text links icons buttons form global user thread".split())
+CONTAINERS = frozenset("div section ul ol dl table details span center article".split())
+#: Headings of reader comments in the corpus languages.
+COMMENT_HEADING = re.compile(r"(?:\d+|reader|user|all|your|les|die|los|leave a|add a|post a)?\s*(?:comments?|reply|replies|responses|commentaires?|kommentare?|comentarios?)\s*(?:\(\d+\)|:)?", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 legend summary".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 CLOSED_BY = {"li": {"ul", "ol", "menu"}, "p": BLOCK_TAGS, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody"}, "dd": {"dl"}, "dt": {"dl"}, "option": {"select"}}
 
@@ -47,11 +58,11 @@ STOP_WORDS = frozenset(
     "le la les des et un une de du que qui dans pour pas sur au avec ce il en est par plus se sont aux ou "
     "el los las que y en del se por un una con no su para es al lo como más o pero sus".split()
 )
-MOST_LINKS, MOST_LINKS_IN_ARTICLE = 0.3, 0.8
+MOST_LINKS = 0.3
 SHORT, FEW_STOPS, ENOUGH_STOPS = 70, 0.08, 0.2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemtype|itemprop)(?![\w-])(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s+")
@@ -71,42 +82,71 @@ class Block:
 def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in FURNITURE_TAGS or tag in HIDDEN_TAGS or (tag == "header" and not in_article):
         return True
-    if not attributes or tag in ("html", "body", *ARTICLE_TAGS):
+    if not attributes or tag in ("html", "body"):
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDING.search(value)):
             return True
-        if (name == "role" and value in FURNITURE_ROLES) or (name in ("class", "id") and any(map(_names_furniture, value.split()))):
+        if name in ("itemtype", "itemprop") and value.rstrip("/").rsplit("/", 1)[-1] in ("comment", "usercomments"):
+            return True
+        if tag not in ARTICLE_TAGS and ((name == "role" and value in FURNITURE_ROLES) or (name in ("class", "id") and any(_names_furniture(v, tag) for v in value.split()))):
             return True
     return False
 
 
-def _names_furniture(name: str) -> bool:
-    parts = [p for p in re.split("[_-]+", name) if p]
-    if not parts or parts[0] in NEGATIONS or FURNITURE_WORDS.isdisjoint(parts):
+def _names_furniture(name: str, tag: str) -> bool:
+    parts = {p for p in re.split("[_-]+", name) if p}
+    words = FURNITURE_WORDS | CONTAINER_WORDS if tag in CONTAINERS else FURNITURE_WORDS
+    named = parts & words
+    if not named or not parts <= FURNITURE_WORDS | CONTAINER_WORDS | BOX_WORDS:
         return False
-    return TEXT_WORDS.isdisjoint(parts) or not STRONG_WORDS.isdisjoint(parts)
+    # a post's header holds its title
+    return not (named <= {"header", "banner"} and parts & {"post", "entry", "article", "content", "section"})
+
+
+@dataclass
+class _Open:
+    tag: str
+    furniture: bool
+    article: bool
+    blocks: int  # blocks of the page before it was opened
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, those without text left out. Unclosed and misnested tags are closed as browsers do."""
+    """The page's blocks in order, those without text left out. Unclosed and misnested tags are closed as browsers do. Time is
+    in proportion to the page: what is open is counted, not searched."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture, article
+    stack: list[_Open] = []
+    outer: list[_Open] = []  # those of stack that are blocks
+    count: Counter[str] = Counter()
+    furniture = article = linked = 0
     parts: list[str] = []
-    linked = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, furniture
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append(Block(text, linked, any(f for _, f, _ in stack), any(a for _, _, a in stack)))
+            if outer and outer[-1].tag in HEADINGS and COMMENT_HEADING.fullmatch(text):
+                box = next((o for o in reversed(outer[:-1][-3:]) if o.tag not in ("header", "hgroup")), None)
+                if box and not box.furniture and box.tag in CONTAINERS and box.blocks == len(out):
+                    box.furniture = True
+                    furniture += 1
+            out.append(Block(text, linked, furniture > 0, article > 0))
         parts.clear()
         linked = 0
 
     def pop_to(tag: str) -> None:
-        while stack and stack.pop()[0] != tag:
-            pass
+        nonlocal furniture, article
+        while stack:
+            top = stack.pop()
+            count[top.tag] -= 1
+            furniture -= top.furniture
+            article -= top.article
+            if outer and outer[-1] is top:
+                outer.pop()
+            if top.tag == tag:
+                break
 
     at = 0
     while at < len(page):
@@ -114,7 +154,7 @@ def blocks(page: str) -> list[Block]:
         raw = page[at : found.start() if found else len(page)]
         if raw:
             parts.append(html.unescape(raw))
-            if any(t == "a" for t, _, _ in stack):
+            if count["a"]:
                 linked += len(_SPACE.sub(" ", parts[-1]))
         if not found:
             break
@@ -125,7 +165,7 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK_TAGS:
             flush()
         if found[1] or found[4]:
-            if any(t == tag for t, _, _ in stack):
+            if count[tag]:
                 pop_to(tag)
             continue
         if tag == "br":
@@ -136,13 +176,18 @@ def blocks(page: str) -> list[Block]:
             close = _END[tag].search(page, at)
             at = close.end() if close else len(page)
             continue
-        inner = next((t for t, _, _ in reversed(stack) if t in CLOSED_BY or t in BLOCK_TAGS), None)
+        inner = outer[-1].tag if outer else None
         if inner and ((inner == "p" and tag in BLOCK_TAGS) or (inner == tag and tag in CLOSED_BY)):
             pop_to(inner)
-        inside = any(a for _, _, a in stack)
         attributes = found[3] or ""
         if not attributes.rstrip().endswith("/") or tag in BLOCK_TAGS:
-            stack.append((tag, _is_furniture(tag, attributes, inside), tag in ARTICLE_TAGS))
+            new = _Open(tag, _is_furniture(tag, attributes, article > 0), tag in ARTICLE_TAGS, len(out))
+            stack.append(new)
+            count[tag] += 1
+            furniture += new.furniture
+            article += new.article
+            if tag in BLOCK_TAGS or tag in CLOSED_BY:
+                outer.append(new)
     flush()
     return out
 
@@ -150,35 +195,38 @@ def blocks(page: str) -> list[Block]:
 def first_pass(block: Block) -> int:
     if block.furniture:
         return BAD
-    links = block.linked / len(block.text)
-    if block.in_article:
-        return BAD if links > MOST_LINKS_IN_ARTICLE else GOOD if len(block.text) > SHORT or not links else OPEN
-    if links > MOST_LINKS:
-        return BAD
+    many_links = block.linked / len(block.text) > MOST_LINKS
     if len(block.text) <= SHORT:
-        return OPEN
+        return BAD if many_links and not block.in_article else OPEN
     found = _WORDS.findall(block.text.lower())
     stops = sum(w in STOP_WORDS for w in found) / max(1, len(found))
-    return GOOD if stops >= ENOUGH_STOPS else BAD if stops < FEW_STOPS else OPEN
+    if block.in_article:
+        return OPEN if many_links and stops >= FEW_STOPS else BAD if many_links else GOOD if stops >= ENOUGH_STOPS else OPEN
+    return BAD if many_links or stops < FEW_STOPS else GOOD if stops >= ENOUGH_STOPS else OPEN
+
 
+def second_pass(labels: list[int], found: list[Block]) -> list[bool]:
+    """An undecided block is good if the nearest decided block outside furniture, before or after it, is good; one inside an
+    article asks the article's blocks only, and is good if none is decided."""
 
-def second_pass(labels: list[int], furniture: list[bool]) -> list[bool]:
-    """An undecided block is good if the nearest decided block outside furniture, before or after it, is good."""
     def nearest(order) -> list[int]:
-        seen, out = OPEN, []
+        seen, out = {True: OPEN, False: OPEN}, []
         for i in order:
-            if labels[i] != OPEN and not furniture[i]:
-                seen = labels[i]
-            out.append(seen)
+            if labels[i] != OPEN and not found[i].furniture:
+                seen[False] = labels[i]
+                if found[i].in_article:
+                    seen[True] = labels[i]
+            out.append(seen[found[i].in_article])
         return out
+
     before = nearest(range(len(labels)))
     after = nearest(reversed(range(len(labels))))[::-1]
-    return [x == GOOD or (x == OPEN and GOOD in (b, a)) for x, b, a in zip(labels, before, after, strict=True)]
+    return [x == GOOD or (x == OPEN and (GOOD in (b, a) or (f.in_article and b == a == OPEN))) for x, b, a, f in zip(labels, before, after, found, strict=True)]
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    keep = second_pass([first_pass(b) for b in found], [b.furniture for b in found])
+    keep = second_pass([first_pass(b) for b in found], found)
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
@@ -191,8 +239,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
-    A null or empty page has an empty text, as has one without good blocks. Pages are read row by row, repeats alike;
-    other columns are ignored.
+    A null or empty page has an empty text, as has one without good blocks. Pages are read whole and row by row, repeats
+    alike, so there are no ties; a task holds one batch and a few times its longest page. Other columns are ignored; an empty
+    table gives an empty result.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     return rows.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

@@ -436,3 +436,55 @@ def test_pages_text_outside_an_article():
     page = f"<body><h1>Head</h1><div><p>{body}</p><p>{body}</p></div><article><h3>Teaser</h3></article><div class=sidebar>{body}</div><footer>us</footer></body>"
     assert pages.main_text(page) == f"Head\n{body.strip()}\n{body.strip()}\nTeaser"
     assert pages.main_text(f"<body><nav>Menu</nav><h1>Head</h1><article><p>{body}</p></article></body>") == f"Head\n{body.strip()}"
+
+
+BODY = "The words of the text are in the page and they are of use to the reader of it, as it was to be. " * 2
+
+
+def test_pages_names_and_comments():
+    """Class words mark furniture by whole names only; comments are known by their section's heading or type."""
+    page = f"""<article><h1>Head</h1><p class="side-effects">{BODY}</p><p class="social-history">Short one</p><p id="related">Another</p><div class="menu-planning">{BODY}</div>
+    <p><a href=x>All of it a link</a></p><h2>Comments</h2><p>{BODY}</p></article>
+    <section class="thread"><h3>Reader comments</h3><p>{BODY}</p></section><section><header><h2>12 Comments</h2></header><ol><li>{BODY}</ol></section>
+    <div><div itemscope itemtype="https://schema.org/Comment"><p>{BODY}</p></div></div><div class="related-posts">{BODY}</div><ul id=main-nav><li>{BODY}</ul>"""
+    body = BODY.strip()
+    assert pages.main_text(page) == f"Head\n{body}\nShort one\nAnother\n{body}\nAll of it a link\nComments\n{body}"
+
+
+def test_page_densities_decide(sf_dir):
+    """Stop words and links label blocks inside articles too, and the second pass has blocks to decide there."""
+    import pyarrow.parquet as pq
+
+    labels = collections.Counter()
+    for page in pq.read_table(f"{sf_dir}/pages.parquet")["html"].to_pylist():
+        labels.update((pages.first_pass(b), b.in_article) for b in pages.blocks(page) if not b.furniture)
+    assert labels[pages.GOOD, True] > 50 and labels[pages.OPEN, True] > 50
+    soup = " ".join(f"<a href={i}>tag{i}</a>" for i in range(40))
+    assert pages.main_text(f"<article><p>{BODY}</p><p>{soup}</p><p>Short.</p></article>") == f"{BODY.strip()}\nShort."
+    assert pages.main_text(f"<div><p>{BODY}</p><p>Lorem ipsum {'dolor sit amet consectetur ' * 5}</p><p>Short.</p></div>") == f"{BODY.strip()}\nShort."
+    foreign = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor."
+    assert pages.main_text(f"<p>x</p><article><p>{foreign}</p><p>Short</p></article>") == f"{foreign}\nShort"
+
+
+def test_second_pass_by_brute_force():
+    rng = np.random.default_rng(14)
+    for _ in range(300):
+        n = int(rng.integers(0, 12))
+        found = [pages.Block("x", 0, bool(rng.random() < 0.2), bool(rng.random() < 0.5)) for _ in range(n)]
+        labels = [pages.BAD if b.furniture else int(rng.integers(-1, 2)) for b in found]
+        want = []
+        for i in range(n):
+            asked = [j for j in range(n) if labels[j] and not found[j].furniture and (found[j].in_article or not found[i].in_article)]
+            sides = [labels[j] for j in (max((j for j in asked if j < i), default=-1), min((j for j in asked if j > i), default=-1)) if j >= 0]
+            want.append(labels[i] == 1 or (labels[i] == 0 and (1 in sides or (found[i].in_article and not sides))))
+        assert pages.second_pass(labels, found) == want
+
+
+def test_pages_in_proportion():
+    """A megabyte of tags that nobody closes takes a few seconds at most."""
+    import time
+
+    began = time.time()
+    for tag in ("<font>", "<div class=a>", "<p>x", "<a href=x>y", "<section><h2>Comments</h2>", "<a title='x>"):
+        pages.main_text(tag * ((1 << 20) // len(tag)) + "end")
+    assert time.time() - began < 30
