@@ -460,7 +460,7 @@ def test_page_densities_decide(sf_dir):
         labels.update((pages.first_pass(b), b.in_article) for b in pages.blocks(page) if not b.furniture)
     assert labels[pages.GOOD, True] > 50 and labels[pages.OPEN, True] > 50
     soup = " ".join(f"<a href={i}>tag{i}</a>" for i in range(40))
-    assert pages.main_text(f"<article><p>{BODY}</p><p>{soup}</p><p>Short.</p></article>") == f"{BODY.strip()}\nShort."
+    assert pages.main_text(f"<article><p>{BODY}</p><p>Short.</p><p>{soup}</p></article>") == f"{BODY.strip()}\nShort."
     assert pages.main_text(f"<div><p>{BODY}</p><p>Short.</p><p>Lorem ipsum {'dolor sit amet consectetur ' * 5}</p></div>") == f"{BODY.strip()}\nShort."
     foreign = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor."
     assert pages.main_text(f"<p>x</p><article><p>{foreign}</p><p>Short</p></article>") == f"{foreign}\nShort"
