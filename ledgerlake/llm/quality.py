@@ -200,9 +200,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Qua
 def quality_scores(docs: DataFrame, labels: DataFrame, model: QualityModel | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= THRESHOLD).
 
-    Labels are learned outside the held-out fold (checksum of doc_id modulo PARTS) from at most PER_CLASS documents a
-    label. Null and empty texts have no line and get the score of undecided lines. Labels other than 0 and 1 are ignored;
-    without training rows of both labels the score is constant. Repeated rows score alike; other columns are ignored.
+    Labels are learned outside the held-out fold (checksum of doc_id modulo PARTS) from at most PER_CLASS documents of
+    MOST_BYTES (labelled.py) a label; a line takes its document's label, none has its own. Null and empty texts have no line
+    and get the score of undecided lines. Labels other than 0 and 1 are ignored; without training rows of both labels the
+    score is constant. Rows are scored one by one, repeats alike, so there are no ties; a very long text is scored whole, in
+    about 1 KB of a task's memory a line. Other columns are ignored; an empty table gives an empty result.
     """
     model = model or train(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -2,7 +2,8 @@
 
 The features of a text are the hashed n-grams it holds (presence, not counts), each scaled by the log ratio of its
 smoothed frequencies in toxic and other training texts; a logistic regression is fitted on them (Wang and Manning's
-NBSVM with a logistic loss). The training sample is bounded by PER_CLASS; every text is scored whole.
+NBSVM with a logistic loss). The training sample is bounded by PER_CLASS texts a class of MOST_BYTES (labelled.py) each;
+its n-grams are counted and chosen on Spark, and the driver gets what the chosen ones leave of it. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .common import written
 from .labelled import fold, training_sample
 
-PER_CLASS = 1500
+PER_CLASS = 2000
 PARTS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 ORDERS = (4, 5, 6)
-BUCKET_BITS = 20
+BUCKET_BITS = 22
 #: n-grams of fewer training texts, or of a log-count ratio of fewer standard errors, carry no weight.
 LEAST_TEXTS, LEAST_ERRORS = 3, 3.0
 ROUNDS, RATE, DECAY = 150, 0.1, 0.1
@@ -79,36 +81,39 @@ def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["y", "grams"])
 
 
-def fit(present: list[np.ndarray], y: np.ndarray) -> ToxicityModel:
-    """present: the distinct buckets of each training text."""
-    size = 1 << BUCKET_BITS
-    weights = np.zeros(size, np.float32)
-    if not len(y) or y.min() == y.max():
-        return ToxicityModel(weights, 20.0 * (2 * float(y.mean()) - 1) if len(y) else -20.0)
-    seen = np.zeros((2, size), np.int32 if len(y) > 30_000 else np.int16)
-    for p, label in zip(present, y, strict=True):
-        seen[int(label), p] += 1
-    often = np.flatnonzero(seen[0] + seen[1] >= LEAST_TEXTS)
-    other, toxic = seen[0, often] + 1.0, seen[1, often] + 1.0
-    ratio = np.log(toxic / (y.sum() + 2)) - np.log(other / ((1 - y).sum() + 2))
-    strong = np.abs(ratio) >= LEAST_ERRORS * np.sqrt(1 / other + 1 / toxic)
-    often, ratio = often[strong], ratio[strong]
-    used = np.zeros(size, bool)
-    used[often] = True
-    kept = [p[used[p]] for p in present]
-    index, owner = np.concatenate(kept), np.repeat(np.arange(len(y)), [len(p) for p in kept])
-    ids, index = np.unique(index, return_inverse=True)
-    scale = ratio[np.searchsorted(often, ids)] / 4
-    w, bias, seen_w, seen_b = np.zeros(len(ids)), float(np.log(y.sum() / (1 - y).sum())), np.full(len(ids), 1e-8), 1e-8
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each task's number of texts of either label that hold a bucket."""
+    seen = np.zeros((2, 1 << BUCKET_BITS), np.int32)
+    for batch in batches:
+        for y, grams in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            seen[y, np.frombuffer(grams.as_buffer(), np.uint32)] += 1
+    used = np.flatnonzero(seen.any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(seen[0, used]), pa.array(seen[1, used])], names=["bucket", "other", "toxic"])
+
+
+def log_count_ratios(grams: DataFrame, n_other: int, n_toxic: int) -> DataFrame:
+    """bucket and ratio of the n-grams of enough texts and a ratio of enough standard errors (grams: y, grams)."""
+    other, toxic = F.col("other") + 1, F.col("toxic") + 1
+    counts = grams.mapInArrow(_counted, "bucket int, other int, toxic int").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    ratio = F.log(toxic / F.lit(n_toxic + 2.0)) - F.log(other / F.lit(n_other + 2.0))
+    strong = F.abs("ratio") >= LEAST_ERRORS * F.sqrt(1 / other + 1 / toxic)
+    return counts.filter(F.col("other") + F.col("toxic") >= LEAST_TEXTS).withColumn("ratio", ratio).filter(strong).select("bucket", "ratio")
+
+
+def fit(kept: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weight of each chosen n-gram with its scale, bias) by adaptive gradient descent on the logistic loss; kept: the numbers
+    of the chosen n-grams that each training text holds."""
+    index, owner = np.concatenate([np.zeros(0, np.int64), *kept]), np.repeat(np.arange(len(y)), [len(p) for p in kept])
+    scale = ratio / 4
+    w, bias, seen_w, seen_b = np.zeros(len(ratio)), float(np.log(y.sum() / (1 - y).sum())), np.full(len(ratio), 1e-8), 1e-8
     x = scale[index]
     for _ in range(ROUNDS):
         margin = np.bincount(owner, x * w[index], len(y)) + bias
         error = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y) / len(y)
-        g, gb = np.bincount(index, x * error[owner], len(ids)) + DECAY * w / len(y), error.sum()
+        g, gb = np.bincount(index, x * error[owner], len(ratio)) + DECAY * w / len(y), error.sum()
         seen_w, seen_b = seen_w + g * g, seen_b + gb * gb
         w, bias = w - RATE * g / np.sqrt(seen_w), bias - RATE * gb / np.sqrt(seen_b)
-    weights[ids] = w * scale
-    return ToxicityModel(weights, float(bias))
+    return w * scale, float(bias)
 
 
 def _scores(model: ToxicityModel):
@@ -128,12 +133,28 @@ def _scores(model: ToxicityModel):
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
     sample = training_sample(docs, labels, "toxic", PARTS, HELD_OUT, per_class)
-    rows = sample.select("text", "y").mapInArrow(_present, "y int, grams binary").toArrow()
-    grams = [np.frombuffer(g.as_buffer(), np.uint32) for g in rows["grams"]]  # views, no copies
-    model = fit(grams, np.array(rows["y"].to_pylist(), float))
-    del grams, rows
-    pa.default_memory_pool().release_unused()
-    return model
+    grams = written(sample.select("text", "y").mapInArrow(_present, "y int, grams binary"))
+    weights = np.zeros(1 << BUCKET_BITS, np.float32)
+    n_toxic, n = (v or 0 for v in grams.agg(F.sum("y"), F.count("*")).first())
+    if n_toxic in (0, n):
+        return ToxicityModel(weights, 20.0 if n_toxic else -20.0)
+    chosen = log_count_ratios(grams, n - n_toxic, n_toxic).toArrow()
+    bucket, ratio = chosen["bucket"].to_numpy(), chosen["ratio"].to_numpy()
+    order = np.argsort(bucket)
+    bucket, ratio = bucket[order], ratio[order]
+    number = np.full(1 << BUCKET_BITS, -1, np.int32)
+    number[bucket] = np.arange(len(bucket))
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [number[np.frombuffer(g.as_buffer(), np.uint32)] for g in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[h >= 0].tobytes() for h in held], pa.binary())], names=["y", "kept"])
+
+    rows = grams.mapInArrow(numbers, "y int, kept binary").toArrow()
+    kept = [np.frombuffer(k.as_buffer(), np.int32) for chunk in rows["kept"].chunks for k in chunk]
+    w, bias = fit(kept, np.array(rows["y"].to_pylist(), float), ratio)
+    weights[bucket] = w
+    return ToxicityModel(weights, bias)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
@@ -141,7 +162,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, model: ToxicityModel | N
 
     Labels are learned outside the held-out fold (checksum of doc_id modulo PARTS). Null and empty texts get the score
     of a text without any known n-gram. Labels other than 0 and 1 are ignored; without training rows of both labels the
-    score is constant. Rows are scored one by one, repeats alike; other columns are ignored.
+    score is constant. Rows are scored one by one, repeats alike, so there are no ties; a very long text is scored whole, in
+    some tens of bytes of a task's memory a character. Other columns are ignored; an empty table gives an empty result.
     """
     model = model or train(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -410,6 +410,88 @@ def test_toxicity_held_out(spark):
     assert _held_out(spark, toxicity.toxicity_scores(read_table(spark, d, "documents"), read_table(spark, d, "labels")), "toxic") > 0.93
 
 
+def test_log_count_ratios(spark, sf_dir):
+    """The n-grams of texts, their ratios and the fit, against plain counting and a dense gradient."""
+    rows = [(r["text"] or "", r["doc_id"] % 2) for r in read_table(spark, sf_dir, "documents").collect() if len(r["text"] or "") < 2000][:60]
+    table = spark.createDataFrame(rows, "text string, y int").repartition(3)
+    grams = table.mapInArrow(toxicity._present, "y int, grams binary")
+    n_toxic = sum(y for _, y in rows)
+    got = {r["bucket"]: r["ratio"] for r in toxicity.log_count_ratios(grams, len(rows) - n_toxic, n_toxic).collect()}
+    seen, held = (collections.Counter(), collections.Counter()), []
+    for text, y in rows:
+        joined = f" {' '.join(text.lower().split())} "
+        pieces = {joined[i : i + n] for n in toxicity.ORDERS for i in range(len(joined) - n + 1)}
+        buckets = set()
+        for g in pieces:
+            h = sum(ord(c) * int(k) for c, k in zip(g, toxicity._KEYS[len(g)], strict=True)) & 0xFFFFFFFF
+            h ^= h >> 15
+            h = h * 0x2C1B3C6D & 0xFFFFFFFF
+            h ^= h >> 12
+            buckets.add(h >> (32 - toxicity.BUCKET_BITS))
+        seen[y].update(buckets)
+        held.append(buckets)
+    want = {}
+    for b in seen[0].keys() | seen[1].keys():
+        other, toxic = seen[0][b] + 1, seen[1][b] + 1
+        ratio = math.log(toxic / (n_toxic + 2)) - math.log(other / (len(rows) - n_toxic + 2))
+        if other + toxic - 2 >= toxicity.LEAST_TEXTS and abs(ratio) >= toxicity.LEAST_ERRORS * math.sqrt(1 / other + 1 / toxic):
+            want[b] = ratio
+    assert got.keys() == want.keys() and all(abs(got[b] - want[b]) < 1e-9 for b in want)
+
+
+def test_logistic_fit():
+    """The sparse fit takes the steps of a dense one and lowers the loss."""
+    rng = np.random.default_rng(15)
+    held = rng.random((200, 12)) < 0.3
+    ratio = rng.normal(size=12) * 2
+    y = (rng.random(200) < 1 / (1 + np.exp(-(held @ ratio)))).astype(float)
+    x = held * ratio / 4
+    w, b, sw, sb = np.zeros(12), math.log(y.sum() / (1 - y).sum()), np.full(12, 1e-8), 1e-8
+    for _ in range(toxicity.ROUNDS):
+        e = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        g, h = x.T @ e + toxicity.DECAY * w / len(y), e.sum()
+        sw, sb = sw + g * g, sb + h * h
+        w, b = w - toxicity.RATE * g / np.sqrt(sw), b - toxicity.RATE * h / np.sqrt(sb)
+    got, bias = toxicity.fit([np.flatnonzero(r) for r in held], y, ratio)
+    loss = lambda w, b: np.mean(np.log1p(np.exp(-(2 * y - 1) * (held @ w + b))))
+    assert np.allclose(got, w * ratio / 4) and np.isclose(bias, b) and loss(got, bias) < 0.7 * loss(0 * got, 0.0)
+
+
+def test_forward_backward_by_enumeration():
+    """Marginals of lines and of neighbouring lines against the sum over all 2 ** n labellings, several texts side by side."""
+    import itertools
+
+    rng = np.random.default_rng(16)
+    sizes = [1, 5, 0, 7, 3, 1]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    unit, moves = rng.normal(size=(at[-1], 2)) * 2, rng.normal(size=(2, 2))
+    good, pair = quality._forward_backward(unit, moves, at)
+    row = 0
+    for a, n in zip(at, sizes, strict=False):
+        total, one, two = 0.0, np.zeros(n), np.zeros((max(n - 1, 0), 2, 2))
+        for labels in itertools.product((0, 1), repeat=n):
+            p = math.exp(sum(unit[a + i, k] for i, k in enumerate(labels)) + sum(moves[j, k] for j, k in zip(labels, labels[1:], strict=False)))
+            total += p
+            one += p * np.array(labels)
+            for i, (j, k) in enumerate(zip(labels, labels[1:], strict=False)):
+                two[i, j, k] += p
+        assert np.allclose(good[a : a + n], one / total) and np.allclose(pair[row : row + len(two)], two / total)
+        row += len(two)
+    assert row == len(pair)
+
+
+def test_quality_gradient():
+    """The field's fit reaches a higher likelihood than no field, and its neighbours' features tell mixed texts apart."""
+    rng = np.random.default_rng(17)
+    sizes = rng.integers(2, 6, 60)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    y = np.arange(60) % 2.0
+    x = np.column_stack([rng.normal(size=(at[-1], 3)) + np.repeat(y, sizes)[:, None], np.ones(at[-1])])
+    model = quality.fit(x, np.ones(at[-1]), at, y)
+    score = quality.model_quality(model, x, np.ones(at[-1]), at)
+    assert ((score > 0) == (y == 1)).mean() > 0.9
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     assert _held_out(spark, quality.quality_scores(read_table(spark, d, "documents"), read_table(spark, d, "labels")), "quality") > 0.95
