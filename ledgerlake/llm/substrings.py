@@ -4,7 +4,7 @@ A text is cut behind a white-space byte where the gear hash of the bytes before
 without white space before a character where it falls under a lower one, so cuts depend on nearby content only and find
 themselves again after an insertion. Chunks are compared in runs: from every chunk on, and up
 to every chunk, as few consecutive ones as hold MIN_BYTES, so that a run repeats only as a whole passage. Equal runs (by
-digest) beyond the first occurrence in the corpus are repeats; overlapping or touching repeats of a document form one span.
+128-bit digest) beyond the first occurrence in the corpus are repeats; overlapping or touching repeats of a document form one span.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from . import text as tx
 from .common import written
 
 #: One word end in so many is a cut; behind a whole hash window without white space, one character in so many.
-CUT_ONE_IN, CUT_CHARACTER_ONE_IN = 4, 12
+CUT_ONE_IN, CUT_CHARACTER_ONE_IN = 5, 15
 #: The last bound, where the hash never cuts (constant bytes).
 MOST_BYTES = 1024
 #: The gear hash looks back over so many bytes (its bit width).
@@ -32,12 +32,13 @@ MIN_BYTES = 64
 _GEAR = (tx.random64(256, 53) >> np.uint64(32)).astype(np.uint32)
 #: A run's row: its place packs first byte, length and whether the same run stands earlier in its text, its chunks pack the
 #: number of the first one in the text and their count.
-_TYPE = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("place", pa.int64()), ("chunks", pa.int64())])
+_TYPE = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("digest2", pa.int64()), ("place", pa.int64()), ("chunks", pa.int64())])
 _AGAIN, _LENGTH, _COUNT = 2, 1 << 25, 1 << 24
 #: Runs hold less than this many bytes, so that their length fits into its place.
 _MOST_RUN = _LENGTH // _AGAIN
-_STEP = int(tx.random64(1, 61)[0])
-_STEP_BACK = pow(_STEP, -1, 1 << 64)
+#: A digest has two halves of 64 bits, each a polynomial in its own step over the chunks' own halves.
+_STEPS = [int(x) for x in tx.random64(2, 61)]
+_STEPS_BACK = [pow(x, -1, 1 << 64) for x in _STEPS]
 
 
 def gear_hash(raw: np.ndarray) -> np.ndarray:
@@ -118,22 +119,24 @@ def _chunked(min_bytes: int):
                     continue
                 length = np.diff(np.append(first, len(raw)))
                 inner = np.arange(len(raw), dtype=np.int64) - np.repeat(first, length)
-                values = tx.random64(MOST_BYTES + _CHARACTER_BYTES, 59)[inner] * (raw.astype(np.uint64) + np.uint64(1))
-                digest = tx.mix64(np.add.reduceat(values, first) + length.astype(np.uint64))
                 owner = np.repeat(np.arange(len(number)), number)
                 a, b = runs(first, first + length, owner, min_bytes)
                 if not len(a):
                     continue
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digest * _powers(_STEP, len(digest)), dtype=np.uint64)])
                 size = first[b] + length[b] - first[a]
-                digest = tx.mix64((sums[b + 1] - sums[a]) * _powers(_STEP_BACK, len(digest))[a] + size.astype(np.uint64))
-                of = owner[a]
+                halves = []
+                for seed, step, back in zip((59, 67), _STEPS, _STEPS_BACK, strict=True):
+                    values = tx.random64(MOST_BYTES + _CHARACTER_BYTES, seed)[inner] * (raw.astype(np.uint64) + np.uint64(1))
+                    own = tx.mix64(np.add.reduceat(values, first) + length.astype(np.uint64))
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * _powers(step, len(own)), dtype=np.uint64)])
+                    halves.append(tx.mix64((sums[b + 1] - sums[a]) * _powers(back, len(own))[a] + size.astype(np.uint64)))
+                digest, of = halves[0], owner[a]
                 # the earliest of a text's equal runs is no repeat; runs come in two ascending series
                 order = np.argsort(a, kind="stable")
                 again = np.ones(len(a), np.int64)
                 again[order[np.unique(tx.mix64(digest + of.astype(np.uint64))[order], return_index=True)[1]]] = 0
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[row : row + len(number)][of]), pa.array(digest.view(np.int64)), pa.array((first[a] - at[:-1][of]) * _LENGTH + size * _AGAIN + again),
+                    pa.array(ids[row : row + len(number)][of]), pa.array(digest.view(np.int64)), pa.array(halves[1].view(np.int64)), pa.array((first[a] - at[:-1][of]) * _LENGTH + size * _AGAIN + again),
                     pa.array((a - (np.cumsum(number) - number)[of]) * _COUNT + b + 1 - a),
                 ], schema=_TYPE)
 
@@ -146,16 +149,17 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     A span is made of runs of chunks that hold at least min_bytes and each stand as a whole elsewhere. The first occurrence
     of a run, by doc_id and place, is no repeat; first_doc_id is the smallest doc_id that holds a run of the span. Null and
     empty texts have no spans; copies of a text of min_bytes are spans over all of it; rows without a doc_id are left out,
-    repeated rows count as one. Other columns are ignored.
+    repeated rows count as one. doc_id is the key: different texts of one doc_id share their spans. Texts are cut whole,
+    whatever their length. Other columns are ignored; an empty table gives an empty result.
     """
     if not 0 < min_bytes < _MOST_RUN - 2 * MOST_BYTES:
         raise ValueError(f"min_bytes must be positive and below {_MOST_RUN - 2 * MOST_BYTES}")
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = rows.mapInArrow(_chunked(min_bytes), "doc_id long, digest long, place long, chunks long")
-    first = written(pieces.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    pieces = rows.mapInArrow(_chunked(min_bytes), "doc_id long, digest long, digest2 long, place long, chunks long")
+    first = written(pieces.groupBy("digest", "digest2").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     again = F.col("place") % _AGAIN == 1
     start, chunk = F.floor(F.col("place") / _LENGTH), F.floor(F.col("chunks") / _COUNT)
-    repeats = pieces.join(first, "digest").filter(again | (F.col("doc_id") != F.col("first_doc_id"))).select(
+    repeats = pieces.join(first, ["digest", "digest2"]).filter(again | (F.col("doc_id") != F.col("first_doc_id"))).select(
         "doc_id", start.alias("start"), (start + F.floor(F.col("place") % _LENGTH / _AGAIN)).alias("end"),
         chunk.alias("chunk"), (chunk + F.col("chunks") % _COUNT).alias("chunk_end"), "first_doc_id",
     ).distinct()

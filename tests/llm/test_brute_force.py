@@ -352,6 +352,37 @@ def test_repeats(spark):
     assert clean[3] == text[3] and len(clean[13].split()) < 190
 
 
+def test_spans_by_plain_runs(spark, sf_dir):
+    """Every span of the table, from runs of chunks kept as bytes in a dictionary (equal chunk by chunk)."""
+    docs = read_table(spark, sf_dir, "documents")
+    where, cut = collections.defaultdict(list), {}
+    for r in docs.orderBy("doc_id").collect():
+        raw = (r["text"] or "").encode()
+        first = substrings.chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist() if raw else []
+        ends, runs = [*first[1:], len(raw)], set()
+        for i in range(len(first)):
+            runs |= {(i, j) for j in [next((j for j in range(i, len(first)) if ends[j] - first[i] >= 64), None)] if j is not None}
+            runs |= {(j, i) for j in [next((j for j in range(i, -1, -1) if ends[i] - first[j] >= 64), None)] if j is not None}
+        cut[r["doc_id"]] = first
+        for i, j in sorted(runs):
+            where[tuple(raw[first[k] : ends[k]] for k in range(i, j + 1))].append((r["doc_id"], first[i], ends[j]))
+    repeats = collections.defaultdict(list)
+    for places in where.values():
+        for d, a, b in places[1:]:
+            repeats[d].append((a, b, places[0][0]))
+    want = []
+    for d, found in repeats.items():
+        spans = []
+        for a, b, source in sorted(found):
+            if spans and a <= spans[-1][1]:
+                spans[-1] = [spans[-1][0], max(b, spans[-1][1]), min(source, spans[-1][2])]
+            else:
+                spans.append([a, b, source])
+        want += [(d, a, b - a, sum(a <= f < b for f in cut[d]), source) for a, b, source in spans]
+    got = substrings.repeated_spans(docs).select("doc_id", "start", "n_bytes", "n_chunks", "first_doc_id").collect()
+    assert len(want) > 20 and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_chance_repeats_are_no_spans(spark):
     """Frequent words and short phrases repeat everywhere; only a passage that stands as a whole elsewhere is a span, all of it."""
     rng = np.random.default_rng(2)
