@@ -34,12 +34,13 @@ def parse_number_jp(x: Column) -> Column:
 
 
 def clean_item_name(x: Column) -> Column:
-    """A line label without its leading numeral, sign words, white space and colons."""
-    text = F.regexp_replace(F.coalesce(x, F.lit("")), BLANK, "")
-    text = F.regexp_replace(text, r"^[一二三四五六七八九十]+、", "")
-    text = F.regexp_replace(text, r"^[\(（]?[一二三四五六七八九十\d]+[\)）]?[、\.．]?", "")
+    """A line label without its leading numeral, sign words, white space and colons. White space goes last: it keeps what
+    stands behind it from being read as a prefix."""
+    text = F.regexp_replace(F.coalesce(x, F.lit("")), f"^{BLANK}+|{BLANK}+$", "")
+    text = F.regexp_replace(text, r"^[一二三四五六七八九十]+[、．.]", "")
+    text = F.regexp_replace(text, r"^[（(]?[一二三四五六七八九十0-9]+[)）]?", "")
     text = F.regexp_replace(text, r"^(加|减|其中)[：:]", "")
-    return F.regexp_replace(text, "[：:]", "")
+    return F.regexp_replace(F.regexp_replace(text, BLANK, ""), "[：:]", "")
 
 
 _MONEY = r"\(?-?(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d{4,}(?:\.\d+)?)\)?"
@@ -135,6 +136,37 @@ def short_currency(x: Column, symbol: str) -> Column:
     )
 
 
+def raw_currency(x: Column, symbol: str) -> Column:
+    """Whole units with thousands separators, half to even; N/A for null."""
+    return F.coalesce(F.concat(F.lit(symbol), F.format_number(F.bround(x, 0), 0)), F.lit("N/A"))
+
+
+def plain_number(x: Column) -> Column:
+    """From 1000 on whole with separators, else up to four decimals without closing zeros; N/A for null."""
+    small = F.regexp_replace(F.format_number(x, 4), r"\.?0+$", "")
+    return F.when(x.isNull(), "N/A").when(F.abs(x) >= 1000, F.format_number(F.bround(x, 0), 0)).otherwise(small)
+
+
+def millions(x: Column, symbol: str = "$") -> Column:
+    """M, from 1000 of them B, with two decimals; N/A for null."""
+    text = lambda v, mark: F.concat(F.lit(symbol), F.replace(F.format_number(v, 2), F.lit(","), F.lit("")), F.lit(mark))
+    return F.when(x.isNull(), "N/A").when(F.abs(x) >= 1e9, text(x / 1e9, "B")).otherwise(text(x / 1e6, "M"))
+
+
+def coerce_date(x: Column) -> Column:
+    """A timestamp or date in text as an ISO date; null where it is none."""
+    return F.date_format(x.try_cast("timestamp"), "yyyy-MM-dd")
+
+
+def token_usage(response: Column) -> Column:
+    """struct(prompt_tokens, completion_tokens, total_tokens) of a response in JSON, whichever of two shapes its usage has; the
+    total is the sum where it isn't given."""
+    at = lambda *paths: F.coalesce(*(F.get_json_object(response, f"$.usage.{p}").try_cast("long") for p in paths))
+    prompt, completion = at("prompt_tokens", "input_tokens"), at("completion_tokens", "output_tokens")
+    total = F.coalesce(at("total_tokens"), F.when(F.coalesce(prompt, completion).isNotNull(), F.coalesce(prompt, F.lit(0)) + F.coalesce(completion, F.lit(0))))
+    return F.struct(prompt.alias("prompt_tokens"), completion.alias("completion_tokens"), total.alias("total_tokens"))
+
+
 def sum_given(*parts: Column) -> Column:
     """The sum of what is given; null if nothing is."""
     total = reduce(lambda a, b: a + b, (F.coalesce(p, F.lit(0.0)) for p in parts))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import BLANK
+from ..sources.shared import small_side
 
 TOLERANCE = 1e-4
 #: Marker texts, their section and flag.
@@ -44,10 +45,11 @@ def imbalance_values(sections: DataFrame, items: DataFrame) -> DataFrame:
 
 def format_anomalies(items: DataFrame, anchors: DataFrame, least_missing: int = 3) -> DataFrame:
     """Sections (section_id, item) with their missing anchors in order; flagged from least_missing on."""
-    held = items.select("section_id", "item").distinct().withColumn("_held", F.lit(True))
-    wanted = items.select("section_id").distinct().join(F.broadcast(anchors.withColumnRenamed("anchor", "item")))
-    gone = wanted.join(held, ["section_id", "item"], "left").filter("_held is null")
-    rows = gone.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "item"))).alias("m"))
+    wanted = anchors.select("ordinal", F.col("anchor").alias("item"))
+    every = wanted.agg(F.array_sort(F.collect_list(F.struct("ordinal", "item"))).alias("every"))  # one row
+    held = items.select("section_id", "item").distinct().join(small_side(wanted), "item", "left")
+    held = held.groupBy("section_id").agg(F.collect_list(F.when(F.col("ordinal").isNotNull(), F.struct("ordinal", "item"))).alias("held"))
+    rows = held.crossJoin(F.broadcast(every)).withColumn("m", F.array_except("every", "held")).filter(F.size("m") > 0)
     return rows.select("section_id", F.array_join(F.transform("m", lambda x: x["item"]), ",").alias("missing_anchors"), F.size("m").alias("n_missing"), (F.size("m") >= least_missing).alias("is_anomaly"))
 
 
@@ -68,8 +70,9 @@ def section_children(accounts: DataFrame) -> DataFrame:
     """Children of each subtotal (is_parent) of an ordered chart: the rows since the parent before it."""
     before = F.sum(F.col("is_parent").cast("int")).over(Window.partitionBy("chart").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
     rows = accounts.withColumn("section_no", F.coalesce(before, F.lit(0)))
-    parents = rows.filter("is_parent").select("chart", "section_no", F.col("item_code").alias("parent_code"))
-    return rows.filter(~F.col("is_parent")).join(parents, ["chart", "section_no"]).select("chart", "parent_code", F.col("item_code").alias("child_code"), "ordinal")
+    parent = F.max(F.when(F.col("is_parent"), F.col("item_code"))).over(Window.partitionBy("chart", "section_no"))
+    rows = rows.withColumn("parent_code", parent).filter(~F.col("is_parent") & F.col("parent_code").isNotNull())
+    return rows.select("chart", "parent_code", F.col("item_code").alias("child_code"), "ordinal")
 
 
 def merged_line(label: Column, n_codes: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ratio, short_currency, sum_given
+from ..functions.scalars import ratio, raw_currency, short_currency, sum_given
 
 #: Canonical fields and the item codes that fill them, in order.
 IS_CODES = {
@@ -55,6 +55,25 @@ def display_overlay(canonical: DataFrame, raw: DataFrame, fields: list[str]) ->
     return joined.withColumns({f: F.coalesce(f"_{f}", f) for f in fields}).drop(*(f"_{f}" for f in fields))
 
 
+def eps_status(value: Column, by_line: Column, by_item: Column) -> Column:
+    """OK where there is a value, else what the line search says, else the extracted item, else MISSING."""
+    return F.when(value.isNotNull(), "OK").otherwise(F.coalesce(F.nullif(by_line, F.lit("")), F.nullif(by_item, F.lit("")), F.lit("MISSING")))
+
+
+def eps_rows(values: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Per-share values of each filing with their statuses (statuses: filing_id, item_code, by_line, by_item)."""
+    codes = {"basic": "BASICEPS", "diluted": "DILUTEDEPS"}
+    wide = _wide(values, {k: [c] for k, c in codes.items()})
+    told = statuses.groupBy("filing_id").agg(*(F.max(F.when(F.col("item_code") == c, F.col(s))).alias(f"{k}_{s}") for k, c in codes.items() for s in ("by_line", "by_item")))
+    rows = wide.join(told, "filing_id", "left")
+    return rows.select("filing_id", *(c for k in codes for c in (F.col(k).alias(f"net_income_per_share_{k}"), eps_status(F.col(k), F.col(f"{k}_by_line"), F.col(f"{k}_by_item")).alias(f"net_income_per_share_{k}_status"))))
+
+
+def debt_to_equity(rows: DataFrame) -> DataFrame:
+    """Liabilities by equity, the leverage figure of US and Japanese reports."""
+    return rows.select("filing_id", ratio(F.col("total_liabilities"), F.col("total_shareholders_equity")).alias("debt_to_equity"))
+
+
 def key_metrics(rows: DataFrame) -> DataFrame:
     c: dict[str, Column] = {n: F.col(n) for n in rows.columns}
     return rows.select(
@@ -69,3 +88,12 @@ def readable(rows: DataFrame, labels: dict[str, str], symbol: str) -> DataFrame:
     items = F.posexplode(F.array(*(F.struct(F.lit(text).alias("label"), F.col(name).cast("double").alias("raw")) for name, text in labels.items())))
     long = rows.select("filing_id", items.alias("ordinal", "i")).select("filing_id", "ordinal", "i.*")
     return long.withColumn("text", short_currency(F.col("raw"), symbol))
+
+
+def readable_report(rows: DataFrame, labels: dict[str, str], symbol: str, currency: str, statuses: DataFrame) -> DataFrame:
+    """readable with the raw amount in full, its unit, and Not applicable where a field's status (filing_id, label, status)
+    says so and there is no value."""
+    told = readable(rows, labels, symbol).join(statuses.select("filing_id", "label", "status"), ["filing_id", "label"], "left")
+    none = F.col("raw").isNull() & F.coalesce(F.col("status") == "NOT_APPLICABLE", F.lit(False))
+    shown = lambda text: F.when(none, "Not applicable").otherwise(text)
+    return told.select("filing_id", "ordinal", "label", shown(F.col("text")).alias("text"), shown(raw_currency(F.col("raw"), symbol)).alias("raw_text"), F.lit(currency).alias("unit"))

@@ -105,10 +105,11 @@ def multi_system_template(checklist: DataFrame, audits: dict[str, DataFrame]) ->
     return out
 
 
-def checklist(wide: DataFrame, runs: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
-    """One row per successful run and field (name: statement, column of wide)."""
-    items = F.explode(F.array(*(F.struct(F.lit(s).alias("statement"), F.lit(n).alias("field_name"), F.col(c).cast("double").alias("extracted_value")) for n, (s, c) in fields.items())))
-    return runs.filter("status = 'success'").join(wide, "filing_id").select("filing_id", "market", items.alias("i")).select("filing_id", "market", "i.*")
+def checklist(wide: DataFrame, runs: DataFrame, fields: dict[str, tuple[str, str]], metadata: tuple[str, ...] = ()) -> DataFrame:
+    """One row per successful run and field (name, or statement and name joined by a dot: statement, column of wide), with
+    metadata columns of wide."""
+    items = F.explode(F.array(*(F.struct(F.lit(s).alias("statement"), F.lit(n.rpartition(".")[2]).alias("field_name"), F.col(c).cast("double").alias("extracted_value")) for n, (s, c) in fields.items())))
+    return runs.filter("status = 'success'").join(wide, "filing_id").select("filing_id", "market", *metadata, items.alias("i")).select("filing_id", "market", *metadata, "i.*")
 
 
 def merge_audits(*parts: DataFrame) -> DataFrame:

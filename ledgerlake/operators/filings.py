@@ -34,6 +34,31 @@ def latest_filings(filings: DataFrame) -> DataFrame:
     return filings.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
 
+def first_filings(filings: DataFrame, report_date: str | None = None) -> DataFrame:
+    """US rule: each company's first filing in index order (seq), of the exact report date if one is given."""
+    rows = filings.filter(F.col("report_date") == F.to_date(F.lit(report_date))) if report_date else filings
+    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy("company_key").orderBy("seq"))).filter("_rank = 1").drop("_rank")
+
+
+def latest_in_window(filings: DataFrame, today: str, days: int = 400) -> DataFrame:
+    """Japanese rule: each company's filing of the latest date within the days up to today, the first seen (seq) on ties. A scan
+    backwards that stops some time after its first find comes to the same."""
+    end = F.to_date(F.lit(today))
+    rows = filings.filter(F.col("filing_date").between(F.date_sub(end, days), end))
+    newest = Window.partitionBy("company_key").orderBy(F.desc("filing_date"), "seq")
+    return rows.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
+
+
+def filings_of_companies(docs: DataFrame, companies: DataFrame) -> DataFrame:
+    """Annual Japanese filings (with sec_code) of the companies wanted (symbol, edinet_code, company_name): a given EDINET code
+    must be the filer's, a given name must be part of the filer's where that is known."""
+    rows = docs.join(companies, docs["sec_code"] == companies["symbol"])
+    given = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    code = ~given("edinet_code") | F.coalesce(F.col("edinetCode") == F.col("edinet_code"), F.lit(False))
+    name = ~given("company_name") | ~given("filerName") | F.contains("filerName", "company_name")
+    return rows.filter(code & name)
+
+
 def submissions(index: DataFrame) -> DataFrame:
     """A submissions index of parallel arrays as one row per filing, in order."""
     names = ["form", "reportDate", "filingDate", "accessionNumber", "primaryDocument"]
@@ -67,6 +92,14 @@ def instance_file(files: DataFrame) -> DataFrame:
     return files.filter(rank.isNotNull()).withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
 
 
+def instance_file_jp(files: DataFrame) -> DataFrame:
+    """Each package's .xbrl file: those of the public documents if there are any, then annual reports, the shortest name, A to Z."""
+    low = F.lower("name")
+    rank = [~F.contains("name", F.lit("XBRL/PublicDoc/")), ~F.contains(low, F.lit("-asr-")), F.length("name"), low, F.col("seq")]
+    rows = files.filter(F.endswith(low, F.lit(".xbrl"))).withColumn("_rank", F.row_number().over(Window.partitionBy("filing_id").orderBy(*rank)))
+    return rows.filter("_rank = 1").drop("_rank")
+
+
 def pdf_manifest(companies: DataFrame, files: DataFrame) -> DataFrame:
     """Each company's last annual file by name, or missing."""
     found = files.withColumn("symbol", F.regexp_extract("path", r"([^/_]+)_[^/]*_annual\.pdf$", 1)).filter("symbol <> ''").groupBy("symbol").agg(F.max("path").alias("path"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import BLANK, to_double
+from ..sources.shared import small_side
 
 #: Tokens of amounts, plain integers and decimals; words for not applicable.
 AMOUNT = r"\(?-?\d{1,6}(?:,\d{3}){1,4}\)?"
@@ -80,9 +81,24 @@ def reported_unit(line: Column) -> Column:
     return out
 
 
+DEFAULT_UNIT, FIRST_PAGES = "人民币元", 30
+
+
+def document_units(lines: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Each document's unit: that of the first unit line on a statement's start page or the page after (lines: doc_id, page_no,
+    line_no, line; ranges: doc_id, start_page), on the first pages where no statement was found, else the default."""
+    starts = ranges.filter("start_page is not null").select("doc_id", F.explode(F.array(F.col("start_page"), F.col("start_page") + 1)).alias("page_no"), F.lit(True).alias("near")).distinct()
+    found = ranges.filter("start_page is not null").select("doc_id", F.lit(True).alias("found")).distinct()
+    rows = lines.join(starts, ["doc_id", "page_no"], "left").join(found, "doc_id", "left")
+    searched = F.when(F.col("found"), F.coalesce("near", F.lit(False))).otherwise(F.col("page_no") <= FIRST_PAGES)
+    unit = F.when(searched, reported_unit(F.col("line")))
+    first = F.min(F.when(unit.isNotNull(), F.struct("page_no", "line_no", unit.alias("unit"))))["unit"]
+    return rows.groupBy("doc_id").agg(F.coalesce(first, F.lit(DEFAULT_UNIT)).alias("unit"))
+
+
 def label_hits(lines: DataFrame, labels: DataFrame) -> DataFrame:
     """Lines with every label (label, code, kind) they hold, white space apart; longer labels come first. labels is a dictionary."""
-    names = F.broadcast(labels.withColumn("label_order", F.row_number().over(Window.orderBy(F.length("label").desc(), "label"))))
+    names = small_side(labels.withColumn("label_order", F.row_number().over(Window.orderBy(F.length("label").desc(), "label"))))
     return lines.withColumn("bare", F.regexp_replace("line", BLANK, "")).join(names, F.contains(F.col("bare"), F.col("label")))
 
 

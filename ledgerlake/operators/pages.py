@@ -127,6 +127,18 @@ def best_title_pages(pages: DataFrame, title: str, words: str, least: float = 2.
     return best.select("doc_id", F.col("b.page_no").alias("page_no"), (-F.col("b.n")).alias("score"))
 
 
+def fallback_ranges(pages: DataFrame, title: str, words: str, bare: str, full: str, span: int = 8) -> DataFrame:
+    """From the best title page over at most span pages: on while a page holds table words or the title, up to the first that
+    doesn't, or that has the bare title without the full one (a statement of the parent company alone)."""
+    starts = best_title_pages(pages, title, words).select("doc_id", F.col("page_no").alias("start_page"))
+    text = F.col("text")
+    on = (text.rlike(words) | text.rlike(title)) & ~(F.contains(text, F.lit(bare)) & ~F.contains(text, F.lit(full)))
+    rows = pages.join(starts, "doc_id").filter(F.col("page_no").between(F.col("start_page") + 1, F.col("start_page") + span - 1)).withColumn("on", on)
+    stop = F.min(F.when(~F.col("on"), F.col("page_no"))).alias("stop")
+    ends = rows.groupBy("doc_id").agg(stop, F.max("page_no").alias("last"))
+    return starts.join(ends, "doc_id", "left").select("doc_id", "start_page", F.coalesce(F.col("stop") - 1, "last", "start_page").alias("end_page"))
+
+
 def text_blocks(pages: DataFrame, locations: DataFrame, most_chars: int) -> DataFrame:
     """The numbered page texts of each location in order, cut to most_chars."""
     rows = pages.join(locations, "doc_id").filter(F.col("page_no").between(F.col("start_page"), F.col("end_page")))
@@ -142,6 +154,19 @@ def locator_usable(locations: DataFrame, totals: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(ok.alias("usable"))
 
 
+def trusted_ranges(pages: DataFrame, located: DataFrame, titles: dict[str, str], fallback: DataFrame) -> DataFrame:
+    """Each document's located ranges if they can be trusted (locator_usable, ends not before starts, every statement's title
+    on its start page), else the fallback's (doc_id, stmt, start_page, end_page)."""
+    totals = pages.groupBy("doc_id").agg(F.max("page_no").alias("total_pages"))
+    pattern = F.create_map(*(F.lit(x) for kv in titles.items() for x in kv))
+    starts = located.join(pages.select("doc_id", F.col("page_no").alias("start_page"), "text"), ["doc_id", "start_page"], "left")
+    titled = starts.groupBy("doc_id").agg(F.bool_and(F.coalesce(F.regexp("text", F.try_element_at(pattern, F.col("stmt"))), F.lit(False)) & (F.col("end_page") >= F.col("start_page"))).alias("titled"))
+    good = locator_usable(located, totals).join(titled, "doc_id").filter("usable and titled").select("doc_id")
+    columns = ["doc_id", "stmt", "start_page", "end_page"]
+    first = located.join(good, "doc_id", "left_semi").select(*columns, F.lit("locator").alias("source"))
+    return first.unionByName(fallback.join(good, "doc_id", "left_anti").select(*columns, F.lit("fallback").alias("source")))
+
+
 def title_fallback(pages: DataFrame, found: DataFrame, titles: dict[str, str], lines: dict[str, list[str]], **table) -> DataFrame:
     """Statements not found yet: the first table-like page with the title in a title line; it ends before another statement
     within nine pages, else five pages on, within the document."""

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import BLANK, clean_item_name, latest_header_date, parse_number_cn
+from .lines import is_not_applicable, parse_per_share
+from ..sources.shared import small_side
 
 HEADER_ROWS = 3
 #: Status order, core codes' repairable states.
@@ -89,6 +91,67 @@ def without_empty(cells: DataFrame) -> DataFrame:
     return rows.withColumn("_r", held("row_no")).withColumn("_c", held("col_no")).filter("_r and _c").drop("_r", "_c")
 
 
+def expand_giant_rows(cells: DataFrame, anchor: str = "(项目|科目)", least_lines: int = 12) -> DataFrame:
+    """Tables of a header with the anchor and one row whose cells hold many lines, as a row for each line; others as they are."""
+    by = Window.partitionBy("table_id")
+    lines = F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("\n")), "\n")
+    rows = cells.withColumn("_first", F.min("row_no").over(by)).withColumn("_last", F.max("row_no").over(by)).withColumn("_lines", lines)
+    head = F.col("row_no") == F.col("_first")
+    rows = rows.withColumn("_anchor", F.max((head & F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "").rlike(anchor)).cast("int")).over(by))
+    rows = rows.withColumn("_most", F.max(F.when(~head, F.size("_lines"))).over(by)).withColumn("_two", F.size(F.collect_set("row_no").over(by)) == 2)
+    giant = F.col("_two") & (F.col("_anchor") == 1) & (F.col("_most") >= least_lines) & ~head
+    parts = F.when(giant, F.transform(F.sequence(F.lit(0), F.col("_most") - 1), lambda i: F.trim(F.coalesce(F.get("_lines", i), F.lit(""))))).otherwise(F.array("text"))
+    out = rows.select("table_id", "row_no", "col_no", F.posexplode(parts).alias("at", "text"))
+    return out.select("table_id", (F.col("row_no") + F.col("at")).alias("row_no"), "col_no", "text")
+
+
+def promote_headers(cells: DataFrame, anchor: str = "(项目|科目)") -> DataFrame:
+    """Cells with their column's name: the first row's text where it holds the anchor (that row goes; repeated names are
+    numbered), else col_<n>."""
+    by = Window.partitionBy("table_id")
+    rows = cells.withColumn("_head", F.col("row_no") == F.min("row_no").over(by))
+    rows = rows.withColumn("_promote", F.max((F.col("_head") & F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "").rlike(anchor)).cast("int")).over(by) == 1)
+    title = F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.lit("col"))
+    columns = rows.filter("_head").select("table_id", "col_no", "_promote", title.alias("title"), (F.row_number().over(by.orderBy("col_no")) - 1).alias("i"))
+    again = F.row_number().over(Window.partitionBy("table_id", "title").orderBy("col_no")) - 1
+    named = F.when(~F.col("_promote"), F.concat(F.lit("col_"), "i")).when(again == 0, F.col("title")).otherwise(F.concat_ws("_", "title", again))
+    names = columns.select("table_id", "col_no", named.alias("name"))
+    return rows.filter(~F.col("_head") | ~F.col("_promote")).join(names, ["table_id", "col_no"], "left").select("table_id", "row_no", "col_no", "name", "text")
+
+
+def clean_tables(cells: DataFrame) -> DataFrame:
+    """Extracted tables made regular: giant rows split, empty rows and columns dropped, headers promoted."""
+    return promote_headers(without_empty(expand_giant_rows(cells)))
+
+
+def balance_columns(cells: DataFrame, header_rows: int = 8) -> DataFrame:
+    """The period-end column of each balance sheet: of the columns with enough numbers (all if none has), those of the latest
+    header date; of these consolidated before unspecified before company-only, leftmost. Tables without dates are left to
+    period_columns."""
+    amounts = cells.filter("col_no > 0")
+    dense = numeric_density(amounts, 6).filter(F.col("density") >= LEAST_DENSITY).select("table_id", "col_no", F.lit(True).alias("dense"))
+    head = amounts.filter(F.col("row_no") <= header_rows).groupBy("table_id", "col_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "text"))), lambda x: x["text"]), " ").alias("blob"))
+    rows = head.join(dense, ["table_id", "col_no"], "left").withColumn("_any", F.max("dense").over(Window.partitionBy("table_id"))).filter(F.col("dense") | F.col("_any").isNull())
+    bare = F.regexp_replace("blob", r"\s+", "")
+    scope = F.when(F.contains(bare, F.lit("合并")), 2).when(F.contains(bare, F.lit("公司")), 0).otherwise(1)
+    dated = rows.withColumn("day", latest_header_date(F.col("blob"))).filter("day is not null")
+    best = dated.groupBy("table_id").agg(F.max(F.struct("day", scope.alias("scope"), (-F.col("col_no")).alias("left"))).alias("b"))
+    return best.select("table_id", (-F.col("b.left")).alias("col_no"), F.col("b.day").alias("day"), F.col("b.scope").alias("scope"))
+
+
+def eps_items(cells: DataFrame, columns: DataFrame, matches: DataFrame, codes: list[str]) -> DataFrame:
+    """Per-share rows: the first readable per-share number in the table's columns, current period first (columns: table_id,
+    col_no, priority); NOT_APPLICABLE where the row says so; COLUMN_ROLE_SWAP where another column than the first had it."""
+    labels = cells.filter("col_no = 0").select("table_id", "row_no", F.trim("text").alias("raw_item")).join(matches.filter(F.col("item_code").isin(codes)).select("raw_item", "item_code"), "raw_item")
+    rows = cells.filter("col_no > 0").join(columns, ["table_id", "col_no"]).withColumn("v", parse_per_share(F.col("text")))
+    given = F.when(F.col("v").isNotNull(), F.struct("priority", "v"))
+    found = rows.groupBy("table_id", "row_no").agg(F.min(given).alias("g"), F.min("priority").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("priority", "text"))), lambda x: F.trim(x["text"])), " ").alias("texts"))
+    out = labels.join(found, ["table_id", "row_no"], "left")
+    status = F.when(F.col("g").isNotNull(), "OK").when(is_not_applicable(F.concat_ws(" ", "raw_item", "texts")), "NOT_APPLICABLE").when(F.trim("texts") != "", "PARSE_ERROR")
+    note = F.when(F.col("g.priority") > F.col("first"), "COLUMN_ROLE_SWAP")
+    return out.select("table_id", "row_no", "item_code", F.col("g.v").alias("value"), status.alias("status"), note.alias("fixup_reason")).filter("status is not null")
+
+
 def drop_category_headers(items: DataFrame, headers: list[str]) -> DataFrame:
     return items.withColumn("clean", clean_item_name(F.col("raw_item"))).filter(~F.col("clean").isin(headers) & (F.length("clean") >= 2))
 
@@ -115,12 +178,12 @@ def indel_ratio(a: Column, b: Column) -> Column:
 def match_items(labels: DataFrame, accounts: DataFrame) -> DataFrame:
     """raw_item to account: exact on clean names (1.0), substring either way in chart order (0.95), best ratio (score/100).
 
-    Works on distinct clean labels; each tier sees what the one before left. The chart is a dictionary: its side is
-    broadcast. Of accounts with one clean name the last code counts. Below LEAST_RATIO no code, but name and score.
+    Works on distinct clean labels; each tier sees what the one before left. The chart is a dictionary and broadcast where
+    its counted size allows. Of accounts with one clean name the last code counts. Below LEAST_RATIO no code, but name and score.
     """
     names = labels.select("raw_item").distinct().withColumn("clean", clean_item_name(F.col("raw_item")))
     chart = accounts.withColumn("name", clean_item_name(F.col("item_name_std")))
-    chart = F.broadcast(chart.groupBy("name").agg(F.max_by("item_code", "ordinal").alias("item_code"), F.min("ordinal").alias("ordinal")))
+    chart = small_side(chart.groupBy("name").agg(F.max_by("item_code", "ordinal").alias("item_code"), F.min("ordinal").alias("ordinal")))
     clean = names.select("clean").distinct()
     exact = clean.join(chart, F.col("clean") == F.col("name")).select("clean", "item_code", "name", F.lit(1.0).alias("score"))
     rest = clean.join(exact.select("clean"), "clean", "left_anti")
@@ -148,7 +211,7 @@ def keep_best_status(items: DataFrame) -> DataFrame:
 
 def complete_schema(items: DataFrame, accounts: DataFrame) -> DataFrame:
     """Every document with every account of its statement; missing ones MISSING, filled values never so."""
-    wanted = items.select("doc_id", "stmt").distinct().join(F.broadcast(accounts), "stmt")
+    wanted = items.select("doc_id", "stmt").distinct().join(small_side(accounts), "stmt")
     rows = wanted.join(items.select("doc_id", "stmt", "item_code", "value", "status"), ["doc_id", "stmt", "item_code"], "left")
     status = F.coalesce("status", F.lit("MISSING"))
     return rows.withColumn("status", F.when(F.col("value").isNotNull() & (status == "MISSING"), "OK").otherwise(status))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import close, same_or_both_null, token_cost
+from ..sources.shared import small_side
 
 #: Decisions and statuses of the contract.
 DECISIONS = ["KEEP", "REPAIR", "NEED_REVIEW"]
@@ -33,7 +34,7 @@ def rule_status(value: Column, statuses: Column) -> Column:
 def build_cases(config: DataFrame, items: DataFrame) -> DataFrame:
     """One case per document and configured field (stmt, field, codes): its candidates in configured order, value and status."""
     codes = config.select("stmt", "field", F.posexplode("codes").alias("pos", "item_code"))
-    rows = items.join(F.broadcast(codes), ["stmt", "item_code"])
+    rows = items.join(small_side(codes), ["stmt", "item_code"])
     candidates = F.array_sort(F.collect_list(F.struct("pos", "item_code", "value", "status")))
     cases = rows.groupBy("doc_id", "stmt", "field").agg(candidates.alias("candidates"))
     value = F.element_at(F.filter(F.transform("candidates", lambda c: c["value"]), lambda v: v.isNotNull()), 1)
@@ -123,7 +124,10 @@ def low_confidence(candidates: DataFrame) -> DataFrame:
         F.when(F.col("value").isNull(), "missing").when(F.col("_gap") < 15, "score_gap").when(F.col("tag_priority") <= 1, "tag_priority").when(~F.col("is_consolidated") & F.col("_cons"), "not_consolidated")
         .when(~F.col("aligned") & F.col("_aligned"), "period").when(~F.col("unit_match") & F.col("_unit"), "unit")
     )
-    return rows.select("filing_id", "stmt", "field", reason.alias("reason"))
+    income = lambda s: F.max(F.when((F.col("stmt") == s) & (F.col("field") == "net_income"), F.col("value"))).over(Window.partitionBy("filing_id"))
+    rows = rows.withColumns({"_is": income("IS"), "_cf": income("CF")})
+    apart = (F.col("field") == "net_income") & F.col("_is").isNotNull() & F.col("_cf").isNotNull() & ~close(F.col("_is"), F.col("_cf"))
+    return rows.select("filing_id", "stmt", "field", F.coalesce(reason, F.when(apart, "net_income_mismatch")).alias("reason"))
 
 
 def cross_statement(values: DataFrame, one: str = "IS", other: str = "CF", field: str = "net_income") -> DataFrame:

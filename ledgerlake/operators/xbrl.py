@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize_label, parse_number_us
+from ..sources.shared import small_side
 
 #: Score parts of a fact.
 CONSOLIDATED, ANNUAL_US, ANNUAL_JP, NOT_ANNUAL, UNIT, TAG_STEPS = 100, 30, 20, -5, 10, 5
@@ -22,9 +23,9 @@ def facts_x_contexts(facts: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def facts_x_fields(facts: DataFrame, specs: DataFrame) -> DataFrame:
-    """Facts with each (stmt, field) that lists their tag, and the tag's place there. specs is a dictionary of some hundred rows."""
+    """Facts with each (stmt, field) that lists their tag, and the tag's place there."""
     tags = specs.select("stmt", "field", "period_type", "unit_keywords", F.posexplode("tags").alias("tag_pos", "tag"))
-    return facts.join(F.broadcast(tags), "tag")
+    return facts.join(small_side(tags), "tag")
 
 
 def in_period(report_date: Column) -> Column:
@@ -86,7 +87,7 @@ def first_tag_values(facts: DataFrame, contexts: DataFrame, filings: DataFrame,
 def label_alias_values(facts: DataFrame, contexts: DataFrame, filings: DataFrame, aliases: DataFrame) -> DataFrame:
     """The best value of each filing whose normalised tag holds an alias; an exact prefix counts a little more."""
     reports = filings.select("filing_id", "report_date").distinct()
-    names = F.broadcast(aliases.select(normalize_label(F.col("alias")).alias("alias")).filter("alias <> ''").distinct())
+    names = small_side(aliases.select(normalize_label(F.col("alias")).alias("alias")).filter("alias <> ''").distinct())
     rows = facts_x_contexts(facts, contexts).join(reports, "filing_id").filter(F.coalesce("end_date", "instant") == F.col("report_date"))
     rows = rows.withColumn("value", parse_number_us(F.col("value_raw"))).filter("value is not null").withColumn("label", normalize_label(F.col("tag")))
     hits = rows.join(names, F.contains(F.col("label"), F.col("alias")))
@@ -99,7 +100,7 @@ def label_alias_values(facts: DataFrame, contexts: DataFrame, filings: DataFrame
 
 def text_facts(facts: DataFrame, contexts: DataFrame, tags: DataFrame) -> DataFrame:
     """The text of each filing's best fact among tags (tag, tag_pos): early tags first, consolidated a little ahead."""
-    rows = facts_x_contexts(facts, contexts).join(F.broadcast(tags), "tag").filter(F.trim("value_raw") != "")
+    rows = facts_x_contexts(facts, contexts).join(small_side(tags), "tag").filter(F.trim("value_raw") != "")
     score = 100 - F.col("tag_pos") + F.when(F.col("is_consolidated"), 10).otherwise(0)
     return _best(rows.withColumn("score", score), ["filing_id"], F.desc("score"), F.asc("fact_seq")).select("filing_id", "tag", F.trim("value_raw").alias("text"), "score")
 
@@ -154,7 +155,7 @@ def consolidated_net_income(rows: DataFrame) -> DataFrame:
 def chain_values(scored: DataFrame, chains: DataFrame) -> DataFrame:
     """Fields as chains of single tags (field, chain_pos, source): the first source of a chain with a value."""
     best = choose_facts(scored, parse_first=True).select("filing_id", F.col("field").alias("source"), "value")
-    joined = best.join(F.broadcast(chains), "source")
+    joined = best.join(small_side(chains), "source")
     return joined.groupBy("filing_id", "field").agg(F.min_by("value", "chain_pos").alias("value"))
 
 
@@ -165,8 +166,82 @@ def cash_flow_batch(requests: DataFrame, filings: DataFrame, values: DataFrame)
     return found.join(values.withColumn("_has", F.lit(True)), "filing_id", "left").withColumn("error", error).drop("_has")
 
 
-def us_statements(facts: DataFrame, contexts: DataFrame, filings: DataFrame, specs: DataFrame) -> DataFrame:
-    """Long canonical values: income statement and balance sheet by the best fact, cash flow by the first tag with a value."""
-    by_fact = choose_facts(scored_facts(facts, contexts, filings, specs.filter("stmt <> 'CF'"))).select(*FIELD, "value")
-    by_tag = first_tag_values(facts, contexts, filings, specs.filter("stmt = 'CF'")).select(*FIELD, "value")
+def us_values(facts: DataFrame, contexts: DataFrame, filings: DataFrame, specs: DataFrame) -> DataFrame:
+    """Long canonical values with their tag: income statement and balance sheet by the best fact, cash flow by the first tag
+    with a value (tag null)."""
+    by_fact = choose_facts(scored_facts(facts, contexts, filings, specs.filter("stmt <> 'CF'"))).select(*FIELD, "value", F.when(F.col("value").isNotNull(), F.col("tag")).alias("tag"))
+    by_tag = first_tag_values(facts, contexts, filings, specs.filter("stmt = 'CF'")).select(*FIELD, "value", F.lit(None).cast("string").alias("tag"))
     return by_fact.unionByName(by_tag)
+
+
+def us_statements(facts: DataFrame, contexts: DataFrame, filings: DataFrame, specs: DataFrame) -> DataFrame:
+    return us_values(facts, contexts, filings, specs).drop("tag")
+
+
+def _constants(country: str, standard: str, currency: str) -> dict[str, Column]:
+    text = {"country": country, "fiscal_period": "FY", "accounting_standard": standard, "statement_scope": "CONSOLIDATED", "currency": currency}
+    return {k: F.lit(v) for k, v in text.items()} | {"unit_scale": F.lit(1), "anomaly_flag": F.lit(0)}
+
+
+def _header(filings: DataFrame) -> DataFrame:
+    return filings.select("filing_id", "form_type", F.col("report_date").alias("fiscal_year_end_date"), "filing_date", F.year("report_date").alias("fiscal_year"))
+
+
+def us_statement_table(facts: DataFrame, contexts: DataFrame, filings: DataFrame, specs: DataFrame, exchange_labels: list[str]) -> DataFrame:
+    """One row per filing with any value: every field as <statement>_<field>, the debt split with its source tags and flags,
+    consolidated net income, opening cash, the exchange effect by label where no tag has it, and the filing's metadata.
+
+    A filing's values are gathered in one aggregation over the long values; nothing is pivoted by a query of its own.
+    """
+    values = us_values(facts, contexts, filings, specs)
+    opening = prior_period_values(facts, contexts, filings, specs.filter("stmt = 'CF' and field = 'cash_end_of_period'"))
+    opening = opening.select("filing_id", F.lit("CF").alias("stmt"), F.lit("cash_beginning_of_period").alias("field"), "value", F.lit(None).cast("string").alias("tag"))
+    labels = facts.sparkSession.createDataFrame([(x,) for x in exchange_labels], "alias string")
+    by_label = label_alias_values(facts, contexts, filings, labels).select("filing_id", F.lit("CF").alias("stmt"), F.lit("exchange_by_label").alias("field"), "value", F.lit(None).cast("string").alias("tag"))
+    names = [(r["stmt"], r["field"]) for r in specs.select("stmt", "field").collect()]  # a dictionary
+    is_field = lambda s, f: (F.col("stmt") == s) & (F.col("field") == f)
+    value = lambda s, f: F.max(F.when(is_field(s, f), F.col("value"))).alias(f"{s}_{f}")
+    tag = lambda s, f: F.max(F.when(is_field(s, f), F.col("tag"))).alias(f"{f}_tag")
+    debts = ("debt_current", "debt_noncurrent", "debt_general", "commercial_paper_current")
+    wide = values.unionByName(opening).unionByName(by_label).groupBy("filing_id").agg(
+        *(value(s, f) for s, f in [*names, ("CF", "cash_beginning_of_period"), ("CF", "exchange_by_label")]), *(tag("BS", f) for f in debts)
+    )
+    now, strict, general = (F.col(f"BS_{f}") for f in debts[:3])
+    long = F.coalesce(strict, general)
+    any_debt = F.coalesce(now, long).isNotNull()
+    flag = lambda c: c.cast("int")
+    wide = wide.select(
+        "filing_id", *(f"{s}_{f}" for s, f in names if f not in (*debts[:3], "minority_share", "effect_of_exchange_rates_on_cash") and (s, f) != ("CF", "net_income")),
+        (F.col("CF_net_income") + F.coalesce("CF_minority_share", F.lit(0.0))).alias("CF_net_income"),
+        F.coalesce("CF_effect_of_exchange_rates_on_cash", "CF_exchange_by_label").alias("CF_effect_of_exchange_rates_on_cash"), "CF_cash_beginning_of_period",
+        now.alias("BS_short_term_debt"), long.alias("BS_long_term_debt"), F.when(any_debt, F.coalesce(now, F.lit(0.0)) + F.coalesce(long, F.lit(0.0))).alias("BS_term_debt_total"),
+        F.col("debt_current_tag").alias("short_term_debt_source_tag"), F.when(strict.isNotNull(), F.col("debt_noncurrent_tag")).otherwise(F.col("debt_general_tag")).alias("long_term_debt_source_tag"),
+        F.col("commercial_paper_current_tag").alias("commercial_paper_current_source_tag"),
+        flag(any_debt & now.isNull()).alias("term_debt_total_imputed_current_zero"), flag(any_debt & long.isNull()).alias("term_debt_total_imputed_noncurrent_zero"),
+        flag(strict.isNull() & general.isNotNull()).alias("term_debt_noncurrent_proxy_from_generic_long_term_tag"),
+    )
+    return _header(filings).join(wide, "filing_id").withColumns(_constants("US", "US_GAAP", "USD") | {"is_amendment": F.lit(0)})
+
+
+def jp_statement_table(facts: DataFrame, contexts: DataFrame, filings: DataFrame, single: DataFrame, chains: DataFrame) -> DataFrame:
+    """One row per filing with any value: every chain's field as <statement>_<field>, non-operating net where both sides are
+    given, cash at the period's ends (opening cash by its tag, else the instant value at the prior end, else closing cash less
+    its change), and the filing's metadata. chains' fields are named <statement>_<field>."""
+    chosen = chain_values(scored_facts(facts, contexts, filings, single, ANNUAL_JP), chains)
+    before = longest_durations(contexts, filings, False).select("filing_id", F.col("prior_end").alias("report_date"))
+    at_date = chains.filter("field = 'CF_cash_at_date'")
+    prior = chain_values(scored_facts(facts, contexts, before, single.join(small_side(at_date.select(F.col("source").alias("field"))), "field"), ANNUAL_JP), at_date)
+    chosen = chosen.unionByName(prior.withColumn("field", F.lit("CF_cash_at_prior_end")))
+    names = [r["field"] for r in chains.select("field").distinct().orderBy("field").collect()]  # a dictionary
+    wide = chosen.groupBy("filing_id").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in [*names, "CF_cash_at_prior_end"]))
+    closing = F.coalesce("CF_cash_end_of_period", "CF_cash_at_date")
+    opening = F.coalesce(F.col("CF_cash_beginning_of_period"), F.col("CF_cash_at_prior_end"), closing - F.col("CF_net_change_in_cash"))
+    sides = ("IS_non_operating_income", "IS_non_operating_expenses")
+    ends = ("CF_cash_beginning_of_period", "CF_cash_end_of_period", "CF_cash_at_date")
+    wide = wide.select(
+        "filing_id", *(n for n in names if n not in (*sides, *ends)), (F.col(sides[0]) - F.col(sides[1])).alias("IS_non_operating_income_expense_net"),
+        opening.alias("CF_cash_beginning_of_period"), closing.alias("CF_cash_end_of_period"),
+    )
+    amended = F.col("is_amendment").cast("int") if "is_amendment" in filings.columns else F.lit(0)
+    header = _header(filings).join(filings.select("filing_id", amended.alias("is_amendment")).distinct(), "filing_id")
+    return header.join(wide, "filing_id").withColumns(_constants("JP", "JP_GAAP", "JPY"))

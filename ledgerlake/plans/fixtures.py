@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import specs
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
 
 VIEWS = {
@@ -79,6 +81,22 @@ SELECT CAST(row_number() OVER (ORDER BY nm) AS BIGINT) AS ordinal, 'C_' || upper
 FROM (SELECT DISTINCT p_name AS nm FROM {part} WHERE p_name < 'n'
       UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM {part} WHERE split_part(p_name, ' ', 2) < 'n') u""",
 }
+
+
+def _tags(values) -> str:
+    """The distinct tags, numbered, as a VALUES list."""
+    return ", ".join(f"({i}, '{t}')" for i, t in enumerate(dict.fromkeys(values)))
+
+
+_US_TAGS = _tags([*(t for f in specs.US_FIELDS for t in f[2]), "OtherEffectOfExchangeRateChangesOnCash"])
+_JP_TAGS = _tags(t for f in specs.JP_CHAINS for choice in f[2] for t in choice)
+#: The facts above under all official tags in turn, and with the units that the specs ask for.
+VIEWS["fx_us_facts"] = f"""
+SELECT f.filing_id, f.fact_seq, t.tag, f.context_ref, CASE WHEN f.unit_ref = 'EUR' AND f.fact_seq % 2 = 0 THEN 'shares' ELSE f.unit_ref END AS unit_ref, f.value_raw
+FROM {{fx_facts}} f JOIN (VALUES {_US_TAGS}) AS t(i, tag) ON (f.fact_seq * 7 + f.filing_id) % {_US_TAGS.count("(")} = t.i"""
+VIEWS["fx_jp_facts"] = f"""
+SELECT f.filing_id, f.fact_seq, t.tag, f.context_ref, CASE f.unit_ref WHEN 'USD' THEN 'JPY' WHEN 'EUR' THEN 'JPY/shares' ELSE 'shares' END AS unit_ref, f.value_raw
+FROM {{fx_facts}} f JOIN (VALUES {_JP_TAGS}) AS t(i, tag) ON (f.fact_seq * 7 + f.filing_id) % {_JP_TAGS.count("(")} = t.i"""
 #: One line a row; a page is three lines. The only view whose text differs between the engines.
 _LINES = {
     "spark": r"SELECT doc_id, CAST(pos + 1 AS BIGINT) AS line_no, CAST(pos DIV 3 + 1 AS BIGINT) AS page_no, line FROM {documents} LATERAL VIEW posexplode(split(text, '\n')) AS pos, line",

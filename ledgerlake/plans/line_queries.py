@@ -89,7 +89,7 @@ def s4(s, d):
 
 def s6(s, d):
     head = s.createDataFrame([("BS", 3, "Field Code", "Field Name"), ("BS", 1, "title", None), ("IS", 2, "Field Code", "Field Name")], "sheet string, row_no int, code string, name string")
-    body = view(s, d, "part").filter("p_partkey < 200").select(F.when(F.col("p_partkey") % 2 == 0, "BS").otherwise("IS").alias("sheet"), (F.col("p_partkey") + 4).cast("int").alias("row_no"), F.concat(F.lit(" C"), "p_partkey").alias("code"), F.col("p_name").alias("name"))
+    body = view(s, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, "BS").otherwise("IS").alias("sheet"), (F.col("p_partkey") + 4).cast("int").alias("row_no"), F.concat(F.lit(" C"), "p_partkey").alias("code"), F.col("p_name").alias("name"))
     return st.chart_of_accounts(head.union(body))
 
 
@@ -110,7 +110,7 @@ QUERIES = {
         lambda s, d: view(s, d, "part").select("p_partkey", ln.parse_per_share(F.concat(F.lit("x "), (F.col("p_partkey") % 1000).cast("string"), F.lit("，25"))).alias("value")),
         "WITH x AS (SELECT p_partkey, p_partkey % 1000 AS n FROM {part}) SELECT p_partkey, CASE WHEN n < 200 THEN n ELSE n % 10 END + 0.25::DOUBLE AS value FROM x",
     ),
-    "f4_parse_amount_from_line": (lambda s, d: _lines(s, d).select("doc_id", "line_no", ln.parse_amount(F.col("line")).alias("value")), None),
+    "f4_parse_amount_from_line": (lambda s, d: _lines(s, d).select("doc_id", "line_no", ln.parse_amount(F.col("line")).alias("value")), f"WITH {_LINE} SELECT doc_id, line_no, CASE WHEN NOT hot THEN CAST(amount AS DOUBLE) END AS value FROM ln"),
     "f5_parse_xbrl_number": (lambda s, d: view(s, d, "fx_facts").select("filing_id", "fact_seq", sc.parse_number_us(F.col("value_raw")).alias("value")), "SELECT filing_id, fact_seq, try_cast(value_raw AS DOUBLE) AS value FROM {fx_facts}"),
     "f6_parse_number_jp": (
         lambda s, d: _lines(s, d).select("line_no", sc.parse_number_jp(F.concat(F.lit("△"), ((F.col("line_no") + 1) * 1000).cast("string"))).alias("value"), sc.parse_number_jp(F.when(F.col("line_no") % 2 == 0, "―").otherwise("5")).alias("dash")),
@@ -197,7 +197,7 @@ QUERIES = {
         """WITH a AS (SELECT company_key, list_sort(list(form_type)) AS f, list_sort(list(CAST(report_date AS VARCHAR))) AS r FROM {fx_filings} GROUP BY 1)
         SELECT company_key, i - 1 AS seq, f[i] AS form, r[i] AS "reportDate" FROM a, range(1, len(f) + 1) AS g(i)""",
     ),
-    "s6_read_chart_of_accounts": (s6, "SELECT CASE WHEN p_partkey % 2 = 0 THEN 'BS' ELSE 'IS' END AS sheet, CAST(row_number() OVER (PARTITION BY p_partkey % 2 ORDER BY p_partkey) AS INT) AS ordinal, 'C' || p_partkey AS item_code, p_name AS item_name_std FROM {part} WHERE p_partkey < 200"),
+    "s6_read_chart_of_accounts": (s6, "SELECT CASE WHEN p_partkey % 2 = 0 THEN 'BS' ELSE 'IS' END AS sheet, CAST(row_number() OVER (PARTITION BY p_partkey % 2 ORDER BY p_partkey) AS INT) AS ordinal, 'C' || p_partkey AS item_code, p_name AS item_name_std FROM {part}"),
     "s11_build_pdf_manifest": (
         s11,
         "WITH f AS (SELECT CAST(p_partkey % 60 AS VARCHAR) AS symbol, max('/pdf/' || (p_partkey % 60) || '_' || p_size || '_annual.pdf') AS path FROM {part} GROUP BY 1) SELECT CAST(s_suppkey AS VARCHAR) AS symbol, path, CASE WHEN path IS NULL THEN 'missing' ELSE 'ok' END AS status FROM {supplier} LEFT JOIN f ON symbol = CAST(s_suppkey AS VARCHAR)",

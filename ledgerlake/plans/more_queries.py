@@ -57,6 +57,15 @@ def v2(s, d):
     return out.select("filing_id", "stmt", "field", "reason", F.array_join(F.transform("candidates", lambda c: c["item_code"]), ",").alias("codes"))
 
 
+_V2 = f"""WITH ca AS ({rq._W14}), cx AS (WITH {xq._ctes()}, d AS {xq._best('q', 'filing_id, stmt, field, tag, context_ref, value', 'fact_seq')},
+  k AS (SELECT *, row_number() OVER (PARTITION BY filing_id, stmt, field ORDER BY score DESC, fact_seq) AS rk FROM d) SELECT filing_id, stmt, field, rk AS pos, stmt || '.' || field || '.fact.' || rk AS code, value FROM k WHERE rk <= 2),
+va AS (WITH {xq._ctes()}, b AS {xq._CHOSEN} SELECT filing_id, stmt, CASE WHEN stmt = 'CF' THEN 'net_income' ELSE field END AS field, max(value) AS value FROM b GROUP BY ALL),
+ro AS (SELECT cx.* FROM cx JOIN ca USING (filing_id, stmt, field) WHERE reason IS NOT NULL UNION ALL SELECT filing_id, stmt, field, 100, stmt || '.' || field, value FROM va
+  UNION ALL SELECT filing_id, CASE stmt WHEN 'IS' THEN 'CF' ELSE 'IS' END, field, 101, stmt || '.' || field, value FROM va WHERE field = 'net_income' AND stmt IN ('IS', 'CF')),
+fo AS (SELECT filing_id, stmt, field, string_agg(code, ',' ORDER BY pos, code) AS codes FROM (SELECT filing_id, stmt, field, code, min(pos) AS pos FROM ro WHERE value IS NOT NULL GROUP BY ALL) GROUP BY 1, 2, 3)
+SELECT ca.filing_id, ca.stmt, ca.field, reason, codes FROM ca LEFT JOIN fo USING (filing_id, stmt, field)"""
+
+
 def v3(s, d):
     return rq.v1(s, d).select("doc_id", "stmt", "field", F.to_json(F.struct("stmt", "field", "codes")).alias("payload"))
 
@@ -112,6 +121,17 @@ def c10(s, d):
     return tb.extract_items(cells, best, matches).select("table_id", "row_no", "item_code", "value", "status", "is_fallback")
 
 
+_C10 = f"""WITH n AS (SELECT DISTINCT trim(text) AS raw_item, replace(trim(text), ' ', '') AS clean FROM {{fx_cells}} WHERE col_no = 0), {pq._TIERS},
+a AS (SELECT table_id, col_no, abs({pq._NUM}) AS v FROM {{fx_cells}}), g AS (SELECT table_id, col_no, count(v) AS n, count(*) FILTER (v >= 10000) AS big, count(*) FILTER (v <= 999) AS small, CAST(sum(CAST(least(12, log10(v + 1)) AS DECIMAL(38,6))) AS DOUBLE) AS m FROM a GROUP BY 1, 2),
+s AS (SELECT table_id, col_no, round(CASE WHEN n = 0 THEN -200 ELSE n * 6 + big * 10 - small * 2 + m - CASE WHEN big = 0 AND small / greatest(n, 1) >= 0.7 THEN 140 ELSE 0 END END, 3) AS score FROM g),
+b AS (SELECT table_id, arg_min(col_no, (-score, col_no)) AS best FROM s GROUP BY 1),
+t AS (SELECT table_id, row_no, col_no, CASE WHEN col_no = 2 AND row_no % 18 = 0 THEN '' ELSE text END AS text FROM {{fx_cells}} WHERE col_no > 0),
+x AS (SELECT t.table_id, row_no, text, CASE WHEN col_no = best THEN -1 ELSE col_no END AS o, {pq._NUM} AS v FROM t JOIN b ON b.table_id = t.table_id),
+y AS (SELECT table_id, row_no, arg_min(v, o) FILTER (v IS NOT NULL) AS v, min(o) FILTER (v IS NOT NULL) AS o, max(trim(text)) FILTER (o = -1) AS raw FROM x GROUP BY 1, 2)
+SELECT q.table_id, q.row_no, m.item_code, v AS value, CASE WHEN v IS NOT NULL THEN 'OK' WHEN coalesce(raw, '') <> '' THEN 'PARSE_ERROR' ELSE 'MISSING' END AS status, coalesce(o > -1, false) AS is_fallback
+FROM {{fx_cells}} q JOIN n ON n.raw_item = trim(q.text) JOIN m ON m.clean = n.clean AND m.item_code IS NOT NULL LEFT JOIN y ON y.table_id = q.table_id AND y.row_no = q.row_no WHERE q.col_no = 0"""
+
+
 def c12(s, d):
     facts, contexts, _, _ = xq._inputs(s, d)
     tags = lambda t: xb.text_facts(facts, contexts, s.createDataFrame([(t, 0)], "tag string, tag_pos int"))
@@ -141,7 +161,7 @@ def s12(s, d):
 QUERIES = {
     "w12_title_fallback_search": (w12, _W12),
     "w10_toc_scope_cascade": (w10, _W10),
-    "v2_build_cases_us_jp": (v2, None),
+    "v2_build_cases_us_jp": (v2, _V2),
     "v3_build_request_payload": (v3, "WITH r AS (" + rq._V1 + """) SELECT doc_id, stmt, field, '{"stmt":"' || stmt || '","field":"' || field || '","codes":"' || codes || '"}' AS payload FROM r"""),
     "v7_doc_guardrails": (v7, _V7),
     "v8_evidence_rendering": (v8, "SELECT event_id, 1 AS n, 'value: None' AS quote, CASE WHEN event_id % 2 = 0 THEN 'because' ELSE 'Supported by candidate evidence.' END AS why FROM {events}"),
@@ -158,7 +178,7 @@ QUERIES = {
         f22,
         "SELECT event_id, CASE WHEN event_id % 3 = 0 AND value IS NOT NULL THEN 'OK' WHEN event_id % 4 = 1 OR (event_id // 4) % 4 = 1 THEN 'PARSE_ERROR' WHEN event_id % 4 = 2 OR (event_id // 4) % 4 = 2 THEN 'NOT_APPLICABLE' ELSE 'MISSING' END AS status FROM {events}",
     ),
-    "c10_extract_current_year_items": (c10, None),
+    "c10_extract_current_year_items": (c10, _C10),
     "c12_jp_filing_metadata": (c12, _C12.replace("{a10}", _A10)),
     "s12_jp_zip_manifest": (
         s12,

@@ -117,6 +117,27 @@ def f26(s, d):
     return best.select("raw_item", "b.item_code", F.round(-F.col("b.n"), 4).alias("ratio"))
 
 
+def _lcs(x: str, y: str) -> str:
+    """SQL text of the longest common subsequence of two words: rows of the table folded over the letters of one."""
+    cells = f"list_concat([[0]], list_transform(range(1, length({y}) + 1), lambda j: [prev[j + 1], prev[j] + CASE WHEN ord({y}[j]) = c[1] THEN 1 ELSE 0 END]))"
+    row = f"list_reduce({cells}, lambda acc, e: list_append(acc, greatest(acc[-1], e[1], e[2])))"
+    start = f"list_concat([list_transform(range(0, length({y}) + 1), lambda z: 0)], list_transform(range(1, length({x}) + 1), lambda i: [CAST(ord({x}[i]) AS INT)]))"
+    return f"list_reduce({start}, lambda prev, c: {row})[-1]"
+
+
+_F26 = f"""WITH l AS (SELECT DISTINCT raw_item FROM {{fx_labels}}), p AS (SELECT raw_item, item_code, ordinal, 200.0 * {_lcs('raw_item', 'item_name_std')} / (length(raw_item) + length(item_name_std)) AS ratio FROM l CROSS JOIN {{fx_coa}})
+SELECT raw_item, item_code, CAST(round(ratio, 4) AS DOUBLE) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY raw_item ORDER BY CAST(ratio AS DOUBLE) DESC, ordinal) AS rn FROM p) WHERE rn = 1"""
+#: All three tiers over labels n(raw_item, clean) and the chart c(name, item_code, o): m(clean, item_code, name, score).
+_TIERS = f"""c AS (SELECT replace(item_name_std, ' ', '') AS name, arg_max(item_code, ordinal) AS item_code, min(ordinal) AS o FROM {{fx_coa}} WHERE ordinal % 5 < 4 GROUP BY 1),
+e AS (SELECT DISTINCT clean, item_code, name, 1.0::DOUBLE AS score FROM n JOIN c ON clean = name),
+p AS (SELECT clean, arg_min(item_code, o) AS item_code, arg_min(name, o) AS name, 0.95::DOUBLE AS score FROM (SELECT DISTINCT clean FROM n WHERE length(clean) >= 3 AND clean NOT IN (SELECT clean FROM e)) JOIN c ON length(name) >= 3 AND (contains(clean, name) OR contains(name, clean)) GROUP BY 1),
+fz AS (SELECT clean, item_code, name, o, 200.0::DOUBLE * {_lcs('clean', 'name')} / (length(clean) + length(name)) AS ratio FROM (SELECT DISTINCT clean FROM n WHERE clean NOT IN (SELECT clean FROM e) AND clean NOT IN (SELECT clean FROM p)) CROSS JOIN c),
+fb AS (SELECT clean, CASE WHEN ratio >= 75 THEN item_code END AS item_code, name, ratio / 100 AS score FROM (SELECT *, row_number() OVER (PARTITION BY clean ORDER BY ratio DESC, o) AS rn FROM fz) WHERE rn = 1),
+m AS (SELECT * FROM e UNION ALL SELECT * FROM p UNION ALL SELECT * FROM fb)"""
+_J4_TIERS = f"""WITH l AS (SELECT DISTINCT CASE WHEN length(raw_item) % 3 = 0 THEN replace(raw_item, 'e', 'i') ELSE raw_item END AS raw_item FROM {{fx_labels}}), n AS (SELECT raw_item, replace(raw_item, ' ', '') AS clean FROM l),
+{_TIERS} SELECT raw_item, item_code, name AS matched_name, score FROM n LEFT JOIN m ON m.clean = n.clean"""
+
+
 _U2 = f"""WITH {_I}, c AS (SELECT doc_id, stmt, count(*) FILTER (method = 'stream') AS ns, count(*) FILTER (method = 'lattice') AS nl, count(DISTINCT item_code) AS nu FROM i GROUP BY 1, 2),
 k AS (SELECT doc_id, stmt, CASE WHEN stmt = 'BS' AND nu > greatest(ns, nl) THEN 'union' WHEN ns > 0 AND ns >= nl THEN 'stream' ELSE 'lattice' END AS chosen FROM c),
 r AS (SELECT i.*, chosen, row_number() OVER (PARTITION BY i.doc_id, i.stmt, item_code ORDER BY method = 'stream' DESC, seq) AS rn FROM i JOIN k ON i.doc_id = k.doc_id AND i.stmt = k.stmt WHERE chosen = 'union' OR chosen = method)
@@ -208,8 +229,8 @@ QUERIES = {
         "SELECT table_id, row_no, col_no, text FROM {fx_cells} WHERE row_no % 5 <> 0 AND col_no <> 1",
     ),
     "j4_item_match": (j4, _J4),
-    "j4_item_match_tiers": (j4_tiers, None),
-    "f26_fuzz_ratio": (f26, None),
+    "j4_item_match_tiers": (j4_tiers, _J4_TIERS),
+    "f26_fuzz_ratio": (f26, _F26),
     "w6_keep_best_status": (lambda s, d: tb.keep_best_status(_items(s, d)).select("doc_id", "stmt", "item_code", "status", "seq"), f"WITH {_I}, {_BESTI} SELECT doc_id, stmt, item_code, status, seq FROM b"),
     "j6_schema_completion": (
         lambda s, d: tb.complete_schema(tb.keep_best_status(_items(s, d)), s.createDataFrame([(t, c) for t in ("BS", "IS") for c in ("ring", "gear", "none")], "stmt string, item_code string")),

@@ -126,7 +126,7 @@ def w13(s, d):
 
 _W13 = """WITH r AS (SELECT l_suppkey AS chart, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS o, l_linenumber = 7 AS p FROM {lineitem}),
 n AS (SELECT *, coalesce(sum(CAST(p AS INT)) OVER (PARTITION BY chart ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM r)
-SELECT c.chart, 'C' || q.o AS parent_code, 'C' || c.o AS child_code FROM n c JOIN n q ON q.chart = c.chart AND q.k = c.k AND q.p WHERE NOT c.p"""
+SELECT chart, parent_code, child_code FROM (SELECT chart, p, 'C' || o AS child_code, max(CASE WHEN p THEN 'C' || o END) OVER (PARTITION BY chart, k) AS parent_code FROM n) WHERE NOT p AND parent_code IS NOT NULL"""
 
 
 def _labelled(s, d):

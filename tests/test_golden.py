@@ -83,4 +83,4 @@ def test_japanese_chains(spark):
     filings = spark.sql("SELECT 1L AS filing_id, DATE '2024-03-31' AS report_date")
     single, chains = specs.chain_specs(spark)
     rows = xbrl.chain_values(xbrl.scored_facts(facts, contexts, filings, single, xbrl.ANNUAL_JP), chains).collect()
-    assert [(r["field"], r["value"]) for r in rows] == [("total_revenue", 1000.0)]
+    assert [(r["field"], r["value"]) for r in rows] == [("IS_total_revenue", 1000.0)]
