@@ -44,7 +44,7 @@ def test_stages_by_brute_force(spark, sf_dir):
     leaked = {r["doc_id"] for r in into["decontamination"].collect() if any(len(g & five(words(r["text"]))) > 0.5 * len(g) for g in bench)}
     assert {r["doc_id"] for r in out["decontamination"].collect()} == {r["doc_id"] for r in into["decontamination"].collect()} - leaked
 
-    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(into["mixing"]).collect()}
+    copies = {r["row"]["doc_id"]: r["copies"] for r in mixing.mix(into["mixing"]).collect()}
     assert _rows(out["mixing"]) == collections.Counter({tuple(r): copies[r["doc_id"]] for r in into["mixing"].collect() if copies[r["doc_id"]]})
 
     placed = out["sharding"].collect()
