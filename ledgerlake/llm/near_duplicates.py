@@ -111,9 +111,18 @@ def _cells(members: np.ndarray) -> np.ndarray:
     return (tx.mix64(members.view(np.uint64)) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
+def _by_members(batch: pa.RecordBatch, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """The batch (id, members, ...) in pieces of about that many shingles; a larger set is a piece of its own."""
+    ends, row = np.cumsum(batch.column("members").value_lengths().to_numpy()), 0
+    while row < len(batch):
+        end = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + most, "right")))
+        yield batch.slice(row, end - row)
+        row = end
+
+
 def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << COUNT_BITS, np.int64)
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in _by_members(whole)):
         total += np.bincount(_cells(batch.column(0).flatten().to_numpy()), minlength=len(total))
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "n"])
@@ -124,7 +133,7 @@ def _rarest(counts: np.ndarray, percent: int):
     size and how many of its shingles come from that one onward."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _by_members(whole)):
             members, size = batch.column(1).flatten().to_numpy(), batch.column(1).value_lengths().to_numpy()
             owner = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((members, counts[_cells(members)], owner))

@@ -29,16 +29,23 @@ BUCKET_BITS = 22
 LEAST_TEXTS, LEAST_ERRORS = 3, 3.0
 ROUNDS, RATE, DECAY = 150, 0.1, 0.1
 #: Texts are worked on in slices of so many bytes.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _KEYS = {n: (tx.random64(n, 61 + n) >> np.uint64(32)).astype(np.uint32) | np.uint32(1) for n in ORDERS}
 
 
 @dataclass
 class ToxicityModel:
-    weights: np.ndarray  # of each bucket
+    buckets: np.ndarray  # those of the chosen n-grams
+    weights: np.ndarray
     bias: float
 
+    def table(self) -> np.ndarray:
+        """The weight of every bucket."""
+        out = np.zeros(1 << BUCKET_BITS, np.float32)
+        out[self.buckets] = self.weights
+        return out
+
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text) of every character n-gram of the lower-cased texts, white space as one blank."""
@@ -118,13 +125,14 @@ def fit(kept: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.nd
 
 def _scores(model: ToxicityModel):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = model.table()
         for batch in batches:
             out = []
             for part in _pieces(batch.column(1)):
                 bucket, owner = _grams(part)
-                hit = model.weights[bucket] != 0
+                hit = weights[bucket] != 0
                 key = np.unique(owner[hit] << BUCKET_BITS | bucket[hit])
-                total = np.bincount(key >> BUCKET_BITS, model.weights[key & ((1 << BUCKET_BITS) - 1)], len(part))
+                total = np.bincount(key >> BUCKET_BITS, weights[key & ((1 << BUCKET_BITS) - 1)], len(part))
                 out.append(1 / (1 + np.exp(-np.clip(total + model.bias, -50, 50))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["doc_id", "score"])
 
@@ -134,18 +142,17 @@ def _scores(model: ToxicityModel):
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
     sample = training_sample(docs, labels, "toxic", PARTS, HELD_OUT, per_class)
     grams = written(sample.select("text", "y").mapInArrow(_present, "y int, grams binary"))
-    weights = np.zeros(1 << BUCKET_BITS, np.float32)
     n_toxic, n = (v or 0 for v in grams.agg(F.sum("y"), F.count("*")).first())
     if n_toxic in (0, n):
-        return ToxicityModel(weights, 20.0 if n_toxic else -20.0)
+        return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), 20.0 if n_toxic else -20.0)
     chosen = log_count_ratios(grams, n - n_toxic, n_toxic).toArrow()
     bucket, ratio = chosen["bucket"].to_numpy(), chosen["ratio"].to_numpy()
     order = np.argsort(bucket)
     bucket, ratio = bucket[order], ratio[order]
-    number = np.full(1 << BUCKET_BITS, -1, np.int32)
-    number[bucket] = np.arange(len(bucket))
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.full(1 << BUCKET_BITS, -1, np.int32)
+        number[bucket] = np.arange(len(bucket))
         for batch in batches:
             held = [number[np.frombuffer(g.as_buffer(), np.uint32)] for g in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[h >= 0].tobytes() for h in held], pa.binary())], names=["y", "kept"])
@@ -153,8 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Tox
     rows = grams.mapInArrow(numbers, "y int, kept binary").toArrow()
     kept = [np.frombuffer(k.as_buffer(), np.int32) for chunk in rows["kept"].chunks for k in chunk]
     w, bias = fit(kept, np.array(rows["y"].to_pylist(), float), ratio)
-    weights[bucket] = w
-    return ToxicityModel(weights, bias)
+    return ToxicityModel(bucket, w.astype(np.float32), bias)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
