@@ -106,7 +106,7 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(batch)), count), batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy().astype(np.int64)
 
 
-def _small(batch: pa.RecordBatch, most: int = 50_000) -> Iterator[pa.RecordBatch]:
+def _small(batch: pa.RecordBatch, most: int = 25_000) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about that many terms."""
     ends = np.cumsum(batch.column(1).value_lengths().to_numpy())
     row = 0
@@ -221,11 +221,11 @@ _SHARES = "i int, parts array<double>"
 def latent_basis(term_rows: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
     """(right singular vectors of the passages by terms, one row a term; singular values), by randomised SVD."""
     width = min(rank + OVERSAMPLE, len(idf))
-    gram = _matrix(_summed(term_rows.mapInArrow(_range_gram(idf, width), _SHARES), width), width, width)
+    gram = _matrix(_summed(term_rows.mapInArrow(tx.freed(_range_gram(idf, width)), _SHARES), width), width, width)
     value, vector = np.linalg.eigh(gram)
     sound = value > 1e-9 * value.max(initial=1e-300)  # a range of lower rank than width has a singular Gram matrix
     whiten = vector[:, sound] / np.sqrt(value[sound])  # A W whiten is orthonormal
-    by_term = written(_summed(term_rows.mapInArrow(_range_by_term(idf, width), _SHARES), width))
+    by_term = written(_summed(term_rows.mapInArrow(tx.freed(_range_by_term(idf, width)), _SHARES), width))
     inner = whiten.T @ _matrix(_summed(by_term.mapInArrow(_gram, _SHARES), width), width, width) @ whiten
     value, vector = np.linalg.eigh((inner + inner.T) / 2)
     order = np.argsort(-value)[:rank]
@@ -356,7 +356,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if len(vocabulary) > MOST_TERMS:
         raise ValueError(f"the benchmark has {len(vocabulary)} terms; at most {MOST_TERMS} can be broadcast")
 
-    counted = docs.select("text").mapInArrow(_counts(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counted = docs.select("text").mapInArrow(tx.freed(_counts(vocabulary)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = dict(zip(counted["term"].to_pylist(), counted["n"].to_pylist(), strict=True))
     n_docs = max(1, df.pop(-1, 0))
     frequency = np.zeros(len(vocabulary))
@@ -367,9 +367,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         kept[own[np.argsort(frequency[own], kind="stable")[:LEAST_TERMS]]] = True
     known = Items(words, vocabulary[kept], np.log((n_docs + 1) / (frequency[kept] + 1)) + 0.1)
 
-    term_rows = written(docs.mapInArrow(_term_rows(known.terms), "doc_id long, terms array<int>, places array<int>"))
+    term_rows = written(docs.mapInArrow(tx.freed(_term_rows(known.terms)), "doc_id long, terms array<int>, places array<int>"))
     basis, _ = latent_basis(term_rows, known.idf)
-    found = term_rows.mapInArrow(_search(known.sequences(), lengths, (basis * known.idf[:, None]).astype(np.float32)), _FOUND)
+    found = term_rows.mapInArrow(tx.freed(_search(known.sequences(), lengths, (basis * known.idf[:, None]).astype(np.float32))), _FOUND)
     best = F.max(F.struct("lcs_share", "answer_share", "cosine")).alias("best")
     found = found.groupBy("doc_id", "item").agg(best)
     numbers = spark.createDataFrame(list(enumerate(rows)), "item long, text string")

@@ -177,7 +177,7 @@ def near_duplicate_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCE
     Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    features = written(docs.mapInArrow(_features(k), "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>"))
+    features = written(docs.mapInArrow(tx.freed(_features(k)), "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>"))
     classes = written(
         features.filter("digest is not null").groupBy("digest")
         .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
@@ -191,7 +191,7 @@ def near_duplicate_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCE
     centres = [F.min(F.struct(F.xxhash64(F.lit(j), "id"), "id"))["id"] for j in range(CENTRES)]
     centres = written(shared.groupBy("band").agg(F.array_distinct(F.array(*centres)).alias("centres")))
     ids = written(shared.select(F.col("id").alias("doc_id")).distinct())
-    sets = written(docs.join(small_side(ids, BROADCAST_IDS), "doc_id", "left_semi").mapInArrow(_full_sets(k), "id long, members array<long>"))
+    sets = written(docs.join(small_side(ids, BROADCAST_IDS), "doc_id", "left_semi").mapInArrow(tx.freed(_full_sets(k)), "id long, members array<long>"))
     full = lambda name: sets.select(F.col("id").alias(name), F.col("members").alias(f"set_{name}"))
 
     stars = shared.join(centres, "band").select("id", F.explode("centres").alias("centre")).filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
@@ -204,10 +204,10 @@ def near_duplicate_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCE
     open_ids = written(at.join(mixed, "band").groupBy("id").agg(F.first("at").alias("at")))
     if not open_ids.isEmpty():
         open_sets = sets.join(small_side(open_ids, BROADCAST_IDS), "id")
-        counts = open_sets.select("members").mapInArrow(_shingle_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        counts = open_sets.select("members").mapInArrow(tx.freed(_shingle_counts), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         table = np.zeros(1 << COUNT_BITS, np.int64)
         table[counts["cell"].to_numpy()] = counts["n"].to_numpy()
-        rare = written(open_sets.select("id", "members", "at").mapInArrow(_rarest(table, percent), "id long, at long, shingle long, n long, onward long"))
+        rare = written(open_sets.select("id", "members", "at").mapInArrow(tx.freed(_rarest(table, percent)), "id long, at long, shingle long, n long, onward long"))
         by_at = rare.groupBy("shingle", "at").agg(F.count("*").alias("rows"))
         by_shingle = by_at.groupBy("shingle").agg(F.max(F.struct("rows", "at"))["at"].alias("most"), F.sum("rows").alias("rows"), F.count("*").alias("ats"))
         met = written(rare.join(by_shingle.filter("ats > 1").drop("ats"), "shingle").withColumn("parts", F.ceil(F.col("rows") / PART_ROWS).cast("int")))

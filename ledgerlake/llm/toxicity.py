@@ -89,22 +89,22 @@ def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each task's number of texts of either label that hold a bucket."""
+    """The number of texts of either label that hold a bucket, for those of LEAST_TEXTS; the bounded sample is one task's."""
     seen = np.zeros((2, 1 << BUCKET_BITS), np.int32)
     for batch in batches:
         for y, grams in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             seen[y, np.frombuffer(grams.as_buffer(), np.uint32)] += 1
-    used = np.flatnonzero(seen.any(0))
+    used = np.flatnonzero(seen.sum(0) >= LEAST_TEXTS)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(seen[0, used]), pa.array(seen[1, used])], names=["bucket", "other", "toxic"])
 
 
 def log_count_ratios(grams: DataFrame, n_other: int, n_toxic: int) -> DataFrame:
     """bucket and ratio of the n-grams of enough texts and a ratio of enough standard errors (grams: y, grams)."""
     other, toxic = F.col("other") + 1, F.col("toxic") + 1
-    counts = grams.mapInArrow(_counted, "bucket int, other int, toxic int").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    counts = grams.coalesce(1).mapInArrow(tx.freed(_counted), "bucket int, other int, toxic int")
     ratio = F.log(toxic / F.lit(n_toxic + 2.0)) - F.log(other / F.lit(n_other + 2.0))
     strong = F.abs("ratio") >= LEAST_ERRORS * F.sqrt(1 / other + 1 / toxic)
-    return counts.filter(F.col("other") + F.col("toxic") >= LEAST_TEXTS).withColumn("ratio", ratio).filter(strong).select("bucket", "ratio")
+    return counts.withColumn("ratio", ratio).filter(strong).select("bucket", "ratio")
 
 
 def fit(kept: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
@@ -141,7 +141,7 @@ def _scores(model: ToxicityModel):
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
     sample = training_sample(docs, labels, "toxic", PARTS, HELD_OUT, per_class)
-    grams = written(sample.select("text", "y").mapInArrow(_present, "y int, grams binary"))
+    grams = written(sample.select("text", "y").mapInArrow(tx.freed(_present), "y int, grams binary"))
     n_toxic, n = (v or 0 for v in grams.agg(F.sum("y"), F.count("*")).first())
     if n_toxic in (0, n):
         return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), 20.0 if n_toxic else -20.0)
@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Tox
             held = [number[np.frombuffer(g.as_buffer(), np.uint32)] for g in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[h >= 0].tobytes() for h in held], pa.binary())], names=["y", "kept"])
 
-    rows = grams.mapInArrow(numbers, "y int, kept binary").toArrow()
+    rows = grams.mapInArrow(tx.freed(numbers), "y int, kept binary").toArrow()
     kept = [np.frombuffer(k.as_buffer(), np.int32) for chunk in rows["kept"].chunks for k in chunk]
     w, bias = fit(kept, np.array(rows["y"].to_pylist(), float), ratio)
     return ToxicityModel(bucket, w.astype(np.float32), bias)
@@ -173,7 +173,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, model: ToxicityModel | N
     """
     model = model or train(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = rows.mapInArrow(_scores(model), "doc_id long, score double")
+    scored = rows.mapInArrow(tx.freed(_scores(model)), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), PARTS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -188,4 +188,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, model: ToxicityModel | Non
             [scored] = scores(iter([pa.RecordBatch.from_arrays([text, text], names=["doc_id", "text"])]))
             yield batch.filter(pa.array(scored.column(1).to_numpy() < THRESHOLD))
 
-    return docs.mapInArrow(accepted, docs.schema)
+    return docs.mapInArrow(tx.freed(accepted), docs.schema)
