@@ -77,31 +77,29 @@ def _pieces(texts: pa.Array) -> Iterator[list[str]]:
         yield [t or "" for t in texts.slice(row, len(at) - 1).to_pylist()]
 
 
-def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = []
-        for part in _pieces(batch.column(0)):
-            bucket, owner = _grams(part)
-            key = np.unique(owner << BUCKET_BITS | bucket)
-            cut = np.searchsorted(key, np.arange(1, len(part)) << BUCKET_BITS)
-            found += [(x & ((1 << BUCKET_BITS) - 1)).astype(np.uint32).tobytes() for x in np.split(key, cut)]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["y", "grams"])
+def _held(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The distinct buckets of each text."""
+    for part in _pieces(texts):
+        bucket, owner = _grams(part)
+        key = np.unique(owner << BUCKET_BITS | bucket)
+        for x in np.split(key, np.searchsorted(key, np.arange(1, len(part)) << BUCKET_BITS)):
+            yield x & ((1 << BUCKET_BITS) - 1)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The number of texts of either label that hold a bucket, for those of LEAST_TEXTS; the bounded sample is one task's."""
+    """The number of texts (text, y) of either label that hold a bucket, for those of LEAST_TEXTS; the bounded sample is one task's."""
     seen = np.zeros((2, 1 << BUCKET_BITS), np.int32)
     for batch in batches:
-        for y, grams in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            seen[y, np.frombuffer(grams.as_buffer(), np.uint32)] += 1
-    used = np.flatnonzero(seen.sum(0) >= LEAST_TEXTS)
+        for y, held in zip(batch.column(1).to_pylist(), _held(batch.column(0)), strict=True):
+            seen[y, held] += 1
+    used = np.flatnonzero(seen[0] + seen[1] >= LEAST_TEXTS)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(seen[0, used]), pa.array(seen[1, used])], names=["bucket", "other", "toxic"])
 
 
-def log_count_ratios(grams: DataFrame, n_other: int, n_toxic: int) -> DataFrame:
-    """bucket and ratio of the n-grams of enough texts and a ratio of enough standard errors (grams: y, grams)."""
+def log_count_ratios(sample: DataFrame, n_other: int, n_toxic: int) -> DataFrame:
+    """bucket and ratio of the n-grams of enough texts and a ratio of enough standard errors (sample: text, y)."""
     other, toxic = F.col("other") + 1, F.col("toxic") + 1
-    counts = grams.coalesce(1).mapInArrow(tx.freed(_counted), "bucket int, other int, toxic int")
+    counts = sample.coalesce(1).mapInArrow(tx.freed(_counted), "bucket int, other int, toxic int")
     ratio = F.log(toxic / F.lit(n_toxic + 2.0)) - F.log(other / F.lit(n_other + 2.0))
     strong = F.abs("ratio") >= LEAST_ERRORS * F.sqrt(1 / other + 1 / toxic)
     return counts.withColumn("ratio", ratio).filter(strong).select("bucket", "ratio")
@@ -140,12 +138,11 @@ def _scores(model: ToxicityModel):
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
-    sample = training_sample(docs, labels, "toxic", PARTS, HELD_OUT, per_class)
-    grams = written(sample.select("text", "y").mapInArrow(tx.freed(_present), "y int, grams binary"))
-    n_toxic, n = (v or 0 for v in grams.agg(F.sum("y"), F.count("*")).first())
+    sample = written(training_sample(docs, labels, "toxic", PARTS, HELD_OUT, per_class).select("text", "y"))
+    n_toxic, n = (v or 0 for v in sample.agg(F.sum("y"), F.count("*")).first())
     if n_toxic in (0, n):
         return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), 20.0 if n_toxic else -20.0)
-    chosen = log_count_ratios(grams, n - n_toxic, n_toxic).toArrow()
+    chosen = log_count_ratios(sample, n - n_toxic, n_toxic).toArrow()
     bucket, ratio = chosen["bucket"].to_numpy(), chosen["ratio"].to_numpy()
     order = np.argsort(bucket)
     bucket, ratio = bucket[order], ratio[order]
@@ -154,10 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Tox
         number = np.full(1 << BUCKET_BITS, -1, np.int32)
         number[bucket] = np.arange(len(bucket))
         for batch in batches:
-            held = [number[np.frombuffer(g.as_buffer(), np.uint32)] for g in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[h >= 0].tobytes() for h in held], pa.binary())], names=["y", "kept"])
+            held = [number[h] for h in _held(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([h[h >= 0].tobytes() for h in held], pa.binary())], names=["y", "kept"])
 
-    rows = grams.mapInArrow(tx.freed(numbers), "y int, kept binary").toArrow()
+    rows = sample.mapInArrow(tx.freed(numbers), "y int, kept binary").toArrow()
     kept = [np.frombuffer(k.as_buffer(), np.int32) for chunk in rows["kept"].chunks for k in chunk]
     w, bias = fit(kept, np.array(rows["y"].to_pylist(), float), ratio)
     return ToxicityModel(bucket, w.astype(np.float32), bias)
