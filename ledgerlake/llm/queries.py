@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, embedding_duplicates, mixing, near_duplicates, pages, quality, runs, sharding, substrings, toxicity
+from . import chat, decontamination, embedding_duplicates, languages, mixing, near_duplicates, pages, quality, runs, sharding, substrings, toxicity
 from .common import read_table
 
 
@@ -18,6 +18,7 @@ def queries():
         "op8_pareto_mixing": lambda spark, d: mixing.mix_table(read_table(spark, d, "documents")),
         "op10_latent_leaks": lambda spark, d: decontamination.leaks(read_table(spark, d, "documents"), read_table(spark, d, "benchmark")),
         "op9_minhash_odd_sketch": lambda spark, d: near_duplicates.near_duplicate_classes(read_table(spark, d, "documents")),
+        "op11_kneser_ney": lambda spark, d: languages.language_predictions(read_table(spark, d, "documents")),
         "op12_periodic_runs": lambda spark, d: runs.run_digests(runs.with_planted_runs(read_table(spark, d, "documents"))),
     }
 

@@ -24,7 +24,7 @@ def words(text):
 
 
 def test_names():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 11)) and set(oracle_sql()) <= set(queries()) == set(ORACLE_NAMES)
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 14)) and set(oracle_sql()) <= set(queries()) == set(ORACLE_NAMES)
 
 
 def test_chat_oracle(spark, sf_dir):
