@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, embedding_duplicates, languages, mixing, near_duplicates, pages, quality, runs, sharding, substrings, toxicity
+from . import chat, decontamination, embedding_duplicates, languages, mixing, near_duplicates, pages, phrases, quality, runs, sharding, substrings, toxicity
 from .common import read_table
 
 
@@ -19,6 +19,7 @@ def queries():
         "op10_latent_leaks": lambda spark, d: decontamination.leaks(read_table(spark, d, "documents"), read_table(spark, d, "benchmark")),
         "op9_minhash_odd_sketch": lambda spark, d: near_duplicates.near_duplicate_classes(read_table(spark, d, "documents")),
         "op11_kneser_ney": lambda spark, d: languages.language_predictions(read_table(spark, d, "documents")),
+        "op13_collocations": lambda spark, d: phrases.collocations(read_table(spark, d, "documents")),
         "op12_periodic_runs": lambda spark, d: runs.run_digests(runs.with_planted_runs(read_table(spark, d, "documents"))),
     }
 
@@ -28,4 +29,4 @@ ORACLE_NAMES = tuple(queries())
 
 
 def oracle_sql():
-    return {"op3_chat_rotation": chat.ROTATE_SQL}
+    return {"op3_chat_rotation": chat.ROTATE_SQL, "op13_collocations": phrases.COLLOCATIONS_SQL}
