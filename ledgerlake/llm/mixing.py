@@ -12,6 +12,8 @@ as they are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,20 +66,26 @@ def source_targets(groups: DataFrame, weights=WEIGHTS, share: float = SHARE, max
     return sources.select("src", "source_size", target.alias("target"), (F.try_divide(F.col("tilted"), F.col("source_size")) / TILT_UNIT).alias("mean_tilt"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once: a lambda's variable isn't copied into the generated code wherever it is named."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _with_odds(rows: DataFrame, max_copies: int) -> DataFrame:
     """rows (GROUP and the source's plan) with certain copies and, where a further one is open, place: x rises with the rank."""
-    rate = F.try_divide(F.col("target"), F.col("source_size"))
-    room = F.try_divide(F.lit(float(max_copies)) / F.col("_rate") - 1, 1 - F.col("mean_tilt"))
-    spread = F.greatest(F.lit(0.0), F.least(F.lit(MOST_TILT), F.coalesce(room, F.lit(0.0))))
-    copies = F.least(F.lit(float(max_copies)), F.col("_rate") * (1 + F.when(F.col("_rate") > 0, spread).otherwise(0.0) * (_tilt() / TILT_UNIT - F.col("mean_tilt"))))
-    u = (F.shiftrightunsigned("luck", 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    rank = (u / (1 - u)) * ((1 - F.col("_p")) / F.col("_p"))
-    return (
-        rows.withColumn("_rate", rate).withColumn("_copies", F.when((F.col("_rate") > 0) & (F.col("size") > 0), copies).otherwise(0.0))
-        .withColumn("certain", F.floor("_copies")).withColumn("_p", F.col("_copies") - F.col("certain"))
-        .withColumn("place", F.when(F.col("_p") > 0, F.struct((rank / (1 + rank)).alias("x"), "doc_id", "luck", "size")))
-        .drop("_rate", "_copies", "_p")
-    )
+
+    def copies(rate: Column) -> Column:
+        room = F.try_divide(F.lit(float(max_copies)) / rate - 1, 1 - F.col("mean_tilt"))
+        spread = F.greatest(F.lit(0.0), F.least(F.lit(MOST_TILT), F.coalesce(room, F.lit(0.0))))
+        most = F.least(F.lit(float(max_copies)), rate * (1 + spread * (_tilt() / TILT_UNIT - F.col("mean_tilt"))))
+        return F.when((rate > 0) & (F.col("size") > 0), most).otherwise(0.0)
+
+    def place(p: Column) -> Column:
+        odds = _let((F.shiftrightunsigned("luck", 11) + F.lit(0.5)) / F.lit(float(1 << 53)), lambda u: u / (1 - u)) * ((1 - p) / p)
+        return F.when(p > 0, F.struct(_let(odds, lambda r: r / (1 + r)).alias("x"), "doc_id", "luck", "size"))
+
+    odds = _let(_let(F.try_divide(F.col("target"), F.col("source_size")), copies), lambda c: F.struct(F.floor(c).alias("certain"), _let(c - F.floor(c), place).alias("place")))
+    return rows.withColumn("_odds", odds).withColumn("certain", F.col("_odds.certain")).withColumn("place", F.col("_odds.place")).drop("_odds")
 
 
 def _plan(groups: DataFrame, targets: DataFrame, max_copies: int) -> DataFrame:
@@ -113,10 +121,13 @@ def _plan(groups: DataFrame, targets: DataFrame, max_copies: int) -> DataFrame:
 
 def _further() -> Column:
     """How many rows of the group at place get a further copy; null: all of them."""
-    at_cut, at_fill = F.coalesce(F.col("place") == F.col("cut"), F.lit(False)), F.coalesce(F.col("place") == F.col("fill"), F.lit(False))
-    none = F.col("place").isNull() | F.coalesce(F.col("place") > F.col("cut"), F.lit(False))
-    some = F.when(at_cut, F.col("cut_rows")).otherwise(0) + at_fill.cast("long")
-    return F.when(at_cut | at_fill, some).when(none, 0)
+
+    def of(place: Column) -> Column:
+        at_cut, at_fill = F.coalesce(place == F.col("cut"), F.lit(False)), F.coalesce(place == F.col("fill"), F.lit(False))
+        some = F.when(at_cut, F.col("cut_rows")).otherwise(0) + at_fill.cast("long")
+        return F.when(at_cut | at_fill, some).when(F.coalesce(place > F.col("cut"), F.lit(False)), 0)
+
+    return F.when(F.col("place").isNull(), F.lit(0).cast("long")).otherwise(_let(F.col("place"), of))
 
 
 def _groups(docs: DataFrame) -> DataFrame:
