@@ -67,7 +67,13 @@ def shard_table(docs: DataFrame, n_shards: int = 8) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
-    """Every row of docs with its columns, then those of shard_table; one whose name docs has already is called shard_<name>."""
-    taken = {c.lower() for c in docs.columns}
-    named = [F.col(c).alias(f"shard_{c}" if c in taken else c) for c in FACTS]
+    """Every row of docs with its columns, then those of shard_table; one whose name docs has already (in any case) has
+    shard_ put before it, as often as it takes to be the only one."""
+    taken, named = {c.lower() for c in docs.columns}, []
+    for c in FACTS:
+        name = c
+        while name in taken:
+            name = f"shard_{name}"
+        taken.add(name)
+        named.append(F.col(c).alias(name))
     return _placed(docs, F.struct("*"), n_shards).select("row.*", *named)

@@ -153,6 +153,8 @@ def test_clashing_columns(spark, docs):
     mixed = mixing.mixed_documents(table)
     assert mixed.columns == table.columns and {tuple(r) for r in mixed.collect()} <= want
     placed = sharding.shard_documents(table)
+    both = sharding.shard_documents(table.withColumn("shard_size", F.lit(1)).withColumn("LAW", F.lit(1)))
+    assert both.columns[-6:] == ["shard_shard_size", "text_crc32", "shard_law", "shard_shard", "shard_slot", "grown_shard"] and both.select("shard_size").count() == 30
     assert placed.columns == [*table.columns, "shard_size", "text_crc32", "law", "shard_shard", "shard_slot", "grown_shard"] and {tuple(r)[:-6] for r in placed.collect()} == want
 
 
