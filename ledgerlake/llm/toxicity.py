@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -121,20 +121,24 @@ def fit(kept: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.nd
     return w * scale, float(bias)
 
 
-def _scores(model: ToxicityModel):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _score(model: ToxicityModel, text: Column) -> Column:
+    """The score of each text; rows stay where they are, only texts go to Python and only numbers come back."""
+
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights = model.table()
-        for batch in batches:
+        for texts in batches:
             out = []
-            for part in _pieces(batch.column(1)):
+            for part in _pieces(texts):
                 bucket, owner = _grams(part)
                 hit = weights[bucket] != 0
                 key = np.unique(owner[hit] << BUCKET_BITS | bucket[hit])
                 total = np.bincount(key >> BUCKET_BITS, weights[key & ((1 << BUCKET_BITS) - 1)], len(part))
                 out.append(1 / (1 + np.exp(-np.clip(total + model.bias, -50, 50))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["doc_id", "score"])
+            yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+        pa.default_memory_pool().release_unused()
 
-    return work
+    return scores(text)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
@@ -170,19 +174,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, model: ToxicityModel | N
     """
     model = model or train(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = rows.mapInArrow(tx.freed(_scores(model)), "doc_id long, score double")
+    scored = rows.select("doc_id", _score(model, F.col("text")).alias("score"))
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), PARTS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
     """docs without the rows whose text the classifier rejects; every row passes through once, nothing is shuffled."""
-    scores = _scores(model or train(docs, labels))
-    place = docs.columns.index("text")
-
-    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column(place)
-            [scored] = scores(iter([pa.RecordBatch.from_arrays([text, text], names=["doc_id", "text"])]))
-            yield batch.filter(pa.array(scored.column(1).to_numpy() < THRESHOLD))
-
-    return docs.mapInArrow(tx.freed(accepted), docs.schema)
+    return docs.filter(_score(model or train(docs, labels), F.col("text")) < THRESHOLD)
