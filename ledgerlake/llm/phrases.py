@@ -5,9 +5,10 @@ edges are counted from the texts. A node's count is the weight of the edges that
 so every shorter phrase's count follows from the next longer ones. A phrase that a single edge carries whole, in front or
 behind, is an inner point of an unary path: the path's longest phrase stands for it.
 
-A phrase of LEAST occurrences consists of pairs of as many. So pairs are counted first, by hash, and pieces are cut where a
-pair is too rare: no phrase of LEAST occurrences loses one, and texts leave few edges to count. Which pairs are frequent is
-a table of 2 ** PAIR_BITS bits, whatever their number; other pairs that share a bit only cost edges, never a count.
+A phrase of LEAST occurrences consists of pairs and triples of words of as many. So those are counted first, by hash, and
+an edge ends before the first too rare one: no phrase of LEAST occurrences loses one, and texts leave few different edges to
+count. Which pairs and triples are frequent is a table of 2 ** PAIR_BITS bits, whatever their number; others that share a
+bit only cost edges, never a count.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 LONGEST, LEAST, TOP = 5, 100, 2000
 UNKNOWN = "und"
 PAIR_BITS = 26
-#: Counting tasks pass on what they have beyond so many pairs, words or edges.
+#: Counting tasks pass on what they have beyond so many pairs and triples, words or edges.
 HELD_PAIRS, HELD_WORDS = 1_000_000, 300_000
 #: Counts of up to so many phrases are broadcast; more are joined by shuffle.
 BROADCAST_PHRASES = 300_000
@@ -41,9 +42,9 @@ _END[list(ENDS)] = True
 _FIRST = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[str], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[str], list[np.ndarray], np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]:
     """By slice of (lang, text): langs, each text's bytes (lower case, blanks for ends), its words' offsets, and of every pair
-    of neighbouring words its hash with the language and whether it lies within a piece."""
+    of neighbouring words its hash with the language and whether it lies within a piece; of every triple the same."""
     langs = batch.column(0).to_pylist()
     for row, raw, at in tx.slices(batch.column(1)):
         end = _END[raw]
@@ -56,7 +57,8 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[str], list[np.ndarray]
         salt = {x: np.uint64(int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big")) for x in set(own)}
         of = np.repeat(np.array([salt[x] for x in own], np.uint64), np.diff(word_at))
         pairs = tx.mix64(hashes[:-1] * _FIRST + hashes[1:] + of[1:]) if len(first) else hashes
-        yield own, [said[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], word_at, pairs, inside
+        triples = tx.mix64(pairs[:-1] * _FIRST + pairs[1:])
+        yield own, [said[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], word_at, (pairs, inside), (triples, inside[:-1] & inside[1:])
 
 
 def _rows(counts: dict[str, Counter]) -> pa.RecordBatch:
@@ -67,7 +69,7 @@ def _rows(counts: dict[str, Counter]) -> pa.RecordBatch:
 
 
 def _first_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shares of the counts of words (lang, phrase, null, n) and of hashed pairs (null, null, pair, n)."""
+    """Shares of the counts of words (lang, phrase, null, n) and of hashed pairs and triples (null, null, pair, n)."""
     words: dict[str, Counter] = defaultdict(Counter)
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -88,13 +90,12 @@ def _first_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.string()), pa.nulls(len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n)], names=["lang", "phrase", "pair", "n"])
 
     for batch in batches:
-        for langs, texts, _, pairs, inside in _pieces(batch):
+        for langs, texts, _, *grams in _pieces(batch):
             for lang, text in zip(langs, texts, strict=True):
                 words[lang].update(text.tobytes().split())
             if sum(map(len, words.values())) > HELD_WORDS:
                 yield word_rows()
-            if inside.any():
-                held.append(tuple(np.unique(pairs[inside], return_counts=True)))
+            held += [tuple(np.unique(h[inside], return_counts=True)) for h, inside in grams if inside.any()]
             if sum(len(k) for k, _ in held) > HELD_PAIRS:
                 merged()
                 if len(held[0][0]) > HELD_PAIRS // 2:
@@ -106,21 +107,27 @@ def _first_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _edge_counts(bits: np.ndarray, longest: int):
-    """Shares of the edges' counts: each word's longest gram in what is left of its piece, from two words on."""
+    """Shares of the edges' counts: from each frequent pair on, the longest gram of frequent triples."""
+
+    def often(hashes: np.ndarray) -> np.ndarray:
+        bit = hashes >> np.uint64(64 - PAIR_BITS)
+        return ((bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
-            for langs, texts, word_at, pairs, inside in _pieces(batch):
-                bit = pairs >> np.uint64(64 - PAIR_BITS)
-                kept = np.flatnonzero(inside & ((bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool))
+            for langs, texts, word_at, (pairs, inside), (triples, within) in _pieces(batch):
+                goes_on = np.append(within & often(triples), np.zeros(longest, bool))
+                kept = np.flatnonzero(inside & often(pairs))
+                size, on = np.full(len(kept), 2), np.ones(len(kept), bool)
+                for j in range(longest - 2):
+                    on &= goes_on[kept + j]
+                    size += on
                 cut = np.searchsorted(kept, word_at)
                 for t in np.flatnonzero(np.diff(cut)):
-                    own = kept[cut[t] : cut[t + 1]] - word_at[t]
-                    last = np.append(np.flatnonzero(np.diff(own) > 1), len(own) - 1)
-                    until = np.repeat(own[last] + 2, np.diff(last, prepend=-1))
-                    words, counts = texts[t].tobytes().split(), edges[langs[t]]
-                    counts.update(b" ".join(words[a:b]) for a, b in zip(own.tolist(), np.minimum(own + longest, until).tolist(), strict=True))
+                    first = kept[cut[t] : cut[t + 1]] - word_at[t]
+                    words = texts[t].tobytes().split()
+                    edges[langs[t]].update(b" ".join(words[a:b]) for a, b in zip(first.tolist(), (first + size[cut[t] : cut[t + 1]]).tolist(), strict=True))
                 if sum(map(len, edges.values())) > HELD_WORDS:
                     yield _rows(edges)
                     edges.clear()
@@ -130,7 +137,7 @@ def _edge_counts(bits: np.ndarray, longest: int):
 
 
 def _frequent_pairs(pairs: DataFrame) -> np.ndarray:
-    """A bit for every class of hashes that holds a pair of LEAST occurrences; 2 ** (PAIR_BITS - 6) rows of 64 bits at most."""
+    """A bit for every class of hashes that holds a pair or triple of LEAST occurrences; 2 ** (PAIR_BITS - 6) rows of 64 bits at most."""
     bit = F.shiftrightunsigned("pair", 64 - PAIR_BITS)
     rows = pairs.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (PAIR_BITS - 6), np.uint64)
@@ -145,7 +152,8 @@ def _first(phrase: Column, k: int) -> Column:
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, k, phrase and n of every phrase of k words, 1 to longest, that occurs least times; lang and words of every language)."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text")
-    seen = rows.mapInArrow(tx.freed(_first_counts), "lang string, phrase string, pair long, n long").groupBy("lang", "phrase", "pair").agg(F.sum("n").alias("n"))
+    seen = rows.mapInArrow(tx.freed(_first_counts), "lang string, phrase string, pair long, n long")
+    seen = seen.repartition("lang", "phrase", "pair").groupBy("lang", "phrase", "pair").agg(F.sum("n").alias("n"))  # tasks have summed theirs already
     seen = written(seen.filter(F.col("phrase").isNotNull() | (F.col("n") >= least)))
     words = seen.filter("phrase is not null").select("lang", "phrase", "n")
     sizes = written(words.groupBy("lang").agg(F.sum("n").alias("words")))
