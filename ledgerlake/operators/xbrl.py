@@ -178,13 +178,18 @@ def us_statements(facts: DataFrame, contexts: DataFrame, filings: DataFrame, spe
     return us_values(facts, contexts, filings, specs).drop("tag")
 
 
-def _constants(country: str, standard: str, currency: str) -> dict[str, Column]:
+def statement_constants(country: str, standard: str, currency: str) -> dict[str, Column]:
+    """What is the same in all rows of a market; anomalies are found later."""
     text = {"country": country, "fiscal_period": "FY", "accounting_standard": standard, "statement_scope": "CONSOLIDATED", "currency": currency}
-    return {k: F.lit(v) for k, v in text.items()} | {"unit_scale": F.lit(1), "anomaly_flag": F.lit(0)}
+    open_ = {"taxonomy_version": "string", "anomaly_type": "string", "anomaly_score": "double", "anomaly_detail": "string"}
+    return {k: F.lit(v) for k, v in text.items()} | {k: F.lit(None).cast(t) for k, t in open_.items()} | {"unit_scale": F.lit(1), "anomaly_flag": F.lit(0)}
 
 
-def _header(filings: DataFrame) -> DataFrame:
-    return filings.select("filing_id", "form_type", F.col("report_date").alias("fiscal_year_end_date"), "filing_date", F.year("report_date").alias("fiscal_year"))
+def statement_header(filings: DataFrame) -> DataFrame:
+    """A filing's metadata; symbol, company_id and source_filing_id (its accession number or document id) are null where
+    filings has no such column."""
+    known = [F.col(c).cast("string").alias(c) if c in filings.columns else F.lit(None).cast("string").alias(c) for c in ("symbol", "company_id", "source_filing_id")]
+    return filings.select("filing_id", *known, "form_type", F.col("report_date").alias("fiscal_year_end_date"), "filing_date", F.year("report_date").alias("fiscal_year"))
 
 
 def us_statement_table(facts: DataFrame, contexts: DataFrame, filings: DataFrame, specs: DataFrame, exchange_labels: list[str]) -> DataFrame:
@@ -220,7 +225,14 @@ def us_statement_table(facts: DataFrame, contexts: DataFrame, filings: DataFrame
         flag(any_debt & now.isNull()).alias("term_debt_total_imputed_current_zero"), flag(any_debt & long.isNull()).alias("term_debt_total_imputed_noncurrent_zero"),
         flag(strict.isNull() & general.isNotNull()).alias("term_debt_noncurrent_proxy_from_generic_long_term_tag"),
     )
-    return _header(filings).join(wide, "filing_id").withColumns(_constants("US", "US_GAAP", "USD") | {"is_amendment": F.lit(0)})
+    return statement_header(filings).join(wide, "filing_id").withColumns(statement_constants("US", "US_GAAP", "USD") | {"is_amendment": F.lit(0)})
+
+
+#: Japanese names of residual items, and the fields that they repeat.
+OTHERS_JP = {
+    "BS_current_assets_other_jp": "BS_other_current_assets", "BS_current_liabilities_other_jp": "BS_other_current_liabilities",
+    "BS_noncurrent_liabilities_other_jp": "BS_other_noncurrent_liabilities",
+}
 
 
 def jp_statement_table(facts: DataFrame, contexts: DataFrame, filings: DataFrame, single: DataFrame, chains: DataFrame) -> DataFrame:
@@ -239,9 +251,9 @@ def jp_statement_table(facts: DataFrame, contexts: DataFrame, filings: DataFrame
     sides = ("IS_non_operating_income", "IS_non_operating_expenses")
     ends = ("CF_cash_beginning_of_period", "CF_cash_end_of_period", "CF_cash_at_date")
     wide = wide.select(
-        "filing_id", *(n for n in names if n not in (*sides, *ends)), (F.col(sides[0]) - F.col(sides[1])).alias("IS_non_operating_income_expense_net"),
+        "filing_id", *(n for n in names if n not in (*sides, *ends)), *(F.col(a).alias(b) for b, a in OTHERS_JP.items() if a in names), (F.col(sides[0]) - F.col(sides[1])).alias("IS_non_operating_income_expense_net"),
         opening.alias("CF_cash_beginning_of_period"), closing.alias("CF_cash_end_of_period"),
     )
     amended = F.col("is_amendment").cast("int") if "is_amendment" in filings.columns else F.lit(0)
-    header = _header(filings).join(filings.select("filing_id", amended.alias("is_amendment")).distinct(), "filing_id")
-    return header.join(wide, "filing_id").withColumns(_constants("JP", "JP_GAAP", "JPY"))
+    header = statement_header(filings).join(filings.select("filing_id", amended.alias("is_amendment")).distinct(), "filing_id")
+    return header.join(wide, "filing_id").withColumns(statement_constants("JP", "JP_GAAP", "JPY"))

@@ -52,11 +52,20 @@ FROM {_best(rows, 'filing_id, stmt, field, tag_pos', "is_consolidated DESC, cont
 
 US_DEBTS = ("debt_current", "debt_noncurrent", "debt_general")
 US_HIDDEN = {("BS", f) for f in US_DEBTS} | {("CF", f) for f in ("minority_share", "effect_of_exchange_rates_on_cash", "net_income")}
-_HEADER = "f.filing_id, f.form_type, f.report_date AS fiscal_year_end_date, f.filing_date, CAST(year(f.report_date) AS INT) AS fiscal_year"
+_HEADER = "f.filing_id, f.symbol_raw AS symbol, CAST(f.company_key AS VARCHAR) AS company_id, CAST(f.filing_id AS VARCHAR) AS source_filing_id, f.form_type, f.report_date AS fiscal_year_end_date, f.filing_date, CAST(year(f.report_date) AS INT) AS fiscal_year"
+
+
+#: The columns that no statement fills yet.
+OPEN = "CAST(NULL AS VARCHAR) AS taxonomy_version, CAST(NULL AS VARCHAR) AS anomaly_type, CAST(NULL AS DOUBLE) AS anomaly_score, CAST(NULL AS VARCHAR) AS anomaly_detail, 1 AS unit_scale, 0 AS anomaly_flag"
+
+
+def named_filings(s, d):
+    """fx_filings with the identifiers that statements carry."""
+    return view(s, d, "fx_filings").withColumns({"symbol": F.col("symbol_raw"), "company_id": F.col("company_key"), "source_filing_id": F.col("filing_id")})
 
 
 def us_table(s, d):
-    inputs = view(s, d, "fx_us_facts"), view(s, d, "fx_contexts"), view(s, d, "fx_filings")
+    inputs = view(s, d, "fx_us_facts"), view(s, d, "fx_contexts"), named_filings(s, d)
     return xb.us_statement_table(*inputs, specs.fields(s), specs.EXCHANGE_LABELS)
 
 
@@ -83,7 +92,7 @@ SELECT {_HEADER}, {', '.join(f'{s}_{f}' for s, f, *_ in specs.US_FIELDS if (s, f
   CAST(BS_debt_current IS NULL AND coalesce(BS_debt_noncurrent, BS_debt_general) IS NOT NULL AS INT) AS term_debt_total_imputed_current_zero,
   CAST(BS_debt_current IS NOT NULL AND coalesce(BS_debt_noncurrent, BS_debt_general) IS NULL AS INT) AS term_debt_total_imputed_noncurrent_zero,
   CAST(BS_debt_noncurrent IS NULL AND BS_debt_general IS NOT NULL AS INT) AS term_debt_noncurrent_proxy_from_generic_long_term_tag,
-  'US' AS country, 'FY' AS fiscal_period, 'US_GAAP' AS accounting_standard, 'CONSOLIDATED' AS statement_scope, 'USD' AS currency, 1 AS unit_scale, 0 AS anomaly_flag, 0 AS is_amendment
+  'US' AS country, 'FY' AS fiscal_period, 'US_GAAP' AS accounting_standard, 'CONSOLIDATED' AS statement_scope, 'USD' AS currency, {OPEN}, 0 AS is_amendment
 FROM x JOIN {{fx_filings}} f ON f.filing_id = x.filing_id"""
 
 JP_FLAT = [(s, f"{s}_{f}#{i}", ts, p, u) for s, f, choices, p, u in specs.JP_CHAINS for i, ts in enumerate(choices)]
@@ -92,7 +101,7 @@ JP_NAMES = [f"{s}_{f}" for s, f, *_ in specs.JP_CHAINS]
 
 
 def jp_table(s, d):
-    filings = view(s, d, "fx_filings").withColumn("is_amendment", F.endswith("form_type", F.lit("/A")))
+    filings = named_filings(s, d).withColumn("is_amendment", F.endswith("form_type", F.lit("/A")))
     return xb.jp_statement_table(view(s, d, "fx_jp_facts"), view(s, d, "fx_contexts"), filings, *specs.chain_specs(s))
 
 
@@ -106,10 +115,11 @@ p AS (SELECT filing_id, start_date - INTERVAL 1 DAY AS report_date FROM {_best('
 v AS ({_chained('r')} UNION ALL SELECT filing_id, 'CF_cash_at_prior_end', value FROM ({_chained('p', "field = 'CF_cash_at_date#0'")})),
 x AS (SELECT filing_id, {', '.join(f"max(value) FILTER (field = '{n}') AS {n}" for n in [*JP_NAMES, 'CF_cash_at_prior_end'])} FROM v GROUP BY filing_id)
 SELECT {_HEADER}, CAST(f.form_type = '10-K/A' AS INT) AS is_amendment, {', '.join(n for n in JP_NAMES if n not in JP_HIDDEN)},
+  {', '.join(f'{a} AS {b}' for b, a in xb.OTHERS_JP.items())},
   IS_non_operating_income - IS_non_operating_expenses AS IS_non_operating_income_expense_net,
   coalesce(CF_cash_beginning_of_period, CF_cash_at_prior_end, coalesce(CF_cash_end_of_period, CF_cash_at_date) - CF_net_change_in_cash) AS CF_cash_beginning_of_period,
   coalesce(CF_cash_end_of_period, CF_cash_at_date) AS CF_cash_end_of_period,
-  'JP' AS country, 'FY' AS fiscal_period, 'JP_GAAP' AS accounting_standard, 'CONSOLIDATED' AS statement_scope, 'JPY' AS currency, 1 AS unit_scale, 0 AS anomaly_flag
+  'JP' AS country, 'FY' AS fiscal_period, 'JP_GAAP' AS accounting_standard, 'CONSOLIDATED' AS statement_scope, 'JPY' AS currency, {OPEN}
 FROM x JOIN {{fx_filings}} f ON f.filing_id = x.filing_id"""
 
 
