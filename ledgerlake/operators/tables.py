@@ -12,8 +12,6 @@ from ..sources.shared import small_side
 HEADER_ROWS = 3
 #: Status order, core codes' repairable states.
 STATUS_RANK = {"OK": 4, "NOT_APPLICABLE": 3, "PARSE_ERROR": 2, "MISSING": 1}
-#: Shortest label of the substring tier, least ratio of the fuzzy tier.
-LEAST_PART, LEAST_RATIO = 3, 75.0
 
 
 def numeric_density(cells: DataFrame, header_rows: int = HEADER_ROWS) -> DataFrame:
@@ -156,46 +154,6 @@ def drop_category_headers(items: DataFrame, headers: list[str]) -> DataFrame:
     return items.withColumn("clean", clean_item_name(F.col("raw_item"))).filter(~F.col("clean").isin(headers) & (F.length("clean") >= 2))
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
-    """100 * 2 * LCS / (both lengths): one row of the table of common subsequences folded over the letters of a."""
-    letters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
-    ys = letters(b)
-    zero = F.transform(ys, lambda _: F.lit(0))
-
-    def row(before: Column, x: Column) -> Column:
-        def cell(acc: Column, i: Column) -> Column:
-            diagonal = F.when(i == 0, F.lit(0)).otherwise(F.get(before, i - 1))
-            left = F.coalesce(F.get(acc, i - 1), F.lit(0))
-            return F.concat(acc, F.array(F.when(F.get(ys, i) == x, diagonal + 1).otherwise(F.greatest(F.get(before, i), left))))
-
-        return F.aggregate(F.transform(ys, lambda _, i: i), F.array().cast("array<int>"), cell)
-
-    last = F.aggregate(letters(a), zero, row)
-    lcs = F.coalesce(F.array_max(last), F.lit(0))
-    return F.try_divide(F.lit(200.0) * lcs, F.length(a) + F.length(b))
-
-
-def match_items(labels: DataFrame, accounts: DataFrame) -> DataFrame:
-    """raw_item to account: exact on clean names (1.0), substring either way in chart order (0.95), best ratio (score/100).
-
-    Works on distinct clean labels; each tier sees what the one before left. The chart is a dictionary and broadcast where
-    its counted size allows. Of accounts with one clean name the last code counts. Below LEAST_RATIO no code, but name and score.
-    """
-    names = labels.select("raw_item").distinct().withColumn("clean", clean_item_name(F.col("raw_item")))
-    chart = accounts.withColumn("name", clean_item_name(F.col("item_name_std")))
-    chart = small_side(chart.groupBy("name").agg(F.max_by("item_code", "ordinal").alias("item_code"), F.min("ordinal").alias("ordinal")))
-    clean = names.select("clean").distinct()
-    exact = clean.join(chart, F.col("clean") == F.col("name")).select("clean", "item_code", "name", F.lit(1.0).alias("score"))
-    rest = clean.join(exact.select("clean"), "clean", "left_anti")
-    part = rest.filter(F.length("clean") >= LEAST_PART).join(chart, (F.length("name") >= LEAST_PART) & (F.contains("clean", F.col("name")) | F.contains("name", F.col("clean"))))
-    part = part.groupBy("clean").agg(F.min_by(F.struct("item_code", "name"), "ordinal").alias("b")).select("clean", "b.*", F.lit(0.95).alias("score"))
-    rest = rest.join(part.select("clean"), "clean", "left_anti")
-    fuzzy = rest.join(chart, F.lit(True)).withColumn("ratio", indel_ratio(F.col("clean"), F.col("name")))
-    fuzzy = fuzzy.groupBy("clean").agg(F.min(F.struct((-F.col("ratio")).alias("n"), "ordinal", "item_code", "name")).alias("b"))
-    fuzzy = fuzzy.select("clean", F.when(-F.col("b.n") >= LEAST_RATIO, F.col("b.item_code")).alias("item_code"), "b.name", (-F.col("b.n") / 100).alias("score"))
-    return names.join(exact.unionByName(part).unionByName(fuzzy), "clean", "left").select("raw_item", "item_code", F.col("name").alias("matched_name"), "score")
-
-
 def status_rank(status: Column) -> Column:
     out = None
     for name, rank in STATUS_RANK.items():

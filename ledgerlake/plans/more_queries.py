@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..operators import evaluate as ev
 from ..operators import filings as fl
+from ..operators import matching as mt
 from ..operators import pages as pg
 from ..operators import tables as tb
 from ..operators import verify as vf
@@ -116,7 +117,7 @@ def f22(s, d):
 def c10(s, d):
     chart = view(s, d, "fx_coa").filter("ordinal % 5 < 4")
     cells = pq._cells(s, d).withColumn("text", F.when((F.col("col_no") == 2) & (F.col("row_no") % 18 == 0), "").otherwise(F.col("text")))
-    matches = tb.match_items(cells.filter("col_no = 0").select(F.trim("text").alias("raw_item")).distinct(), chart)
+    matches = mt.match_items(cells.filter("col_no = 0").select(F.trim("text").alias("raw_item")).distinct(), chart)
     best = tb.best_columns(tb.content_scores(pq._cells(s, d)).select("table_id", "col_no", F.round("score", 3).alias("score")))
     return tb.extract_items(cells, best, matches).select("table_id", "row_no", "item_code", "value", "status", "is_fallback")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..operators import matching as mt
 from ..operators import pages as pg
 from ..operators import tables as tb
 from .fixtures import oracle, view
@@ -94,7 +95,7 @@ _BESTI = "b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id,
 def j4_tiers(s, d):
     chart = view(s, d, "fx_coa").filter("ordinal % 5 < 4")
     labels = view(s, d, "fx_labels").select(F.when(F.length("raw_item") % 3 == 0, F.replace("raw_item", F.lit("e"), F.lit("i"))).otherwise(F.col("raw_item")).alias("raw_item"))
-    return tb.match_items(labels, chart)
+    return mt.match_items(labels, chart)
 
 
 def j4(s, d):
@@ -112,9 +113,8 @@ SELECT raw_item, coalesce(e.item_code, p.item_code) AS item_code, coalesce(e.ite
 def f26(s, d):
     """The best name of every label by ratio, over the whole chart."""
     chart = view(s, d, "fx_coa").select("item_code", F.col("item_name_std").alias("name"), "ordinal")
-    pairs = view(s, d, "fx_labels").select("raw_item").distinct().join(F.broadcast(chart), F.lit(True)).withColumn("ratio", tb.indel_ratio(F.col("raw_item"), F.col("name")))
-    best = pairs.groupBy("raw_item").agg(F.min(F.struct((-F.col("ratio")).alias("n"), "ordinal", "item_code")).alias("b"))
-    return best.select("raw_item", "b.item_code", F.round(-F.col("b.n"), 4).alias("ratio"))
+    best = mt.best_names(view(s, d, "fx_labels").select(F.col("raw_item").alias("label")), chart)
+    return best.select(F.col("label").alias("raw_item"), "item_code", F.round("ratio", 4).alias("ratio"))
 
 
 def _lcs(x: str, y: str) -> str:

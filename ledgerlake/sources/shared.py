@@ -20,6 +20,13 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{base or tempfile.mkdtemp(prefix='ledgerlake-')}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in a new scratch folder, read back: computed once however often it is used, lost executors or not."""
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most so many rows, else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

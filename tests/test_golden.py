@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import scalars as sc
-from ledgerlake.operators import anomaly, pages, tables, verify, xbrl
+from ledgerlake.operators import anomaly, matching, pages, tables, verify, xbrl
 from ledgerlake.plans import specs
 
 
@@ -46,7 +46,7 @@ def test_confidence_and_formats(spark):
 
 
 def test_fuzz_ratio(spark):
-    assert round(value(spark, tables.indel_ratio(F.lit("kitten"), F.lit("sitting"))), 2) == 61.54
+    assert round(value(spark, matching.indel_ratio(F.lit("kitten"), F.lit("sitting"))), 2) == 61.54
 
 
 def test_merged_line(spark):

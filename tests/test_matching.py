@@ -1,7 +1,11 @@
 """Label matching in its three tiers and the items it leads to, against brute force over whole fixtures."""
 
 import collections
+import random
 
+from pyspark.sql import functions as F
+
+from ledgerlake.operators import matching
 from ledgerlake.plans import registry
 from ledgerlake.plans.fixtures import view
 
@@ -65,3 +69,36 @@ def test_best_name_of_any_first_letter(spark, sf_dir):
         want[label] = (code, round(-n, 4))
     got = registry.QUERIES["f26_fuzz_ratio"](spark, sf_dir).collect()
     assert len(got) == len(labels) and all(r["item_code"] == want[r["raw_item"]][0] and abs(r["ratio"] - want[r["raw_item"]][1]) < 1e-3 for r in got)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_few_pairs_are_compared(spark, sf_dir):
+    """Every best name is among the candidates, which are a small part of all pairs and come from no nested loop."""
+    names = view(spark, sf_dir, "fx_coa").select(F.col("item_name_std").alias("name")).distinct()
+    labels = view(spark, sf_dir, "fx_labels").select(F.col("raw_item").alias("label")).distinct()
+    pairs = matching.candidates(labels, names)
+    met, every = pairs.count(), labels.count() * names.count()
+    print(f"{met} of {every} pairs are compared letter by letter")
+    assert met < every / 5
+    assert "NestedLoop" not in _plan(pairs) and "Cartesian" not in _plan(pairs)
+    assert "NestedLoop" not in _plan(matching.parts(labels, names.select("name", F.lit(1).alias("ordinal"), F.lit("c").alias("item_code"))))
+
+
+def test_random_names(spark):
+    """Best names below any bound, of repeated letters, ties, one letter or none, against all pairs."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("aabcde 资产") for _ in range(rng.randrange(n)))
+    chart = [(word(9), rng.randrange(5), f"c{i % 7}") for i in range(40)] + [(None, 1, "x")]
+    labels = [(word(9),) for _ in range(80)] + [("zzz",), ("",), (None,), ("a",), ("a" * 40,), ("aaaab",), ("aaaab",)]
+    table = spark.createDataFrame(chart, "name string, ordinal int, item_code string")
+    got = {r["label"]: (r["item_code"], r["name"], r["ratio"]) for r in matching.best_names(spark.createDataFrame(labels, "label string"), table).collect()}
+    want = {}
+    for (label,) in labels:
+        if label is not None:
+            n, o, c, name = min((-(ratio(label, n) or 0), o, c, n) for n, o, c in chart if n is not None)
+            want[label] = (c, name, -n)
+    assert {k: (a, b, round(r or 0, 9)) for k, (a, b, r) in got.items()} == {k: (a, b, round(r, 9)) for k, (a, b, r) in want.items()}
+    assert matching.best_names(spark.createDataFrame(labels, "label string"), table.limit(0)).count() == 0
