@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import BLANK
-from ..sources.shared import small_side
+from ..sources.shared import small_side, written
 
 TOLERANCE = 1e-4
 #: Marker texts, their section and flag.
@@ -105,3 +105,45 @@ def marker_rows(rows: DataFrame) -> DataFrame:
 def cash_flow_consistent(cfo: Column, cfi: Column, cff: Column, fx: Column, change: Column) -> Column:
     """Whether the parts add up to the change in cash within one per cent; missing parts fail."""
     return F.coalesce(F.abs(cfo + cfi + cff + F.coalesce(fx, F.lit(0.0)) - change) < F.abs(change) * 0.01, F.lit(False))
+
+
+def anomaly_documents(sections: DataFrame, items: DataFrame, anchors: DataFrame) -> DataFrame:
+    """One nested row per document: sections with their items, and the report on them.
+
+    sections: section_id, doc_id, section, parent_item, parent_value; items: section_id, seq, item_raw, n_codes (of how many
+    accounts the label tells), cells, value. A section's flags come in the order IMBALANCE (children against parent), FORMAT
+    (missing anchors), AGGREGATION (a merged line), then those of marker rows by seq; a marker's row is no child. report has
+    the flagged sections, the differences, merged lines with their codes, and the missing anchors. Sections without items have
+    none; items of unknown sections are left out. A document's sections and items come together in one row, so they are
+    bounded by what one report can hold.
+    """
+    label = F.regexp_replace("item_raw", BLANK, "")
+    marked = marker_rows(items.withColumn("label", F.col("item_raw"))).select("section_id", "seq").withColumn("is_marker", F.lit(True))
+    rows = written(items.join(marked, ["section_id", "seq"], "left").withColumns({
+        "is_marker": F.coalesce("is_marker", F.lit(False)), "is_merged": F.coalesce(merged_line(F.col("item_raw"), F.col("n_codes")), F.lit(False)), "marker": marker_flag(F.col("item_raw")),
+    }))
+    children = rows.filter("not is_marker")
+    sums = section_imbalance(sections, children)
+    formats = format_anomalies(children.select("section_id", label.alias("item")), anchors)
+    flag = lambda df, seq, name: df.select("section_id", F.lit(seq).cast("long").alias("seq"), F.lit(name).alias("flag"))
+    flags = flag(sums.filter("is_imbalance"), -3, "IMBALANCE").unionByName(flag(formats.filter("is_anomaly"), -2, "FORMAT"))
+    flags = flags.unionByName(flag(children.filter("is_merged"), -1, "AGGREGATION")).unionByName(rows.filter("is_marker").select("section_id", F.col("seq").cast("long").alias("seq"), F.col("marker.flag").alias("flag")))
+    held = rows.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("seq", "item_raw", "value", "is_marker", "is_merged"))).alias("items"))
+    known = F.filter(F.array(*(F.struct(F.lit(p).alias("label"), F.array(*map(F.lit, c)).alias("codes")) for p, c in MERGED)), lambda m: F.contains(label, m["label"]) | F.contains(m["label"], label))
+    merged = children.filter("is_merged").groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("seq", "item_raw", F.coalesce(F.get(known, F.lit(0))["codes"], F.array().cast("array<string>")).alias("codes")))).alias("merged"))
+    every = sections.join(sums.drop("parent_value"), "section_id", "left").join(flag_rollup(flags), "section_id", "left").join(formats, "section_id", "left").join(held, "section_id", "left").join(merged, "section_id", "left")
+    nothing = lambda c, like: F.coalesce(F.col(c), F.array().cast(like))
+    section = F.struct(
+        "section_id", "section", "parent_item", "parent_value", "children_sum", "diff", F.filter(F.split(F.coalesce("flags", F.lit("")), ","), lambda f: f != "").alias("flags"),
+        nothing("items", dict(held.dtypes)["items"]).alias("items"), nothing("merged", dict(merged.dtypes)["merged"]).alias("merged"),
+        F.when(F.col("is_anomaly"), F.split("missing_anchors", ",")).alias("missing_anchors"),
+    )
+    documents = every.groupBy("doc_id").agg(F.array_sort(F.collect_list(section)).alias("sections"))
+    s = F.col("sections")
+    report = F.struct(
+        F.transform(F.filter(s, lambda x: F.size(x["flags"]) > 0), lambda x: F.struct(x["section_id"], x["flags"])).alias("sections_flagged"),
+        F.transform(F.filter(s, lambda x: x["diff"].isNotNull()), lambda x: F.struct(x["section_id"], x["diff"])).alias("imbalance_diffs"),
+        F.flatten(F.transform(s, lambda x: x["merged"])).alias("merged_candidates"),
+        F.transform(F.filter(s, lambda x: x["missing_anchors"].isNotNull()), lambda x: F.struct(x["section_id"], x["missing_anchors"])).alias("missing_anchors"),
+    )
+    return documents.select("doc_id", "sections", report.alias("report"))

@@ -100,10 +100,18 @@ def instance_file_jp(files: DataFrame) -> DataFrame:
     return rows.filter("_rank = 1").drop("_rank")
 
 
-def pdf_manifest(companies: DataFrame, files: DataFrame) -> DataFrame:
-    """Each company's last annual file by name, or missing."""
-    found = files.withColumn("symbol", F.regexp_extract("path", r"([^/_]+)_[^/]*_annual\.pdf$", 1)).filter("symbol <> ''").groupBy("symbol").agg(F.max("path").alias("path"))
-    return companies.join(found, "symbol", "left").withColumn("status", F.when(F.col("path").isNull(), "missing").otherwise("ok"))
+#: Where a file's path has its company: annual reports by the name's beginning, archives by their whole name.
+ANNUAL_PDF, ARCHIVE = r"([^/_]+)_[^/]*_annual\.pdf$", r"([^/]+)\.zip$"
+
+
+def _found(files: DataFrame, pattern: str) -> DataFrame:
+    return files.withColumn("symbol", F.regexp_extract("path", pattern, 1)).filter("symbol <> ''")
+
+
+def pdf_manifest(companies: DataFrame, files: DataFrame, pattern: str = ANNUAL_PDF) -> DataFrame:
+    """Each company's last annual file by name, or missing. files: path, and what else a listing has, which is kept."""
+    last = _found(files, pattern).groupBy("symbol").agg(F.max(F.struct("path", *(c for c in files.columns if c != "path"))).alias("f"))
+    return companies.join(last.select("symbol", "f.*"), "symbol", "left").withColumn("status", F.when(F.col("path").isNull(), "missing").otherwise("ok"))
 
 
 def batch_status(runs: DataFrame) -> DataFrame:
@@ -121,10 +129,10 @@ def run_summary(runs: DataFrame) -> DataFrame:
     return runs.rollup("market").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "success").alias("success"), F.grouping_id().alias("level"))
 
 
-def zip_manifest(companies: DataFrame, files: DataFrame) -> DataFrame:
-    """Each company's archive (path .../<symbol>.zip), or missing."""
-    found = files.withColumn("symbol", F.regexp_extract("path", r"([^/]+)\.zip$", 1)).filter("symbol <> ''").groupBy("symbol").agg(F.min("path").alias("path"))
-    return companies.join(found, "symbol", "left").withColumn("status", F.when(F.col("path").isNull(), "missing").otherwise("ok"))
+def zip_manifest(companies: DataFrame, files: DataFrame, pattern: str = ARCHIVE) -> DataFrame:
+    """Each company's archive (path .../<symbol>.zip), or missing. files: path, and what else a listing has, which is kept."""
+    first = _found(files, pattern).groupBy("symbol").agg(F.min(F.struct("path", *(c for c in files.columns if c != "path"))).alias("f"))
+    return companies.join(first.select("symbol", "f.*"), "symbol", "left").withColumn("status", F.when(F.col("path").isNull(), "missing").otherwise("ok"))
 
 
 def jp_filing_metadata(filings: DataFrame, texts: dict[str, DataFrame], report_dates: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import BLANK, to_double
 from ..sources.shared import small_side
+from .matching import grams
 
 #: Tokens of amounts, plain integers and decimals; words for not applicable.
 AMOUNT = r"\(?-?\d{1,6}(?:,\d{3}){1,4}\)?"
@@ -96,10 +97,43 @@ def document_units(lines: DataFrame, ranges: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.coalesce(first, F.lit(DEFAULT_UNIT)).alias("unit"))
 
 
+#: Labels are found by their first letters, so many at most.
+LEAD = 3
+#: Patterns of cash-flow lines, with what every match of each holds, and their item codes.
+CASH_FLOW_LINES = [
+    (r"经营活动(?:产生|使用)的现金流量净额", "的现金流量净额", "MANANETR"), (r"投资活动(?:产生|使用)(?:/\(使用\))?的现金流量净额", "的现金流量净额", "INVNETCASHFLOW"),
+    (r"筹资活动(?:产生|使用)(?:/\(使用\))?的现金流量净额", "的现金流量净额", "FINNETCFLOW"), (r"汇率变动对现金及现金等价物的影响", "汇率变动对现金", "CHGEXCHGCHGS"),
+    (r"现金及现金等价物净.*增加额", "现金及现金等价物净", "CASHNETR"), (r"(?:年初|期初)现金及现金等价物余额", "现金及现金等价物余额", "INICASHBALA"),
+    (r"(?:年末|期末)现金及现金等价物余额", "现金及现金等价物余额", "FINALCASHBALA"),
+]
+
+
+def _holding(lines: DataFrame, names: DataFrame, column: str) -> DataFrame:
+    """Lines (bare) with each name whose text in `column` they hold, once.
+
+    One pass over a line yields its runs of letters, which are looked up among the names' first letters; what is found is
+    compared in full. A line costs its length and what begins like a name in it, however many names there are.
+    """
+    names = names.withColumn("lead", F.substring(F.col(column), 1, LEAD))
+    sizes = [r["n"] for r in names.select(F.length("lead").alias("n")).distinct().filter("n > 0").collect()]  # LEAD numbers at most
+    runs = [F.coalesce(grams(F.col("bare"), n), F.array().cast("array<string>")) for n in sizes]
+    every = F.concat(*runs) if runs else F.array().cast("array<string>")
+    return lines.withColumn("lead", F.explode(every)).join(small_side(names), "lead").filter(F.contains("bare", F.col(column))).drop("lead")
+
+
 def label_hits(lines: DataFrame, labels: DataFrame) -> DataFrame:
-    """Lines with every label (label, code, kind) they hold, white space apart; longer labels come first. labels is a dictionary."""
-    names = small_side(labels.withColumn("label_order", F.row_number().over(Window.orderBy(F.length("label").desc(), "label"))))
-    return lines.withColumn("bare", F.regexp_replace("line", BLANK, "")).join(names, F.contains(F.col("bare"), F.col("label")))
+    """Lines with every label (label, code, kind) they hold, white space apart; longer labels come first. labels is a dictionary;
+    empty and null ones are held by no line."""
+    names = labels.withColumn("label_order", F.row_number().over(Window.orderBy(F.length("label").desc(), "label")))
+    return _holding(lines.withColumn("bare", F.regexp_replace("line", BLANK, "")), names, "label")
+
+
+def pattern_hits(lines: DataFrame, patterns=CASH_FLOW_LINES) -> DataFrame:
+    """Lines with every pattern they match, white space apart, as label_hits of kind first: what all matches of a pattern hold
+    is looked up, and only then the pattern tried. patterns: (pattern, held, code)."""
+    kind = "label string, held string, code string, kind string, label_order int"
+    names = lines.sparkSession.createDataFrame([(*p, "first", i) for i, p in enumerate(patterns)], kind)
+    return _holding(lines.withColumn("bare", F.regexp_replace("line", BLANK, "")), names, "held").filter("bare RLIKE label").drop("held")
 
 
 def line_values(hits: DataFrame) -> DataFrame:

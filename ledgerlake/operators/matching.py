@@ -40,7 +40,7 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.try_divide(F.lit(200.0) * common_letters(a, b), F.length(a) + F.length(b))
 
 
-def _grams(text: Column, n: int) -> Column:
+def grams(text: Column, n: int) -> Column:
     """The distinct runs of n letters of a text of so many at least."""
     places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1))
     return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(n))))
@@ -55,8 +55,8 @@ def _numbered(text: Column) -> Column:
 def _guesses(labels: DataFrame, names: DataFrame) -> DataFrame:
     """label with common and total, letters shared and of both, of the best of a few names that share pairs of letters with it."""
     few = Window.partitionBy("gram").orderBy("name")
-    index = names.select("name", F.explode(_grams(F.col("name"), 2)).alias("gram")).withColumn("k", F.row_number().over(few)).filter(F.col("k") <= GUESS_NAMES)
-    shared = labels.select("label", F.explode(_grams(F.col("label"), 2)).alias("gram")).join(small_side(index.drop("k")), "gram").groupBy("label", "name").agg(F.count("*").alias("shared"))
+    index = names.select("name", F.explode(grams(F.col("name"), 2)).alias("gram")).withColumn("k", F.row_number().over(few)).filter(F.col("k") <= GUESS_NAMES)
+    shared = labels.select("label", F.explode(grams(F.col("label"), 2)).alias("gram")).join(small_side(index.drop("k")), "gram").groupBy("label", "name").agg(F.count("*").alias("shared"))
     near = Window.partitionBy("label").orderBy((F.col("shared") / (F.length("label") + F.length("name"))).desc(), "name")
     some = shared.withColumn("k", F.row_number().over(near)).filter(F.col("k") <= GUESSES)
     some = some.select("label", common_letters(F.col("label"), F.col("name")).alias("common"), (F.length("label") + F.length("name")).alias("total"))
@@ -107,10 +107,10 @@ def parts(labels: DataFrame, chart: DataFrame) -> DataFrame:
 
     The shorter text's first letters are among the longer one's runs of letters: an index of runs finds the pairs.
     """
-    grams, first = lambda c: F.explode(_grams(F.col(c), LEAST_PART)).alias("gram"), lambda c: F.substring(F.col(c), 1, LEAST_PART)
+    runs, first = lambda c: F.explode(grams(F.col(c), LEAST_PART)).alias("gram"), lambda c: F.substring(F.col(c), 1, LEAST_PART)
     labels, chart = labels.filter(F.length("label") >= LEAST_PART), small_side(chart.filter(F.length("name") >= LEAST_PART))
-    inside = labels.select("label", grams("label")).join(chart.withColumn("gram", first("name")), "gram").filter(F.contains("label", F.col("name")))
-    outside = labels.withColumn("gram", first("label")).join(chart.select("*", grams("name")), "gram").filter(F.contains("name", F.col("label")))
+    inside = labels.select("label", runs("label")).join(chart.withColumn("gram", first("name")), "gram").filter(F.contains("label", F.col("name")))
+    outside = labels.withColumn("gram", first("label")).join(chart.select("*", runs("name")), "gram").filter(F.contains("name", F.col("label")))
     both = inside.unionByName(outside)
     return both.groupBy("label").agg(F.min(F.struct("ordinal", "item_code", "name")).alias("b")).select("label", "b.item_code", "b.name")
 

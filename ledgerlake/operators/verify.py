@@ -172,3 +172,31 @@ def evidence(codes: Column, candidates: Column, reason: Column) -> Column:
     hits = F.filter(candidates, lambda c: F.array_contains(codes, c["item_code"]))
     why = F.coalesce(F.nullif(reason, F.lit("")), F.lit("Supported by candidate evidence."))
     return F.transform(hits, lambda c: F.struct(c["item_code"].alias("item_code"), F.concat(F.lit("value: "), F.coalesce(c["value"].cast("string"), F.lit("None"))).alias("quote"), why.alias("why")))
+
+
+#: Keys of a decision that have a column of their own.
+DECISION_KEYS = ("decision", "proposed_value", "proposed_status", "evidence_item_codes", "evidence", "reason_code", "reason")
+
+
+def open_decisions(responses: DataFrame) -> DataFrame:
+    """case_id, decision, proposed_value, codes, and whole (a VARIANT with all that the response holds) of responses (case_id,
+    response) of any shape: code fences stripped; null where a text is no JSON or a field isn't of its type.
+
+    evidence may be a list of codes, of objects with item_code, or one code; codes are trimmed, distinct, in order.
+    """
+    body = F.regexp_replace(F.regexp_replace(F.trim("response"), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
+    rows = responses.select("case_id", F.try_parse_json(body).alias("whole"))
+    get = lambda path, kind: F.try_variant_get(F.col("whole"), path, kind)
+    listed = F.coalesce(get("$.evidence_item_codes", "array<variant>"), get("$.evidence", "array<variant>"), F.when(get("$.evidence", "string").isNotNull(), F.array(F.variant_get("whole", "$.evidence", "variant"))), F.array().cast("array<variant>"))
+    codes = F.transform(listed, lambda e: F.trim(F.coalesce(F.try_variant_get(e, "$.item_code", "string"), F.try_variant_get(e, "$", "string"))))
+    return rows.select(
+        "case_id", F.upper(F.trim(get("$.decision", "string"))).alias("decision"), get("$.proposed_value", "double").alias("proposed_value"),
+        F.array_distinct(F.filter(codes, lambda c: c.isNotNull() & (c != "") & ~c.startswith("{"))).alias("codes"), "whole",
+    )
+
+
+def unknown_keys(decisions: DataFrame) -> DataFrame:
+    """case_id, key and value (as JSON text) of what open_decisions has no column for, so that nothing a response says is lost."""
+    rows = decisions.select("case_id", "whole").filter(F.schema_of_variant("whole").startswith("OBJECT"))
+    keys = rows.sparkSession.sql("SELECT case_id, key, to_json(value) AS value FROM {rows}, LATERAL variant_explode(whole)", rows=rows)
+    return keys.filter(~F.col("key").isin(*DECISION_KEYS))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize_label, parse_number_us
-from ..sources.shared import small_side
+from ..sources.shared import small_side, written
 
 #: Score parts of a fact.
 CONSOLIDATED, ANNUAL_US, ANNUAL_JP, NOT_ANNUAL, UNIT, TAG_STEPS = 100, 30, 20, -5, 10, 5
@@ -17,8 +17,10 @@ def with_durations(contexts: DataFrame) -> DataFrame:
     return contexts.withColumn("duration_days", F.datediff("end_date", "start_date"))
 
 
-def facts_x_contexts(facts: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Facts with their context; facts of an unknown context are dropped."""
+def facts_x_contexts(facts: DataFrame, contexts: DataFrame | None) -> DataFrame:
+    """Facts with their context; facts of an unknown context are dropped. Without contexts, facts are such rows already."""
+    if contexts is None:
+        return facts
     return facts.join(with_durations(contexts).withColumnRenamed("context_id", "context_ref"), ["filing_id", "context_ref"])
 
 
@@ -192,17 +194,31 @@ def statement_header(filings: DataFrame) -> DataFrame:
     return filings.select("filing_id", *known, "form_type", F.col("report_date").alias("fiscal_year_end_date"), "filing_date", F.year("report_date").alias("fiscal_year"))
 
 
+def joined_facts(facts: DataFrame, contexts: DataFrame, specs: DataFrame, aliases: list[str] = ()) -> DataFrame:
+    """Facts with their contexts, joined once and written: those of the specs' tags, and those whose label holds an alias.
+
+    What ranks facts by field, by tag, by label or at another date reads this table instead of joining again.
+    """
+    tags = [t for r in specs.select("tags").collect() for t in r["tags"]]  # a dictionary
+    wanted = F.col("tag").isin(sorted(set(tags)))
+    if aliases:
+        wanted |= F.exists(F.array(*(normalize_label(F.lit(a)) for a in aliases)), lambda a: F.contains(normalize_label(F.col("tag")), a))
+    return written(facts_x_contexts(facts.filter(wanted), contexts))
+
+
 def us_statement_table(facts: DataFrame, contexts: DataFrame, filings: DataFrame, specs: DataFrame, exchange_labels: list[str]) -> DataFrame:
     """One row per filing with any value: every field as <statement>_<field>, the debt split with its source tags and flags,
     consolidated net income, opening cash, the exchange effect by label where no tag has it, and the filing's metadata.
 
     A filing's values are gathered in one aggregation over the long values; nothing is pivoted by a query of its own.
     """
-    values = us_values(facts, contexts, filings, specs)
-    opening = prior_period_values(facts, contexts, filings, specs.filter("stmt = 'CF' and field = 'cash_end_of_period'"))
+    facts = joined_facts(facts, contexts, specs, exchange_labels)
+    values = us_values(facts, None, filings, specs)
+    before = longest_durations(contexts, filings).select("filing_id", F.col("prior_end").alias("report_date"))
+    opening = first_tag_values(facts, None, before, specs.filter("stmt = 'CF' and field = 'cash_end_of_period'"))
     opening = opening.select("filing_id", F.lit("CF").alias("stmt"), F.lit("cash_beginning_of_period").alias("field"), "value", F.lit(None).cast("string").alias("tag"))
     labels = facts.sparkSession.createDataFrame([(x,) for x in exchange_labels], "alias string")
-    by_label = label_alias_values(facts, contexts, filings, labels).select("filing_id", F.lit("CF").alias("stmt"), F.lit("exchange_by_label").alias("field"), "value", F.lit(None).cast("string").alias("tag"))
+    by_label = label_alias_values(facts, None, filings, labels).select("filing_id", F.lit("CF").alias("stmt"), F.lit("exchange_by_label").alias("field"), "value", F.lit(None).cast("string").alias("tag"))
     names = [(r["stmt"], r["field"]) for r in specs.select("stmt", "field").collect()]  # a dictionary
     is_field = lambda s, f: (F.col("stmt") == s) & (F.col("field") == f)
     value = lambda s, f: F.max(F.when(is_field(s, f), F.col("value"))).alias(f"{s}_{f}")
@@ -239,10 +255,11 @@ def jp_statement_table(facts: DataFrame, contexts: DataFrame, filings: DataFrame
     """One row per filing with any value: every chain's field as <statement>_<field>, non-operating net where both sides are
     given, cash at the period's ends (opening cash by its tag, else the instant value at the prior end, else closing cash less
     its change), and the filing's metadata. chains' fields are named <statement>_<field>."""
-    chosen = chain_values(scored_facts(facts, contexts, filings, single, ANNUAL_JP), chains)
+    facts = joined_facts(facts, contexts, single)
+    chosen = chain_values(scored_facts(facts, None, filings, single, ANNUAL_JP), chains)
     before = longest_durations(contexts, filings, False).select("filing_id", F.col("prior_end").alias("report_date"))
     at_date = chains.filter("field = 'CF_cash_at_date'")
-    prior = chain_values(scored_facts(facts, contexts, before, single.join(small_side(at_date.select(F.col("source").alias("field"))), "field"), ANNUAL_JP), at_date)
+    prior = chain_values(scored_facts(facts, None, before, single.join(small_side(at_date.select(F.col("source").alias("field"))), "field"), ANNUAL_JP), at_date)
     chosen = chosen.unionByName(prior.withColumn("field", F.lit("CF_cash_at_prior_end")))
     names = [r["field"] for r in chains.select("field").distinct().orderBy("field").collect()]  # a dictionary
     wide = chosen.groupBy("filing_id").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in [*names, "CF_cash_at_prior_end"]))

@@ -81,6 +81,12 @@ def _documents(s, d):
     return view(s, d, "supplier").select(F.col("s_suppkey").alias("filing_id"), text.alias("xml"))
 
 
+_FACT_ROWS = """SELECT s_suppkey AS filing_id, CAST(k AS BIGINT) AS fact_seq, tag, ctx AS context_ref, unit AS unit_ref, dec AS decimals, coalesce(val, CAST(s_suppkey AS VARCHAR)) AS value_raw FROM {supplier}
+        CROSS JOIN (VALUES (0, 'Assets', 'c1', 'USD', '-3', NULL), (1, 'Sales', 'c2', 'USD', NULL, '5,000'), (2, 'Assets', 'c2', NULL, NULL, '')) v(k, tag, ctx, unit, dec, val)"""
+_CONTEXT_ROWS = """SELECT s_suppkey AS filing_id, c AS context_id, CAST(a AS DATE) AS start_date, CAST(b AS DATE) AS end_date, CAST(i AS DATE) AS instant, x AS is_consolidated, CAST(n AS INT) AS duration_days FROM {supplier}
+        CROSS JOIN (VALUES ('c1', '2023-01-01', '2023-12-31', NULL, true, 364), ('c2', NULL, NULL, '2023-12-31', false, NULL)) v(c, a, b, i, x, n)"""
+
+
 def s4(s, d):
     index = view(s, d, "fx_filings").groupBy("company_key").agg(F.array_sort(F.collect_list("form_type")).alias("form"), F.array_sort(F.collect_list(F.col("report_date").cast("string"))).alias("reportDate"))
     index = index.withColumns({"filingDate": F.col("reportDate"), "accessionNumber": F.col("reportDate"), "primaryDocument": F.col("form")})
@@ -184,13 +190,11 @@ QUERIES = {
     ),
     "s2_read_xbrl_facts": (
         lambda s, d: xml.read_facts(_documents(s, d)),
-        """SELECT s_suppkey AS filing_id, CAST(k AS BIGINT) AS fact_seq, tag, ctx AS context_ref, unit AS unit_ref, dec AS decimals, coalesce(val, CAST(s_suppkey AS VARCHAR)) AS value_raw FROM {supplier}
-        CROSS JOIN (VALUES (0, 'Assets', 'c1', 'USD', '-3', NULL), (1, 'Sales', 'c2', 'USD', NULL, '5,000'), (2, 'Assets', 'c2', NULL, NULL, '')) v(k, tag, ctx, unit, dec, val)""",
+        _FACT_ROWS,
     ),
     "s3_read_xbrl_contexts": (
         lambda s, d: xml.read_contexts(_documents(s, d)),
-        """SELECT s_suppkey AS filing_id, c AS context_id, CAST(a AS DATE) AS start_date, CAST(b AS DATE) AS end_date, CAST(i AS DATE) AS instant, x AS is_consolidated, CAST(n AS INT) AS duration_days FROM {supplier}
-        CROSS JOIN (VALUES ('c1', '2023-01-01', '2023-12-31', NULL, true, 364), ('c2', NULL, NULL, '2023-12-31', false, NULL)) v(c, a, b, i, x, n)""",
+        _CONTEXT_ROWS,
     ),
     "s4_read_submissions_index": (
         s4,

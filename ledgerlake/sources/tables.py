@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import require_columns
@@ -28,7 +28,21 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_statements(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").partitionBy("market", "fiscal_year").parquet(path)
+    """Rows by market and fiscal_year. Only the partitions that rows hold are replaced, whole; all others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("market", "fiscal_year").parquet(path)
+
+
+def written_partitions(spark: SparkSession, path: str) -> DataFrame:
+    """market and fiscal_year of what write_statements has written, from the folders' names; files aren't read for it."""
+    return spark.read.parquet(path).select(F.col("market").cast("string").alias("market"), F.col("fiscal_year").cast("int").alias("fiscal_year")).distinct()
+
+
+def write_observed(rows: DataFrame, path: str, metrics: dict[str, Column]) -> DataFrame:
+    """Writes rows as write_statements does and returns one row of metrics (aggregates by name), observed by the writing job
+    itself: nothing is read or computed a second time."""
+    seen = Observation()
+    write_statements(rows.observe(seen, *(c.alias(n) for n, c in metrics.items())), path)
+    return rows.sparkSession.createDataFrame([seen.get])
 
 
 def write_report(rows: DataFrame, path: str) -> None:
@@ -38,3 +52,8 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 def write_anomalies(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
+
+
+def list_files(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    """path and length of all files below a folder whose names fit the pattern; contents aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path).select("path", "length")
