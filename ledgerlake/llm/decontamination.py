@@ -1,16 +1,18 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages and benchmark items are TF-IDF vectors over the items' vocabulary (document frequencies over all documents). A
-distributed randomised SVD of the passages gives the latent space; passages near an item by cosine are candidates, and a
-candidate counts as a leak if a longest common subsequence covers enough of the item's terms and of its answer, the
-item's last part. Passages are windows of twice an item's length, half overlapping, so that any item lies wholly in one.
-
-The SVD has two stages over the passages A (by terms) and a random W: the range A W is made orthonormal by the Cholesky
-factor R of its Gram matrix, and with Q = A W / R the small matrix Q'A gives singular values and the terms' directions by
-its own Gram matrix. Both Gram matrices have RANK + OVERSAMPLE rows and are summed over the tasks; the rows of A'A W, one
-for each term, are summed by term in a shuffle.
-
-The common subsequence runs over the items' terms, without the most frequent ones: those stand in any order in any text.
+distributed randomised SVD of the passages gives the latent space; passages near an item by cosine are candidates. Their
+texts are read again, and a candidate counts as a leak if a longest common subsequence covers enough of the item's words
+and of its answer, the item's last part: all words take part, frequent ones too.
+
+Retrieval looks at the rarer terms only. Passages are windows of twice an item's length class, half overlapping, so that any
+item lies wholly in one. An item that shares LCS_SHARE of its words with a passage keeps all its terms but as many as the
+other words; so an index from terms to items finds the pairs that may, and cosines are taken of those alone.
+
+The SVD has two stages over the passages A (by terms) and a random W of signs: the range A W is made orthonormal by the
+Cholesky factor R of its Gram matrix, and with Q = A W / R the small matrix Q'A gives singular values and the terms'
+directions by its own Gram matrix. Both Gram matrices have RANK + OVERSAMPLE rows and are summed over the tasks; the rows of
+A'A W, one for each term, are summed by term in a shuffle. The signs follow from a term's number, so no task holds W.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .common import WORD, small_side, written
 
-#: Terms of more than this share of documents are left out, but for an item's LEAST_TERMS rarest.
-MOST_SHARE, LEAST_TERMS = 0.02, 8
-RANK, OVERSAMPLE = 128, 16
+#: Retrieval leaves out terms of more than this share of documents (and more than FEW_DOCS), but for an item's LEAST_TERMS rarest.
+MOST_SHARE, FEW_DOCS, LEAST_TERMS = 0.02, 50, 8
+#: A candidate passage holds at least this share of an item's terms, and two of them.
+TERM_SHARE = 0.25
+RANK, OVERSAMPLE = 128, 32
 #: Passage length for the SVD, and the shortest length class of items, in words.
 SVD_WORDS, SHORTEST = 64, 16
 COSINE, LCS_SHARE = 0.3, 0.6
@@ -36,8 +40,8 @@ COSINE, LCS_SHARE = 0.3, 0.6
 ANSWER_PART, ANSWER_SHARE = 0.25, 0.5
 #: The items' side is broadcast: more distinct text or terms than these are an error (give the benchmark in parts then).
 MOST_BYTES, MOST_TERMS = 64 << 20, 250_000
-#: Passages meet so many items at a time, and a table of the common subsequence has at most so many cells.
-ITEM_BLOCK, MOST_CELLS = 4096, 1 << 20
+#: A table of the common subsequence has at most so many cells.
+MOST_CELLS = 1 << 20
 #: Sums of so many terms are held in a task before they are passed on.
 HELD_TERMS = 50_000
 #: Up to so many ids of leaking documents are broadcast to take them out; more are joined by shuffle.
@@ -128,18 +132,22 @@ def _units(row: np.ndarray, place: np.ndarray, words: int) -> tuple[np.ndarray,
     return first, joined
 
 
-def _projected(batch: pa.RecordBatch, idf: np.ndarray, width: int, random: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _projected(batch: pa.RecordBatch, idf: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(term, passage and weight of every term of the batch, the passages' rows of A W)."""
     row, term, place = _flat(batch)
     first, _ = _units(row, place, SVD_WORDS)
     passage = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(term))))
     weight = idf[term].astype(np.float32)
     weight = weight / np.sqrt(np.bincount(passage, weight**2))[passage].astype(np.float32)
-    return term, passage, weight, np.add.reduceat(random[term] * weight[:, None], first)
+    own, number = np.unique(term, return_inverse=True)
+    return term, passage, weight, np.add.reduceat(_signs(own, width)[number] * weight[:, None], first)
 
 
-def _random(n: int, width: int) -> np.ndarray:
-    return np.random.default_rng(5).standard_normal((n, width)).astype(np.float32)
+def _signs(terms: np.ndarray, width: int) -> np.ndarray:
+    """The terms' rows of W: width random signs each."""
+    words = np.arange((width + 63) // 64, dtype=np.uint64)
+    bits = tx.mix64(terms.astype(np.uint64)[:, None] * np.uint64(len(words)) + words + np.uint64(5))
+    return np.unpackbits(bits.view(np.uint8), axis=1)[:, :width].astype(np.float32) * 2 - 1
 
 
 def _rows(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
@@ -151,10 +159,10 @@ def _range_gram(idf: np.ndarray, width: int):
     """Each task's share of (A W)'(A W)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        random, total = _random(len(idf), width), np.zeros((width, width))
+        total = np.zeros((width, width))
         for whole in batches:
             for batch in _small(whole):
-                y = _projected(batch, idf, width, random)[3].astype(float)
+                y = _projected(batch, idf, width)[3].astype(float)
                 total += y.T @ y
         yield _rows(np.arange(width), total)
 
@@ -172,10 +180,10 @@ def _range_by_term(idf: np.ndarray, width: int):
     """Shares of the rows of A'(A W); a task holds about twice HELD_TERMS of them at most."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        random, terms, sums = _random(len(idf), width), [], []
+        terms, sums = [], []
         for whole in batches:
             for batch in _small(whole):
-                term, passage, weight, y = _projected(batch, idf, width, random)
+                term, passage, weight, y = _projected(batch, idf, width)
                 order = np.argsort(term, kind="stable")
                 start = np.flatnonzero(np.append(True, np.diff(term[order]) != 0))
                 total = np.zeros((len(start), width))
@@ -281,49 +289,96 @@ def check(item: np.ndarray, passage: np.ndarray) -> tuple[float, float]:
     return len(found) / len(item), sum(p >= answer for p in found) / (len(item) - answer)
 
 
-def _search(sequences: list[np.ndarray], lengths: list[int], basis: np.ndarray):
-    """basis: the terms' idf-weighted places in the latent space."""
-    classes: dict[int, list[int]] = {}
-    for k, (s, n) in enumerate(zip(sequences, lengths, strict=True)):
-        if len(s):
-            classes.setdefault(max(SHORTEST, 1 << (n - 1).bit_length()), []).append(k)
-    sums = np.stack([basis[s].sum(0) for s in sequences]) if sequences else np.zeros((0, basis.shape[1]), np.float32)
-    unit = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    need = np.array([np.ceil(LCS_SHARE * len(s)) for s in sequences])
+def _candidates(known: Items, basis: np.ndarray):
+    """(doc_id, item, at, cosine) of passages near an item: at is the number of the passage's first word.
+
+    basis: the terms' idf-weighted places in the latent space.
+    """
+    sequences, lengths = known.sequences(), np.array([len(w) for w in known.words])
+    own = [np.unique(s) for s in sequences]
+    kept = np.array([len(t) for t in own])
+    need = np.maximum.reduce([np.minimum(2, kept), np.ceil(TERM_SHARE * kept).astype(int), kept - np.floor((1 - LCS_SHARE) * lengths).astype(int)])
+    unit = np.stack([basis[s].sum(0) for s in sequences])
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
+    classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of each length class, the items of every term
+    for words in sorted({_class(n) for n in lengths}):
+        some = [k for k in range(len(own)) if kept[k] and _class(lengths[k]) == words]
+        term, item = np.concatenate([np.zeros(0, np.int64), *(own[k] for k in some)]), np.repeat(np.array(some, np.int64), kept[some])
+        order = np.argsort(term, kind="stable")
+        classes[words] = np.searchsorted(term[order], np.arange(len(basis) + 1)), item[order]
+
+    def near(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, ...]:
+        at, items = classes[words]
+        row, term, place = _flat(batch)
+        first, joined = _units(row, place, words)
+        count = np.diff(np.append(first, len(term)))
+        passage = np.repeat(np.arange(len(first)), count)
+        also = joined[passage - 1] & (passage > 0)  # a unit's terms belong to the passage that begins a unit earlier too
+        held = np.unique(np.concatenate([passage, passage[also] - 1]) * len(basis) + np.concatenate([term, term[also]]))
+        passage, held = held // len(basis), held % len(basis)
+        n = at[held + 1] - at[held]
+        item = items[np.repeat(at[held] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        pair, shared = np.unique(np.repeat(passage, n) * len(own) + item, return_counts=True)
+        enough = shared >= need[pair % len(own)]
+        passage, item = pair[enough] // len(own), pair[enough] % len(own)
+        which, back = np.unique(passage, return_inverse=True)
+        until = np.append(first[1:], len(term))
+        until[:-1][joined[:-1]] = until[1:][joined[:-1]]
+        sums = np.stack([basis[term[first[p] : until[p]]].sum(0) for p in which]) if len(which) else np.zeros((0, basis.shape[1]))
+        sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+        cosine = np.einsum("ij,ij->i", sums[back], unit[item])
+        hit = cosine >= COSINE
+        return row[first[passage[hit]]], item[hit], place[first[passage[hit]]] // words * words, cosine[hit]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _small(whole):
-                doc = batch.column(0).to_pylist()
-                row, term, place = _flat(batch)
-                each = basis[term]
-                out: list[tuple] = []
-                for words, items in classes.items():
-                    first, joined = _units(row, place, words)
-                    end = np.append(first[1:], len(term))
-                    until = end.copy()
-                    until[:-1][joined[:-1]] = end[1:][joined[:-1]]
-                    passages = np.add.reduceat(each, first)
-                    passages[:-1][joined[:-1]] += np.add.reduceat(each, first)[1:][joined[:-1]]
-                    enough = np.flatnonzero(until - first >= need[items].min())
-                    passages = passages[enough]
-                    passages /= np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-12)
-                    for some in (items[i : i + ITEM_BLOCK] for i in range(0, len(items), ITEM_BLOCK)):
-                        near = passages @ unit[some].T
-                        for p, i in zip(*np.nonzero((near >= COSINE) & ((until - first)[enough][:, None] >= need[some][None, :])), strict=True):
-                            k, u = some[i], enough[p]
-                            passage = term[first[u] : until[u]]
-                            if np.isin(sequences[k], passage).sum() < need[k]:  # no common subsequence can be long enough
-                                continue
-                            share, answer = check(sequences[k], passage)
-                            if share >= LCS_SHARE and answer >= ANSWER_SHARE:
-                                out.append((doc[row[first[u]]], k, float(near[p, i]), share, answer))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item", "cosine", "lcs_share", "answer_share"])
+                for words in classes if len(batch) else ():
+                    row, item, at, cosine = near(batch, words)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(item), pa.array(at), pa.array(cosine.astype(float))], names=["doc_id", "item", "at", "cosine"])
+
+    return work
+
+
+def _class(n: int) -> int:
+    return max(SHORTEST, 1 << (max(1, int(n)) - 1).bit_length())
+
+
+def best_window(item: np.ndarray, passage: np.ndarray) -> tuple[float, float]:
+    """check() of the best stretch of the passage of twice the item's length, from any multiple of that length on."""
+    n, need, best = len(item), np.ceil(LCS_SHARE * len(item)), (0.0, 0.0)
+    held = np.append(0, np.cumsum(np.isin(passage, item)))
+    for start in range(0, max(1, len(passage) - n), n):
+        end = min(start + 2 * n, len(passage))
+        if held[end] - held[start] >= need and np.isin(item, passage[start:end]).sum() >= need:
+            best = max(best, check(item, passage[start:end]))
+    return best
+
+
+def _verified(words: list[np.ndarray]):
+    """Leaks among the candidates (doc_id, text, found: item, at, cosine) by all words of passage and item."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row, raw, at in tx.slices(batch.column(1)):
+                hashes, _, word_at = tx.words(raw, at)
+                for t in range(len(at) - 1):
+                    text, doc = hashes[word_at[t] : word_at[t + 1]], batch.column(0)[row + t].as_py()
+                    for c in batch.column(2)[row + t].as_py():
+                        item, size = words[c["item"]], _class(len(words[c["item"]]))
+                        # a unit without terms may stand before the first that has some
+                        begin = max(0, c["at"] - size) // len(item) * len(item)
+                        share, answer = best_window(item, text[begin : c["at"] + 2 * size])
+                        if share >= LCS_SHARE and answer >= ANSWER_SHARE:
+                            out.append((doc, c["item"], c["cosine"], share, answer))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item", "cosine", "lcs_share", "answer_share"])
 
     return work
 
 
+_NEAR = "doc_id long, item long, at long, cosine double"
 _FOUND = "doc_id long, item long, cosine double, lcs_share double, answer_share double"
 
 
@@ -349,7 +404,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for _, raw, at in tx.slices(pa.array(rows, pa.string())):
         hashes, _, word_at = tx.words(raw, at)
         words += [hashes[a:b] for a, b in zip(word_at[:-1], word_at[1:], strict=True)]
-    lengths = [len(w) for w in words]
     vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
     if not len(vocabulary):
         return spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
@@ -361,7 +415,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_docs = max(1, df.pop(-1, 0))
     frequency = np.zeros(len(vocabulary))
     frequency[list(df)] = list(df.values())
-    kept = frequency <= MOST_SHARE * n_docs
+    kept = frequency <= max(MOST_SHARE * n_docs, FEW_DOCS)
     for w in words:
         own = np.searchsorted(vocabulary, np.unique(w))
         kept[own[np.argsort(frequency[own], kind="stable")[:LEAST_TERMS]]] = True
@@ -369,7 +423,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     term_rows = written(docs.mapInArrow(tx.freed(_term_rows(known.terms)), "doc_id long, terms array<int>, places array<int>"))
     basis, _ = latent_basis(term_rows, known.idf)
-    found = term_rows.mapInArrow(tx.freed(_search(known.sequences(), lengths, (basis * known.idf[:, None]).astype(np.float32))), _FOUND)
+    near = term_rows.mapInArrow(tx.freed(_candidates(known, (basis * known.idf[:, None]).astype(np.float32))), _NEAR)
+    near = near.groupBy("doc_id", "item", "at").agg(F.max("cosine").alias("cosine"))
+    near = written(near.groupBy("doc_id").agg(F.collect_list(F.struct("item", "at", "cosine")).alias("found")))  # no more than a text's passages
+    found = docs.join(small_side(near, BROADCAST_IDS), "doc_id").mapInArrow(tx.freed(_verified(known.words)), _FOUND)
     best = F.max(F.struct("lcs_share", "answer_share", "cosine")).alias("best")
     found = found.groupBy("doc_id", "item").agg(best)
     numbers = spark.createDataFrame(list(enumerate(rows)), "item long, text string")
