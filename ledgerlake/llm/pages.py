@@ -3,14 +3,19 @@
 A page is cut into blocks at block-level tags. First pass, each block on its own: blocks inside page furniture are bad; of
 the others, long ones with enough stop words are good, long ones with few and blocks dense in links are bad, and the rest,
 short ones above all, stays undecided. Second pass: an undecided block takes the label of its nearest decided neighbours,
-good if either side is.
+good if either side is. On a page without an article where nothing is decided, undecided blocks are good.
 
-Inside a page's article the same figures decide, with two differences: it takes both few stop words and many links to make
+Where a page's blocks hold hardly any of the known stop words, its language isn't one of those: link density and length
+alone decide then.
+
+Inside a page's article the same figures decide, with three differences: it takes both few stop words and many links to make
 a long block bad, and a block all of links is undecided; undecided blocks ask only the article's own blocks, and are good
-where none of those is decided (a language of other stop words).
+where none of those is decided; but short blocks of links that follow one another are a box of links, and bad with the
+heading above them.
 
 Furniture is what tags, roles and whole class names say it is; reader comments are also known by their heading: where a
-section's first text is a heading such as "3 comments", the section is furniture.
+section's first text is a heading such as "3 comments", the section is furniture. In an article, headings of a box that
+holds furniture only go with it, and so do short texts that ask for consent to cookies.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +52,8 @@ BOX_WORDS = frozenset("site page post posts entry article top bottom left right
 CONTAINERS = frozenset("div section ul ol dl table details span center article".split())
 #: Headings of reader comments in the corpus languages.
 COMMENT_HEADING = re.compile(r"(?:\d+|reader|user|all|your|les|die|los|leave a|add a|post a)?\s*(?:comments?|reply|replies|responses|commentaires?|kommentare?|comentarios?)\s*(?:\(\d+\)|:)?", re.I)
+#: How texts begin that ask for consent, in the corpus languages.
+CONSENT = re.compile(r"(?:we|this (?:site|website|page)) uses? cookies|(?:nous utilisons|ce site utilise)(?: des)? cookies|(?:wir verwenden|diese (?:seite|website) verwendet) cookies|(?:usamos|utilizamos|este sitio (?:web )?(?:usa|utiliza)) cookies", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 legend summary".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 CLOSED_BY = {"li": {"ul", "ol", "menu"}, "p": BLOCK_TAGS, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody"}, "dd": {"dl"}, "dt": {"dl"}, "option": {"select"}}
@@ -59,6 +66,8 @@ STOP_WORDS = frozenset(
     "el los las que y en del se por un una con no su para es al lo como más o pero sus".split()
 )
 MOST_LINKS = 0.3
+#: A page with a smaller share of stop words is in another language; so many short blocks of links in a row are a box of links.
+KNOWN_LANGUAGE, LINK_BOX = 0.04, 2
 SHORT, FEW_STOPS, ENOUGH_STOPS = 70, 0.08, 0.2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
@@ -77,6 +86,11 @@ class Block:
     linked: int  # characters inside links
     furniture: bool
     in_article: bool
+    heading: bool = False
+
+    @property
+    def many_links(self) -> bool:
+        return self.linked / len(self.text) > MOST_LINKS
 
 
 def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
@@ -111,6 +125,13 @@ class _Open:
     furniture: bool
     article: bool
     blocks: int  # blocks of the page before it was opened
+    plain: int = 0  # blocks inside it that are no furniture and no headings
+    junk: int = 0  # blocks of furniture inside it
+    heads: list[int] = field(default_factory=list)  # headings inside it that nothing but furniture has followed
+
+
+#: Boxes whose headings go with what they hold.
+_BOXES = frozenset(("div", "section"))
 
 
 def blocks(page: str) -> list[Block]:
@@ -132,7 +153,16 @@ def blocks(page: str) -> list[Block]:
                 if box and not box.furniture and box.tag in CONTAINERS and box.blocks == len(out):
                     box.furniture = True
                     furniture += 1
-            out.append(Block(text, linked, furniture > 0, article > 0))
+            heading = bool(outer) and outer[-1].tag in HEADINGS
+            out.append(Block(text, linked, furniture > 0, article > 0, heading))
+            if outer:
+                held = outer[-1]
+                if furniture:
+                    held.junk += 1
+                elif heading and outer[-1].tag != "h1":
+                    held.heads.append(len(out) - 1)
+                else:
+                    held.plain += 1
         parts.clear()
         linked = 0
 
@@ -145,6 +175,16 @@ def blocks(page: str) -> list[Block]:
             article -= top.article
             if outer and outer[-1] is top:
                 outer.pop()
+                if top.tag in _BOXES and article and top.heads and top.junk and not top.plain:
+                    for i in top.heads:
+                        out[i].furniture = True
+                    top.junk, top.heads = top.junk + len(top.heads), []
+                if outer:
+                    up = outer[-1]
+                    up.plain, up.junk = up.plain + top.plain, up.junk + top.junk
+                    more, most = sorted((up.heads, top.heads), key=len)
+                    most += more  # the shorter to the longer: a heading moves a logarithmic number of times
+                    up.heads = most
             if top.tag == tag:
                 break
 
@@ -192,17 +232,46 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def first_pass(block: Block) -> int:
+def _stop_share(text: str) -> float:
+    found = _WORDS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in found) / max(1, len(found))
+
+
+def known_language(found: list[Block]) -> bool:
+    """Whether the blocks outside furniture hold enough of the known stop words."""
+    return _stop_share(" ".join(b.text for b in found if not b.furniture)) >= KNOWN_LANGUAGE
+
+
+def first_pass(block: Block, known: bool = True) -> int:
+    """known: whether the page's language is one whose stop words are known."""
     if block.furniture:
         return BAD
-    many_links = block.linked / len(block.text) > MOST_LINKS
+    if not known and not block.in_article:  # other scripts say more in a letter
+        return BAD if block.many_links else GOOD if len(block.text.encode()) > SHORT else OPEN
     if len(block.text) <= SHORT:
-        return BAD if many_links and not block.in_article else OPEN
-    found = _WORDS.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in found) / max(1, len(found))
+        return BAD if block.many_links and not block.in_article else OPEN
+    stops = _stop_share(block.text)
     if block.in_article:
-        return OPEN if many_links and stops >= FEW_STOPS else BAD if many_links else GOOD if stops >= ENOUGH_STOPS else OPEN
-    return BAD if many_links or stops < FEW_STOPS else GOOD if stops >= ENOUGH_STOPS else OPEN
+        return OPEN if block.many_links and stops >= FEW_STOPS else BAD if block.many_links else GOOD if stops >= ENOUGH_STOPS else OPEN
+    return BAD if block.many_links or stops < FEW_STOPS else GOOD if stops >= ENOUGH_STOPS else OPEN
+
+
+def mark_boxes(found: list[Block]) -> None:
+    """In articles, makes texts that ask for consent furniture, and LINK_BOX and more short blocks of links that follow one
+    another with the short heading above them."""
+    link = [f.in_article and not f.furniture and len(f.text) <= SHORT and f.many_links and not f.heading for f in found]
+    i = 0
+    while i < len(found):
+        end = i
+        while end < len(found) and link[end]:
+            end += 1
+        if end - i >= LINK_BOX:
+            above = i and found[i - 1].heading and found[i - 1].in_article and len(found[i - 1].text) <= SHORT
+            for f in found[i - bool(above) : end]:
+                f.furniture = True
+        i = end + 1
+    for f in found:
+        f.furniture |= f.in_article and len(f.text) <= 4 * SHORT and bool(CONSENT.match(f.text))
 
 
 def second_pass(labels: list[int], found: list[Block]) -> list[bool]:
@@ -224,10 +293,18 @@ def second_pass(labels: list[int], found: list[Block]) -> list[bool]:
     return [x == GOOD or (x == OPEN and (GOOD in (b, a) or (f.in_article and b == a == OPEN))) for x, b, a, f in zip(labels, before, after, found, strict=True)]
 
 
+def kept(found: list[Block]) -> list[bool]:
+    mark_boxes(found)
+    known = known_language(found)
+    labels = [first_pass(b, known) for b in found]
+    if all(b.furniture or (x == OPEN and not b.in_article) for x, b in zip(labels, found, strict=True)):
+        return [not b.furniture for b in found]
+    return second_pass(labels, found)
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    keep = second_pass([first_pass(b) for b in found], found)
-    return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
+    return "\n".join(b.text for b, k in zip(found, kept(found), strict=True) if k)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +316,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
-    A null or empty page has an empty text, as has one without good blocks. Pages are read whole and row by row, repeats
+    A null or empty page has an empty text, as has one whose blocks are all bad. Pages are read whole and row by row, repeats
     alike, so there are no ties; a task holds one batch and a few times its longest page. Other columns are ignored; an empty
     table gives an empty result.
     """
