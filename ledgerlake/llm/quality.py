@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -22,6 +22,8 @@ from .labelled import fold, training_sample
 PER_CLASS = 2000
 PARTS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
+#: The fit sees so many lines of a label at most: documents are taken in the order of their hash as long as their lines fit.
+LINES_PER_CLASS = 100_000
 ROUNDS, RATE, DECAY = 60, 0.25, 1e-3
 
 
@@ -188,8 +190,15 @@ def _scores(model: QualityModel):
     return work
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
-    sample = training_sample(docs, labels, "quality", PARTS, HELD_OUT, per_class)
+def _few_lines(sample: DataFrame, most: int) -> DataFrame:
+    """The sample (doc_id, text, y; at most PER_CLASS rows a label) without what exceeds so many lines of a label."""
+    lines = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("\n")) + 1
+    before = F.sum(lines).over(Window.partitionBy("y").orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id"))
+    return sample.withColumn("_lines", before).filter(F.col("_lines") <= most).drop("_lines")
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, lines: int = LINES_PER_CLASS) -> QualityModel:
+    sample = _few_lines(training_sample(docs, labels, "quality", PARTS, HELD_OUT, per_class), lines)
     rows = sample.select("text", "y").mapInArrow(_described, "y int, x binary, size binary").toArrow()
     size = [np.frombuffer(s, np.float32) for s in rows["size"].to_pylist()]
     x = [np.frombuffer(v, np.float32).reshape(len(s), -1) for v, s in zip(rows["x"].to_pylist(), size, strict=True) if len(s)]
@@ -201,7 +210,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, model: QualityModel | Non
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= THRESHOLD).
 
     Labels are learned outside the held-out fold (checksum of doc_id modulo PARTS) from at most PER_CLASS documents of
-    MOST_BYTES (labelled.py) a label; a line takes its document's label, none has its own. Null and empty texts have no line
+    MOST_BYTES (labelled.py) and LINES_PER_CLASS lines a label, 184 bytes each on the driver; a line takes its document's label, none has its own. Null and empty texts have no line
     and get the score of undecided lines. Labels other than 0 and 1 are ignored; without training rows of both labels the
     score is constant. Rows are scored one by one, repeats alike, so there are no ties; a very long text is scored whole, in
     about 1 KB of a task's memory a line. Other columns are ignored; an empty table gives an empty result.
