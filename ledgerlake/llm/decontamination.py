@@ -46,6 +46,8 @@ MOST_CELLS = 1 << 20
 HELD_TERMS = 50_000
 #: Up to so many ids of leaking documents are broadcast to take them out; more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Candidates of up to so many documents are broadcast to the texts; more are joined by shuffle.
+BROADCAST_FOUND = 100_000
 
 
 @dataclass
@@ -426,7 +428,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = term_rows.mapInArrow(tx.freed(_candidates(known, (basis * known.idf[:, None]).astype(np.float32))), _NEAR)
     near = near.groupBy("doc_id", "item", "at").agg(F.max("cosine").alias("cosine"))
     near = written(near.groupBy("doc_id").agg(F.collect_list(F.struct("item", "at", "cosine")).alias("found")))  # no more than a text's passages
-    found = docs.join(small_side(near, BROADCAST_IDS), "doc_id").mapInArrow(tx.freed(_verified(known.words)), _FOUND)
+    found = docs.join(small_side(near, BROADCAST_FOUND), "doc_id").mapInArrow(tx.freed(_verified(known.words)), _FOUND)
     best = F.max(F.struct("lcs_share", "answer_share", "cosine")).alias("best")
     found = found.groupBy("doc_id", "item").agg(best)
     numbers = spark.createDataFrame(list(enumerate(rows)), "item long, text string")
