@@ -164,12 +164,16 @@ QUERIES = {
     "w5_map_conflict_policy": (lambda s, d: ln.line_values(_hits(s, d)), _W5),
     "w16_total_assets_row": (
         lambda s, d: ln.total_assets(_lines(s, d), ("redring", "bluering"), "smallgear", "greenbolt"),
-        f"""WITH {_LINE}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k, count(*) OVER (PARTITION BY doc_id) AS c FROM ln), p AS (SELECT *, CASE WHEN contains(nm, 'redring') THEN 1 WHEN contains(nm, 'bluering') THEN 2 WHEN contains(nm, 'smallgear') AND line_no - 1 >= floor(c * 0.6) THEN 3 END AS pr FROM n WHERE NOT contains(nm, 'greenbolt') AND NOT hot)
+        f"""WITH {_LINE}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k, count(*) OVER (PARTITION BY doc_id) AS c
+          FROM ln), p AS (SELECT *, CASE WHEN contains(nm, 'redring') THEN 1 WHEN contains(nm, 'bluering') THEN 2 WHEN contains(nm,
+          'smallgear') AND line_no - 1 >= floor(c * 0.6) THEN 3 END AS pr FROM n WHERE NOT contains(nm, 'greenbolt') AND NOT hot)
         SELECT doc_id, CAST(amount AS DOUBLE) AS total_assets FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pr, CASE WHEN pr = 3 THEN -line_no ELSE line_no END) AS rn FROM p WHERE pr IS NOT NULL) WHERE rn = 1""",
     ),
     "w16_total_liabilities_row": (
         lambda s, d: ln.total_liabilities(_lines(s, d), "red", "blue", "small", "gear"),
-        f"""WITH {_LINE}, n AS (SELECT *, coalesce(bool_or(contains(nm, 'blue')) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), false) AS b, coalesce(bool_or(contains(nm, 'small')) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 11 FOLLOWING), false) AS a FROM ln)
+        f"""WITH {_LINE}, n AS (SELECT *, coalesce(bool_or(contains(nm, 'blue')) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 8 PRECEDING
+          AND 1 PRECEDING), false) AS b, coalesce(bool_or(contains(nm, 'small')) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING
+          AND 11 FOLLOWING), false) AS a FROM ln)
         SELECT doc_id, CAST(arg_min(amount, line_no) AS DOUBLE) AS total_liabilities FROM n WHERE contains(nm, 'red') AND NOT contains(nm, 'gear') AND a AND b AND NOT hot GROUP BY 1""",
     ),
     "c5_cn_income_rows": (lambda s, d: cn.income_rows(_values(s, d)), f"WITH {_IS} SELECT * FROM i"),
@@ -204,7 +208,9 @@ QUERIES = {
     "s6_read_chart_of_accounts": (s6, "SELECT CASE WHEN p_partkey % 2 = 0 THEN 'BS' ELSE 'IS' END AS sheet, CAST(row_number() OVER (PARTITION BY p_partkey % 2 ORDER BY p_partkey) AS INT) AS ordinal, 'C' || p_partkey AS item_code, p_name AS item_name_std FROM {part}"),
     "s11_build_pdf_manifest": (
         s11,
-        "WITH f AS (SELECT CAST(p_partkey % 60 AS VARCHAR) AS symbol, max('/pdf/' || (p_partkey % 60) || '_' || p_size || '_annual.pdf') AS path FROM {part} GROUP BY 1) SELECT CAST(s_suppkey AS VARCHAR) AS symbol, path, CASE WHEN path IS NULL THEN 'missing' ELSE 'ok' END AS status FROM {supplier} LEFT JOIN f ON symbol = CAST(s_suppkey AS VARCHAR)",
+        """WITH f AS (SELECT CAST(p_partkey % 60 AS VARCHAR) AS symbol, max('/pdf/' || (p_partkey % 60) || '_' || p_size || '_annual.pdf') AS path
+          FROM {part} GROUP BY 1) SELECT CAST(s_suppkey AS VARCHAR) AS symbol, path, CASE WHEN path IS NULL THEN 'missing' ELSE 'ok' END AS status
+          FROM {supplier} LEFT JOIN f ON symbol = CAST(s_suppkey AS VARCHAR)""",
     ),
     "t6_instance_file_pick": (
         t6,

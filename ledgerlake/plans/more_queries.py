@@ -151,7 +151,9 @@ SELECT f.filing_id, nullif(left(regexp_replace(CASE WHEN f.filing_id % 3 = 0 THE
   CASE WHEN f.filing_id % 2 = 0 THEN 'S' || (f.filing_id + 10000000000) ELSE 'LOCAL_doc' || f.filing_id END AS doc_id, f.filing_id % 7 = 0 AS is_amendment
 FROM {{fx_filings}} f LEFT JOIN t a ON a.filing_id = f.filing_id AND a.tag = 'Assets' LEFT JOIN t p ON p.filing_id = f.filing_id AND p.tag = 'ProfitLoss' LEFT JOIN rd ON rd.filing_id = f.filing_id"""
 _A10 = """WITH c2 AS (SELECT *, date_diff('day', start_date, end_date) AS dd FROM {fx_contexts}), v2 AS (SELECT filing_id, end_date AS day, 2 + CASE WHEN is_consolidated THEN 8 ELSE 0 END + CASE WHEN dd BETWEEN 300 AND 380 THEN 10 WHEN dd > 0 THEN 1 ELSE 0 END AS s FROM c2 WHERE end_date IS NOT NULL
- UNION ALL SELECT filing_id, instant, 1 + CASE WHEN is_consolidated THEN 4 ELSE 0 END FROM c2 WHERE instant IS NOT NULL), g2 AS (SELECT filing_id, day, sum(s) AS score FROM v2 GROUP BY ALL) SELECT filing_id, day AS report_date FROM (SELECT *, row_number() OVER (PARTITION BY filing_id ORDER BY score DESC, day DESC) AS rn FROM g2) WHERE rn = 1"""
+ UNION ALL SELECT filing_id, instant, 1 + CASE WHEN is_consolidated THEN 4 ELSE 0 END FROM c2 WHERE instant IS NOT NULL),
+   g2 AS (SELECT filing_id, day, sum(s) AS score FROM v2 GROUP BY ALL) SELECT filing_id, day AS report_date FROM (SELECT *,
+   row_number() OVER (PARTITION BY filing_id ORDER BY score DESC, day DESC) AS rn FROM g2) WHERE rn = 1"""
 
 
 def s12(s, d):
@@ -183,7 +185,9 @@ QUERIES = {
     "c12_jp_filing_metadata": (c12, _C12.replace("{a10}", _A10)),
     "s12_jp_zip_manifest": (
         s12,
-        "WITH f AS (SELECT DISTINCT CAST(p_partkey % 200 AS VARCHAR) AS symbol FROM {part} WHERE p_partkey % 3 = 0) SELECT CAST(s_suppkey AS VARCHAR) AS symbol, CASE WHEN f.symbol IS NOT NULL THEN '/zip/' || f.symbol || '.zip' END AS path, CASE WHEN f.symbol IS NULL THEN 'missing' ELSE 'ok' END AS status FROM {supplier} LEFT JOIN f ON f.symbol = CAST(s_suppkey AS VARCHAR)",
+        """WITH f AS (SELECT DISTINCT CAST(p_partkey % 200 AS VARCHAR) AS symbol FROM {part} WHERE p_partkey % 3 = 0) SELECT CAST(s_suppkey AS VARCHAR) AS symbol,
+          CASE WHEN f.symbol IS NOT NULL THEN '/zip/' || f.symbol || '.zip' END AS path, CASE WHEN f.symbol IS NULL THEN 'missing'
+          ELSE 'ok' END AS status FROM {supplier} LEFT JOIN f ON f.symbol = CAST(s_suppkey AS VARCHAR)""",
     ),
     "t7_max_fields_limit": (
         lambda s, d: fl.first_per_group(view(s, d, "fx_decisions").select("company_key", "input_seq", "case_id"), "company_key", "input_seq", 4),

@@ -82,13 +82,45 @@ def _headed(s, d):
     return _cells(s, d).withColumn("text", F.when(F.col("row_no") == 1, head).otherwise(F.col("text")))
 
 
+def _contents_pages(s, d):
+    """Pages of part lines: with dots and a number, with a number, with dots only, and bare ones."""
+    k = F.col("p_partkey") % 4
+    line = F.concat("p_name", F.when(k == 0, F.concat(F.lit(" ... "), F.col("p_size").cast("string"))).when(k == 1, F.concat(F.lit("  "), F.col("p_size").cast("string"))).when(k == 2, "...").otherwise(""))
+    rows = view(s, d, "part").select(F.col("p_brand").alias("doc_id"), (F.col("p_size") % 10).alias("page_no"), F.struct("p_partkey", line.alias("line")).alias("x"))
+    return rows.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
+
+
+_CONTENTS = """SELECT p_brand AS doc_id, CAST(p_size % 10 AS INT) AS page_no, bool_or(contains(p_name, 'red')) AND (count(*) FILTER (p_partkey % 4 = 0) >= 2 OR count(*) FILTER (p_partkey % 4 < 2) >= 6) AS is_toc
+FROM {part} GROUP BY 1, 2"""
+
+
+def _dated_year(c):
+    """The year over column c of a table, from its number."""
+    return 2000 + (F.substring("table_id", 7, 9).cast("int") * (3 * c + 1)) % 23
+
+
+def _dated(s, d):
+    """Tables whose header row has a day over most columns; over some only a word."""
+    n = F.substring("table_id", 7, 9).cast("int")
+    day = F.when(F.col("col_no") == 1, _dated_year(1)).when(F.col("col_no") == 2, _dated_year(2)).otherwise(_dated_year(3))
+    head = F.when(F.col("col_no") == 0, "项目").when((F.col("col_no") == 2) & (n % 3 == 0), "金额").otherwise(F.concat(day.cast("string"), F.lit("年12月31日")))
+    return _cells(s, d).withColumn("text", F.when(F.col("row_no") == 1, head).otherwise(F.col("text")))
+
+
+_DATED = """WITH h AS (SELECT DISTINCT table_id, CAST(substr(table_id, 7) AS INT) AS n, col_no FROM {fx_cells} WHERE col_no > 0),
+y AS (SELECT table_id, col_no, CASE WHEN col_no = 2 AND n % 3 = 0 THEN -1 ELSE 2000 + (n * (3 * col_no + 1)) % 23 END AS year FROM h)
+SELECT table_id, CAST(col_no AS INT) AS col_no, 'date' AS rule FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY year DESC, col_no) AS rn FROM y) z WHERE rn = 1"""
+
+
 def _items(s, d):
     p = F.col("p_partkey")
     status = F.element_at(F.array(*map(F.lit, ("OK", "MISSING", "PARSE_ERROR", "NOT_APPLICABLE"))), (p % 4 + 1).cast("int"))
     return view(s, d, "part").select(F.col("p_brand").alias("doc_id"), F.when(F.col("p_size") % 2 == 0, "BS").otherwise("IS").alias("stmt"), F.element_at(F.split("p_name", " "), 2).alias("item_code"), F.when(p % 4 == 0, F.col("p_retailprice")).alias("value"), status.alias("status"), p.alias("seq"), F.when(p % 3 == 0, "stream").otherwise("lattice").alias("method"))
 
 
-_I = "i AS (SELECT p_brand AS doc_id, CASE WHEN p_size % 2 = 0 THEN 'BS' ELSE 'IS' END AS stmt, split_part(p_name, ' ', 2) AS item_code, CASE WHEN p_partkey % 4 = 0 THEN p_retailprice END AS value, ['OK', 'MISSING', 'PARSE_ERROR', 'NOT_APPLICABLE'][p_partkey % 4 + 1] AS status, p_partkey AS seq, CASE WHEN p_partkey % 3 = 0 THEN 'stream' ELSE 'lattice' END AS method FROM {part})"
+_I = """i AS (SELECT p_brand AS doc_id, CASE WHEN p_size % 2 = 0 THEN 'BS' ELSE 'IS' END AS stmt, split_part(p_name, ' ', 2) AS item_code,
+  CASE WHEN p_partkey % 4 = 0 THEN p_retailprice END AS value, ['OK', 'MISSING', 'PARSE_ERROR', 'NOT_APPLICABLE'][p_partkey % 4 + 1] AS status,
+  p_partkey AS seq, CASE WHEN p_partkey % 3 = 0 THEN 'stream' ELSE 'lattice' END AS method FROM {part})"""
 _BESTI = "b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, stmt, item_code ORDER BY CASE status WHEN 'OK' THEN 4 WHEN 'NOT_APPLICABLE' THEN 3 WHEN 'PARSE_ERROR' THEN 2 WHEN 'MISSING' THEN 1 ELSE 0 END DESC, seq) AS rn FROM i) WHERE rn = 1)"
 
 
@@ -154,6 +186,8 @@ QUERIES = {
         lambda s, d: _pages(s, d).select("doc_id", "page_no", pg.is_toc_page(F.concat("text", F.lit(" ... 12 ... 7")), "the").alias("is_toc")),
         "SELECT doc_id, page_no, contains(text, 'the') AS is_toc FROM {fx_pages}",
     ),
+    "p7_contents_pages": (lambda s, d: _contents_pages(s, d).select("doc_id", F.col("page_no").cast("int").alias("page_no"), pg.is_toc_page(F.col("text"), "red").alias("is_toc")), _CONTENTS),
+    "w17_dated_columns": (lambda s, d: tb.period_columns(_dated(s, d)).withColumn("col_no", F.col("col_no").cast("int")), _DATED),
     "p8_has_statement_title_line": (
         lambda s, d: _pages(s, d).select("doc_id", "page_no", pg.has_title_line(F.col("text"), ["the", "que"]).alias("has_title")),
         "WITH l AS (SELECT doc_id, page_no, regexp_replace(line, '\\s+', '', 'g') AS x FROM {fx_lines}) SELECT doc_id, page_no, bool_or(length(x) <= 28 AND (contains(x, 'the') OR contains(x, 'que'))) AS has_title FROM l GROUP BY 1, 2",
@@ -168,7 +202,9 @@ QUERIES = {
     "w8_tighten_ranges": (lambda s, d: pg.tighten(_blocks(s, d)), f"WITH {_TI} SELECT * FROM ti"),
     "w11_statement_page_range": (
         lambda s, d: pg.page_range(_pages(s, d), "thea", "onen", **TABLE),
-        f"WITH {_PG}, s AS (SELECT doc_id, min(page_no) AS start_page FROM pg WHERE regexp_matches(text, 'thea') AND tab GROUP BY 1) SELECT s.doc_id, start_page, coalesce(min(page_no - 1) FILTER (regexp_matches(text, 'onen') AND page_no > start_page), max(page_no)) AS end_page FROM s JOIN pg ON pg.doc_id = s.doc_id GROUP BY 1, 2",
+        f"""WITH {_PG}, s AS (SELECT doc_id, min(page_no) AS start_page FROM pg WHERE regexp_matches(text, 'thea') AND tab GROUP BY 1) SELECT s.doc_id,
+          start_page, coalesce(min(page_no - 1) FILTER (regexp_matches(text, 'onen') AND page_no > start_page), max(page_no)) AS end_page
+          FROM s JOIN pg ON pg.doc_id = s.doc_id GROUP BY 1, 2""",
     ),
     "w15_best_title_page_scored": (
         lambda s, d: pg.best_title_pages(_pages(s, d), "thea", "tion"),
@@ -177,7 +213,9 @@ QUERIES = {
     ),
     "c13_statement_locations": (
         lambda s, d: pg.statement_locations(_pages(s, d), _blocks(s, d), list(TITLES)),
-        f"WITH {_EX}, w AS (SELECT * FROM (SELECT DISTINCT doc_id FROM pg) CROSS JOIN (VALUES ('one'), ('two'), ('three')) v(stmt)) SELECT w.doc_id, w.stmt, start_page, end_page, CAST(CASE WHEN start_page IS NULL THEN 0 ELSE round(0.6 + least(0.4, table_pages * 0.1), 3) END AS DOUBLE) AS confidence FROM w LEFT JOIN ex ON ex.doc_id = w.doc_id AND ex.stmt = w.stmt",
+        f"""WITH {_EX}, w AS (SELECT * FROM (SELECT DISTINCT doc_id FROM pg) CROSS JOIN (VALUES ('one'), ('two'), ('three')) v(stmt)) SELECT w.doc_id,
+          w.stmt, start_page, end_page, CAST(CASE WHEN start_page IS NULL THEN 0 ELSE round(0.6 + least(0.4, table_pages * 0.1),
+          3) END AS DOUBLE) AS confidence FROM w LEFT JOIN ex ON ex.doc_id = w.doc_id AND ex.stmt = w.stmt""",
     ),
     "v11_locator_usable": (
         lambda s, d: pg.locator_usable(_blocks(s, d), _pages(s, d).groupBy("doc_id").agg(F.max("page_no").alias("total_pages"))),
@@ -234,7 +272,9 @@ QUERIES = {
     "w6_keep_best_status": (lambda s, d: tb.keep_best_status(_items(s, d)).select("doc_id", "stmt", "item_code", "status", "seq"), f"WITH {_I}, {_BESTI} SELECT doc_id, stmt, item_code, status, seq FROM b"),
     "j6_schema_completion": (
         lambda s, d: tb.complete_schema(tb.keep_best_status(_items(s, d)), s.createDataFrame([(t, c) for t in ("BS", "IS") for c in ("ring", "gear", "none")], "stmt string, item_code string")),
-        f"WITH {_I}, {_BESTI}, w AS (SELECT * FROM (SELECT DISTINCT doc_id, stmt FROM b) CROSS JOIN (VALUES ('ring'), ('gear'), ('none')) v(item_code)) SELECT w.doc_id, w.stmt, w.item_code, b.value, CASE WHEN b.value IS NOT NULL AND b.status = 'MISSING' THEN 'OK' ELSE coalesce(b.status, 'MISSING') END AS status FROM w LEFT JOIN b ON b.doc_id = w.doc_id AND b.stmt = w.stmt AND b.item_code = w.item_code",
+        f"""WITH {_I}, {_BESTI}, w AS (SELECT * FROM (SELECT DISTINCT doc_id, stmt FROM b) CROSS JOIN (VALUES ('ring'), ('gear'), ('none')) v(item_code))
+          SELECT w.doc_id, w.stmt, w.item_code, b.value, CASE WHEN b.value IS NOT NULL AND b.status = 'MISSING' THEN 'OK' ELSE coalesce(b.status,
+          'MISSING') END AS status FROM w LEFT JOIN b ON b.doc_id = w.doc_id AND b.stmt = w.stmt AND b.item_code = w.item_code""",
     ),
     "p13_repair_eligibility": (
         lambda s, d: tb.repair_eligible(_items(s, d), ["ring", "gear"]).select("seq", "llm_repair_eligible"),

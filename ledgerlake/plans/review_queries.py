@@ -248,7 +248,9 @@ def w14(s, d):
 _W14 = f"""WITH {xq._ctes()}, d AS {xq._best('q', 'filing_id, stmt, field, tag, context_ref, value', 'fact_seq')},
 k AS (SELECT *, row_number() OVER (PARTITION BY filing_id, stmt, field ORDER BY score DESC, fact_seq) AS rk, contains(lower(unit_ref), unit) AS um, CASE WHEN period_type = 'duration' THEN coalesce(duration_days BETWEEN 330 AND 400, false) ELSE true END AS al FROM d),
 t AS (SELECT * FROM k WHERE rk <= 3), w AS (SELECT *, score - lead(score) OVER (PARTITION BY filing_id, stmt, field ORDER BY rk) AS gap, bool_or(is_consolidated) OVER p AS ac, bool_or(al) OVER p AS aa, bool_or(um) OVER p AS au FROM t WINDOW p AS (PARTITION BY filing_id, stmt, field))
-SELECT filing_id, stmt, field, CASE WHEN value IS NULL THEN 'missing' WHEN gap < 15 THEN 'score_gap' WHEN greatest(0, 5 - tag_pos) <= 1 THEN 'tag_priority' WHEN NOT is_consolidated AND ac THEN 'not_consolidated' WHEN NOT al AND aa THEN 'period' WHEN NOT um AND au THEN 'unit' END AS reason FROM w WHERE rk = 1"""
+SELECT filing_id, stmt, field, CASE WHEN value IS NULL THEN 'missing' WHEN gap < 15 THEN 'score_gap' WHEN greatest(0, 5 - tag_pos) <= 1 THEN 'tag_priority'
+  WHEN NOT is_consolidated AND ac THEN 'not_consolidated' WHEN NOT al AND aa THEN 'period' WHEN NOT um AND au THEN 'unit' END AS reason
+  FROM w WHERE rk = 1"""
 
 
 def j9(s, d):
@@ -300,7 +302,9 @@ QUERIES = {
     "w13_bs_section_children": (w13, _W13),
     "f17_confidence": (
         lambda s, d: view(s, d, "part").select("p_partkey", sc.confidence(F.lit(1.0), F.col("p_partkey") % 2 == 0, F.col("p_partkey") % 3 == 0, F.col("p_partkey") % 5 == 0, F.col("p_partkey") % 7 == 0).alias("confidence")),
-        "SELECT p_partkey, CAST(round_even(greatest(0, least(1, CAST(1 AS DOUBLE) * CASE WHEN p_partkey % 2 = 0 THEN CAST(0.7 AS DOUBLE) ELSE 1 END * CASE WHEN p_partkey % 3 = 0 THEN CAST(0.8 AS DOUBLE) ELSE 1 END * CASE WHEN p_partkey % 5 = 0 THEN CAST(0.6 AS DOUBLE) ELSE 1 END * CASE WHEN p_partkey % 7 = 0 THEN CAST(0.85 AS DOUBLE) ELSE 1 END)), 4) AS DOUBLE) AS confidence FROM {part}",
+        """SELECT p_partkey, CAST(round_even(greatest(0, least(1, CAST(1 AS DOUBLE) * CASE WHEN p_partkey % 2 = 0 THEN CAST(0.7 AS DOUBLE)
+          ELSE 1 END * CASE WHEN p_partkey % 3 = 0 THEN CAST(0.8 AS DOUBLE) ELSE 1 END * CASE WHEN p_partkey % 5 = 0 THEN CAST(0.6 AS DOUBLE)
+          ELSE 1 END * CASE WHEN p_partkey % 7 = 0 THEN CAST(0.85 AS DOUBLE) ELSE 1 END)), 4) AS DOUBLE) AS confidence FROM {part}""",
     ),
     "f23_merged_line_detect": (
         lambda s, d: _labelled(s, d).select("p_partkey", an.merged_line(F.col("label"), F.col("n_codes")).alias("is_merged")),

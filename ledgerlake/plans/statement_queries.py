@@ -377,7 +377,7 @@ string_agg('{"rank":' || o_orderkey || ',"item_code":"C' || o_orderkey || '"}',
 def a8_headers(s, d):
     words = ["项目", "附注", "期末余额", "期初余额", "金额", "甲"]
     text = lambda i: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.col("l_partkey") * (i + 1) + i, F.lit(6)) + 1).cast("int"))
-    heads = view(s, d, "lineitem").filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("table_id"), F.concat(text(0), F.lit(" "), text(1)).alias("header"))
+    heads = view(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.ceil(F.col("l_linenumber") / 2)).alias("table_id"), F.concat(text(0), F.lit(" "), text(1)).alias("header"))
     return an.header_abnormal(heads)
 
 
@@ -388,7 +388,7 @@ def _distinct_hits() -> str:
     return "[" + ", ".join("[" + ", ".join(map(str, r)) + "]" for r in both) + "]"
 
 
-_A8 = f"SELECT l_orderkey AS table_id, CAST(sum({_distinct_hits()}[l_partkey % 6 + 1][(l_partkey * 2 + 1) % 6 + 1]) AS BIGINT) AS hits, sum({_distinct_hits()}[l_partkey % 6 + 1][(l_partkey * 2 + 1) % 6 + 1]) < 2 AS header_abnormal FROM {{lineitem}} WHERE l_linenumber <= 2 GROUP BY 1"
+_A8 = f"SELECT l_orderkey * 10 + CAST(ceil(l_linenumber / 2) AS BIGINT) AS table_id, CAST(sum({_distinct_hits()}[l_partkey % 6 + 1][(l_partkey * 2 + 1) % 6 + 1]) AS BIGINT) AS hits, sum({_distinct_hits()}[l_partkey % 6 + 1][(l_partkey * 2 + 1) % 6 + 1]) < 2 AS header_abnormal FROM {{lineitem}} GROUP BY 1"
 
 
 def f1(s, d):

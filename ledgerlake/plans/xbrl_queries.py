@@ -199,7 +199,8 @@ QUERIES = {
     ),
     "c2_us_debt_split": (
         c2_debt,
-        f"""WITH {_ctes().replace(_SPEC, "spec(stmt, field, period_type, unit, tag_pos, tag) AS (VALUES ('BS', 'debt_current', 'duration', 'usd', 0, 'NetIncomeLoss'), ('BS', 'debt_noncurrent', 'instant', 'usd', 0, 'Assets'), ('BS', 'debt_general', 'instant', 'usd', 0, 'Liabilities'))")}, b AS {_CHOSEN},
+        f"""WITH {_ctes().replace(_SPEC, "spec(stmt, field, period_type, unit, tag_pos, tag) AS (VALUES ('BS', 'debt_current', 'duration', 'usd', 0, 'NetIncomeLoss'), ('BS', 'debt_noncurrent', 'instant', 'usd', 0, 'Assets'), ('BS', 'debt_general', 'instant', 'usd', 0, 'Liabilities'))")},
+          b AS {_CHOSEN},
         p AS (SELECT filing_id, max(value) FILTER (field = 'debt_current') AS cur, max(value) FILTER (field = 'debt_noncurrent') AS non, max(value) FILTER (field = 'debt_general') AS gen FROM b GROUP BY filing_id)
         SELECT filing_id, cur AS debt_current, coalesce(non, gen) AS long_term, CAST(non IS NULL AND gen IS NOT NULL AS INT) AS is_proxy,
           CASE WHEN coalesce(cur, non, gen) IS NOT NULL THEN coalesce(cur, 0) + coalesce(non, gen, 0) END AS total_debt,
