@@ -167,6 +167,23 @@ def token_usage(response: Column) -> Column:
     return F.struct(prompt.alias("prompt_tokens"), completion.alias("completion_tokens"), total.alias("total_tokens"))
 
 
+#: Where responses of several providers keep their usage, and what they call its parts.
+USAGE_ROOTS = ("$.usage", "$.response.usage", "$.body.usage", "$")
+PROMPT_NAMES, COMPLETION_NAMES, TOTAL_NAMES = ("prompt_tokens", "input_tokens"), ("completion_tokens", "output_tokens"), ("total_tokens",)
+
+
+def open_token_usage(response: Column, roots: tuple[str, ...] = USAGE_ROOTS) -> Column:
+    """token_usage of a response of any shape, parsed once as a VARIANT: the first root that has a part counts, numbers may be
+    texts, what is no number or no JSON is null."""
+
+    def at(names: tuple[str, ...]) -> Column:
+        return F.coalesce(*(F.try_variant_get(F.try_parse_json(response), f"{r}.{n}", "long") for r in roots for n in names))
+
+    prompt, completion = at(PROMPT_NAMES), at(COMPLETION_NAMES)
+    total = F.coalesce(at(TOTAL_NAMES), F.when(F.coalesce(prompt, completion).isNotNull(), F.coalesce(prompt, F.lit(0)) + F.coalesce(completion, F.lit(0))))
+    return F.struct(prompt.alias("prompt_tokens"), completion.alias("completion_tokens"), total.alias("total_tokens"))
+
+
 def sum_given(*parts: Column) -> Column:
     """The sum of what is given; null if nothing is."""
     total = reduce(lambda a, b: a + b, (F.coalesce(p, F.lit(0.0)) for p in parts))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars as sc
 from ..operators import anomaly as an
 from ..operators import filings as fl
 from ..operators import lines as ln
@@ -128,6 +129,21 @@ CASE event_id % 6 WHEN 0 THEN CAST(event_id AS DOUBLE) WHEN 1 THEN event_id + 0.
 _KEYS = """SELECT event_id AS case_id, 'model' AS key, '{"name":"m"}' AS value FROM {events} WHERE event_id % 6 = 0 UNION ALL SELECT event_id, 'confidence', '0.5' FROM {events} WHERE event_id % 6 = 2"""
 
 
+def f28_open(s, d):
+    """Usage at three places, in numbers and in texts, cut off, and missing."""
+    k = F.col("event_id").cast("string")
+    shapes = [
+        F.concat(F.lit('{"usage": {"prompt_tokens": '), k, F.lit(', "completion_tokens": "7", "cached": {"a": 1}}}')), F.concat(F.lit('{"response": {"usage": {"input_tokens": "'), k, F.lit('", "output_tokens": 3, "total_tokens": 99}}}')),
+        F.concat(F.lit('{"prompt_tokens": "n/a", "output_tokens": '), k, F.lit("}")), F.concat(F.lit('{"usage": {"prompt_tokens": '), k), F.lit('{"usage": [1, 2]}'),
+    ]
+    rows = view(s, d, "events").select("event_id", F.element_at(F.array(*shapes), (F.col("event_id") % 5 + 1).cast("int")).alias("response"))
+    return rows.select("event_id", sc.open_token_usage(F.col("response")).alias("u")).select("event_id", "u.*")
+
+
+_F28 = """SELECT event_id, CASE WHEN event_id % 5 < 2 THEN event_id END AS prompt_tokens, CASE event_id % 5 WHEN 0 THEN 7 WHEN 1 THEN 3 WHEN 2 THEN event_id END AS completion_tokens,
+CASE event_id % 5 WHEN 0 THEN event_id + 7 WHEN 1 THEN 99 WHEN 2 THEN event_id END AS total_tokens FROM {events}"""
+
+
 def j5_patterns(s, d):
     """Cash-flow lines: the second tier of labels, patterns, over one line a part."""
     texts = ["经营活动产生的现金流量净额", "经营活动使用的 现金流量净额", "投资活动使用/(使用)的现金流量净额", "筹资活动产生的现金流量净额", "年末现金及现金等价物余额", "现金及现金等价物净(减少)/增加额", "期初现金及现金等价物", "一、经营活动"]
@@ -154,6 +170,7 @@ QUERIES = {
     ),
     "f21_open_decisions": (lambda s, d: vf.open_decisions(_responses(s, d)).select("case_id", "decision", "proposed_value", F.array_join("codes", ",").alias("codes")), _F21),
     "f21_unknown_keys": (lambda s, d: vf.unknown_keys(vf.open_decisions(_responses(s, d))), _KEYS),
+    "f28_open_token_usage": (f28_open, _F28),
     "j5_cash_flow_patterns": (j5_patterns, _J5),
 }
 ORACLES = {k: oracle(v[1]) for k, v in QUERIES.items()}
