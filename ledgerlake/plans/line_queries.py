@@ -145,7 +145,8 @@ QUERIES = {
     ),
     "f18_short_currency": (
         lambda s, d: view(s, d, "orders").select("o_orderkey", sc.short_currency(F.floor("o_totalprice") * 1e6, "$").alias("text")),
-        "SELECT o_orderkey, CASE WHEN floor(o_totalprice) >= 1e6 THEN format('${:.2f}T', floor(o_totalprice) / 1e6) WHEN floor(o_totalprice) >= 1e3 THEN format('${:.2f}B', floor(o_totalprice) / 1e3) WHEN floor(o_totalprice) >= 1 THEN format('${:.2f}M', floor(o_totalprice)) ELSE '$0.00' END AS text FROM {orders}".replace("{:.2f}", "\x01"),
+        """SELECT o_orderkey, CASE WHEN floor(o_totalprice) >= 1e6 THEN format('${:.2f}T', floor(o_totalprice) / 1e6) WHEN floor(o_totalprice) >= 1e3 THEN format('${:.2f}B', floor(o_totalprice) / 1e3)
+          WHEN floor(o_totalprice) >= 1 THEN format('${:.2f}M', floor(o_totalprice)) ELSE '$0.00' END AS text FROM {orders}""",
     ),
     "f19_ratio": (lambda s, d: view(s, d, "lineitem").select("l_orderkey", "l_linenumber", sc.ratio(F.col("l_quantity"), F.col("l_discount")).alias("ratio")), "SELECT l_orderkey, l_linenumber, l_quantity / nullif(l_discount, 0) AS ratio FROM {lineitem}"),
     "f20_sum_non_null": (
@@ -218,5 +219,5 @@ QUERIES = {
         r AS (SELECT *, CASE WHEN suffix(name, '_htm.xml') THEN 0 WHEN suffix(name, '.xml') THEN 1 END AS k FROM g) SELECT filing_id, name FROM (SELECT *, row_number() OVER (PARTITION BY filing_id ORDER BY k, seq) AS rn FROM r WHERE k IS NOT NULL) WHERE rn = 1""",
     ),
 }
-ORACLES = {k: oracle(v[1]).replace("\x01", "{:.2f}") for k, v in QUERIES.items() if v[1]}
+ORACLES = {k: oracle(v[1]) for k, v in QUERIES.items() if v[1]}
 QUERIES = {k: v[0] for k, v in QUERIES.items()}

@@ -327,9 +327,9 @@ def f18(s, d):
 
 
 _F18 = """WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 > 0 THEN floor(o_totalprice) * CASE WHEN o_orderkey % 2 = 0 THEN -1.0 ELSE 1.0 END::DOUBLE * [0.0625, 1.0, 1e4, 0.0][o_orderkey % 4 + 1]::DOUBLE END + 0.0 AS x FROM {orders})
-SELECT o_orderkey, coalesce('$' || \x02, 'N/A') AS raw,
-  CASE WHEN x IS NULL THEN 'N/A' WHEN abs(x) >= 1000 THEN \x02 ELSE regexp_replace(\x03, '\\.?0+$', '') END AS number,
-  CASE WHEN x IS NULL THEN 'N/A' WHEN abs(x) >= 1e9 THEN '$' || format('\x01', x / 1e9) || 'B' ELSE '$' || format('\x01', x / 1e6) || 'M' END AS millions FROM x""".replace("\x02", "format('\x04', CAST(round_even(x, 0) AS BIGINT))").replace("\x03", "format('\x05', x)")
+SELECT o_orderkey, coalesce('$' || format('{:,}', CAST(round_even(x, 0) AS BIGINT)), 'N/A') AS raw,
+  CASE WHEN x IS NULL THEN 'N/A' WHEN abs(x) >= 1000 THEN format('{:,}', CAST(round_even(x, 0) AS BIGINT)) ELSE regexp_replace(format('{:,.4f}', x), '\\.?0+$', '') END AS number,
+  CASE WHEN x IS NULL THEN 'N/A' WHEN abs(x) >= 1e9 THEN '$' || format('{:.2f}', x / 1e9) || 'B' ELSE '$' || format('{:.2f}', x / 1e6) || 'M' END AS millions FROM x"""
 
 
 def c8(s, d):
@@ -339,11 +339,12 @@ def c8(s, d):
     return out.withColumn("ordinal", F.col("ordinal").cast("int"))
 
 
-_AMOUNT = "CASE WHEN abs(x) >= 1e12 THEN format('¥\x01T', x / 1e12) WHEN abs(x) >= 1e9 THEN format('¥\x01B', x / 1e9) WHEN abs(x) >= 1e6 THEN format('¥\x01M', x / 1e6) ELSE format('¥\x06', x) END"
+_AMOUNT = """CASE WHEN abs(x) >= 1e12 THEN format('¥{:.2f}T', x / 1e12) WHEN abs(x) >= 1e9 THEN format('¥{:.2f}B', x / 1e9)
+  WHEN abs(x) >= 1e6 THEN format('¥{:.2f}M', x / 1e6) ELSE format('¥{:,.2f}', x) END"""
 _C8 = f"""WITH r AS (SELECT o_orderkey AS filing_id, 0 AS ordinal, '净利润' AS label, CASE WHEN o_orderkey % 3 > 0 THEN floor(o_totalprice) * 1e6 END AS x FROM {{orders}}
 UNION ALL SELECT o_orderkey, 1, '每股收益', CASE WHEN o_orderkey % 5 > 0 THEN floor(o_totalprice) * 1e3 END FROM {{orders}})
 SELECT filing_id, ordinal, label, CASE WHEN x IS NULL AND ordinal = 1 AND filing_id % 2 = 0 THEN 'Not applicable' WHEN x IS NULL THEN 'N/A' ELSE {_AMOUNT} END AS text,
-CASE WHEN x IS NULL AND ordinal = 1 AND filing_id % 2 = 0 THEN 'Not applicable' WHEN x IS NULL THEN 'N/A' ELSE '¥' || format('\x04', CAST(x AS BIGINT)) END AS raw_text, 'CNY' AS unit FROM r"""
+CASE WHEN x IS NULL AND ordinal = 1 AND filing_id % 2 = 0 THEN 'Not applicable' WHEN x IS NULL THEN 'N/A' ELSE '¥' || format('{{:,}}', CAST(x AS BIGINT)) END AS raw_text, 'CNY' AS unit FROM r"""
 
 
 def c5_eps(s, d):
@@ -482,15 +483,5 @@ QUERIES = {
     "a8_header_abnormal": (a8_headers, _A8),
     "f1_clean_item_name_cases": (f1, _F1),
 }
-_FORMATS = {"\x01": "{:.2f}", "\x04": "{:,}", "\x05": "{:,.4f}", "\x06": "{:,.2f}"}
-
-
-def _sql(text: str) -> str:
-    out = oracle(text)
-    for mark, form in _FORMATS.items():
-        out = out.replace(mark, form)
-    return out
-
-
-ORACLES = {k: _sql(v[1]) for k, v in QUERIES.items() if v[1]}
+ORACLES = {k: oracle(v[1]) for k, v in QUERIES.items() if v[1]}
 QUERIES = {k: v[0] for k, v in QUERIES.items()}
