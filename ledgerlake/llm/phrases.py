@@ -30,7 +30,7 @@ ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 LONGEST, LEAST, TOP = 5, 100, 2000
 UNKNOWN = "und"
 PAIR_BITS = 26
-#: Counting tasks pass on what they have beyond so many pairs and triples, words or edges.
+#: Counting tasks pass on what they have beyond so many pairs and triples, or words.
 HELD_PAIRS, HELD_WORDS = 1_000_000, 300_000
 #: Counts of up to so many phrases are broadcast; more are joined by shuffle.
 BROADCAST_PHRASES = 300_000
@@ -61,22 +61,17 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[str], list[np.ndarray]
         yield own, [said[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], word_at, (pairs, inside), (triples, inside[:-1] & inside[1:])
 
 
-def _rows(counts: dict[str, Counter]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([
-        pa.array([x for x, c in counts.items() for _ in range(len(c))], pa.string()), pa.array([w.decode() for c in counts.values() for w in c], pa.string()),
-        pa.array([n for c in counts.values() for n in c.values()], pa.int64()),
-    ], names=["lang", "phrase", "n"])
-
-
 def _first_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shares of the counts of words (lang, phrase, null, n) and of hashed pairs and triples (null, null, pair, n)."""
     words: dict[str, Counter] = defaultdict(Counter)
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def word_rows() -> pa.RecordBatch:
-        out = _rows(words)
+        langs, said = [x for x, c in words.items() for _ in range(len(c))], [w for c in words.values() for w in c]
+        n = [k for c in words.values() for k in c.values()]
         words.clear()
-        return pa.RecordBatch.from_arrays([out.column(0), out.column(1), pa.nulls(len(out), pa.int64()), out.column(2)], names=["lang", "phrase", "pair", "n"])
+        columns = [pa.array(langs, pa.string()), pa.array(said, pa.binary()).cast(pa.string()), pa.nulls(len(n), pa.int64()), pa.array(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "pair", "n"])
 
     def merged() -> None:
         key, n = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -106,15 +101,14 @@ def _first_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pair_rows()
 
 
-def _edge_counts(bits: np.ndarray, longest: int):
-    """Shares of the edges' counts: from each frequent pair on, the longest gram of frequent triples."""
+def _edges(bits: np.ndarray, longest: int):
+    """Each text's edges (lang, edges): from each frequent pair on, the longest gram of frequent triples."""
 
     def often(hashes: np.ndarray) -> np.ndarray:
         bit = hashes >> np.uint64(64 - PAIR_BITS)
         return ((bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for langs, texts, word_at, (pairs, inside), (triples, within) in _pieces(batch):
                 goes_on = np.append(within & often(triples), np.zeros(longest, bool))
@@ -123,15 +117,13 @@ def _edge_counts(bits: np.ndarray, longest: int):
                 for j in range(longest - 2):
                     on &= goes_on[kept + j]
                     size += on
-                cut = np.searchsorted(kept, word_at)
+                cut, out = np.searchsorted(kept, word_at), []
                 for t in np.flatnonzero(np.diff(cut)):
                     first = kept[cut[t] : cut[t + 1]] - word_at[t]
                     words = texts[t].tobytes().split()
-                    edges[langs[t]].update(b" ".join(words[a:b]) for a, b in zip(first.tolist(), (first + size[cut[t] : cut[t + 1]]).tolist(), strict=True))
-                if sum(map(len, edges.values())) > HELD_WORDS:
-                    yield _rows(edges)
-                    edges.clear()
-        yield _rows(edges)
+                    out += [b" ".join(words[a:b]) for a, b in zip(first.tolist(), (first + size[cut[t] : cut[t + 1]]).tolist(), strict=True)]
+                edges = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(out, pa.binary()).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), edges], names=["lang", "edges"]).filter(pa.array(np.diff(cut) > 0))
 
     return work
 
@@ -158,7 +150,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     words = seen.filter("phrase is not null").select("lang", "phrase", "n")
     sizes = written(words.groupBy("lang").agg(F.sum("n").alias("words")))
     bits = _frequent_pairs(seen.filter("pair is not null"))
-    edges = rows.mapInArrow(tx.freed(_edge_counts(bits, longest)), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    edges = rows.mapInArrow(tx.freed(_edges(bits, longest)), "lang string, edges array<string>")
+    edges = edges.select("lang", F.explode("edges").alias("phrase")).groupBy("lang", "phrase").agg(F.count("*").alias("n"))
     edges = written(edges.withColumn("k", F.size(F.split("phrase", " "))))
     flow, found = edges.filter(F.col("k") == longest).select("lang", "phrase", "n"), [words.withColumn("k", F.lit(1))]
     for k in range(longest, 1, -1):
