@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,14 +17,21 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def give_back() -> None:
+    """Returns to the system what Arrow's and the C library's allocators hold unused; a reused Python worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def freed(work):
-    """work, for mapInArrow, after which a reused Python worker gives back what Arrow's allocator still holds."""
+    """work, for mapInArrow, after which a reused Python worker gives memory back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return run
 

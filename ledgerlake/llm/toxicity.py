@@ -29,7 +29,7 @@ BUCKET_BITS = 22
 LEAST_TEXTS, LEAST_ERRORS = 3, 3.0
 ROUNDS, RATE, DECAY = 150, 0.1, 0.1
 #: Texts are worked on in slices of so many bytes.
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 _KEYS = {n: (tx.random64(n, 61 + n) >> np.uint64(32)).astype(np.uint32) | np.uint32(1) for n in ORDERS}
 
@@ -136,7 +136,7 @@ def _score(model: ToxicityModel, text: Column) -> Column:
                 total = np.bincount(key >> BUCKET_BITS, weights[key & ((1 << BUCKET_BITS) - 1)], len(part))
                 out.append(1 / (1 + np.exp(-np.clip(total + model.bias, -50, 50))))
             yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
-        pa.default_memory_pool().release_unused()
+        tx.give_back()
 
     return scores(text)
 
