@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import scalars as sc
-from ledgerlake.operators import anomaly, matching, pages, tables, verify, xbrl
+from ledgerlake.operators import anomaly, matching, pages, verify, xbrl
 from ledgerlake.plans import specs
 
 
