@@ -156,10 +156,11 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
         raise ValueError(f"min_bytes must be positive and below {_MOST_RUN - 2 * MOST_BYTES}")
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = rows.mapInArrow(_chunked(min_bytes), "doc_id long, digest long, digest2 long, place long, chunks long")
-    first = written(pieces.groupBy("digest", "digest2").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    same = Window.partitionBy("digest", "digest2")  # one shuffle of the runs counts them and finds their first
+    runs_of = pieces.withColumn("n", F.count("*").over(same)).withColumn("first_doc_id", F.min("doc_id").over(same)).filter("n > 1")
     again = F.col("place") % _AGAIN == 1
     start, chunk = F.floor(F.col("place") / _LENGTH), F.floor(F.col("chunks") / _COUNT)
-    repeats = pieces.join(first, ["digest", "digest2"]).filter(again | (F.col("doc_id") != F.col("first_doc_id"))).select(
+    repeats = runs_of.filter(again | (F.col("doc_id") != F.col("first_doc_id"))).select(
         "doc_id", start.alias("start"), (start + F.floor(F.col("place") % _LENGTH / _AGAIN)).alias("end"),
         chunk.alias("chunk"), (chunk + F.col("chunks") % _COUNT).alias("chunk_end"), "first_doc_id",
     ).distinct()

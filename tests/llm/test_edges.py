@@ -166,3 +166,13 @@ def test_stages(spark, sf_dir, docs, none, name, stage):
         rows = {tuple(r) for r in plain.collect()}
         assert out.count() <= 2 * len(ROWS) and all(tuple(r)[: len(plain.columns)] in rows for r in out.collect())
         assert stage(spark, plain.limit(0), sf_dir).count() == 0
+
+
+def test_runs_of_chunks_are_counted_without_a_table_of_their_own(spark):
+    """A table of counts beside the runs took a second shuffle of all runs, and the disk for it."""
+    docs = spark.createDataFrame([(1, "one two three four five six seven " * 4), (2, "one two three four five six seven " * 4)], "doc_id long, text string")
+    spark.sparkContext.setJobGroup("spans", "")
+    spans = substrings.repeated_spans(docs)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("spans")
+    assert {r["doc_id"] for r in spans.collect()} == {1, 2}
