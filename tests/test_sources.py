@@ -1,5 +1,6 @@
 """Files in and out."""
 
+import datetime as dt
 import io
 import tracemalloc
 import zipfile
@@ -8,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import filings
+from ledgerlake.operators import xbrl as xb
 from ledgerlake.operators.evaluate import require_columns
+from ledgerlake.plans import registry
 from ledgerlake.sources import instances, tables, xml
 
 
@@ -129,3 +132,24 @@ def test_metrics_come_from_the_writing_job(spark, tmp_path):
     rows = spark.range(50).select(F.lit("us").alias("market"), F.lit(2023).alias("fiscal_year"), counted(F.col("id").cast("int")).alias("v"))
     got = tables.write_observed(rows, str(tmp_path / "o"), {"n": F.count(F.lit(1)), "odd": F.count_if(F.col("v") % 2 == 1), "total": F.sum("v")})
     assert [tuple(r) for r in got.select("n", "odd", "total").collect()] == [(50, 25, 1225)] and seen.value == 50
+
+
+def _shuffles(df):
+    return str(df._jdf.queryExecution().executedPlan().toString()).count("Exchange hashpartitioning")
+
+
+def test_dates_meet_contexts_before_facts_are_joined(spark):
+    """Facts whose context neither ends nor stands at a date of their filing are not written."""
+    day = dt.date(2023, 12, 31)
+    facts = spark.createDataFrame([(1, 0, "Assets", "c", "USD", "1"), (1, 1, "Assets", "far", "USD", "2"), (1, 2, "Assets", "open", "USD", "3")], "filing_id long, fact_seq long, tag string, context_ref string, unit_ref string, value_raw string")
+    contexts = spark.createDataFrame([(1, "c", None, None, day, True), (1, "far", None, None, dt.date(2020, 1, 1), True), (1, "open", None, None, dt.date(2022, 12, 31), True)], "filing_id long, context_id string, start_date date, end_date date, instant date, is_consolidated boolean")
+    date = lambda d: spark.createDataFrame([(1, d)], "filing_id long, report_date date")
+    specs = spark.createDataFrame([("BS", "total_assets", "instant", ["usd"], ["Assets"])], "stmt string, field string, period_type string, unit_keywords array<string>, tags array<string>")
+    now, before = xb.dated_facts(facts, contexts, date(day), date(dt.date(2022, 12, 31)), specs)
+    assert [[r["fact_seq"] for r in df.collect()] for df in (now, before)] == [[0], [2]]
+    assert [r["value"] for r in xb.choose_facts(xb.scored_facts(now, None, None, specs)).collect()] == [1.0]
+
+
+def test_cases_read_one_table_of_scored_facts(spark, sf_dir):
+    """They joined and scored all facts three times."""
+    assert _shuffles(registry.QUERIES["v2_build_cases_us_jp"](spark, sf_dir)) <= 12
