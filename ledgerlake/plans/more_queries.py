@@ -12,6 +12,7 @@ from ..operators import pages as pg
 from ..operators import tables as tb
 from ..operators import verify as vf
 from ..operators import xbrl as xb
+from ..sources.shared import written
 from . import page_queries as pq
 from . import review_queries as rq
 from . import xbrl_queries as xq
@@ -51,10 +52,11 @@ SELECT doc_id, arg_min(a, scope) AS start_page, arg_min(b, scope) AS end_page FR
 
 
 def v2(s, d):
-    scored = xq._scored(s, d)
+    # the pool, its first facts and the chosen ones are ranked from one table
+    scored = written(xq._scored(s, d).drop("start_date", "end_date", "instant", "report_date", "value_raw"))
+    top = written(xb.top_facts(scored, 3))
     chosen = xb.choose_facts(scored).withColumn("field", F.when(F.col("stmt") == "CF", "net_income").otherwise(F.col("field"))).groupBy("filing_id", "stmt", "field").agg(F.max("value").alias("value"))
-    cases = rq.QUERIES["w14_low_confidence_trigger"](s, d)
-    out = vf.cross_candidates(cases, xb.top_facts(scored, 3), chosen, 2)
+    out = vf.cross_candidates(rq.triggers(top), top, chosen, 2)
     return out.select("filing_id", "stmt", "field", "reason", F.array_join(F.transform("candidates", lambda c: c["item_code"]), ",").alias("codes"))
 
 

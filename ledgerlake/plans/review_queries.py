@@ -237,8 +237,10 @@ SELECT doc_id, stmt, field, codes, rule_value, CASE WHEN rule_value IS NOT NULL
 
 
 def w14(s, d):
-    scored = xq._scored(s, d)
-    top = xb.top_facts(scored, 3)
+    return triggers(xb.top_facts(xq._scored(s, d), 3))
+
+
+def triggers(top):
     unit = F.exists("unit_keywords", lambda k: F.contains(F.lower("unit_ref"), k))
     aligned = F.when(F.col("period_type") == "duration", F.coalesce(F.col("duration_days").between(330, 400), F.lit(False))).otherwise(True)
     cols = top.withColumn("unit_match", unit).withColumn("aligned", aligned).withColumn("tag_priority", F.greatest(F.lit(0), 5 - F.col("tag_pos")))
