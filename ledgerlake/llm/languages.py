@@ -3,7 +3,9 @@
 Each language has a model of ORDER characters over its letters, everything between letters being one blank. Spark counts the
 longest n-grams of all training documents; a shorter one counts in how many longer ones it ends (its continuations). A
 probability is the discounted count plus what the context's discounts leave, times the probability by the shorter context.
-Scoring looks n-grams up in sorted arrays of 64-bit hashes, one array an order with a column for each language.
+Scoring looks n-grams up in sorted arrays of 64-bit hashes, one array an order with a column for each language. A model of
+more than MOST_GRAMS n-grams stays in tables: tasks hold the probabilities of the most frequent longest n-grams only, and
+what else the texts hold is joined with the whole model by shuffles.
 
 The language of the lowest cross-entropy a character wins. A fold of the training documents that is not counted calibrates
 two things on pieces of several lengths: the temperature that makes a probability of the entropies, and for each language
@@ -14,11 +16,12 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +36,10 @@ CALIBRATE, PER_LANGUAGE = 20, 300
 #: Calibration pieces: lengths in characters, and so many of each length a document.
 LENGTHS, PIECES = (16, 64, 256), 4
 REJECTED_SHARE = 0.005
-#: A model holds so many n-grams of all languages and orders at most: the rarest go, and their mass to shorter contexts.
+#: A task holds so many n-grams of all languages and orders at most; a larger model is joined by shuffles.
 MOST_GRAMS = 1 << 20
+#: Joined log probabilities are summed in whole parts of this size, so that sums don't depend on the order.
+FIXED = 1 << 24
 #: Counting tasks pass on what they have beyond so many n-grams.
 HELD_GRAMS = 400_000
 UNKNOWN = "und"
@@ -148,18 +153,68 @@ def _class() -> Column:
     return F.floor(8 * F.log2("n")).cast("int")
 
 
-def discounted(counts: DataFrame) -> DataFrame:
-    """lang, k, gram and part: the discounted share of the n-gram in its context, of the n-grams that a model keeps."""
+def _totals(counts: DataFrame) -> DataFrame:
+    """lang, k, context: its occurrences (total), how many n-grams follow it (follow), and the discount of that order (off)."""
     once, twice = F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))
     off = F.greatest(F.lit(0.1), F.least(F.lit(0.9), F.coalesce(F.try_divide(once, once + 2 * twice), F.lit(0.5))))
     discounts = written(counts.groupBy("lang", "k").agg(off.alias("off")))
-    context = F.substring(F.col("gram"), F.lit(1), F.col("k") - 1)
-    totals = counts.groupBy("lang", "k", context.alias("context")).agg(F.sum("n").alias("total"))
-    kept = counts.filter(_class() >= _kept_from(counts)).withColumn("context", context)
-    rows = kept.join(totals, ["lang", "k", "context"]).join(small_side(discounts, 100_000), ["lang", "k"])
+    totals = counts.groupBy("lang", "k", _context().alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("follow"))
+    return totals.join(small_side(discounts, 100_000), ["lang", "k"])
+
+
+def _context() -> Column:
+    return F.substring(F.col("gram"), F.lit(1), F.col("k") - 1)
+
+
+def _parts(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    rows = counts.withColumn("context", _context()).join(totals, ["lang", "k", "context"])
     return rows.select("lang", "k", "gram", ((F.col("n") - F.col("off")) / F.col("total")).alias("part"))
 
 
+def discounted(counts: DataFrame) -> DataFrame:
+    """lang, k, gram and part: the discounted share of the n-gram in its context, of the MOST_GRAMS most frequent n-grams."""
+    return _parts(counts.filter(_class() >= _kept_from(counts)), _totals(counts))
+
+
+@dataclass
+class Spread:
+    """A whole model of any size in tables, each with an array by language."""
+
+    parts: DataFrame  # k, gram, part: discounted shares of n-grams
+    rests: DataFrame  # k, context, rest: what a context leaves to shorter ones
+    n_langs: int
+    letters: int
+
+    def logs(self, grams: DataFrame) -> DataFrame:
+        """gram and logs (base 2 of P(last character | those before), by language) of distinct longest n-grams, seen or not."""
+        every = F.sequence(F.lit(0), F.lit(self.n_langs - 1))
+        out = None
+        for k in range(1, ORDER + 1):
+            rows = grams.select(F.substring("gram", ORDER - k + 1, k).alias("gram")).distinct() if k < ORDER else grams
+            rows = rows.withColumns({"context": F.substring("gram", 1, k - 1), "shorter": F.substring("gram", 2, k - 1)})
+            rows = rows.join(self.parts.filter(F.col("k") == k).drop("k"), "gram", "left").join(self.rests.filter(F.col("k") == k).drop("k"), "context", "left")
+            if out is None:
+                rows = rows.withColumn("lower", F.array_repeat(F.lit(1 / (self.letters + 1)), self.n_langs))
+            else:
+                rows = rows.join(out.select(F.col("gram").alias("shorter"), F.col("p").alias("lower")), "shorter")
+            p = F.transform(every, lambda i: F.coalesce(F.col("part")[i], F.lit(0.0)) + F.coalesce(F.col("rest")[i], F.lit(1.0)) * F.col("lower")[i])
+            out = rows.select("gram", p.alias("p"))
+        return out.select("gram", F.transform("p", F.log2).alias("logs"))
+
+
+def _spread(counts: DataFrame, langs: list[str]) -> Spread:
+    totals = written(_totals(counts))
+
+    def by_lang(rows: DataFrame, key: str, value: str, default: float) -> DataFrame:
+        held = rows.groupBy("k", key).agg(F.map_from_entries(F.collect_list(F.struct("lang", value))).alias("held"))
+        each = F.transform(F.array(*map(F.lit, langs)), lambda x: F.coalesce(F.try_element_at(F.col("held"), x), F.lit(default)))
+        return written(held.select("k", key, each.alias(value)))
+
+    rest = F.greatest(F.lit(1e-9), F.col("off") * F.col("follow") / F.col("total"))
+    parts = by_lang(_parts(counts, totals), "gram", "part", 0.0)
+    return Spread(parts, by_lang(totals.withColumn("rest", rest), "context", "rest", 1.0), len(langs), parts.filter("k = 1").count())
+
+
 class Table:
     """A sorted array of hashes with rows of values; a hash's place is guessed from its leading bits."""
 
@@ -194,6 +249,11 @@ class LanguageModel:
     known: Table | None = None  # log probabilities of the longest n-grams
     temperature: float = 1.0
     limits: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # by language and length: bits a character
+    spread: Spread | None = None  # the whole model where parts and rests can't hold it
+
+    def light(self) -> LanguageModel:
+        """The model as tasks get it, without tables."""
+        return replace(self, spread=None)
 
     def probabilities(self, window: list[np.ndarray]) -> np.ndarray:
         """P(last character | those before) of n-grams given character by character; a column for each language."""
@@ -218,6 +278,24 @@ class LanguageModel:
             total[:, k] = np.bincount(owner, each, len(texts)) + np.bincount(owner[new], fresh[which, k], len(texts))
         return -total / np.maximum(n, 1)[:, None], n, np.bincount(owner, _kinds()[points[at]] == 2, len(texts)) > 0
 
+    def looked_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]], list[list[int]]]:
+        """(log probabilities of known n-grams summed by text and language, characters, whether the text has a letter, and each
+        text's other n-grams with how often it has them)."""
+        points, at, owner = _points(texts)
+        window = _windows(points, at)
+        h = _hash(window) if len(at) else np.zeros(0, np.uint64)
+        row = self.known.find(h)
+        each = np.append(self.known.values, np.zeros((1, len(self.langs)), np.float32), axis=0)
+        total = np.stack([np.bincount(owner, each[row, k], len(texts)) for k in range(len(self.langs))], axis=1)
+        new = np.flatnonzero(row < 0)
+        new = new[np.lexsort((h[new], owner[new]))]
+        first = np.flatnonzero(np.append(True, (np.diff(h[new]) != 0) | (np.diff(owner[new]) != 0))[: len(new)])
+        said = np.stack([w[new[first]] for w in window], axis=1).astype(np.uint32).tobytes().decode("utf-32-le")
+        grams, times = [said[k : k + ORDER] for k in range(0, len(said), ORDER)], np.diff(np.append(first, len(new))).tolist()
+        cut = np.searchsorted(owner[new[first]], np.arange(len(texts) + 1))
+        has = np.bincount(owner, _kinds()[points[at]] == 2, len(texts)) > 0
+        return total, np.bincount(owner, minlength=len(texts)), has, [grams[a:b] for a, b in zip(cut, cut[1:])], [times[a:b] for a, b in zip(cut, cut[1:])]
+
     def chances(self, bits: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Probabilities of the languages of texts of n characters."""
         x = -self.temperature * np.sqrt(n)[:, None] * (bits - bits.min(axis=1, keepdims=True))
@@ -255,6 +333,48 @@ def _model(rows: pa.Table) -> LanguageModel:
     return model
 
 
+def _large_model(counts: DataFrame) -> LanguageModel:
+    """A model of any size: its tables, and the probabilities of the most frequent longest n-grams, MOST_GRAMS at most."""
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    spread = _spread(counts, langs)
+    longest = written(counts.filter(F.col("k") == ORDER).groupBy("gram").agg(F.sum("n").alias("n")))
+    frequent = written(longest.filter(_class() >= _kept_from(longest)).select("gram"))
+    rows = spread.logs(frequent).select("gram", F.col("logs").cast("array<float>").alias("logs")).toArrow()  # MOST_GRAMS rows at most
+    grams = np.frombuffer("".join(rows["gram"].to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+    values = rows["logs"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, len(langs))
+    known = Table(_hash([grams[:, j] for j in range(ORDER)]) if len(grams) else np.zeros(0, np.uint64), values)
+    return LanguageModel(langs, spread.letters, [], [], known, limits=np.full((len(langs), len(LENGTHS)), np.inf), spread=spread)
+
+
+def _joined_entropies(model: LanguageModel, docs: DataFrame) -> DataFrame:
+    """docs without text, with n, letters and bits as LanguageModel.entropies gives them, for a model in tables.
+
+    A row's n-grams that tasks don't hold are written with it once, looked up all together, each distinct one once, and summed
+    by row."""
+    light, columns = model.light(), [c for c in docs.columns if c != "text"]
+    place = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for row, texts in _texts(batch, place):
+                total, n, letters, grams, times = light.looked_up(texts)
+                cut = pa.array(np.arange(len(texts) + 1) * len(light.langs), pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    *(batch.column(batch.schema.get_field_index(c)).slice(row, len(texts)) for c in columns), pa.array(np.arange(task, task + len(texts))), pa.array(n), pa.array(letters),
+                    pa.ListArray.from_arrays(cut, pa.array(total.ravel())), pa.array(grams, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64())),
+                ], names=[*columns, "_row", "n", "letters", "_held", "_grams", "_times"])
+                task += len(texts)
+
+    kinds = "".join(f"`{c}` {t}, " for c, t in docs.dtypes if c != "text")
+    rows = written(docs.mapInArrow(tx.freed(work), kinds + "_row long, n long, letters boolean, _held array<double>, _grams array<string>, _times array<long>"))
+    logs = written(model.spread.logs(written(rows.select(F.explode("_grams").alias("gram")).distinct())))
+    each = rows.select("_row", F.inline(F.arrays_zip(F.col("_grams").alias("gram"), F.col("_times").alias("times")))).toDF("_row", "gram", "times").join(small_side(logs, 100_000), "gram")
+    sums = each.groupBy("_row").agg(F.array(*(F.sum(F.col("times") * F.round(F.col("logs")[k] * FIXED).cast("long")) for k in range(len(model.langs)))).alias("_joined"))
+    bits = F.zip_with("_held", F.coalesce("_joined", F.array_repeat(F.lit(0).cast("long"), len(model.langs))), lambda a, b: -(a + b / FIXED) / F.greatest(F.col("n"), F.lit(1)))
+    return rows.join(sums, "_row", "left").select(*columns, "n", "letters", bits.alias("bits"))
+
+
 def _pieces(docs: DataFrame) -> DataFrame:
     """lang, length and text of PIECES pieces of each length in each of docs (text, lang), spread evenly; bounded like docs."""
     cuts = [F.struct(F.lit(n).alias("length"), F.substring(F.col("text"), (F.greatest(F.length("text") - n, F.lit(0)) * F.lit(j / max(1, PIECES - 1)) + 1).cast("int"), F.lit(n)).alias("text")) for n in LENGTHS for j in range(PIECES)]
@@ -271,7 +391,11 @@ def _calibrated(model: LanguageModel, docs: DataFrame) -> LanguageModel:
                 cut = pa.array(np.arange(len(texts) + 1) * len(model.langs), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), batch.column(1).slice(row, len(texts)), pa.array(n), pa.ListArray.from_arrays(cut, pa.array(bits.ravel()))], names=["lang", "length", "n", "bits"])
 
-    rows = _pieces(docs).mapInArrow(tx.freed(work), "lang string, length int, n long, bits array<double>").filter("n > 1").toArrow()
+    if model.spread:
+        rows = _joined_entropies(model, _pieces(docs)).select("lang", "length", "n", "bits")
+    else:
+        rows = _pieces(docs).mapInArrow(tx.freed(work), "lang string, length int, n long, bits array<double>")
+    rows = rows.filter("n > 1").toArrow()
     known = [k for k, x in enumerate(rows["lang"].to_pylist()) if x in model.langs]
     if not known:
         return model
@@ -299,10 +423,14 @@ def train(docs: DataFrame) -> LanguageModel | None:
     order = F.xxhash64(F.lit("calibrate"), "doc_id")
     apart = F.pmod(order, F.lit(CALIBRATE)) == 0
     counts = gram_counts(known.filter(~apart))
-    rows = discounted(counts).toArrow()  # MOST_GRAMS rows at most
-    if not len(rows):
-        return None
-    return _calibrated(_model(rows), written(_calibration_sample(known.filter(apart & (F.octet_length("text") <= MOST_BYTES)))))
+    if counts.limit(MOST_GRAMS + 1).count() > MOST_GRAMS:
+        model = _large_model(counts)
+    else:
+        rows = discounted(counts).toArrow()  # MOST_GRAMS rows at most
+        if not len(rows):
+            return None
+        model = _model(rows)
+    return _calibrated(model, written(_calibration_sample(known.filter(apart & (F.octet_length("text") <= MOST_BYTES)))))
 
 
 def _calibration_sample(docs: DataFrame) -> DataFrame:
@@ -314,22 +442,37 @@ def _calibration_sample(docs: DataFrame) -> DataFrame:
     return docs.join(small_side(few, 1_000_000), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
 
 
+def _decided(model: LanguageModel, bits: np.ndarray, n: np.ndarray, letters: np.ndarray) -> list[pa.Array]:
+    """lang_pred, score, bits and rejected from the entropies of texts."""
+    best = bits.argmin(axis=1)
+    at = np.arange(len(bits)), best
+    score, out = np.where(letters, model.chances(bits, n)[at], 0.0), model.rejected(bits, n, best) & letters
+    lang = [model.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
+    return [pa.array(lang, pa.string()), pa.array(score), pa.array(bits[at], mask=~letters), pa.array(out)]
+
+
+def _judged(model: LanguageModel):
+    """Predictions from the joined entropies (doc_id, n, letters, bits)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bits = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(model.langs))
+                found = _decided(model, bits, batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=["doc_id", "lang_pred", "score", "bits", "rejected"])
+
+    return work
+
+
 def _scored(model: LanguageModel | None):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, texts in _texts(batch, 1):
                 if model:
-                    bits, n, letters = model.entropies(texts)
-                    best = bits.argmin(axis=1)
-                    at = np.arange(len(texts)), best
-                    score, least, out = np.where(letters, model.chances(bits, n)[at], 0.0), bits[at], model.rejected(bits, n, best) & letters
-                    lang = [model.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
+                    found = _decided(model, *model.entropies(texts))
                 else:
-                    letters, score, lang, out = np.zeros(len(texts), bool), np.zeros(len(texts)), [UNKNOWN] * len(texts), np.zeros(len(texts), bool)
-                    least = score
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(row, len(texts)), pa.array(lang, pa.string()), pa.array(score), pa.array(least, mask=~letters), pa.array(out),
-                ], names=["doc_id", "lang_pred", "score", "bits", "rejected"])
+                    found = [pa.array([UNKNOWN] * len(texts), pa.string()), pa.array(np.zeros(len(texts))), pa.nulls(len(texts), pa.float64()), pa.array(np.zeros(len(texts), bool))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), *found], names=["doc_id", "lang_pred", "score", "bits", "rejected"])
 
     return work
 
@@ -344,7 +487,10 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     Without a model (nothing to learn from) all rows are `und`. Other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(tx.freed(_scored(model)), "doc_id long, lang_pred string, score double, bits double, rejected boolean")
+    schema = "doc_id long, lang_pred string, score double, bits double, rejected boolean"
+    if model and model.spread:
+        return _joined_entropies(model, rows).mapInArrow(tx.freed(_judged(model.light())), schema)
+    return rows.mapInArrow(tx.freed(_scored(model)), schema)
 
 
 def language_predictions(docs: DataFrame) -> DataFrame:

@@ -82,6 +82,37 @@ def test_fewest_grams(spark, monkeypatch):
     assert (model.probabilities(window).sum(axis=0) <= 1 + 1e-6).all()
 
 
+@pytest.mark.parametrize("most", [0, 40])
+def test_models_beyond_memory(spark, monkeypatch, most):
+    """A model of more n-grams than a task holds gives the definition's entropies all the same, seen n-grams or not."""
+    rows = spark.createDataFrame([(t, g) for g, t in TEXTS], "text string, lang string")
+    counts = languages.gram_counts(rows)
+    monkeypatch.setattr(languages, "MOST_GRAMS", most)
+    model = languages._large_model(counts)
+    assert len(model.known.values) <= most
+    own = [Brute([t for g, t in TEXTS if g == lang]) for lang in model.langs]
+    size = len({c for b in own for c in b.n[1]})
+    texts = ["the thé cat the thé", "кот!!x", "q", "Où the", "12", None, "q"]
+    got = languages._joined_entropies(model, spark.createDataFrame(list(enumerate(texts)), "at int, text string")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        s = "\0" * 4 + letters(texts[r["at"]] or "")
+        want = [-sum(math.log2(b.p(s[i - 4 : i + 1], size)) for i in range(4, len(s))) / (len(s) - 4) for b in own] if len(s) > 4 else r["bits"]
+        assert np.allclose(r["bits"], want, rtol=1e-5) and r["letters"] == (len(s) > 4)
+
+
+def test_cap_changes_no_prediction(spark, sf_dir, monkeypatch):
+    docs = read_table(spark, sf_dir, "documents")
+    key = lambda: {r["doc_id"]: r for r in languages.language_predictions(docs).collect()}
+    want = key()
+    monkeypatch.setattr(languages, "MOST_GRAMS", 500)
+    got = key()
+    assert got.keys() == want.keys()
+    for k, r in got.items():
+        assert (r["lang_pred"], r["held_out"], r["rejected"]) == (want[k]["lang_pred"], want[k]["held_out"], want[k]["rejected"])
+        assert r["bits"] is None and want[k]["bits"] is None or abs(r["bits"] - want[k]["bits"]) < 1e-4 and abs(r["score"] - want[k]["score"]) < 1e-3
+
+
 def test_table():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2))
