@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import BLANK
-from ..sources.shared import small_side, written
+from ..sources.shared import small_side
 
 TOLERANCE = 1e-4
+#: A section that lacks so many anchors is flagged.
+LEAST_MISSING = 3
 #: Marker texts, their section and flag.
 MARKERS = [
     ("特殊不平_流动资产", "current_assets", "IMBALANCE"), ("特殊格式_流动资产", "current_assets", "FORMAT"), ("特殊归并_流动资产", "current_assets", "AGGREGATION"),
@@ -43,7 +48,7 @@ def imbalance_values(sections: DataFrame, items: DataFrame) -> DataFrame:
     return rows.select("section_id", F.col("parent_value").alias("marker_value"))
 
 
-def format_anomalies(items: DataFrame, anchors: DataFrame, least_missing: int = 3) -> DataFrame:
+def format_anomalies(items: DataFrame, anchors: DataFrame, least_missing: int = LEAST_MISSING) -> DataFrame:
     """Sections (section_id, item) with their missing anchors in order; flagged from least_missing on."""
     wanted = anchors.select("ordinal", F.col("anchor").alias("item"))
     every = wanted.agg(F.array_sort(F.collect_list(F.struct("ordinal", "item"))).alias("every"))  # one row
@@ -75,11 +80,13 @@ def section_children(accounts: DataFrame) -> DataFrame:
     return rows.select("chart", "parent_code", F.col("item_code").alias("child_code"), "ordinal")
 
 
+def _known_merged(key: Column) -> Column:
+    return reduce(or_, (F.contains(key, F.lit(p)) | F.contains(F.lit(p), key) for p, _ in MERGED))
+
+
 def merged_line(label: Column, n_codes: Column) -> Column:
     """Whether a label is a known merged line (either holds the other) or joins names and matches several codes."""
-    key = F.regexp_replace(label, BLANK, "")
-    known = F.exists(F.array(*(F.lit(p) for p, _ in MERGED)), lambda p: F.contains(key, p) | F.contains(p, key))
-    return known | (label.rlike(CONNECTORS) & (n_codes > 1))
+    return _known_merged(F.regexp_replace(label, BLANK, "")) | (label.rlike(CONNECTORS) & (n_codes > 1))
 
 
 def marker_flag(label: Column) -> Column:
@@ -96,10 +103,15 @@ def marker_flag(label: Column) -> Column:
     return out
 
 
+def is_marker_row(label: Column, cells: Column) -> Column:
+    """Whether a label is exactly a marker and the cells hold no number."""
+    key = F.regexp_replace(label, BLANK, "")
+    return key.isin([m for m, *_ in MARKERS]) & ~F.exists(cells, lambda c: F.coalesce(c.rlike(r"[\d.]"), F.lit(False)))
+
+
 def marker_rows(rows: DataFrame) -> DataFrame:
     """Rows whose label is exactly a marker and whose cells hold no number."""
-    key = F.regexp_replace("label", BLANK, "")
-    return rows.filter(key.isin([m for m, *_ in MARKERS]) & ~F.exists("cells", lambda c: F.coalesce(c.rlike(r"[\d.]"), F.lit(False))))
+    return rows.filter(is_marker_row(F.col("label"), F.col("cells")))
 
 
 def cash_flow_consistent(cfo: Column, cfi: Column, cff: Column, fx: Column, change: Column) -> Column:
@@ -114,29 +126,40 @@ def anomaly_documents(sections: DataFrame, items: DataFrame, anchors: DataFrame)
     accounts the label tells), cells, value. A section's flags come in the order IMBALANCE (children against parent), FORMAT
     (missing anchors), AGGREGATION (a merged line), then those of marker rows by seq; a marker's row is no child. report has
     the flagged sections, the differences, merged lines with their codes, and the missing anchors. Sections without items have
-    none; items of unknown sections are left out. A document's sections and items come together in one row, so they are
+    none; items of unknown sections are left out. Items are gathered by section once, and everything else is told from there. A document's sections and items come together in one row, so they are
     bounded by what one report can hold.
     """
-    label = F.regexp_replace("item_raw", BLANK, "")
-    marked = marker_rows(items.withColumn("label", F.col("item_raw"))).select("section_id", "seq").withColumn("is_marker", F.lit(True))
-    rows = written(items.join(marked, ["section_id", "seq"], "left").withColumns({
-        "is_marker": F.coalesce("is_marker", F.lit(False)), "is_merged": F.coalesce(merged_line(F.col("item_raw"), F.col("n_codes")), F.lit(False)), "marker": marker_flag(F.col("item_raw")),
-    }))
-    children = rows.filter("not is_marker")
-    sums = section_imbalance(sections, children)
-    formats = format_anomalies(children.select("section_id", label.alias("item")), anchors)
-    flag = lambda df, seq, name: df.select("section_id", F.lit(seq).cast("long").alias("seq"), F.lit(name).alias("flag"))
-    flags = flag(sums.filter("is_imbalance"), -3, "IMBALANCE").unionByName(flag(formats.filter("is_anomaly"), -2, "FORMAT"))
-    flags = flags.unionByName(flag(children.filter("is_merged"), -1, "AGGREGATION")).unionByName(rows.filter("is_marker").select("section_id", F.col("seq").cast("long").alias("seq"), F.col("marker.flag").alias("flag")))
-    held = rows.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("seq", "item_raw", "value", "is_marker", "is_merged"))).alias("items"))
-    known = F.filter(F.array(*(F.struct(F.lit(p).alias("label"), F.array(*map(F.lit, c)).alias("codes")) for p, c in MERGED)), lambda m: F.contains(label, m["label"]) | F.contains(m["label"], label))
-    merged = children.filter("is_merged").groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("seq", "item_raw", F.coalesce(F.get(known, F.lit(0))["codes"], F.array().cast("array<string>")).alias("codes")))).alias("merged"))
-    every = sections.join(sums.drop("parent_value"), "section_id", "left").join(flag_rollup(flags), "section_id", "left").join(formats, "section_id", "left").join(held, "section_id", "left").join(merged, "section_id", "left")
-    nothing = lambda c, like: F.coalesce(F.col(c), F.array().cast(like))
+    wanted = anchors.agg(F.array_sort(F.collect_list(F.struct("ordinal", F.col("anchor").alias("item")))).alias("wanted"))  # one row
+    rows = items.withColumn("label", F.regexp_replace("item_raw", BLANK, "")).select(
+        "section_id", "seq", "item_raw", "value", "label", F.coalesce(is_marker_row(F.col("item_raw"), F.col("cells")), F.lit(False)).alias("is_marker"),
+        F.coalesce(_known_merged(F.col("label")) | (F.col("item_raw").rlike(CONNECTORS) & (F.col("n_codes") > 1)), F.lit(False)).alias("is_merged"),
+    )
+    codes = F.array().cast("array<string>")
+    for text, own_codes in reversed(MERGED):
+        codes = F.when(F.contains("label", F.lit(text)) | F.contains(F.lit(text), F.col("label")), F.array(*map(F.lit, own_codes))).otherwise(codes)
+    rows = rows.withColumns({"codes": F.when(F.col("is_merged"), codes), "flag": F.when(F.col("is_marker"), marker_flag(F.col("item_raw"))["flag"])})
+    own = F.when(~F.col("is_marker"), F.col("value"))
+    fields = ("seq", "item_raw", "value", "is_marker", "is_merged")
+    held = rows.groupBy("section_id").agg(
+        (F.sum(F.round(own * 1e6).cast("decimal(30,0)")).cast("double") / 1e6).alias("total"), F.count(own).alias("n_values"),
+        F.array_sort(F.collect_list(F.struct(*fields, "label", "codes", "flag"))).alias("held"),
+    )
+    every = sections.join(held, "section_id", "left").crossJoin(F.broadcast(wanted))
+    parent, has = F.col("parent_value"), F.col("n_values") > 0
+    pick = lambda names: lambda x: F.struct(*(x[n].alias(n) for n in names))
+    every = every.withColumns({
+        "is_imbalance": F.when(parent.isNull(), False).when(has, _apart(parent, F.col("total"))).otherwise(True), "children_sum": F.when(parent.isNotNull() & has, F.col("total")),
+        "items": F.transform("held", pick(fields)), "labels": F.transform(F.filter("held", lambda x: ~x["is_marker"]), lambda x: x["label"]),
+        "merged": F.transform(F.filter("held", lambda x: x["is_merged"] & ~x["is_marker"]), pick(("seq", "item_raw", "codes"))), "marks": F.transform(F.filter("held", lambda x: x["is_marker"]), lambda x: x["flag"]),
+    }).drop("held")
+    missing = F.array_distinct(F.filter("wanted", lambda a: ~F.coalesce(F.array_contains("labels", a["item"]), F.lit(False))))
+    every = every.withColumn("missing", F.when(F.size("labels") > 0, missing))
+    few = F.size("missing") >= LEAST_MISSING
+    first = F.array_compact(F.array(F.when(F.col("is_imbalance"), "IMBALANCE"), F.when(few, "FORMAT"), F.when(F.size("merged") > 0, "AGGREGATION")))
+    nothing = lambda c: F.coalesce(F.col(c), F.array().cast(dict(every.dtypes)[c]))
     section = F.struct(
-        "section_id", "section", "parent_item", "parent_value", "children_sum", "diff", F.filter(F.split(F.coalesce("flags", F.lit("")), ","), lambda f: f != "").alias("flags"),
-        nothing("items", dict(held.dtypes)["items"]).alias("items"), nothing("merged", dict(merged.dtypes)["merged"]).alias("merged"),
-        F.when(F.col("is_anomaly"), F.split("missing_anchors", ",")).alias("missing_anchors"),
+        "section_id", "section", "parent_item", "parent_value", "children_sum", (parent - F.col("children_sum")).alias("diff"), F.array_distinct(F.concat(first, nothing("marks"))).alias("flags"),
+        nothing("items").alias("items"), nothing("merged").alias("merged"), F.when(few, F.transform("missing", lambda x: x["item"])).alias("missing_anchors"),
     )
     documents = every.groupBy("doc_id").agg(F.array_sort(F.collect_list(section)).alias("sections"))
     s = F.col("sections")

@@ -84,3 +84,23 @@ def test_japanese_chains(spark):
     single, chains = specs.chain_specs(spark)
     rows = xbrl.chain_values(xbrl.scored_facts(facts, contexts, filings, single, xbrl.ANNUAL_JP), chains).collect()
     assert [(r["field"], r["value"]) for r in rows] == [("IS_total_revenue", 1000.0)]
+
+
+def test_anomaly_documents(spark):
+    """Flags, differences, merged lines and anchors of a document, told from items that are gathered once."""
+    sections = spark.createDataFrame([(1, 7, "s", "p", 100.0), (2, 7, "s", "p", 5.0), (3, 8, "s", "p", None)], "section_id int, doc_id int, section string, parent_item string, parent_value double")
+    items = spark.createDataFrame(
+        [(1, 2, " 应收 账款", 1, ["-"], 60.0), (1, 1, "a", 1, ["-"], 40.0), (1, 3, "特殊归并_非流动资产", 1, ["-"], 9.0), (1, 4, "特殊格式_流动资产", 1, ["-"], None), (3, 1, "特殊格式_流动资产", 1, ["7"], None), (9, 1, "a", 1, ["-"], 1.0)],
+        "section_id int, seq int, item_raw string, n_codes int, cells array<string>, value double",
+    )
+    anchors = spark.createDataFrame(list(enumerate("abcd")), "ordinal int, anchor string")
+    out = anomaly.anomaly_documents(sections, items, anchors)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 4
+    rows = {r["doc_id"]: r for r in out.collect()}
+    one, two = rows[7]["sections"]
+    assert one["flags"] == ["FORMAT", "AGGREGATION"] and (one["children_sum"], one["diff"]) == (100.0, 0.0) and one["missing_anchors"] == ["b", "c", "d"]
+    assert [(m["seq"], m["codes"]) for m in one["merged"]] == [(2, ["NOTESRECE", "ACCORECE"])] and [x["is_marker"] for x in one["items"]] == [False, False, True, True]
+    assert two["flags"] == ["IMBALANCE"] and (two["items"], two["merged"], two["missing_anchors"], two["diff"]) == ([], [], None, None)
+    assert [tuple(f) for f in rows[7]["report"]["sections_flagged"]] == [(1, ["FORMAT", "AGGREGATION"]), (2, ["IMBALANCE"])]
+    (three,) = rows[8]["sections"]
+    assert three["flags"] == ["FORMAT"] and [x["is_marker"] for x in three["items"]] == [False]
