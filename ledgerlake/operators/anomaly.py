@@ -73,10 +73,9 @@ def flag_rollup(flags: DataFrame) -> DataFrame:
 
 def section_children(accounts: DataFrame) -> DataFrame:
     """Children of each subtotal (is_parent) of an ordered chart: the rows since the parent before it."""
-    before = F.sum(F.col("is_parent").cast("int")).over(Window.partitionBy("chart").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
-    rows = accounts.withColumn("section_no", F.coalesce(before, F.lit(0)))
-    parent = F.max(F.when(F.col("is_parent"), F.col("item_code"))).over(Window.partitionBy("chart", "section_no"))
-    rows = rows.withColumn("parent_code", parent).filter(~F.col("is_parent") & F.col("parent_code").isNotNull())
+    upwards = Window.partitionBy("chart").orderBy(F.desc("ordinal")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parent = F.last(F.when(F.col("is_parent"), F.struct("item_code")), ignorenulls=True).over(upwards)["item_code"]
+    rows = accounts.withColumn("parent_code", parent).filter(~F.col("is_parent") & F.col("parent_code").isNotNull())
     return rows.select("chart", "parent_code", F.col("item_code").alias("child_code"), "ordinal")
 
 

@@ -10,6 +10,7 @@ from ..operators import anomaly as an
 from ..operators import evaluate as ev
 from ..operators import verify as vf
 from ..operators import xbrl as xb
+from ..sources.shared import dealt
 from . import xbrl_queries as xq
 from .fixtures import oracle, view
 
@@ -120,7 +121,8 @@ SELECT s.section_id, string_agg(anchor, ',' ORDER BY o) AS missing_anchors, CAST
 
 
 def w13(s, d):
-    rows = view(s, d, "lineitem").select(F.col("l_suppkey").alias("chart"), F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")).alias("ordinal"), (F.col("l_linenumber") == 7).alias("is_parent"))
+    lines = dealt(view(s, d, "lineitem").select(F.col("l_suppkey").alias("chart"), "l_orderkey", "l_linenumber", "l_partkey"), "chart")
+    rows = lines.select("chart", F.row_number().over(Window.partitionBy("chart").orderBy("l_orderkey", "l_linenumber", "l_partkey")).alias("ordinal"), (F.col("l_linenumber") == 7).alias("is_parent"))
     return an.section_children(rows.withColumn("item_code", F.concat(F.lit("C"), "ordinal"))).select("chart", "parent_code", "child_code")
 
 

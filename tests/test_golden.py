@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions import scalars as sc
 from ledgerlake.operators import anomaly, matching, pages, verify, xbrl
-from ledgerlake.plans import specs
+from ledgerlake.plans import registry, specs
+from ledgerlake.sources import shared
 
 
 def value(spark, column):
@@ -104,3 +105,13 @@ def test_anomaly_documents(spark):
     assert [tuple(f) for f in rows[7]["report"]["sections_flagged"]] == [(1, ["FORMAT", "AGGREGATION"]), (2, ["IMBALANCE"])]
     (three,) = rows[8]["sections"]
     assert three["flags"] == ["FORMAT"] and [x["is_marker"] for x in three["items"]] == [False]
+
+
+def test_section_children(spark, sf_dir, monkeypatch):
+    rows = spark.createDataFrame([(1, 1, "a", False), (1, 2, "b", False), (1, 3, "P", True), (1, 4, "Q", True), (1, 5, "c", False), (1, 6, "R", True), (1, 7, "d", False), (2, 1, "e", False)], "chart int, ordinal int, item_code string, is_parent boolean")
+    got = anomaly.section_children(rows)
+    assert got._jdf.queryExecution().executedPlan().toString().count("+- Window [") == 1
+    assert sorted(map(tuple, got.collect())) == [(1, "P", "a", 1), (1, "P", "b", 2), (1, "R", "c", 5)]
+    monkeypatch.setattr(shared, "TASK_ROWS", 500)
+    plan = registry.QUERIES["w13_bs_section_children"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
