@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import BLANK, clean_item_name, latest_header_date, parse_number_cn
 from .lines import is_not_applicable, parse_per_share
-from ..sources.shared import small_side
+from ..sources.shared import dealt, small_side
 
 HEADER_ROWS = 3
 #: Status order, core codes' repairable states.
@@ -96,7 +96,9 @@ def expand_giant_rows(cells: DataFrame, anchor: str = "(项目|科目)", least_l
     rows = cells.withColumn("_first", F.min("row_no").over(by)).withColumn("_last", F.max("row_no").over(by)).withColumn("_lines", lines)
     head = F.col("row_no") == F.col("_first")
     rows = rows.withColumn("_anchor", F.max((head & F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "").rlike(anchor)).cast("int")).over(by))
-    rows = rows.withColumn("_most", F.max(F.when(~head, F.size("_lines"))).over(by)).withColumn("_two", F.size(F.collect_set("row_no").over(by)) == 2)
+    rows = rows.withColumn("_most", F.max(F.when(~head, F.size("_lines"))).over(by))
+    between = F.max((F.col("row_no") > F.col("_first")) & (F.col("row_no") < F.col("_last"))).over(by)
+    rows = rows.withColumn("_two", (F.col("_first") < F.col("_last")) & ~between)
     giant = F.col("_two") & (F.col("_anchor") == 1) & (F.col("_most") >= least_lines) & ~head
     parts = F.when(giant, F.transform(F.sequence(F.lit(0), F.col("_most") - 1), lambda i: F.trim(F.coalesce(F.get("_lines", i), F.lit(""))))).otherwise(F.array("text"))
     out = rows.select("table_id", "row_no", "col_no", F.posexplode(parts).alias("at", "text"))
@@ -110,16 +112,18 @@ def promote_headers(cells: DataFrame, anchor: str = "(项目|科目)") -> DataFr
     rows = cells.withColumn("_head", F.col("row_no") == F.min("row_no").over(by))
     rows = rows.withColumn("_promote", F.max((F.col("_head") & F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "").rlike(anchor)).cast("int")).over(by) == 1)
     title = F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.lit("col"))
-    columns = rows.filter("_head").select("table_id", "col_no", "_promote", title.alias("title"), (F.row_number().over(by.orderBy("col_no")) - 1).alias("i"))
-    again = F.row_number().over(Window.partitionBy("table_id", "title").orderBy("col_no")) - 1
-    named = F.when(~F.col("_promote"), F.concat(F.lit("col_"), "i")).when(again == 0, F.col("title")).otherwise(F.concat_ws("_", "title", again))
-    names = columns.select("table_id", "col_no", named.alias("name"))
-    return rows.filter(~F.col("_head") | ~F.col("_promote")).join(names, ["table_id", "col_no"], "left").select("table_id", "row_no", "col_no", "name", "text")
+    rows = rows.withColumn("_title", F.when(F.col("_head"), title))
+    place = F.row_number().over(Window.partitionBy("table_id", "_head").orderBy("col_no")) - 1
+    again = F.row_number().over(Window.partitionBy("table_id", "_title").orderBy("col_no")) - 1
+    named = F.when(~F.col("_promote"), F.concat(F.lit("col_"), place)).when(again == 0, F.col("_title")).otherwise(F.concat_ws("_", "_title", again))
+    rows = rows.withColumn("_named", F.when(F.col("_head"), named)).withColumn("name", F.max("_named").over(Window.partitionBy("table_id", "col_no")))
+    return rows.filter(~F.col("_head") | ~F.col("_promote")).select("table_id", "row_no", "col_no", "name", "text")
 
 
 def clean_tables(cells: DataFrame) -> DataFrame:
-    """Extracted tables made regular: giant rows split, empty rows and columns dropped, headers promoted."""
-    return promote_headers(without_empty(expand_giant_rows(cells)))
+    """Extracted tables made regular: giant rows split, empty rows and columns dropped, headers promoted. A table's cells are
+    shuffled once, to one task; how many tables a task gets depends on their cells."""
+    return promote_headers(without_empty(expand_giant_rows(dealt(cells, "table_id"))))
 
 
 def balance_columns(cells: DataFrame, header_rows: int = 8) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import scalars as sc
-from ledgerlake.operators import anomaly, matching, pages, verify, xbrl
+from ledgerlake.operators import anomaly, matching, pages, tables, verify, xbrl
 from ledgerlake.plans import registry, specs
 from ledgerlake.sources import shared
 
@@ -107,6 +107,21 @@ def test_anomaly_documents(spark):
     assert three["flags"] == ["FORMAT"] and [x["is_marker"] for x in three["items"]] == [False]
 
 
+def test_clean_tables_sorts_bounded_parts(spark, monkeypatch):
+    """Cells are shuffled once, into parts by their number; columns keep the names of their header, ragged ones have none."""
+    monkeypatch.setattr(shared, "TASK_ROWS", 10)
+    grid = [["项目", "本期", "本期", " "], ["a", "1", "2", ""], ["b", "", "3", ""]]
+    ragged = [["甲", "乙"], ["c", "4", "5"]]
+    cells = [(t, r, c, x) for t, rows in [(1, grid), (2, ragged)] for r, row in enumerate(rows, 1) for c, x in enumerate(row)]
+    out = tables.clean_tables(spark.createDataFrame(cells, "table_id int, row_no int, col_no int, text string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "hashpartitioning(table_id#" in plan and ", 2), REPARTITION_BY_NUM" in plan
+    got = {(r["table_id"], r["row_no"], r["col_no"]): (r["name"], r["text"]) for r in out.collect()}
+    want = {(1, 2, 0): ("项目", "a"), (1, 2, 1): ("本期", "1"), (1, 2, 2): ("本期_1", "2"), (1, 3, 0): ("项目", "b"), (1, 3, 1): ("本期", None), (1, 3, 2): ("本期_1", "3")}
+    want |= {(2, 1, 0): ("col_0", "甲"), (2, 1, 1): ("col_1", "乙"), (2, 2, 0): ("col_0", "c"), (2, 2, 1): ("col_1", "4"), (2, 2, 2): (None, "5")}
+    assert got == want
+
+
 def test_section_children(spark, sf_dir, monkeypatch):
     rows = spark.createDataFrame([(1, 1, "a", False), (1, 2, "b", False), (1, 3, "P", True), (1, 4, "Q", True), (1, 5, "c", False), (1, 6, "R", True), (1, 7, "d", False), (2, 1, "e", False)], "chart int, ordinal int, item_code string, is_parent boolean")
     got = anomaly.section_children(rows)
